@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import q_metrics
+from tallyspark.plans import q_metrics, q_prep, q_text
 
-_MODULES = [q_metrics]
+_MODULES = [q_metrics, q_prep, q_text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
