@@ -4,8 +4,9 @@ Design: the only data-sized step is one partial+final aggregation of the input
 into *confusion cells* ``(group..., true_label, predicted_label, n)``. Cells are
 a sufficient statistic for accuracy, per-class precision/recall/F1, macro and
 weighted averages and the run counters, so everything after the first shuffle
-works on at most ``groups x labels^2`` rows. The cells plan is referenced by
-several branches; Spark reuses its exchange instead of rescanning the input.
+works on at most ``groups x labels^2`` rows. Each metric is one linear chain
+(input -> cells -> per-label stats -> one row per group): no joins and no
+second scan of the input, and all label-set variants come out of one aggregate.
 
 Semantics follow scikit-learn with ``zero_division=0``: support(c) counts rows
 with true == c, predicted(c) counts rows with pred == c (over all rows, also
@@ -29,12 +30,6 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def _groups_or_unit(cells: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    if group_cols:
-        return cells.select(*group_cols).distinct()
-    return cells.sparkSession.range(1).select()
-
-
 def confusion_cells(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label",
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Long confusion table over *all* label pairs (map-side combined count)."""
@@ -51,13 +46,20 @@ def exclude_status(df: DataFrame, pred_col: str = "predicted_label",
 
 def confusion_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
                          group_cols: Sequence[str] = ()) -> DataFrame:
-    """Dense K x K matrix (AGG2): rows true, columns pred, pairs outside the list dropped."""
+    """Dense K x K matrix (AGG2): rows true, columns pred, pairs outside the list dropped.
+
+    Cells are folded into one map per group (at most labels^2 entries) and the
+    K x K grid is generated from it, so densifying needs no join.
+    """
     g = list(group_cols)
+    key = F.concat_ws("\u0001", F.col("true_label"), F.col("predicted_label"))
+    inlist = F.col("true_label").isin(list(classes)) & F.col("predicted_label").isin(list(classes))
+    m = cells.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.when(inlist, F.struct(key, F.col("n"))))).alias("_m"))
     pairs = F.array(*[F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("predicted_label"))
                       for t in classes for p in classes])
-    grid = _groups_or_unit(cells, g).select(*g, F.explode(pairs).alias("cell")).select(*g, "cell.*")
-    return (grid.join(cells, g + ["true_label", "predicted_label"], "left")
-            .select(*g, "true_label", "predicted_label", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+    x = m.select(*g, "_m", F.explode(pairs).alias("cell")).select(*g, "_m", "cell.*")
+    n = F.try_element_at(F.col("_m"), F.concat_ws("\u0001", F.col("true_label"), F.col("predicted_label")))
+    return x.select(*g, "true_label", "predicted_label", F.coalesce(n, F.lit(0)).cast("long").alias("n"))
 
 
 def confusion(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
@@ -72,51 +74,116 @@ def confusion_wide(conf: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
             .agg(F.sum("n")).fillna(0))
 
 
+def _stat_fields(counters: Sequence[tuple[str, Column]]) -> list[str]:
+    return ["support", "pred_n", "tp", "total"] + [name for name, _ in counters]
+
+
+def label_stats(cells: DataFrame, group_cols: Sequence[str] = (), valid: Column | None = None,
+                counters: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """Per (group, label): tp, support (true count), pred_n (predicted count) over *valid*
+    cells, plus ``total`` and named counters over all cells (counted on the true side).
+
+    Each cell is exploded into its true side and its predicted side, then one
+    aggregation sums them: no join, and the NULL label row keeps the row total.
+    """
+    g = list(group_cols)
+    n = F.col("n")
+    nv = n if valid is None else F.when(valid, n).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    hit = F.col("true_label") == F.col("predicted_label")
+    true_side = F.struct(F.col("true_label").alias("label"), nv.cast("long").alias("support"), zero.alias("pred_n"),
+                         F.when(hit, nv).otherwise(F.lit(0)).cast("long").alias("tp"), n.cast("long").alias("total"),
+                         *[F.when(cond, n).otherwise(F.lit(0)).cast("long").alias(name) for name, cond in counters])
+    pred_side = F.struct(F.col("predicted_label").alias("label"), zero.alias("support"), nv.cast("long").alias("pred_n"),
+                         zero.alias("tp"), zero.alias("total"), *[zero.alias(name) for name, _ in counters])
+    sides = cells.select(*g, F.explode(F.array(true_side, pred_side)).alias("s")).select(*g, "s.*")
+    return sides.groupBy(*g, "label").agg(*[F.sum(c).cast("long").alias(c) for c in _stat_fields(counters)])
+
+
 def class_stats(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Per (group, label): tp, support (true count) and predicted count, from cells."""
+    """Per (group, label) tp / support / pred_n (labels never NULL)."""
+    return label_stats(cells, group_cols).where(F.col("label").isNotNull()).select(
+        *group_cols, "label", "tp", "support", "pred_n")
+
+
+def _prf(tp: Column, sup: Column, pn: Column) -> tuple[Column, Column, Column]:
+    return _ratio(tp, pn), _ratio(tp, sup), _ratio(2 * tp, sup + pn)
+
+
+def _in_set(label_set: str, classes: Sequence[str]) -> Column:
+    lab, sup, pn = F.col("label"), F.col("support"), F.col("pred_n")
+    if label_set == "fixed":
+        return F.coalesce(lab.isin(list(classes)), F.lit(False))
+    if label_set == "true":
+        return lab.isNotNull() & (sup > 0)
+    if label_set == "union":
+        return lab.isNotNull() & ((sup + pn) > 0)
+    raise ValueError(f"label_set must be one of {LABEL_SETS}")
+
+
+def _set_aggs(label_set: str, classes: Sequence[str], suffix: str = "") -> list[Column]:
+    inset = _in_set(label_set, classes)
+    p, r, f = _prf(F.col("tp"), F.col("support"), F.col("pred_n"))
+    k = F.lit(len(classes)) if label_set == "fixed" else F.count_if(inset)
+    sup_in = F.sum(F.when(inset, F.col("support")).otherwise(F.lit(0)))
+
+    def macro(x: Column) -> Column:
+        return _ratio(F.sum(F.when(inset, x).otherwise(F.lit(0.0))), k)
+
+    def wavg(x: Column) -> Column:
+        return _ratio(F.sum(F.when(inset, x * F.col("support")).otherwise(F.lit(0.0))), sup_in)
+
+    return [macro(f).alias(f"f1_macro{suffix}"), macro(p).alias(f"precision_macro{suffix}"),
+            macro(r).alias(f"recall_macro{suffix}"), wavg(f).alias(f"f1_weighted{suffix}"),
+            wavg(p).alias(f"precision_weighted{suffix}"), wavg(r).alias(f"recall_weighted{suffix}"),
+            sup_in.cast("long").alias(f"support{suffix}")]
+
+
+def group_metrics(stats: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, group_cols: Sequence[str] = (),
+                  label_sets: dict[str, str] | None = None, counters: Sequence[str] = (),
+                  with_stats_map: bool = False) -> DataFrame:
+    """One row per group: n (valid rows), accuracy, macro / weighted P/R/F1 for each
+    requested label set (``{suffix: label_set}``) and the counters, from ``label_stats``."""
+    sets = label_sets or {"": "fixed"}
+    aggs = [F.sum("support").cast("long").alias("n"), _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+            F.sum("total").cast("long").alias("total")]
+    for suffix, ls in sets.items():
+        aggs += _set_aggs(ls, classes, suffix)
+    aggs += [F.sum(c).cast("long").alias(c) for c in counters]
+    if with_stats_map:
+        entry = F.when(F.col("label").isNotNull(), F.struct(F.col("label"), F.struct("tp", "support", "pred_n")))
+        aggs.append(F.map_from_entries(F.collect_list(entry)).alias("stats"))
+    return stats.groupBy(*group_cols).agg(*aggs)
+
+
+def _class_rows(grp: DataFrame, classes: Sequence[str], group_cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Per-class rows for a fixed vocabulary from the group row's stats map (absent class -> zeros)."""
     g = list(group_cols)
-    sides = F.array(
-        F.struct(F.col("true_label").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("pred_n"),
-                 F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
-        F.struct(F.col("predicted_label").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("pred_n"),
-                 F.lit(0).cast("long").alias("tp")))
-    return (cells.select(*g, F.explode(sides).alias("s")).select(*g, "s.*")
-            .where(F.col("label").isNotNull())
-            .groupBy(*g, "label")
-            .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred_n").alias("pred_n")))
+    x = grp.select(*g, *keep, "stats", F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("class_pos", "label"))
+    st = F.try_element_at(F.col("stats"), F.col("label"))
+    tp = F.coalesce(st["tp"], F.lit(0)).cast("long")
+    sup = F.coalesce(st["support"], F.lit(0)).cast("long")
+    pn = F.coalesce(st["pred_n"], F.lit(0)).cast("long")
+    p, r, f = _prf(tp, sup, pn)
+    return x.select(*g, *keep, "label", F.col("class_pos").cast("int").alias("class_pos"), p.alias("precision"),
+                    r.alias("recall"), f.alias("f1"), sup.alias("support"), tp.alias("tp"), pn.alias("pred_n"))
 
 
 def per_class_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
                          group_cols: Sequence[str] = (), label_set: str = "fixed") -> DataFrame:
     """Per-class precision / recall / F1 / support over a label set (AGG4, AGG9, LBL11).
 
-    label_set: 'fixed' = ``classes``; 'true' = labels present in the true column;
-    'union' = sorted union of true and predicted labels (scikit-learn's default).
+    label_set: 'fixed' = ``classes`` (absent classes get zero rows); 'true' = labels
+    present in the true column; 'union' = labels present on either side.
     """
-    if label_set not in LABEL_SETS:
-        raise ValueError(f"label_set must be one of {LABEL_SETS}")
     g = list(group_cols)
-    stats = class_stats(cells, g)
+    stats = label_stats(cells, g)
     if label_set == "fixed":
-        labels = (_groups_or_unit(cells, g)
-                  .select(*g, F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("class_pos", "label")))
-        per = labels.join(stats, g + ["label"], "left")
-    elif label_set == "true":
-        per = stats.where(F.col("support") > 0).withColumn("class_pos", F.lit(None).cast("int"))
-    else:
-        per = stats.withColumn("class_pos", F.lit(None).cast("int"))
-    tp = F.coalesce(F.col("tp"), F.lit(0))
-    sup = F.coalesce(F.col("support"), F.lit(0))
-    pn = F.coalesce(F.col("pred_n"), F.lit(0))
-    return per.select(
-        *g, "label", "class_pos",
-        _ratio(tp, pn).alias("precision"),
-        _ratio(tp, sup).alias("recall"),
-        _ratio(2 * tp, sup + pn).alias("f1"),
-        sup.cast("long").alias("support"),
-        tp.cast("long").alias("tp"),
-        pn.cast("long").alias("pred_n"),
-    )
+        return _class_rows(group_metrics(stats, classes, g, with_stats_map=True), classes, g)
+    st = stats.where(_in_set(label_set, classes))
+    p, r, f = _prf(F.col("tp"), F.col("support"), F.col("pred_n"))
+    return st.select(*g, "label", F.lit(None).cast("int").alias("class_pos"), p.alias("precision"), r.alias("recall"),
+                     f.alias("f1"), "support", "tp", "pred_n")
 
 
 def per_class(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
@@ -146,35 +213,34 @@ def accuracy_from_cells(cells: DataFrame, group_cols: Sequence[str] = ()) -> Dat
     return cells.groupBy(*g).agg(F.sum("n").cast("long").alias("n"), _ratio(F.sum(hit), F.sum("n")).alias("accuracy"))
 
 
+_SUMMARY = ("n", "accuracy", "f1_macro", "precision_macro", "recall_macro", "f1_weighted", "precision_weighted",
+            "recall_weighted")
+
+
 def summary_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
                        group_cols: Sequence[str] = (), label_set: str = "fixed") -> DataFrame:
     g = list(group_cols)
-    acc = accuracy_from_cells(cells, g)
-    avgs = averages_from_per_class(per_class_from_cells(cells, classes, g, label_set), g)
-    return acc.join(avgs, g, "left") if g else _join_unit(acc, avgs)
-
-
-def _join_unit(a: DataFrame, b: DataFrame) -> DataFrame:
-    # both sides are single-row global aggregates: align them on a constant key
-    k = "__unit"
-    return a.withColumn(k, F.lit(1)).join(b.withColumn(k, F.lit(1)), k, "left").drop(k)
+    gm = group_metrics(label_stats(cells, g), classes, g, {"": label_set})
+    return gm.select(*g, *_SUMMARY)
 
 
 def summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
             pred_col: str = "predicted_label", group_cols: Sequence[str] = (),
             label_set: str = "fixed") -> DataFrame:
-    """n, accuracy, macro and weighted P/R/F1 per group (AGG3-AGG6)."""
+    """n, accuracy, macro and weighted P/R/F1 per group (AGG3-AGG6): one aggregation chain."""
     return summary_from_cells(confusion_cells(df, true_col, pred_col, group_cols), classes, group_cols, label_set)
 
 
 def macro(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
           pred_col: str = "predicted_label", group_cols: Sequence[str] = (), label_set: str = "fixed") -> DataFrame:
-    return averages_from_per_class(per_class(df, classes, true_col, pred_col, group_cols, label_set), group_cols)
+    return summary(df, classes, true_col, pred_col, group_cols, label_set).select(
+        *group_cols, "f1_macro", "precision_macro", "recall_macro")
 
 
 def weighted(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
              pred_col: str = "predicted_label", group_cols: Sequence[str] = (), label_set: str = "fixed") -> DataFrame:
-    return macro(df, classes, true_col, pred_col, group_cols, label_set)
+    return summary(df, classes, true_col, pred_col, group_cols, label_set).select(
+        *group_cols, "f1_weighted", "precision_weighted", "recall_weighted")
 
 
 def classification_report(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
@@ -186,22 +252,16 @@ def classification_report(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSE
     """
     g = list(group_cols)
     cells = confusion_cells(df, true_col, pred_col, g)
-    per = per_class_from_cells(cells, classes, g, "fixed")
+    grp = group_metrics(label_stats(cells, g), classes, g, with_stats_map=True)
     k = len(classes)
-    class_rows = per.select(*g, F.col("label").alias("row_label"), F.col("class_pos").alias("row_order"),
-                            "precision", "recall", F.col("f1").alias("f1_score"), "support")
-    tot = per.groupBy(*g).agg(F.sum("support").cast("long").alias("support"),
-                              F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                              _ratio(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
-                              _ratio(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
-                              _ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
-    acc = accuracy_from_cells(cells, g)
-    both = tot.join(acc, g, "left") if g else _join_unit(tot, acc)
-    summary_rows = both.select(*g, F.explode(F.array(
+    rows = _class_rows(grp, classes, g)
+    class_rows = rows.select(*g, F.col("label").alias("row_label"), F.col("class_pos").alias("row_order"),
+                             "precision", "recall", F.col("f1").alias("f1_score"), "support")
+    summary_rows = grp.select(*g, F.explode(F.array(
         F.struct(F.lit("accuracy").alias("row_label"), F.lit(k).alias("row_order"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("accuracy").alias("f1_score"), F.col("n").alias("support")),
-        _report_row("macro avg", k + 1, "mp", "mr", "mf"),
-        _report_row("weighted avg", k + 2, "wp", "wr", "wf"),
+        _report_row("macro avg", k + 1, "precision_macro", "recall_macro", "f1_macro"),
+        _report_row("weighted avg", k + 2, "precision_weighted", "recall_weighted", "f1_weighted"),
     )).alias("r")).select(*g, "r.*")
     out = class_rows.unionByName(summary_rows)
     if digits is not None:
@@ -219,40 +279,32 @@ def run_summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_co
                 excluded: Sequence[str] = SENTINELS, run_ts: str | None = None) -> DataFrame:
     """One summary row per run (AGG8): outcome counters and metrics over non-excluded rows.
 
-    Zero valid rows gives 0.0 for every metric. ``run_ts`` (``yyyy-MM-dd HH:mm:ss``)
-    is injected rather than read from the clock, so reruns are reproducible (DTE1).
+    Single chain: input -> cells -> label stats (sentinel cells weigh 0 for the
+    metrics but feed the counters) -> one row per group. Zero valid rows gives
+    0.0 for every metric. ``run_ts`` (``yyyy-MM-dd HH:mm:ss``) is injected rather
+    than read from the clock, so reruns are reproducible (DTE1).
     """
     g = list(group_cols)
     cells = confusion_cells(df, true_col, pred_col, g)
     p = F.col("predicted_label")
-
-    def cnt(cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0))).cast("long")
-
-    counters = cells.groupBy(*g).agg(
-        F.sum("n").cast("long").alias("total_posts"),
-        cnt(p == API_ERROR).alias("api_errors_count"),
-        cnt(p == CONTENT_BLOCKED).alias("content_blocked_count"),
-        cnt(p == NO_CONTENT).alias("no_content_count"),
-        cnt(p == NO_CANDIDATES).alias("no_candidates_count"),
-        cnt(p == LABEL_NOT_FOUND).alias("labels_not_found_in_response"),
-        cnt(~F.coalesce(p.isin(list(excluded)), F.lit(False))).alias("valid_predictions_for_metrics"),
-    )
-    valid = exclude_status(cells, "predicted_label", excluded)
-    metrics = summary_from_cells(valid, classes, g, "fixed").drop("n")
-    joined = counters.join(metrics, g, "left") if g else _join_unit(counters, metrics)
+    valid = ~F.coalesce(p.isin(list(excluded)), F.lit(False))
+    counters = [("api_errors_count", p == API_ERROR), ("content_blocked_count", p == CONTENT_BLOCKED),
+                ("no_content_count", p == NO_CONTENT), ("no_candidates_count", p == NO_CANDIDATES),
+                ("labels_not_found_in_response", p == LABEL_NOT_FOUND)]
+    stats = label_stats(cells, g, valid, counters)
+    gm = group_metrics(stats, classes, g, {"": "fixed"}, [c for c, _ in counters])
     zero = F.lit(0.0)
     cols = [*g]
     if run_ts is not None:
         cols.append(F.date_format(F.to_timestamp(F.lit(run_ts)), "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
-    return joined.select(
+    return gm.select(
         *cols,
-        "total_posts",
-        F.col("total_posts").alias("api_calls_attempted"),
-        (F.col("total_posts") - F.col("api_errors_count")).alias("api_calls_succeeded"),
+        F.col("total").alias("total_posts"),
+        F.col("total").alias("api_calls_attempted"),
+        (F.col("total") - F.col("api_errors_count")).alias("api_calls_succeeded"),
         "api_errors_count", "content_blocked_count", "no_content_count", "no_candidates_count",
-        "labels_not_found_in_response", "valid_predictions_for_metrics",
-        *[F.when(F.col("valid_predictions_for_metrics") > 0, F.coalesce(F.col(c), zero)).otherwise(zero).alias(c)
+        "labels_not_found_in_response", F.col("n").alias("valid_predictions_for_metrics"),
+        *[F.when(F.col("n") > 0, F.coalesce(F.col(c), zero)).otherwise(zero).alias(c)
           for c in ("accuracy", "f1_macro", "f1_weighted", "precision_weighted", "recall_weighted")],
     )
 

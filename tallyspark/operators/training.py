@@ -80,19 +80,23 @@ def pseudo_rounds(labeled: DataFrame, unlabeled: DataFrame, rounds: int = 2, thr
                   classes: Sequence[str] = DEFAULT_CLASSES, max_iter: int = 20) -> DataFrame:
     """Iterated pseudo-labelling (PSL4): fit -> score unlabelled -> keep confident rows ->
     union with the labelled rows -> refit. Each round's training set is checkpointed to
-    the shared checkpoint folder so lineage stays short. Returns the per-round sizes."""
-    train = labeled.select("index", "post", "label")
+    the shared checkpoint folder (reliable, survives executor loss) so lineage stays
+    short. Returns per-round sizes: (round, n_labeled, n_pseudo, n_train)."""
+    base = labeled.select("index", "post", "label")
+    train = base
     sizes = []
-    spark = labeled.sparkSession
     for r in range(rounds):
         model = fit(train, classes, "label", max_iter)
         scored = predict(model, unlabeled, classes, keep=("index", "post"))
         conf = confidence_filter(scored, threshold, "probs")
-        train = assemble(labeled, conf, cols=("index", "post")).select("index", "post", "label").checkpoint()
-        sizes.append(train.groupBy().agg(F.lit(r + 1).alias("round"), F.count(F.lit(1)).alias("n_train"),
-                                         F.sum(F.when(F.col("index").isin([]), 0).otherwise(0)).alias("_z")))
+        train = assemble(base, conf, cols=("index", "post")).checkpoint()
+        sizes.append(train.groupBy().agg(
+            F.lit(r + 1).alias("round"),
+            F.count_if(F.col("source") == "labeled").alias("n_labeled"),
+            F.count_if(F.col("source") == "pseudo").alias("n_pseudo"),
+            F.count(F.lit(1)).alias("n_train")))
+        train = train.select("index", "post", "label")
     out = sizes[0]
     for s in sizes[1:]:
         out = out.unionByName(s)
-    del spark
-    return out.drop("_z")
+    return out

@@ -40,16 +40,15 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def macro_label_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Macro F1 under the three label-set conventions, sentinels kept (AGG5, AGG9, LBL11)."""
+    """Macro / weighted F1 under the three label-set conventions, sentinels kept (AGG5, AGG9, LBL11).
+
+    All three come out of one aggregation over the per-label stats.
+    """
     p = V.predictions(spark, d, with_post=False)
-    cells = M.confusion_cells(p, "label", "predicted_label", ["model"])
-    outs = []
-    for ls in ("fixed", "true", "union"):
-        a = M.averages_from_per_class(M.per_class_from_cells(cells, CL, ["model"], ls), ["model"])
-        outs.append(a.select("model", a.f1_macro.alias(f"f1_macro_{ls}"), a.f1_weighted.alias(f"f1_weighted_{ls}")))
-    acc = M.accuracy_from_cells(cells, ["model"])
-    out = acc.join(outs[0], "model").join(outs[1], "model").join(outs[2], "model")
-    return round_doubles(out)
+    stats = M.label_stats(M.confusion_cells(p, "label", "predicted_label", ["model"]), ["model"])
+    gm = M.group_metrics(stats, CL, ["model"], {"_fixed": "fixed", "_true": "true", "_union": "union"})
+    return round_doubles(gm.select("model", "n", "accuracy", *[f"{m}_{s}" for s in ("fixed", "true", "union")
+                                                              for m in ("f1_macro", "f1_weighted")]))
 
 
 def metrics_large(spark: SparkSession, d: str) -> DataFrame:
