@@ -126,10 +126,11 @@ def replicate_metrics(cells: DataFrame, replicates: int = 1000, seed: int = 42,
 
 def metrics(df: DataFrame, replicates: int = 1000, seed: int = 42, true_col: str = "label",
             pred_col: str = "predicted_label", group_cols: Sequence[str] = (), label_set: str = "union",
-            classes: Sequence[str] | None = None, scale: float = 1.0) -> DataFrame:
+            classes: Sequence[str] | None = None, scale: float = 1.0, replicates_per_task: int = 250) -> DataFrame:
     """Bootstrap mean and population std of accuracy / weighted F1 / macro F1 per group (AGG23, AGG24)."""
     g = list(group_cols)
-    reps = replicate_metrics(confusion_cells(df, true_col, pred_col, g), replicates, seed, g, label_set, classes)
+    reps = replicate_metrics(confusion_cells(df, true_col, pred_col, g), replicates, seed, g, label_set, classes,
+                             replicates_per_task)
     aggs = [F.count(F.lit(1)).alias("replicates")]
     for c in ("accuracy", "f1_weighted", "f1_macro"):
         aggs += [(F.avg(c) * scale).alias(f"{c}_mean"), (F.stddev_pop(c) * scale).alias(f"{c}_std")]

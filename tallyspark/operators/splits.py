@@ -66,13 +66,13 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
 def sample_exact(df: DataFrame, fraction: float, seed: int = 42, id_col: str = "index") -> DataFrame:
     """Exactly round(fraction * n) rows without replacement, chosen by md5(seed-id) (SPL4).
 
-    n is a scalar subquery; the global rank is bucketed by hash prefix, so no
+    round() is half-to-even like the source's sampler. n is a scalar subquery; the global rank is bucketed by hash prefix, so no
     single task sorts the table and nothing is collected to the driver.
     """
     n = df.select(F.count(F.lit(1))).scalar()
     x = df.withColumn("_key", seeded_key(id_col, seed))
     r = exact_row_number(x, [], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS), "_rn")
-    return r.where(F.col("_rn") <= F.round(n * F.lit(fraction))).drop("_key", "_rn")
+    return r.where(F.col("_rn") <= F.bround(n * F.lit(fraction))).drop("_key", "_rn")
 
 
 def sample_approx(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -182,7 +182,7 @@ _UNAN = """,
 _HALF = f""",
         half AS (SELECT "index", label, predicted_label FROM (
                    SELECT *, row_number() OVER (ORDER BY {_KEY}, "index") AS rn FROM unan)
-                 WHERE rn <= round((SELECT count(*) FROM unan) * 0.5)),
+                 WHERE rn <= round_even((SELECT count(*) FROM unan) * CAST(0.5 AS DOUBLE), 0)),
         train AS (SELECT "index", label FROM folds WHERE fold <> 0)"""
 
 SQL = {
@@ -193,7 +193,7 @@ SQL = {
         SELECT "index", label, CASE WHEN rn <= nt THEN 'test' ELSE 'train' END AS split FROM rk JOIN cc USING (label)""",
     "sample_exact": with_views("posts_labeled") + f"""
         SELECT "index", label FROM (SELECT *, row_number() OVER (ORDER BY {_KEY}, "index") AS rn FROM posts_labeled)
-        WHERE rn <= round((SELECT count(*) FROM posts_labeled) * 0.5)""",
+        WHERE rn <= round_even((SELECT count(*) FROM posts_labeled) * CAST(0.5 AS DOUBLE), 0)""",
     "fold_sizes": with_views("posts_labeled") + _FOLDS + """
         SELECT CAST(f.fold_id AS INTEGER) AS fold_id, CASE WHEN folds.fold = f.fold_id THEN 'validation' ELSE 'train' END AS part,
                label, count(*) AS n

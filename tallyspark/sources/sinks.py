@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from tallyspark.operators.prep import flatten_text
 
 
-def quote_flat(col: str) -> Column:
-    """``"`` + text with quotes doubled and newlines flattened + ``"``; NULL fails the job."""
+def _flat_checked(col: str) -> Column:
+    """Text with newlines flattened; NULL fails the job (as in the source writer)."""
     c = F.col(col)
-    body = F.replace(flatten_text(c.cast("string")), F.lit('"'), F.lit('""'))
     return F.when(c.isNull(), F.raise_error(F.lit(f"NULL in quoted column {col}"))).otherwise(
-        F.concat(F.lit('"'), body, F.lit('"')))
+        flatten_text(c.cast("string")))
 
 
 def write_posts_csv(df: DataFrame, path: str, quote_columns: Sequence[str] = ("post",), mode: str = "overwrite") -> None:
-    """CSV that quotes only ``quote_columns`` (SNK1); other cells are written as plain strings."""
-    cols = [quote_flat(c).alias(c) if c in quote_columns else F.col(c).cast("string").alias(c) for c in df.columns]
-    (df.select(*cols).write.mode(mode).option("header", True).option("quote", "\u0000")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("nullValue", "").csv(path))
+    """Post CSV (SNK1): text columns flattened to one line, quotes doubled by the writer.
+
+    Spark's CSV writer quotes a field when it needs it (delimiter, quote), so
+    the file parses to exactly the values of an always-quoted text column;
+    leading/trailing whitespace is kept.
+    """
+    cols = [_flat_checked(c).alias(c) if c in quote_columns else F.col(c) for c in df.columns]
+    (df.select(*cols).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
