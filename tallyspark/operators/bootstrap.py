@@ -135,3 +135,20 @@ def metrics(df: DataFrame, replicates: int = 1000, seed: int = 42, true_col: str
     for c in ("accuracy", "f1_weighted", "f1_macro"):
         aggs += [(F.avg(c) * scale).alias(f"{c}_mean"), (F.stddev_pop(c) * scale).alias(f"{c}_std")]
     return reps.groupBy(*g).agg(*aggs)
+
+
+def evaluate(df: DataFrame, replicates: int = 1000, seed: int = 42, true_col: str = "label",
+             pred_col: str = "predicted_label", group_cols: Sequence[str] = (), label_set: str = "true",
+             scale: float = 100.0) -> DataFrame:
+    """Point estimates (accuracy, weighted F1, macro F1 over ``label_set``) plus bootstrap
+    population std, both x ``scale`` (AGG24)."""
+    from tallyspark.operators.metrics import summary_from_cells
+    g = list(group_cols)
+    cells = confusion_cells(df, true_col, pred_col, g)
+    point = summary_from_cells(cells, (), g, label_set)
+    reps = replicate_metrics(cells, replicates, seed, g, label_set)
+    spread_ = reps.groupBy(*g).agg(*[(F.stddev_pop(c) * scale).alias(f"{c}_std") for c in ("accuracy", "f1_weighted", "f1_macro")])
+    pt = point.select(*g, "n", *[(F.col(c) * scale).alias(c) for c in ("accuracy", "f1_weighted", "f1_macro")])
+    if g:
+        return pt.join(spread_, g)
+    return pt.withColumn("_k", F.lit(1)).join(spread_.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import ngrams, tokens
+from tallyspark.session import spread
 
 BROADCAST_MAX_GRAMS = 2_000_000
 
@@ -33,7 +34,7 @@ def flag_overlap(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index
     rg = reference_grams(ref, ref_text_col, n).withColumn("_hit", F.lit(True))
     n_ref = rg.count()
     right = F.broadcast(rg) if n_ref <= broadcast_max_grams else rg
-    toks = df.select(id_col, tokens(text_col).alias("_tok"))
+    toks = spread(df.select(id_col, text_col)).select(id_col, tokens(text_col).alias("_tok"))
     grams = toks.select(id_col, F.explode_outer(ngrams(F.col("_tok"), n)).alias("gram"))
     return (grams.join(right, "gram", "left")
             .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("duplicate")))

@@ -129,6 +129,31 @@ def average_grid(grid: DataFrame) -> DataFrame:
                                               F.count(F.lit(1)).alias("n_folds"))
 
 
+def grid_search_axes(wide: DataFrame, axes: Sequence[Sequence[float]], classes: Sequence[str] = DEFAULT_CLASSES,
+                     true_col: str = "label", group_cols: Sequence[str] = ("fold",)) -> DataFrame:
+    """Weighted F1 for every combination of per-model weights (ENS6), per group.
+
+    Same pattern collapse as ``grid_search``; the weight combinations are the
+    product of the (parameter) axes, generated per pattern with nested explode.
+    """
+    g = list(group_cols)
+    n = len(axes)
+    pcols = [f"p{i}" for i in range(n)]
+    x = wide.groupBy(*g, true_col, *pcols).agg(F.count(F.lit(1)).alias("_cnt"))
+    for i, vals in enumerate(axes):
+        x = x.select("*", F.explode(F.array(*[F.lit(float(v)) for v in vals])).alias(f"w{i}"))
+    wcols = [f"w{i}" for i in range(n)]
+    x = x.withColumn("_pred", vote_label([F.col(w) for w in wcols], classes))
+    t, p, c = F.col(true_col), F.col("_pred"), F.col("_cnt")
+    aggs = []
+    for i, cl in enumerate(classes):
+        aggs += [F.sum(F.when((t == cl) & (p == cl), c).otherwise(0)).alias(f"tp{i}"),
+                 F.sum(F.when(t == cl, c).otherwise(0)).alias(f"sup{i}"),
+                 F.sum(F.when(p == cl, c).otherwise(0)).alias(f"pn{i}")]
+    per = x.groupBy(*g, *wcols).agg(*aggs)
+    return per.select(*g, *wcols, _weighted_f1_fixed_order(classes).alias("weighted_f1"))
+
+
 def grid_axes(spark, axes: Sequence[Sequence[float]]) -> DataFrame:
     """Full multi-weight search space (ENS6): the product of per-model weight axes,
     generated with nested ``explode`` (the axes are parameters, not data)."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import q_ensemble, q_eval, q_io, q_metrics, q_prep, q_runlogs, q_text, q_train
+from tallyspark.plans import q_ensemble, q_eval, q_extra, q_io, q_metrics, q_prep, q_runlogs, q_text, q_train
 
-_MODULES = [q_metrics, q_prep, q_text, q_ensemble, q_runlogs, q_eval, q_io, q_train]
+_MODULES = [q_metrics, q_prep, q_text, q_ensemble, q_runlogs, q_eval, q_io, q_extra, q_train]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -65,3 +65,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition *only* when the input has fewer partitions than cores.
+
+    A large table on a cluster arrives in thousands of splits and is left alone
+    (no extra shuffle); a single-file / single-row-group input would otherwise
+    run CPU-heavy per-row work (tokenising, parsing, model scoring) in one task.
+    """
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * factor)
+    return df
