@@ -69,6 +69,15 @@ def carry_last_loss(log: DataFrame, run_col: str = "run", pos_col: str = "pos",
     return f.where(F.col(kind_col) == "eval")
 
 
+def coerce_numeric(df: DataFrame, cols: Sequence[str], drop_null: Sequence[str] = ()) -> DataFrame:
+    """``to_numeric(errors='coerce')`` + ``dropna(subset)`` (FLT4): ``try_cast`` never throws
+    under ANSI mode, unparsable values become NULL and can be dropped."""
+    out = df
+    for c in cols:
+        out = out.withColumn(c, F.col(c).try_cast("double"))
+    return out.dropna(subset=list(drop_null)) if drop_null else out
+
+
 def average_per_epoch(m: DataFrame, epoch_col: str = "epoch") -> DataFrame:
     """Cross-fold mean of each metric + sample std of F1 per epoch value (AGG15)."""
     return m.groupBy(epoch_col).agg(
@@ -129,6 +138,7 @@ SUMMARY_COLS = ("metric_type", "epoch", "fold_number", "fold_specific_value", "a
 
 def kfold_summary(m: DataFrame, run_col: str = "run") -> DataFrame:
     """Long summary with four row kinds and sparse columns in a fixed order (AGG20, SET2)."""
+    m = coerce_numeric(m, ["epoch", "eval_f1_weighted"])
     avg = average_per_epoch(m.where(F.col("epoch").isNotNull()))
     a = avg.withColumn("metric_type", F.lit("averaged_per_epoch"))
     be = best_epoch(avg, extra=()).select(F.lit("epoch_for_best_average_f1").alias("metric_type"),

@@ -95,7 +95,32 @@ def run_logs_roundtrip(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg("eval_f1_weighted").alias("mean_f1"), F.max("step").alias("max_step")))
 
 
+def head_predictions(spark, d):
+    """First rows by id (LIM1): a top-k report, planned as TakeOrderedAndProject."""
+    p = V.predictions(spark, d, with_post=False).where("model = 0")
+    return p.orderBy("index").limit(5).select("index", "label", "predicted_label")
+
+
+def sorted_metrics(spark, d):
+    """Metrics log in (run, epoch, step) order (SRT1/SRT2): a range-partitioned sort."""
+    return _r(V.run_metrics(spark, d).orderBy("run", "epoch", "step").select("run", "epoch", "step", "eval_f1_weighted"))
+
+
+def fit_eval(spark, d):
+    """Refit on labelled train folds + unanimous pseudo-labels, evaluate on fold 0 (ML3)."""
+    from tallyspark.operators import pseudolabel as PS
+    from tallyspark.operators import training as TR
+    from tallyspark.operators.splits import stratified_kfold
+    pl = V.posts_labeled(spark, d)
+    folds = stratified_kfold(pl, 5, 42, "label", "index", CL)
+    un = PS.unanimous(V.predictions(spark, d), 5, "post")
+    train = PS.assemble(folds.where("fold != 0"), un, cols=("index", "post")).select("index", "post", "label")
+    pred = TR.fit_eval(train, folds.where("fold = 0"), CL, "label", max_iter=10)
+    return _r(M.summary(pred, CL, "label", "predicted_label"))
+
+
 QUERIES = {
+    "head_predictions": head_predictions, "sorted_metrics": sorted_metrics, "fit_eval": fit_eval,
     "agreement_count": agreement_count, "label_vocabulary": label_vocabulary, "evaluate_bundle": evaluate_bundle,
     "pct_change": pct_change, "examples_failures": examples_failures, "grid_search_full": grid_search_full,
     "bootstrap_evaluate": bootstrap_evaluate, "posts_csv_roundtrip": posts_csv_roundtrip,
@@ -111,6 +136,11 @@ _sums = ", ".join(f"sum(CASE WHEN label = '{c}' AND pred = '{c}' THEN cnt ELSE 0
 _W = [f"w{i}" for i in range(5)]
 
 SQL = {
+    "head_predictions": with_views("predictions") + """
+        SELECT "index", label, predicted_label FROM predictions WHERE model = 0 ORDER BY "index" LIMIT 5""",
+    "sorted_metrics": with_views("run_metrics") + """
+        SELECT run, round(epoch, 6) AS epoch, step, round(eval_f1_weighted, 6) AS eval_f1_weighted
+        FROM run_metrics ORDER BY run, epoch, step""",
     "agreement_count": with_views("predictions") + """
         SELECT count(*) AS n_common, count(*) FILTER (WHERE a.predicted_label = b.predicted_label) AS n_same
         FROM (SELECT * FROM predictions WHERE model = 0) a JOIN (SELECT * FROM predictions WHERE model = 1) b USING ("index")""",

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SLOW = {"kfold_fit_predict", "pseudo_rounds"}
+SLOW = {"kfold_fit_predict", "pseudo_rounds", "fit_eval"}
 
 
 def _norm(v):
