@@ -25,16 +25,28 @@ def common_ids(long_df: DataFrame, n_models: int, id_col: str = "index", model_c
 
 def align(long_df: DataFrame, models: Sequence, id_col: str = "index", model_col: str = "model",
           pred_col: str = "predicted_label", order_col: str | None = None,
-          carry: Sequence[str] = ()) -> DataFrame:
-    """One row per id with ``p0..p{M-1}`` (JN1). Duplicate rows of a model: the first in
-    ``order_col`` wins (JN10). ``carry`` columns are taken from the first model's row."""
+          carry: Sequence[str] = (), require_all: bool = False) -> DataFrame:
+    """One row per id with ``p0..p{M-1}`` (JN1), in one aggregation (one shuffle).
+
+    Duplicate rows of a model: the first in ``order_col`` wins (JN10). ``carry``
+    columns are taken from the first model's row. ``require_all`` keeps only ids
+    seen by every model (JN5), decided in the same aggregation.
+    """
     order = F.col(order_col) if order_col else F.col(id_col)
     aggs = [F.min_by(F.when(F.col(model_col) == m, F.col(pred_col)), F.when(F.col(model_col) == m, order)).alias(f"p{i}")
             for i, m in enumerate(models)]
     first = models[0]
     aggs += [F.min_by(F.when(F.col(model_col) == first, F.col(c)), F.when(F.col(model_col) == first, order)).alias(c)
              for c in carry]
-    return long_df.groupBy(id_col).agg(*aggs)
+    if require_all:
+        aggs += [F.max(F.when(F.col(model_col) == m, F.lit(1))).alias(f"_has{i}") for i, m in enumerate(models)]
+    out = long_df.groupBy(id_col).agg(*aggs)
+    if require_all:
+        present = F.lit(True)
+        for i in range(len(models)):
+            present = present & F.col(f"_has{i}").isNotNull()
+        out = out.where(present).drop(*[f"_has{i}" for i in range(len(models))])
+    return out
 
 
 def vote_scores(weights: Sequence[float | Column], classes: Sequence[str] = DEFAULT_CLASSES) -> Column:

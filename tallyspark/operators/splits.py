@@ -23,23 +23,25 @@ def seeded_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
 
 
-def _class_table(df: DataFrame, label_col: str, classes: Sequence[str] | None) -> DataFrame:
-    """Per-class count and start offset in class order (tiny: one row per class)."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+def _class_offsets(counts: DataFrame, label_col: str, classes: Sequence[str] | None) -> DataFrame:
+    """Per-class size and start offset in class order, from the bucket count table
+    (one row per class: tiny and bounded by the vocabulary)."""
+    per = counts.groupBy(label_col).agg(F.sum("_rk_n").alias("_n"))
     if classes:
         pos = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label_col)),
                          F.lit(len(classes) + 1))
-        counts = counts.withColumn("_cpos", pos)
+        per = per.withColumn("_cpos", pos)
     else:
-        counts = counts.withColumn("_cpos", F.lit(0))
+        per = per.withColumn("_cpos", F.lit(0))
     w = Window.orderBy("_cpos", label_col).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_coff", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return per.withColumn("_coff", F.coalesce(F.sum("_n").over(w), F.lit(0)))
 
 
-def class_ranks(df: DataFrame, label_col: str = "label", id_col: str = "index", seed: int = 42) -> DataFrame:
-    """Adds ``_rn``: 1-based rank inside the class by md5(seed-id), ties by id."""
+def class_ranks(df: DataFrame, label_col: str = "label", id_col: str = "index", seed: int = 42):
+    """(ranked, counts): ``_rn`` = 1-based rank inside the class by md5(seed-id), ties by id."""
     x = df.withColumn("_key", seeded_key(id_col, seed))
-    return exact_row_number(x, [label_col], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS), "_rn")
+    return exact_row_number(x, [label_col], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS),
+                            "_rn", return_counts=True)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label_col: str = "label", id_col: str = "index",
@@ -49,16 +51,18 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label_col: str =
     position = (rows of earlier classes) + rank in class - 1; fold = position mod k,
     i.e. one round-robin deal over the class-ordered, hash-shuffled rows.
     """
-    ct = F.broadcast(_class_table(df, label_col, classes).select(label_col, "_coff"))  # one row per class
-    r = class_ranks(df, label_col, id_col, seed).join(ct, label_col, "left")
+    ranked, counts = class_ranks(df, label_col, id_col, seed)
+    ct = F.broadcast(_class_offsets(counts, label_col, classes).select(label_col, "_coff"))  # one row per class
+    r = ranked.join(ct, label_col, "left")
     return r.withColumn("fold", ((F.col("_coff") + F.col("_rn") - 1) % k).cast("int")).drop("_key", "_rn", "_coff")
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, label_col: str = "label",
                      id_col: str = "index") -> DataFrame:
     """Adds ``split`` = 'test' for the first round(fraction * n_class) rows of each class (SPL2)."""
-    ct = F.broadcast(df.groupBy(label_col).agg(F.round(F.count(F.lit(1)) * F.lit(test_fraction)).alias("_ntest")))
-    r = class_ranks(df, label_col, id_col, seed).join(ct, label_col, "left")
+    ranked, counts = class_ranks(df, label_col, id_col, seed)
+    ct = F.broadcast(counts.groupBy(label_col).agg(F.round(F.sum("_rk_n") * F.lit(test_fraction)).alias("_ntest")))
+    r = ranked.join(ct, label_col, "left")
     return r.withColumn("split", F.when(F.col("_rn") <= F.col("_ntest"), F.lit("test")).otherwise(F.lit("train"))
                         ).drop("_key", "_rn", "_ntest")
 
@@ -66,12 +70,14 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42,
 def sample_exact(df: DataFrame, fraction: float, seed: int = 42, id_col: str = "index") -> DataFrame:
     """Exactly round(fraction * n) rows without replacement, chosen by md5(seed-id) (SPL4).
 
-    round() is half-to-even like the source's sampler. n is a scalar subquery; the global rank is bucketed by hash prefix, so no
-    single task sorts the table and nothing is collected to the driver.
+    round() is half-to-even like the source's sampler. The global rank is
+    bucketed by hash prefix, so no single task sorts the table; n is the sum of
+    the bucket counts (a scalar subquery over the small count table).
     """
-    n = df.select(F.count(F.lit(1))).scalar()
     x = df.withColumn("_key", seeded_key(id_col, seed))
-    r = exact_row_number(x, [], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS), "_rn")
+    r, counts = exact_row_number(x, [], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS),
+                                 "_rn", return_counts=True)
+    n = counts.select(F.sum("_rk_n")).scalar()
     return r.where(F.col("_rn") <= F.bround(n * F.lit(fraction))).drop("_key", "_rn")
 
 

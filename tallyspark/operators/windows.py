@@ -23,8 +23,10 @@ def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, v
     Exact equivalent of ``last(value, ignorenulls).over(partitionBy(p).orderBy(o)
     .rowsBetween(unboundedPreceding, currentRow))`` computed as:
       1. the same window inside each (p, chunk);
-      2. per (p, chunk) the last non-null value (small summary table);
-      3. carry = last non-null summary value of *earlier* chunks (window over the summary);
+      2. per (p, chunk) the in-chunk fill of its last row — aggregated on the data
+         already hash-partitioned by (p, chunk), so no second scan or shuffle;
+      3. carry = last non-null summary value of *earlier* chunks (window over the
+         small summary table);
       4. coalesce(in-chunk, carry).
     ``chunk`` must be non-decreasing in ``order_col`` within a partition.
     """
@@ -33,8 +35,7 @@ def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, v
     w_in = (Window.partitionBy(*p, "_ff_chunk").orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("_ff_in", F.last("_ff_v", ignorenulls=True).over(w_in))
-    summ = (x.groupBy(*p, "_ff_chunk")
-            .agg(F.max_by("_ff_v", F.when(F.col("_ff_v").isNotNull(), F.col(order_col))).alias("_ff_last")))
+    summ = x.groupBy(*p, "_ff_chunk").agg(F.max_by("_ff_in", F.col(order_col)).alias("_ff_last"))
     w_carry = Window.partitionBy(*p).orderBy("_ff_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*p, "_ff_chunk", F.last("_ff_last", ignorenulls=True).over(w_carry).alias("_ff_carry"))
     out = x.join(summ, p + ["_ff_chunk"], "left")
@@ -43,28 +44,35 @@ def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, v
 
 
 def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column | str],
-                     bucket: Column, out_col: str = "rn") -> DataFrame:
+                     bucket: Column, out_col: str = "rn", return_counts: bool = False):
     """1-based ``row_number()`` per partition in ``order_cols`` order, computed per (p, bucket).
 
     ``bucket`` must be non-decreasing in the ordering (e.g. a hash prefix when
     ordering by that hash, or ``floor(epoch / w)`` when ordering by epoch).
-    Offsets come from per-(p, bucket) counts: a table of ``#buckets`` rows per p.
+    Bucket sizes are read off the local row numbers (same partitioning, no
+    second scan); offsets are a running sum over a table of ``#buckets`` rows per p.
+    With ``return_counts`` also returns the per-(p, bucket) count table
+    (columns ``p..., _rk_b, _rk_n``).
     """
     p = list(partition_cols)
     x = df.withColumn("_rk_b", bucket)
-    counts = x.groupBy(*p, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"))
-    w_off = Window.partitionBy(*p).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*p, "_rk_b", F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"))
     w_local = Window.partitionBy(*p, "_rk_b").orderBy(*order_cols)
     x = x.withColumn("_rk_local", F.row_number().over(w_local))
+    counts = x.groupBy(*p, "_rk_b").agg(F.max("_rk_local").cast("long").alias("_rk_n"))
+    w_off = Window.partitionBy(*p).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*p, "_rk_b", F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"))
     out = x.join(offsets, p + ["_rk_b"], "left")
-    return out.withColumn(out_col, (F.col("_rk_off") + F.col("_rk_local")).cast("long")).drop(
+    out = out.withColumn(out_col, (F.col("_rk_off") + F.col("_rk_local")).cast("long")).drop(
         "_rk_b", "_rk_off", "_rk_local")
+    return (out, counts) if return_counts else out
 
 
 def running_max(df: DataFrame, partition_cols: Sequence[str], order_col: str, value: str,
                 out_col: str, chunk: Column, inclusive: bool = True) -> DataFrame:
-    """Running maximum of ``value`` per partition (inclusive or strictly before the row)."""
+    """Running maximum of ``value`` per partition (inclusive or strictly before the row).
+
+    Chunk maxima are aggregated on the (p, chunk)-partitioned window output.
+    """
     p = list(partition_cols)
     x = df.withColumn("_rm_chunk", chunk)
     end = Window.currentRow if inclusive else -1

@@ -47,8 +47,7 @@ def fold_sizes(spark, d):
 
 def _wide_valid(spark, d) -> DataFrame:
     p = M.exclude_status(V.predictions(spark, d, with_post=False))
-    ids = EN.common_ids(p, N_MODELS)
-    return EN.align(p.join(ids, "index", "left_semi"), MODELS, carry=["label"])
+    return EN.align(p, MODELS, carry=["label"], require_all=True)
 
 
 def weighted_vote(spark, d):
@@ -58,7 +57,7 @@ def weighted_vote(spark, d):
 
 def vote_lenient(spark, d):
     p = V.predictions(spark, d, with_post=False)
-    wide = EN.align(p.join(EN.common_ids(p, N_MODELS), "index", "left_semi"), MODELS)
+    wide = EN.align(p, MODELS, require_all=True)
     return EN.weighted_vote(wide, LENIENT_WEIGHTS, CL, strict=False).select("index", "predicted_label", "skipped_votes")
 
 
