@@ -89,6 +89,38 @@ def resume_score(todo: DataFrame, existing: DataFrame, scorer_factory: ScorerFac
     return ex.select(*new.columns).unionByName(new)
 
 
+def read_latest(spark, path: str, id_col: str = "index") -> DataFrame:
+    """Read an append-only prediction sink, one row per id (successful attempts win).
+
+    Tasks are at-least-once, so a retried task may have appended the same id
+    twice; the de-duplication makes the sink idempotent on read.
+    """
+    df = spark.read.parquet(path)
+    cols = [c for c in df.columns if c != id_col]
+    best = F.max_by(F.struct(*cols), F.struct(F.col("success").cast("int"), F.col("predicted_label")))
+    return df.groupBy(id_col).agg(best.alias("_r")).select(id_col, "_r.*")
+
+
+def resume_score_to(todo: DataFrame, path: str, scorer_factory: ScorerFactory,
+                    classes: Sequence[str] = DEFAULT_CLASSES, text_col: str = "post", id_col: str = "index",
+                    batch_size: int = 16, retry_errors: bool = False) -> DataFrame:
+    """Durable resumable scoring (SCR2 + SNK3): score ids missing from the sink at ``path``,
+    append them, and return the de-duplicated sink. Safe to rerun after a crash."""
+    spark = todo.sparkSession
+    try:
+        existing = read_latest(spark, path, id_col)
+    except Exception:  # noqa: BLE001 - no sink yet
+        existing = None
+    if existing is None:
+        new = score_table(todo, scorer_factory, classes, text_col, id_col, batch_size)
+    else:
+        ex = existing if not retry_errors else existing.where(F.col("success"))
+        done = ex.select(F.col(id_col).cast(todo.schema[id_col].dataType).alias(id_col))
+        new = score_table(todo.join(done, id_col, "left_anti"), scorer_factory, classes, text_col, id_col, batch_size)
+    new.write.mode("append").parquet(path)
+    return read_latest(spark, path, id_col)
+
+
 def respond(df: DataFrame, responder_factory: ResponderFactory, prompt_col: str = "prompt", id_col: str = "index",
             batch_size: int = 16, keep: Sequence[str] = ()) -> DataFrame:
     """Text in, text out (a hosted or local generator supplied by the caller) with

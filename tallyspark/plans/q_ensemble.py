@@ -108,7 +108,8 @@ def assemble_half(spark, d):
 
 
 def size_report(spark, d):
-    tr, un = _train(spark, d), _unanimous(spark, d)
+    # the unanimous subset feeds four stages: materialise it once (reliable checkpoint)
+    tr, un = _train(spark, d), _unanimous(spark, d).checkpoint()
     half = SP.sample_exact(un, 0.5, 42)
     return PS.size_report({"train": tr, "pseudo": un, "pseudo_half": half,
                            "combined": PS.assemble(tr, un, cols=("index",)),

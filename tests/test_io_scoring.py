@@ -121,3 +121,44 @@ def test_report_roundtrip(spark, tmpdir_path):
     for r in summ.collect():
         assert back[r.model].f1_weighted == pytest.approx(r.f1_weighted, abs=1e-15)
         assert back[r.model].total_posts == r.total_posts
+
+
+def test_resume_score_to_sink(spark, tmpdir_path):
+    calls = []
+
+    class Counting:
+        def __call__(self, texts):
+            calls.append(len(texts))
+            return np.array([[len(t) % 3, 1.0] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([(i, "y" * i) for i in range(12)], "index long, post string")
+    sink = os.path.join(tmpdir_path, "sink")
+    S.resume_score_to(df.where("index < 5"), sink, lambda: Counting(), ["a", "b"])
+    out = S.resume_score_to(df, sink, lambda: Counting(), ["a", "b"])
+    assert sorted(r["index"] for r in out.collect()) == list(range(12))
+    again = S.resume_score_to(df, sink, lambda: Counting(), ["a", "b"])
+    assert again.count() == 12
+    assert spark.read.parquet(sink).count() == 12  # nothing re-appended
+
+
+def test_write_text_and_run_ts(spark, tmpdir_path):
+    from tallyspark.operators import examples as X
+    from tallyspark.operators import metrics as M
+    df = spark.createDataFrame([(1, "p", "a", "b")], "index long, post string, label string, predicted_label string")
+    path = os.path.join(tmpdir_path, "ex")
+    SK.write_text(X.render(df), "text", path)
+    txt = spark.read.text(path, wholetext=True).first().value
+    assert "True label: a" in txt and "Predicted label: b" in txt
+    s = M.run_summary(df, ["a", "b"], run_ts="2025-01-02 03:04:05").first()
+    assert s.timestamp == "2025-01-02 03:04:05"
+
+
+def test_encode_strict_and_lenient(spark):
+    from tallyspark.functions import labels as L
+    df = spark.createDataFrame([("a",), ("zz",), (None,)], "l string")
+    got = [r.c for r in df.select(L.encode("l", ["a", "b"], strict=False).alias("c")).collect()]
+    assert got == [0, -1, -1]
+    with pytest.raises(Exception):
+        df.select(L.encode("l", ["a", "b"], strict=True)).collect()
+    assert [r.d for r in spark.createDataFrame([(1,), (5,)], "i int").select(
+        L.decode("i", ["a", "b"]).alias("d")).collect()] == ["b", None]

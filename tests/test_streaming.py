@@ -32,3 +32,15 @@ def test_rate_windows(spark):
     out = {r.window_start: r for r in ST.rate_windows(df, 2).collect()}
     assert out["2024-01-01 00:00:00"].n == 3 and out["2024-01-01 00:00:00"].over_limit
     assert out["2024-01-01 00:01:00"].n == 1 and not out["2024-01-01 00:01:00"].over_limit
+
+
+def test_rate_audit_stream(spark, tmpdir_path):
+    from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+    land = os.path.join(tmpdir_path, "req")
+    df = spark.createDataFrame([("2024-01-01 00:00:01", "k")] * 3 + [("2024-01-01 00:10:00", "k")], "ts string, key string")
+    df.withColumn("ts", F.to_timestamp("ts")).write.parquet(land)
+    schema = StructType([StructField("ts", TimestampType()), StructField("key", StringType())])
+    q = ST.rate_audit(spark, land, schema, 2, "rate_audit_test", watermark="1 minute")
+    q.awaitTermination()
+    rows = spark.sql("SELECT * FROM rate_audit_test").collect()
+    assert any(r.window_start == "2024-01-01 00:00:00" and r.n == 3 and r.over_limit for r in rows)
