@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.windows import exact_row_number, hash_bucket
 
-BUCKET_BITS = 12
+BUCKET_BITS = 20  # up to ~1M rank buckets per class: bounded window partitions at 1e12 rows
 
 
 def seeded_key(id_col: str, seed: int) -> Column:
