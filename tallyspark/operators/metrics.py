@@ -26,6 +26,13 @@ from tallyspark.functions.labels import (API_ERROR, CONTENT_BLOCKED, DEFAULT_CLA
 LABEL_SETS = ("fixed", "true", "union")
 
 
+def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
+    """Driver-side schema check (PRJ4): fail early with the missing names."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}; available: {df.columns}")
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
@@ -33,6 +40,7 @@ def _ratio(num: Column, den: Column) -> Column:
 def confusion_cells(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label",
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Long confusion table over *all* label pairs (map-side combined count)."""
+    require_columns(df, [true_col, pred_col, *group_cols])
     return (df.groupBy(*group_cols, F.col(true_col).cast("string").alias("true_label"),
                        F.col(pred_col).cast("string").alias("predicted_label"))
             .agg(F.count(F.lit(1)).alias("n")))

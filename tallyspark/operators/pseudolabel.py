@@ -17,6 +17,8 @@ def unanimous(long_df: DataFrame, n_models: int, key_col: str = "post", model_co
     Grouping is on ``sha2(key, 256)`` so long texts are not shuffled; a key must
     be seen by all ``n_models`` models with exactly one distinct, non-null label.
     """
+    from tallyspark.operators.metrics import require_columns
+    require_columns(long_df, [key_col, model_col, label_col])
     dig = F.sha2(F.col(key_col), 256)
     agg = (long_df.groupBy(dig.alias("_k"))
            .agg(F.count_distinct(model_col).alias("_nm"), F.count_distinct(label_col).alias("_nl"),

@@ -29,26 +29,68 @@ def with_position(df: DataFrame, run_col: str = "run", order: Sequence[str] = ("
     return out.withColumn(out_col, F.col("_pos1") - 1).drop("_pos1")
 
 
+def _asof_carry(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str], eps: float,
+                step_chunk: int) -> DataFrame:
+    is_train = F.col(kind_col) == "train"
+    order = F.struct(F.col("step"), F.when(is_train, F.lit(0)).otherwise(F.lit(1)), -F.col("pos"))
+    x = log.withColumn("_ord", order)
+    t_struct = F.when(is_train, F.struct(F.col("epoch").alias("te"), *[F.col(c).alias(c) for c in carry]))
+    filled = forward_fill(x, [run_col], "_ord", t_struct, "_t", F.floor(F.col("step") / step_chunk))
+    # epoch of the latest *earlier* train row, to detect train epochs that go backwards
+    prev = forward_fill(filled, [run_col], "_ord", F.when(is_train, F.col("epoch")), "_prev_te",
+                        F.floor(F.col("step") / step_chunk))
+    return prev.drop("_ord")
+
+
+def _asof_range(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str], eps: float) -> DataFrame:
+    """Exact range form: each eval row meets the train rows of its run in the two unit
+    epoch buckets its window (e - 1 + eps, e + eps] can touch."""
+    ev = log.where(F.col(kind_col) != "train")
+    tr = log.where(F.col(kind_col) == "train").select(
+        run_col, F.floor(F.col("epoch")).alias("_b"), F.col("epoch").alias("te"), F.col("step").alias("ts"),
+        F.col("pos").alias("tp"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    b0 = F.floor(F.col("epoch") - 1.0 + eps)
+    keys = ev.select(run_col, F.col("pos").alias("_epos"), F.col("epoch").alias("_ee"), F.col("step").alias("_es"),
+                     F.explode(F.array(b0, b0 + 1)).alias("_b"))
+    j = keys.join(tr, [run_col, "_b"]).where((F.col("te") > F.col("_ee") - 1.0 + eps) & (F.col("te") <= F.col("_ee") + eps)
+                                             & (F.col("ts") <= F.col("_es")))
+    best = j.groupBy("_epos").agg(F.max_by(F.struct(*[F.col(f"_c_{c}").alias(c) for c in carry]),
+                                           F.struct(F.col("ts"), -F.col("tp"))).alias("_t"))
+    return ev.join(best.withColumnRenamed("_epos", "pos"), "pos", "left")
+
+
 def asof_train_eval(log: DataFrame, run_col: str = "run", kind_col: str = "kind",
                     carry: Sequence[str] = ("loss", "learning_rate"), eps: float = EPS,
-                    step_chunk: int = STEP_CHUNK) -> DataFrame:
+                    step_chunk: int = STEP_CHUNK, method: str = "auto") -> DataFrame:
     """Each eval row + the last train row (max step, first in log order on ties) with
     epoch in (e - 1 + eps, e + eps] and step <= eval step; none -> NULLs (JN6).
 
-    Computed as a forward fill of the latest train row along (step, train-before-eval,
-    earlier-pos-last) per run, then the epoch window is checked on that row. This
-    equals the range definition whenever epoch is non-decreasing in step within a
-    run (true for trainer logs); no eval x train pairs are ever materialised.
+    ``carry``: forward fill of the latest train row along (step, train-before-eval,
+    earlier-pos-last) per run, then the epoch window is checked on that row — no
+    eval x train pairs. It is exact when train epochs never decrease with step and
+    no eval row precedes (in epoch) the train row it follows; ``auto`` verifies both
+    on the data (one count) and otherwise uses ``range``: an equi-join on
+    (run, unit epoch bucket) against the two buckets the window can touch, then
+    ``max_by`` per eval row.
     """
-    is_train = F.col(kind_col) == "train"
-    order = F.struct(F.col("step"), F.when(is_train, F.lit(0)).otherwise(F.lit(1)), -F.col("pos"))
-    x = log.withColumn("_ord", order)
-    t_struct = F.when(is_train, F.struct(F.col("epoch").alias("te"), *[F.col(c).alias(c) for c in carry]))
-    filled = forward_fill(x, [run_col], "_ord", t_struct, "_t", F.floor(F.col("step") / step_chunk))
-    ev = filled.where(~is_train)
-    ok = (F.col("_t.te") > F.col("epoch") - 1.0 + eps) & (F.col("_t.te") <= F.col("epoch") + eps)
-    cols = [F.when(ok, F.col(f"_t.{c}")).alias("train_loss" if c == "loss" else c) for c in carry]
-    return ev.select(*[c for c in log.columns if c not in carry and c != kind_col], *cols)
+    if method not in ("auto", "carry", "range"):
+        raise ValueError("method must be auto, carry or range")
+    if method != "range":
+        c = _asof_carry(log, run_col, kind_col, carry, eps, step_chunk)
+        if method == "auto":
+            is_train = F.col(kind_col) == "train"
+            bad = c.where((is_train & (F.col("epoch") < F.col("_prev_te")))
+                          | (~is_train & (F.col("_t.te") > F.col("epoch") + eps))).limit(1).count()
+            if bad:
+                method = "range"
+        if method != "range":
+            ev = c.where(F.col(kind_col) != "train")
+            ok = (F.col("_t.te") > F.col("epoch") - 1.0 + eps) & (F.col("_t.te") <= F.col("epoch") + eps)
+            cols = [F.when(ok, F.col(f"_t.{k}")).alias("train_loss" if k == "loss" else k) for k in carry]
+            return ev.select(*[k for k in log.columns if k not in carry and k != kind_col], *cols)
+    r = _asof_range(log, run_col, kind_col, carry, eps)
+    cols = [F.col(f"_t.{k}").alias("train_loss" if k == "loss" else k) for k in carry]
+    return r.select(*[k for k in log.columns if k not in carry and k != kind_col], *cols)
 
 
 def join_train_eval(train: DataFrame, evals: DataFrame, run_col: str = "run", digits: int = 6) -> DataFrame:

@@ -29,7 +29,23 @@ def keep_matching(spark: SparkSession, d: str) -> DataFrame:
     return P.keep_matching(docs, V.table(spark, d, "labels"), "index", "doc_id")
 
 
+def ingest_test(spark: SparkSession, d: str) -> DataFrame:
+    """One post per row with an id on every row (test-sheet shape), id column normalised (SRC5, PRJ1, PRJ2)."""
+    cv = V.table(spark, d, "conversations")
+    sheet = cv.select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.col("text").alias("title"),
+                      F.col("role").alias("label"))
+    return P.ingest_sheet(sheet, "test_labeled")
+
+
+def ingest_unlabeled(spark: SparkSession, d: str) -> DataFrame:
+    cv = V.table(spark, d, "conversations")
+    sheet = cv.select((F.col("conv_id") * 100 + F.col("turn")).alias("idx"), F.col("text").alias("title"))
+    return P.normalize_posts(P.ingest_sheet(sheet, "unlabeled"), {"post": "text"}, {"index": "long"}, ["index", "text"])
+
+
 QUERIES = {
+    "ingest_test": ingest_test,
+    "ingest_unlabeled": ingest_unlabeled,
     "ffill_concat": ffill_concat,
     "shift_index": shift_index,
     "ensure_index": ensure_index,
@@ -37,6 +53,11 @@ QUERIES = {
 }
 
 SQL = {
+    "ingest_test": r"""
+        SELECT conv_id * 100 + turn AS "index", regexp_replace(text, '[\n\r]', ' ', 'g') AS post, role AS label
+        FROM conversations""",
+    "ingest_unlabeled": r"""
+        SELECT conv_id * 100 + turn AS "index", regexp_replace(text, '[\n\r]', ' ', 'g') AS text FROM conversations""",
     "ffill_concat": with_views("raw_sheet") + r""",
         filled AS (
             SELECT row_pos, title,

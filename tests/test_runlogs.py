@@ -86,3 +86,25 @@ def test_best_per_fold_and_summary(spark):
     assert set(s.metric_type) == {"averaged_per_epoch", "epoch_for_best_average_f1", "best_f1_per_fold",
                                   "average_of_best_f1s_from_folds"}
     assert list(s.columns) == list(RL.SUMMARY_COLS)
+
+
+def test_asof_range_and_auto_on_non_monotone_log(spark):
+    rnd = random.Random(11)
+    rows = []
+    for pos in range(300):
+        run = rnd.randrange(2)
+        kind = "eval" if rnd.random() < 0.3 else "train"
+        epoch = rnd.random() * 8  # epochs jump around: the carry shortcut is not valid here
+        rows.append((run, pos, kind, epoch, pos, rnd.random() if kind == "train" else None,
+                     0.01 if kind == "train" else None, rnd.random() if kind == "eval" else None))
+    df = spark.createDataFrame(rows, "run int, pos long, kind string, epoch double, step long, loss double, "
+                                     "learning_rate double, eval_loss double")
+    pdf = df.toPandas()
+    tr, ev = pdf[pdf.kind == "train"], pdf[pdf.kind == "eval"]
+    for method in ("range", "auto"):
+        got = RL.asof_train_eval(df, method=method).toPandas().set_index("pos")
+        for _, e in ev.iterrows():
+            c = tr[(tr.run == e.run) & (tr.epoch > e.epoch - 1.0 + 1e-5) & (tr.epoch <= e.epoch + 1e-5) & (tr.step <= e.step)]
+            exp = c.sort_values(["step", "pos"], ascending=[False, True]).iloc[0].loss if len(c) else None
+            g = got.loc[e.pos, "train_loss"]
+            assert (exp is None and pd.isna(g)) or g == pytest.approx(exp), method
