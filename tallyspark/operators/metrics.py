@@ -317,16 +317,19 @@ def run_summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_co
     )
 
 
-def class_distribution(df: DataFrame, label_col: str = "label", group_cols: Sequence[str] = ()) -> DataFrame:
+def class_distribution(df: DataFrame, label_col: str = "label", group_cols: Sequence[str] = (),
+                       sort: bool = False) -> DataFrame:
     """Class counts and proportions, NULL labels excluded (AGG1).
 
-    The total comes from the aggregated table (at most groups x labels rows).
+    The total comes from the aggregated table (at most groups x labels rows);
+    ``sort`` orders that small table by count descending for display.
     """
     g = list(group_cols)
     counts = df.where(F.col(label_col).isNotNull()).groupBy(*g, F.col(label_col).alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    return counts.select(*g, "label", "n", (F.col("n") / F.sum("n").over(w)).alias("proportion"))
+    out = counts.select(*g, "label", "n", (F.col("n") / F.sum("n").over(w)).alias("proportion"))
+    return out.orderBy(*g, F.desc("n"), "label") if sort else out
 
 
 def agreement_count(a: DataFrame, b: DataFrame, key: str = "index", label_col: str = "predicted_label") -> DataFrame:

@@ -70,3 +70,17 @@ def test_classify_status(spark):
     got = [r.s for r in df.select(R.classify_status("fr", "hp", "err", F.lit("ok")).alias("s")).collect()]
     assert got == ["NO_CANDIDATES", "CONTENT_BLOCKED", "CONTENT_BLOCKED", "NO_CONTENT", "ok", "UNKNOWN_ERROR",
                    "API_ERROR", "ok"]
+
+
+def test_render_prompt_and_missing_template(spark):
+    from tallyspark.functions import prompts as PR
+    prompts = spark.createDataFrame([("s", False, "A {} B"), ("s", True, "T: {}")], "style string, thinking boolean, template string")
+    posts = spark.createDataFrame([(1, "x {} y", "s", False), (2, "z", "s", True)], "index long, post string, style string, thinking boolean")
+    got = {r["index"]: r.prompt for r in PR.render(posts, prompts).collect()}
+    assert got == {1: "A x {} y B", 2: "T: z"}
+    bad = spark.createDataFrame([(3, "q", "other", False)], "index long, post string, style string, thinking boolean")
+    with pytest.raises(Exception):
+        PR.render(bad, prompts).collect()
+    t = spark.createDataFrame([("p", "a")], "post string, label string").select(
+        PR.render_training("Post: {}\nLabel: {}", "post", "label", "</s>").alias("t")).first().t
+    assert t == "Post: p\nLabel: a</s>"
