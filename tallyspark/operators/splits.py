@@ -97,6 +97,16 @@ def fold_tables(df: DataFrame, k: int = 5, fold_col: str = "fold") -> DataFrame:
     return x.withColumn("part", F.when(F.col(fold_col) == F.col("fold_id"), F.lit("validation")).otherwise(F.lit("train")))
 
 
+def write_fold_tables(df: DataFrame, path: str, k: int = 5, fold_col: str = "fold",
+                      classes: Sequence[str] | None = None, label_col: str = "label") -> None:
+    """Materialise the k train/validation pairs as ``fold_id=<f>/part=<train|validation>``
+    folders (SPL3); integer labels are decoded to names when ``classes`` is given."""
+    t = fold_tables(df, k, fold_col)
+    if classes is not None and dict(df.dtypes).get(label_col) in ("int", "bigint"):
+        t = t.withColumn(label_col, F.element_at(F.array(*[F.lit(c) for c in classes]), F.col(label_col).cast("int") + 1))
+    t.write.mode("overwrite").partitionBy("fold_id", "part").parquet(path)
+
+
 def fold_distribution(df: DataFrame, k: int = 5, label_col: str = "label", fold_col: str = "fold") -> DataFrame:
     """Class counts of every fold's train and validation part (SPL3 print-out as a table)."""
     base = df.groupBy(fold_col, label_col).agg(F.count(F.lit(1)).alias("_n"))

@@ -116,6 +116,18 @@ def size_report(spark, d):
                            "combined_half": PS.assemble(tr, un, 0.5, 42, cols=("index",))})
 
 
+def size_report_folds(spark, d):
+    """Per fold: train / validation sizes, train + pseudo-labels, and the mean over folds (AGG13)."""
+    folds = _folds(spark, d)
+    n_un = _unanimous(spark, d).select(F.count(F.lit(1))).scalar()
+    per = SP.fold_tables(folds.select("fold"), 5, "fold").groupBy("fold_id").agg(
+        F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "validation").alias("n_validation"))
+    per = per.withColumn("n_combined", F.col("n_train") + n_un)
+    avg = per.agg(F.lit(-1).alias("fold_id"), *[F.avg(c).alias(c) for c in ("n_train", "n_validation", "n_combined")])
+    return _r(per.select("fold_id", *[F.col(c).cast("double") for c in ("n_train", "n_validation", "n_combined")])
+              .unionByName(avg))
+
+
 def confidence_filter(spark, d):
     sc = V.logits(spark, d).select("index", softmax("logits").alias("probs"))
     return _r(PS.confidence_filter(sc, CONF_THRESHOLD, "probs").select("index", "max_prob"))
@@ -126,7 +138,7 @@ QUERIES = {
     "fold_sizes": fold_sizes, "weighted_vote": weighted_vote, "vote_lenient": vote_lenient,
     "grid_search": grid_search, "best_weight": best_weight, "average_grid": average_grid,
     "unanimous": unanimous, "agreement_rate": agreement_rate, "assemble": assemble,
-    "assemble_half": assemble_half, "size_report": size_report, "confidence_filter": confidence_filter,
+    "assemble_half": assemble_half, "size_report": size_report, "size_report_folds": size_report_folds, "confidence_filter": confidence_filter,
 }
 
 _KEY = "md5('42-' || CAST(\"index\" AS VARCHAR))"
@@ -230,6 +242,14 @@ SQL = {
         UNION ALL SELECT 'pseudo_half', count(*) FROM half
         UNION ALL SELECT 'combined', (SELECT count(*) FROM train) + (SELECT count(*) FROM unan)
         UNION ALL SELECT 'combined_half', (SELECT count(*) FROM train) + (SELECT count(*) FROM half)""",
+    "size_report_folds": with_views("predictions") + _FOLDS + _UNAN + """,
+        per AS (SELECT CAST(f.fold_id AS INTEGER) AS fold_id, count(*) FILTER (WHERE folds.fold <> f.fold_id) AS n_train,
+                       count(*) FILTER (WHERE folds.fold = f.fold_id) AS n_validation
+                FROM folds CROSS JOIN (SELECT range AS fold_id FROM range(0, 5)) f GROUP BY f.fold_id),
+        pc AS (SELECT fold_id, CAST(n_train AS DOUBLE) AS n_train, CAST(n_validation AS DOUBLE) AS n_validation,
+                      CAST(n_train + (SELECT count(*) FROM unan) AS DOUBLE) AS n_combined FROM per)
+        SELECT fold_id, round(n_train, 6) AS n_train, round(n_validation, 6) AS n_validation, round(n_combined, 6) AS n_combined FROM pc
+        UNION ALL SELECT -1, round(avg(n_train), 6), round(avg(n_validation), 6), round(avg(n_combined), 6) FROM pc""",
     "confidence_filter": with_views("logits") + """,
         p AS (SELECT "index", logits, list_max(logits) AS m FROM logits),
         e AS (SELECT "index", [exp(logits[1] - m), exp(logits[2] - m), exp(logits[3] - m), exp(logits[4] - m)] AS ex FROM p),

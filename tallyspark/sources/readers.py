@@ -52,10 +52,15 @@ def load_predictions(spark: SparkSession, paths: Mapping[str, str], schema: Stru
 
 
 def load_run_logs(spark: SparkSession, glob: str, schema: StructType = RUN_METRICS,
-                  name_pattern: str = r"([^/_]+)_[^/]*$") -> DataFrame:
-    """Many metric files -> one table tagged with ``run`` from the file name (SRC3)."""
+                  name_pattern: str | Sequence[str] = r"([^/_]+)_[^/]*$") -> DataFrame:
+    """Many metric files -> one table tagged with ``run`` from the file name (SRC3).
+
+    ``name_pattern`` may be a list of fallback patterns: the first that matches wins.
+    """
     df = _csv(spark, schema).csv(glob).select("*", F.col("_metadata.file_path").alias("source_file"))
-    return df.withColumn("run", F.regexp_extract(F.col("source_file"), name_pattern, 1))
+    pats = [name_pattern] if isinstance(name_pattern, str) else list(name_pattern)
+    tags = [F.nullif(F.regexp_extract(F.col("source_file"), p, 1), F.lit("")) for p in pats]
+    return df.withColumn("run", F.coalesce(*tags))
 
 
 SUMMARY_FIELDS = ("total_posts", "valid_predictions_for_metrics", "accuracy", "f1_macro", "f1_weighted",

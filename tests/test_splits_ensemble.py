@@ -77,3 +77,13 @@ def test_unanimous(spark):
     df = spark.createDataFrame(rows)
     got = [r["index"] for r in PS.unanimous(df, 3, "post").collect()]
     assert got == [0]
+
+
+def test_write_fold_tables(spark, tmpdir_path):
+    import os
+    df = SP.stratified_kfold(_labels(spark), 5, 42, classes=["a", "b", "c", "d"])
+    path = os.path.join(tmpdir_path, "folds")
+    SP.write_fold_tables(df, path, 5)
+    back = spark.read.parquet(path)
+    assert back.where("fold_id = 2 AND part = 'validation'").count() == df.where("fold = 2").count()
+    assert back.where("fold_id = 2 AND part = 'train'").count() == df.where("fold != 2").count()
