@@ -11,15 +11,16 @@ from tallyspark.operators.splits import sample_exact
 
 
 def unanimous(long_df: DataFrame, n_models: int, key_col: str = "post", model_col: str = "model",
-              label_col: str = "predicted_label", first_model=0) -> DataFrame:
+              label_col: str = "predicted_label", first_model=0, key_is_digest: bool = False) -> DataFrame:
     """Rows of the first model whose key got the same label from every model (PSL1).
 
-    Grouping is on ``sha2(key, 256)`` so long texts are not shuffled; a key must
-    be seen by all ``n_models`` models with exactly one distinct, non-null label.
+    Grouping is on ``sha2(key, 256)`` (or on ``key_col`` itself when it already is
+    a digest) so long texts are not shuffled; a key must be seen by all
+    ``n_models`` models with exactly one distinct, non-null label.
     """
     from tallyspark.operators.metrics import require_columns
     require_columns(long_df, [key_col, model_col, label_col])
-    dig = F.sha2(F.col(key_col), 256)
+    dig = F.col(key_col) if key_is_digest else F.sha2(F.col(key_col), 256)
     agg = (long_df.groupBy(dig.alias("_k"))
            .agg(F.count_distinct(model_col).alias("_nm"), F.count_distinct(label_col).alias("_nl"),
                 F.count(label_col).alias("_nn"), F.count(F.lit(1)).alias("_nr")))

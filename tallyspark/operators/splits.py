@@ -60,25 +60,24 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label_col: str =
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, label_col: str = "label",
                      id_col: str = "index") -> DataFrame:
     """Adds ``split`` = 'test' for the first round(fraction * n_class) rows of each class (SPL2)."""
-    ranked, counts = class_ranks(df, label_col, id_col, seed)
-    ct = F.broadcast(counts.groupBy(label_col).agg(F.round(F.sum("_rk_n") * F.lit(test_fraction)).alias("_ntest")))
-    r = ranked.join(ct, label_col, "left")
-    return r.withColumn("split", F.when(F.col("_rn") <= F.col("_ntest"), F.lit("test")).otherwise(F.lit("train"))
-                        ).drop("_key", "_rn", "_ntest")
+    x = df.withColumn("_key", seeded_key(id_col, seed))
+    r = exact_row_number(x, [label_col], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS),
+                         "_rn", total_col="_n")
+    test = F.col("_rn") <= F.round(F.col("_n") * F.lit(test_fraction))
+    return r.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_key", "_rn", "_n")
 
 
 def sample_exact(df: DataFrame, fraction: float, seed: int = 42, id_col: str = "index") -> DataFrame:
     """Exactly round(fraction * n) rows without replacement, chosen by md5(seed-id) (SPL4).
 
     round() is half-to-even like the source's sampler. The global rank is
-    bucketed by hash prefix, so no single task sorts the table; n is the sum of
-    the bucket counts (a scalar subquery over the small count table).
+    bucketed by hash prefix, so no single task sorts the table; n is summed over
+    the small bucket-count table that the rank already builds (no second scan).
     """
     x = df.withColumn("_key", seeded_key(id_col, seed))
-    r, counts = exact_row_number(x, [], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS),
-                                 "_rn", return_counts=True)
-    n = counts.select(F.sum("_rk_n")).scalar()
-    return r.where(F.col("_rn") <= F.bround(n * F.lit(fraction))).drop("_key", "_rn")
+    r = exact_row_number(x, [], [F.col("_key"), F.col(id_col)], hash_bucket(F.col("_key"), BUCKET_BITS),
+                         "_rn", total_col="_n")
+    return r.where(F.col("_rn") <= F.bround(F.col("_n") * F.lit(fraction))).drop("_key", "_rn", "_n")
 
 
 def sample_approx(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

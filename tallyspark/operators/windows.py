@@ -44,7 +44,8 @@ def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, v
 
 
 def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column | str],
-                     bucket: Column, out_col: str = "rn", return_counts: bool = False):
+                     bucket: Column, out_col: str = "rn", return_counts: bool = False,
+                     total_col: str | None = None):
     """1-based ``row_number()`` per partition in ``order_cols`` order, computed per (p, bucket).
 
     ``bucket`` must be non-decreasing in the ordering (e.g. a hash prefix when
@@ -52,7 +53,8 @@ def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: S
     Bucket sizes are read off the local row numbers (same partitioning, no
     second scan); offsets are a running sum over a table of ``#buckets`` rows per p.
     With ``return_counts`` also returns the per-(p, bucket) count table
-    (columns ``p..., _rk_b, _rk_n``).
+    (columns ``p..., _rk_b, _rk_n``); ``total_col`` adds the partition's row count
+    (summed over the same small table, so no extra scan or scalar subquery).
     """
     p = list(partition_cols)
     x = df.withColumn("_rk_b", bucket)
@@ -60,7 +62,8 @@ def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: S
     x = x.withColumn("_rk_local", F.row_number().over(w_local))
     counts = x.groupBy(*p, "_rk_b").agg(F.max("_rk_local").cast("long").alias("_rk_n"))
     w_off = Window.partitionBy(*p).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*p, "_rk_b", F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"))
+    extra = [F.sum("_rk_n").over(Window.partitionBy(*p)).alias(total_col)] if total_col else []
+    offsets = counts.select(*p, "_rk_b", F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"), *extra)
     out = x.join(offsets, p + ["_rk_b"], "left")
     out = out.withColumn(out_col, (F.col("_rk_off") + F.col("_rk_local")).cast("long")).drop(
         "_rk_b", "_rk_off", "_rk_local")

@@ -83,7 +83,8 @@ def average_grid(spark, d):
 
 
 def _unanimous(spark, d) -> DataFrame:
-    return PS.unanimous(V.predictions(spark, d), N_MODELS, "post").select("index", "label", "predicted_label")
+    p = V.predictions(spark, d, with_post=False, with_digest=True)
+    return PS.unanimous(p, N_MODELS, "post_key", key_is_digest=True).select("index", "label", "predicted_label")
 
 
 def unanimous(spark, d):

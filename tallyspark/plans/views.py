@@ -47,12 +47,15 @@ def posts_unlabeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAULT_CLASSES,
-                with_post: bool = True) -> DataFrame:
-    """Five pseudo-models over the labelled posts -> (model, index, [post,] label, predicted_label).
+                with_post: bool = True, with_digest: bool = False) -> DataFrame:
+    """Five pseudo-models over the labelled posts -> (model, index, [post,] [post_key,] label, predicted_label).
 
     The model axis is generated with ``explode`` of a literal array: no join.
+    ``post_key`` = sha2(post) is computed once per post, before the model explode.
     """
     pl = posts_labeled(spark, sf_dir, classes)
+    if with_digest:
+        pl = pl.withColumn("post_key", F.sha2(F.col("post"), 256))
     if not with_post:
         pl = pl.drop("post")
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("mult")) for m, k in MODEL_MULTS])
@@ -62,7 +65,7 @@ def predictions(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAU
     pred = (F.when((idx * 7 + model * 13) % 97 == 0, F.lit("LABEL_NOT_FOUND"))
             .when((idx * mult + model) % 10 < 7, F.col("label"))
             .otherwise(other))
-    cols = ["model", "index"] + (["post"] if with_post else []) + ["label"]
+    cols = ["model", "index"] + (["post"] if with_post else []) + (["post_key"] if with_digest else []) + ["label"]
     return x.select(*cols, pred.alias("predicted_label"))
 
 
