@@ -207,8 +207,8 @@ def fold_metrics_at_best(m: DataFrame, run_col: str = "run") -> DataFrame:
     avg_pos = exact_row_number(avg, [], [F.col("epoch")], F.floor(F.col("epoch") / POS_BUCKET_EPOCHS), "_p")
     best = avg_pos.agg(F.max_by(F.struct(F.col("_p").alias("p"), F.col("epoch").alias("e")),
                                 F.struct(F.col("avg_eval_f1_weighted"), -F.col("_p"))).alias("b"))
-    bp = best.select(F.col("b.p")).scalar()
-    be = best.select(F.col("b.e")).scalar()
+    b = best.select("b").scalar()  # one scalar subquery returning (position, epoch)
+    bp, be = b["p"], b["e"]
     rows = with_position(m, run_col).where(F.col("position") == bp - 1)
     return rows.agg(be.alias("best_epoch"), (bp - 1).alias("best_position"), F.count(F.lit(1)).alias("n_folds"),
                     F.avg("eval_accuracy").alias("accuracy_mean"), F.stddev_samp("eval_accuracy").alias("accuracy_std"),

@@ -68,14 +68,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition *only* when the input has fewer partitions than cores.
+    """Round-robin repartition before CPU-heavy per-row work, *only* for few-file inputs.
 
-    A large table on a cluster arrives in thousands of splits and is left alone
-    (no extra shuffle); a single-file / single-row-group input would otherwise
-    run CPU-heavy per-row work (tokenising, parsing, model scoring) in one task.
+    A large table on a cluster is read from many files/splits and is left alone
+    (no extra shuffle); a single-file input would otherwise run tokenising,
+    parsing or model scoring in one task. Decided from ``inputFiles()`` (plan
+    metadata only, nothing is executed).
     """
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
         return df.repartition(cores * factor)
     return df
