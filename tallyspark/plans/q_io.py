@@ -84,8 +84,10 @@ def report_roundtrip(spark, d):
     summ = M.run_summary(allp, CL, "label", "predicted_label", ["model"])
     per = M.per_class(p, CL, "label", "predicted_label", ["model"])
     conf = M.confusion(p, CL, "label", "predicted_label", ["model"])
+    crep = M.classification_report(p, CL, "label", "predicted_label", ["model"])
     rep = SK.render_report(summ, per, conf, "model", ["total_posts", "valid_predictions_for_metrics", "accuracy",
-                                                      "f1_macro", "f1_weighted", "precision_weighted", "recall_weighted"])
+                                                      "f1_macro", "f1_weighted", "precision_weighted", "recall_weighted"],
+                           report=crep, classes=CL, digits=2)
     path = scratch_path(spark, f"reports/{uuid.uuid4().hex}")
     SK.write_metrics_report(rep, "model", path)
     back = RD.read_metrics_reports(spark, path)

@@ -106,3 +106,13 @@ def test_soft_metrics(spark):
     v = M.ordinal_bce(ob, "z", "t").collect()[0].ordinal_bce
     bce = lambda z, y: max(z, 0) - z * y + math.log1p(math.exp(-abs(z)))
     assert v == pytest.approx((bce(0.0, 1.0) + bce(2.0, 0.0)) / 2)
+
+
+def test_report_and_matrix_text(spark):
+    from tallyspark.sources import sinks as SK
+    df = _rows_from_matrix(spark, GOLDEN).withColumn("m", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
+    mt = SK.matrix_text(M.confusion(df, CL, group_cols=["m"]), "m", CL).first().matrix_text
+    assert mt == "[[ 79,  33,   7,  10],\n [ 12, 170,  14,   4],\n [  3,  32,  88,   9],\n [  0,   1,   1,  37]]"
+    rt = SK.report_text(M.classification_report(df, CL, group_cols=["m"]), "m", 2).first().report_text
+    assert "weighted avg      0.76      0.75      0.75       500" in rt
+    assert "   indicator      0.84      0.61      0.71       129" in rt
