@@ -6,7 +6,8 @@ grams are de-duplicated, and one equi-join on the gram string answers every
 pair at once:
   * reference grams within ``broadcast_max_grams`` (counted first) -> broadcast
     hash join, the document side never shuffles its grams;
-  * larger reference sets -> shuffle join (AQE splits hot grams).
+  * larger reference sets -> shuffle join on compact gram hashes, then an exact
+    string check for the (few) documents with a hash hit; AQE splits hot keys.
 Per-document flags come from ``explode_outer`` + ``max``, so documents with
 fewer than n tokens keep a row and come out ``False``; the only shuffle of the
 document side is the map-side-combined flag aggregate (one row per document).
@@ -28,16 +29,39 @@ def reference_grams(ref: DataFrame, text_col: str = "text", n: int = 7) -> DataF
     return toks.select(F.explode(ngrams(F.col("_tok"), n)).alias("gram")).distinct()
 
 
+def _gram_hash(col: str = "gram") -> list:
+    """Two independent hashes of a gram (64 + 32 bits) as a compact join key."""
+    return [F.xxhash64(F.col(col)).alias("_h1"), F.hash(F.col(col)).alias("_h2")]
+
+
 def flag_overlap(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index", text_col: str = "post",
                  ref_text_col: str = "text", broadcast_max_grams: int = BROADCAST_MAX_GRAMS) -> DataFrame:
-    """(id, duplicate): True iff some n-gram of the row also occurs in some reference text."""
-    rg = reference_grams(ref, ref_text_col, n).withColumn("_hit", F.lit(True))
+    """(id, duplicate): True iff some n-gram of the row also occurs in some reference text.
+
+    Small reference (<= ``broadcast_max_grams`` distinct grams, counted first):
+    one broadcast hash join, the documents never shuffle their grams.
+    Large reference: the document grams are shuffled as 12-byte hash keys, not
+    as strings; documents with a hash hit are then re-checked on the exact gram
+    strings (only their grams travel), so the answer stays exact.
+    """
+    rg = reference_grams(ref, ref_text_col, n)
     n_ref = rg.count()
-    right = F.broadcast(rg) if n_ref <= broadcast_max_grams else rg
     toks = spread(df.select(id_col, text_col)).select(id_col, tokens(text_col).alias("_tok"))
     grams = toks.select(id_col, F.explode_outer(ngrams(F.col("_tok"), n)).alias("gram"))
-    return (grams.join(right, "gram", "left")
-            .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("duplicate")))
+    if n_ref <= broadcast_max_grams:
+        right = F.broadcast(rg.withColumn("_hit", F.lit(True)))
+        return (grams.join(right, "gram", "left")
+                .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("duplicate")))
+    # phase 1: hash keys only
+    rh = rg.select(*_gram_hash()).distinct().withColumn("_hit", F.lit(True))
+    cand = (grams.select(id_col, *_gram_hash()).join(rh, ["_h1", "_h2"], "left")
+            .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("_cand")))
+    # phase 2: exact strings, candidate documents only
+    cand_ids = cand.where("_cand").select(id_col)
+    cgrams = grams.join(cand_ids, id_col, "left_semi")
+    verified = cgrams.join(rg, "gram", "left_semi").select(id_col).distinct().withColumn("_ok", F.lit(True))
+    return (cand.join(verified, id_col, "left")
+            .select(id_col, F.coalesce(F.col("_ok"), F.lit(False)).alias("duplicate")))
 
 
 def overlap_counts(flags: DataFrame) -> DataFrame:

@@ -162,3 +162,13 @@ def test_encode_strict_and_lenient(spark):
         df.select(L.encode("l", ["a", "b"], strict=True)).collect()
     assert [r.d for r in spark.createDataFrame([(1,), (5,)], "i int").select(
         L.decode("i", ["a", "b"]).alias("d")).collect()] == ["b", None]
+
+
+def test_ngram_overlap_shuffle_path_matches_broadcast(spark):
+    docs = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6} w{i+7}" for i in range(0, 60, 3)] + ["short text"]
+    ref = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6}" for i in (9, 30, 100)]
+    ddf = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "index long, post string")
+    rdf = spark.createDataFrame([(r,) for r in ref], "text string")
+    a = {r["index"]: r.duplicate for r in C.flag_overlap(ddf, rdf, 7).collect()}
+    b = {r["index"]: r.duplicate for r in C.flag_overlap(ddf, rdf, 7, broadcast_max_grams=0).collect()}
+    assert a == b and sum(a.values()) >= 2 and a[len(docs) - 1] is False
