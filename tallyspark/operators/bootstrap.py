@@ -52,14 +52,6 @@ def poisson_weights(df: DataFrame, replicates: int, seed: int = 42, id_col: str
     return x.withColumn("weight", w.cast("long"))
 
 
-def weighted_cells(df: DataFrame, true_col: str, pred_col: str, weight_col: str,
-                   group_cols: Sequence[str]) -> DataFrame:
-    """Confusion cells where each row counts ``weight`` times (zero-weight cells dropped)."""
-    return (df.groupBy(*group_cols, F.col(true_col).cast("string").alias("true_label"),
-                       F.col(pred_col).cast("string").alias("predicted_label"))
-            .agg(F.sum(weight_col).cast("long").alias("n")).where(F.col("n") > 0))
-
-
 def _replicate_metrics(t: np.ndarray, p: np.ndarray, counts: np.ndarray, label_set: str,
                        fixed: Sequence[str] | None) -> dict[str, np.ndarray]:
     """Metrics for a batch of replicates; ``counts`` is (B, cells)."""

@@ -38,12 +38,17 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def confusion_cells(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label",
-                    group_cols: Sequence[str] = ()) -> DataFrame:
-    """Long confusion table over *all* label pairs (map-side combined count)."""
-    require_columns(df, [true_col, pred_col, *group_cols])
+                    group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
+    """Long confusion table over *all* label pairs (map-side combined count).
+
+    ``weight_col`` counts each row that many times: metrics can then run on
+    pre-aggregated cells (``weight_col='n'``) or on bootstrap weights.
+    """
+    require_columns(df, [true_col, pred_col, *group_cols, *([weight_col] if weight_col else [])])
+    n = F.sum(F.col(weight_col)).cast("long") if weight_col else F.count(F.lit(1))
     return (df.groupBy(*group_cols, F.col(true_col).cast("string").alias("true_label"),
                        F.col(pred_col).cast("string").alias("predicted_label"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(n.alias("n")))
 
 
 def exclude_status(df: DataFrame, pred_col: str = "predicted_label",
@@ -71,8 +76,8 @@ def confusion_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLAS
 
 
 def confusion(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
-              pred_col: str = "predicted_label", group_cols: Sequence[str] = ()) -> DataFrame:
-    return confusion_from_cells(confusion_cells(df, true_col, pred_col, group_cols), classes, group_cols)
+              pred_col: str = "predicted_label", group_cols: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
+    return confusion_from_cells(confusion_cells(df, true_col, pred_col, group_cols, weight_col), classes, group_cols)
 
 
 def confusion_wide(conf: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
@@ -196,8 +201,9 @@ def per_class_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLAS
 
 def per_class(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
               pred_col: str = "predicted_label", group_cols: Sequence[str] = (),
-              label_set: str = "fixed") -> DataFrame:
-    return per_class_from_cells(confusion_cells(df, true_col, pred_col, group_cols), classes, group_cols, label_set)
+              label_set: str = "fixed", weight_col: str | None = None) -> DataFrame:
+    return per_class_from_cells(confusion_cells(df, true_col, pred_col, group_cols, weight_col), classes, group_cols,
+                                label_set)
 
 
 def averages_from_per_class(per: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -234,9 +240,10 @@ def summary_from_cells(cells: DataFrame, classes: Sequence[str] = DEFAULT_CLASSE
 
 def summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
             pred_col: str = "predicted_label", group_cols: Sequence[str] = (),
-            label_set: str = "fixed") -> DataFrame:
+            label_set: str = "fixed", weight_col: str | None = None) -> DataFrame:
     """n, accuracy, macro and weighted P/R/F1 per group (AGG3-AGG6): one aggregation chain."""
-    return summary_from_cells(confusion_cells(df, true_col, pred_col, group_cols), classes, group_cols, label_set)
+    return summary_from_cells(confusion_cells(df, true_col, pred_col, group_cols, weight_col), classes, group_cols,
+                              label_set)
 
 
 def macro(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
@@ -253,13 +260,13 @@ def weighted(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col:
 
 def classification_report(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
                           pred_col: str = "predicted_label", group_cols: Sequence[str] = (),
-                          digits: int | None = None) -> DataFrame:
+                          digits: int | None = None, weight_col: str | None = None) -> DataFrame:
     """Per-class rows + 'accuracy', 'macro avg', 'weighted avg' rows (AGG7).
 
     ``row_order`` keeps the printed order (classes, accuracy, macro, weighted).
     """
     g = list(group_cols)
-    cells = confusion_cells(df, true_col, pred_col, g)
+    cells = confusion_cells(df, true_col, pred_col, g, weight_col)
     grp = group_metrics(label_stats(cells, g), classes, g, with_stats_map=True)
     k = len(classes)
     rows = _class_rows(grp, classes, g)
@@ -284,7 +291,7 @@ def _report_row(label: str, order: int, p: str, r: str, f: str) -> Column:
 
 def run_summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_col: str = "label",
                 pred_col: str = "predicted_label", group_cols: Sequence[str] = (),
-                excluded: Sequence[str] = SENTINELS, run_ts: str | None = None) -> DataFrame:
+                excluded: Sequence[str] = SENTINELS, run_ts: str | None = None, weight_col: str | None = None) -> DataFrame:
     """One summary row per run (AGG8): outcome counters and metrics over non-excluded rows.
 
     Single chain: input -> cells -> label stats (sentinel cells weigh 0 for the
@@ -293,7 +300,7 @@ def run_summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_co
     than read from the clock, so reruns are reproducible (DTE1).
     """
     g = list(group_cols)
-    cells = confusion_cells(df, true_col, pred_col, g)
+    cells = confusion_cells(df, true_col, pred_col, g, weight_col)
     p = F.col("predicted_label")
     valid = ~F.coalesce(p.isin(list(excluded)), F.lit(False))
     counters = [("api_errors_count", p == API_ERROR), ("content_blocked_count", p == CONTENT_BLOCKED),

@@ -70,9 +70,8 @@ def _model0(spark, d, with_post=False) -> DataFrame:
 
 
 def bootstrap_poisson(spark, d):
-    w = B.poisson_weights(_model0(spark, d), POISSON_REPLICATES, 42, "index")
-    cells = B.weighted_cells(w, "label", "predicted_label", "weight", ["replicate"])
-    s = M.summary_from_cells(cells, CL, ["replicate"], "union")
+    w = B.poisson_weights(_model0(spark, d), POISSON_REPLICATES, 42, "index").where("weight > 0")
+    s = M.summary(w, CL, "label", "predicted_label", ["replicate"], "union", weight_col="weight")
     return _r(s.select("replicate", "n", "accuracy", "f1_weighted", "f1_macro"))
 
 

@@ -79,12 +79,16 @@ def rate_audit(spark, d):
 
 
 def report_roundtrip(spark, d):
-    p = M.exclude_status(V.predictions(spark, d, with_post=False))
+    """All four report sections from one scan: confusion cells are materialised once
+    (a reliable checkpoint of a groups x labels^2 table) and every section reads them."""
     allp = V.predictions(spark, d, with_post=False)
-    summ = M.run_summary(allp, CL, "label", "predicted_label", ["model"])
-    per = M.per_class(p, CL, "label", "predicted_label", ["model"])
-    conf = M.confusion(p, CL, "label", "predicted_label", ["model"])
-    crep = M.classification_report(p, CL, "label", "predicted_label", ["model"])
+    cells = M.confusion_cells(allp, "label", "predicted_label", ["model"]).checkpoint()
+    t, p, w = "true_label", "predicted_label", "n"
+    summ = M.run_summary(cells, CL, t, p, ["model"], weight_col=w)
+    valid = M.exclude_status(cells)
+    per = M.per_class(valid, CL, t, p, ["model"], weight_col=w)
+    conf = M.confusion(valid, CL, t, p, ["model"], weight_col=w)
+    crep = M.classification_report(valid, CL, t, p, ["model"], weight_col=w)
     rep = SK.render_report(summ, per, conf, "model", ["total_posts", "valid_predictions_for_metrics", "accuracy",
                                                       "f1_macro", "f1_weighted", "precision_weighted", "recall_weighted"],
                            report=crep, classes=CL, digits=2)
