@@ -89,6 +89,8 @@ def replicate_metrics(cells: DataFrame, replicates: int = 1000, seed: int = 42,
                       label_set: str = "union", classes: Sequence[str] | None = None,
                       replicates_per_task: int = 250) -> DataFrame:
     """One row per (group, replicate) with accuracy, weighted F1 and macro F1 (AGG23)."""
+    from tallyspark.session import ship_package
+    ship_package(cells.sparkSession)
     g = list(group_cols)
     n_chunks = max(1, math.ceil(replicates / replicates_per_task))
     x = cells.select(*g, "true_label", "predicted_label", "n",

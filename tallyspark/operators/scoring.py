@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.labels import API_ERROR, DEFAULT_CLASSES
-from tallyspark.session import spread
+from tallyspark.session import ship_package, spread
 
 ScorerFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 ResponderFactory = Callable[[], Callable[[list[str]], list[str]]]
@@ -36,6 +36,7 @@ def score_table(df: DataFrame, scorer_factory: ScorerFactory, classes: Sequence[
                 keep: Sequence[str] = ()) -> DataFrame:
     """-> (id, keep..., predicted_label, probs ARRAY<DOUBLE>, success, error) (SCR1, SCR3)."""
     cls = list(classes)
+    ship_package(df.sparkSession)
     keep = [c for c in keep if c not in (id_col, text_col)]
     src = spread(df.select(id_col, text_col, *keep))
     dtypes = dict(src.dtypes)
@@ -125,6 +126,7 @@ def respond(df: DataFrame, responder_factory: ResponderFactory, prompt_col: str
             batch_size: int = 16, keep: Sequence[str] = ()) -> DataFrame:
     """Text in, text out (a hosted or local generator supplied by the caller) with
     per-row failure isolation -> (id, keep..., response, error)."""
+    ship_package(df.sparkSession)
     keep = [c for c in keep if c not in (id_col, prompt_col)]
     src = spread(df.select(id_col, prompt_col, *keep))
     dtypes = dict(src.dtypes)

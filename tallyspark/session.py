@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +81,38 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     if len(df.inputFiles()) < cores:
         return df.repartition(cores * factor)
     return df
+
+
+_SHIPPED_KEY = "tallyspark.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tallyspark`` importable in Python workers (like ``--py-files``).
+
+    Needed when the driver imports the package from a path the executors do not
+    have (e.g. a notebook or a driver run from another folder). The package is
+    zipped once per application next to the package (or in a temp folder if that
+    is read-only) and handed to ``SparkContext.addPyFile``, which serves it to
+    every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if spark.conf.get(_SHIPPED_KEY, None) == app:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(r, f) for r, _, fs in os.walk(pkg_dir) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1("".join(f"{f}:{os.path.getmtime(f)}" for f in files).encode()).hexdigest()[:12]
+    out_dir = os.path.join(os.path.dirname(pkg_dir), "build")
+    try:
+        os.makedirs(out_dir, exist_ok=True)
+    except OSError:
+        out_dir = tempfile.mkdtemp(prefix="tallyspark-pkg-")
+    zpath = os.path.join(out_dir, f"tallyspark-{digest}.zip")
+    if not os.path.exists(zpath):
+        tmp = zpath + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(pkg_dir)))
+        os.replace(tmp, zpath)
+    sc.addPyFile(zpath)
+    spark.conf.set(_SHIPPED_KEY, app)
