@@ -29,19 +29,19 @@ def _folds(spark: SparkSession, d: str) -> DataFrame:
     return SP.stratified_kfold(V.posts_labeled(spark, d).drop("post"), 5, 42, "label", "index", CL)
 
 
-def stratified_kfold(spark, d):
+def stratified_kfold(spark: SparkSession, d: str) -> DataFrame:
     return _folds(spark, d).select("index", "label", "fold")
 
 
-def stratified_split(spark, d):
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return SP.stratified_split(V.posts_labeled(spark, d).drop("post"), 0.2, 42).select("index", "label", "split")
 
 
-def sample_exact(spark, d):
+def sample_exact(spark: SparkSession, d: str) -> DataFrame:
     return SP.sample_exact(V.posts_labeled(spark, d).drop("post"), 0.5, 42).select("index", "label")
 
 
-def fold_sizes(spark, d):
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
     return SP.fold_distribution(_folds(spark, d), 5, "label", "fold")
 
 
@@ -50,12 +50,12 @@ def _wide_valid(spark, d) -> DataFrame:
     return EN.align(p, MODELS, carry=["label"], require_all=True)
 
 
-def weighted_vote(spark, d):
+def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
     w = EN.weighted_vote(_wide_valid(spark, d), VOTE_WEIGHTS, CL, strict=True)
     return w.select("index", "label", "predicted_label")
 
 
-def vote_lenient(spark, d):
+def vote_lenient(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False)
     wide = EN.align(p, MODELS, require_all=True)
     return EN.weighted_vote(wide, LENIENT_WEIGHTS, CL, strict=False).select("index", "predicted_label", "skipped_votes")
@@ -70,15 +70,15 @@ def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def grid_search(spark, d):
+def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return _r(_grid(spark, d))
 
 
-def best_weight(spark, d):
+def best_weight(spark: SparkSession, d: str) -> DataFrame:
     return _r(EN.best_weight(_grid(spark, d), ["fold"]))
 
 
-def average_grid(spark, d):
+def average_grid(spark: SparkSession, d: str) -> DataFrame:
     return _r(EN.average_grid(_grid(spark, d)))
 
 
@@ -87,11 +87,11 @@ def _unanimous(spark, d) -> DataFrame:
     return PS.unanimous(p, N_MODELS, "post_key", key_is_digest=True).select("index", "label", "predicted_label")
 
 
-def unanimous(spark, d):
+def unanimous(spark: SparkSession, d: str) -> DataFrame:
     return _unanimous(spark, d)
 
 
-def agreement_rate(spark, d):
+def agreement_rate(spark: SparkSession, d: str) -> DataFrame:
     total = V.predictions(spark, d, with_post=False).where(F.col("model") == 0)
     return _r(PS.agreement_rate(_unanimous(spark, d), total))
 
@@ -100,15 +100,15 @@ def _train(spark, d) -> DataFrame:
     return _folds(spark, d).where(F.col("fold") != 0).select("index", "label")
 
 
-def assemble(spark, d):
+def assemble(spark: SparkSession, d: str) -> DataFrame:
     return PS.assemble(_train(spark, d), _unanimous(spark, d), cols=("index",))
 
 
-def assemble_half(spark, d):
+def assemble_half(spark: SparkSession, d: str) -> DataFrame:
     return PS.assemble(_train(spark, d), _unanimous(spark, d), fraction=0.5, seed=42, cols=("index",))
 
 
-def size_report(spark, d):
+def size_report(spark: SparkSession, d: str) -> DataFrame:
     # the unanimous subset feeds four stages: materialise it once (reliable checkpoint)
     tr, un = _train(spark, d), _unanimous(spark, d).checkpoint()
     half = SP.sample_exact(un, 0.5, 42)
@@ -117,7 +117,7 @@ def size_report(spark, d):
                            "combined_half": PS.assemble(tr, un, 0.5, 42, cols=("index",))})
 
 
-def size_report_folds(spark, d):
+def size_report_folds(spark: SparkSession, d: str) -> DataFrame:
     """Per fold: train / validation sizes, train + pseudo-labels, and the mean over folds (AGG13)."""
     folds = _folds(spark, d)
     n_un = _unanimous(spark, d).select(F.count(F.lit(1))).scalar()
@@ -129,7 +129,7 @@ def size_report_folds(spark, d):
               .unionByName(avg))
 
 
-def confidence_filter(spark, d):
+def confidence_filter(spark: SparkSession, d: str) -> DataFrame:
     sc = V.logits(spark, d).select("index", softmax("logits").alias("probs"))
     return _r(PS.confidence_filter(sc, CONF_THRESHOLD, "probs").select("index", "max_prob"))
 

@@ -23,14 +23,14 @@ def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def ordinal_encode(spark, d):
+def ordinal_encode(spark: SparkSession, d: str) -> DataFrame:
     p = V.posts_labeled(spark, d).select("index", "label", L.encode("label", CL).alias("code"))
     p = p.withColumn("ord", L.ordinal_encode("code", len(CL)))
     return p.select("index", "label", "code", *[F.element_at("ord", i + 1).alias(f"o{i + 1}") for i in range(len(CL) - 1)],
                     L.ordinal_decode("ord").alias("back"))
 
 
-def ordinal_predict(spark, d):
+def ordinal_predict(spark: SparkSession, d: str) -> DataFrame:
     lg = V.logits(spark, d)
     c = L.ordinal_predict("ord_logits")
     return lg.select("index", "true_idx", c.alias("ordinal_class"), L.decode(c, CL).alias("predicted_label"))
@@ -40,26 +40,26 @@ def _probs(spark, d) -> DataFrame:
     return V.logits(spark, d).select("index", "true_idx", "logits", "ord_logits", L.softmax("logits").alias("probs"))
 
 
-def softmax_argmax(spark, d):
+def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
     p = _probs(spark, d)
     i = L.argmax("probs")
     return _r(p.select("index", i.alias("predicted_idx"), L.decode(i, CL).alias("predicted_label"),
                        F.array_max("probs").alias("max_prob")))
 
 
-def expand_probs(spark, d):
+def expand_probs(spark: SparkSession, d: str) -> DataFrame:
     return _r(L.expand_probs(_probs(spark, d), "probs", CL).drop("true_idx", "logits", "ord_logits", "probs"))
 
 
-def soft_f1_cost(spark, d):
+def soft_f1_cost(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.soft_f1_cost(_probs(spark, d), "probs", "true_idx", len(CL)))
 
 
-def log_loss(spark, d):
+def log_loss(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.log_loss(_probs(spark, d), "probs", "true_idx"))
 
 
-def ordinal_bce(spark, d):
+def ordinal_bce(spark: SparkSession, d: str) -> DataFrame:
     p = _probs(spark, d).withColumn("target", L.ordinal_encode("true_idx", len(CL)))
     return _r(M.ordinal_bce(p, "ord_logits", "target"))
 
@@ -69,22 +69,22 @@ def _model0(spark, d, with_post=False) -> DataFrame:
     return M.exclude_status(p)
 
 
-def bootstrap_poisson(spark, d):
+def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
     w = B.poisson_weights(_model0(spark, d), POISSON_REPLICATES, 42, "index").where("weight > 0")
     s = M.summary(w, CL, "label", "predicted_label", ["replicate"], "union", weight_col="weight")
     return _r(s.select("replicate", "n", "accuracy", "f1_weighted", "f1_macro"))
 
 
-def bootstrap_multinomial(spark, d):
+def bootstrap_multinomial(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False)
     return B.metrics(M.exclude_status(p), MULTINOMIAL_REPLICATES, 42, "label", "predicted_label", ["model"], "union")
 
 
-def examples_top_n(spark, d):
+def examples_top_n(spark: SparkSession, d: str) -> DataFrame:
     return X.top_n(_model0(spark, d), 2, "label", "index").select("label", "correct", "rank", "index", "predicted_label")
 
 
-def examples_text(spark, d):
+def examples_text(spark: SparkSession, d: str) -> DataFrame:
     top = X.top_n(_model0(spark, d, with_post=True), 2, "label", "index")
     return X.render(top).select("index", "text")
 

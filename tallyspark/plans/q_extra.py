@@ -31,49 +31,49 @@ def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def agreement_count(spark, d):
+def agreement_count(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False)
     return M.agreement_count(p.where("model = 0"), p.where("model = 1"), "index", "predicted_label")
 
 
-def label_vocabulary(spark, d):
+def label_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False).select(normalize("label").alias("t"), normalize("predicted_label").alias("p"))
     return vocabulary(p, "t", "p")
 
 
-def evaluate_bundle(spark, d):
+def evaluate_bundle(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False)
     return _r(M.summary(p, CL, "label", "predicted_label", ["model"], "union"))
 
 
-def pct_change(spark, d):
+def pct_change(spark: SparkSession, d: str) -> DataFrame:
     rs = RL.range_stats(V.run_metrics(spark, d), 10, 90)
     base = rs.where(F.col("run") == 1).select(F.first("mean_f1")).scalar()
     return _r(rs.select("run", "mean_f1", RL.pct_change(F.col("mean_f1"), base, 4).alias("pct_vs_run1")))
 
 
-def examples_failures(spark, d):
+def examples_failures(spark: SparkSession, d: str) -> DataFrame:
     p = M.exclude_status(V.predictions(spark, d, with_post=False).where("model = 1"))
     return X.top_n(p, 5, "label", "index", failures_only=True).select("label", "rank", "index", "predicted_label")
 
 
-def grid_search_full(spark, d):
+def grid_search_full(spark: SparkSession, d: str) -> DataFrame:
     wide = _wide_valid(spark, d).join(_folds(spark, d).select("index", "fold"), "index")
     return _r(EN.grid_search_axes(wide, AXES, CL, "label", ["fold"]))
 
 
-def bootstrap_evaluate(spark, d):
+def bootstrap_evaluate(spark: SparkSession, d: str) -> DataFrame:
     p = M.exclude_status(V.predictions(spark, d, with_post=False))
     return B.evaluate(p, 1000, 42, "label", "predicted_label", ["model"], "true", 100.0)
 
 
-def posts_csv_roundtrip(spark, d):
+def posts_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, f"csv/{uuid.uuid4().hex}")
     SK.write_posts_csv(V.posts_labeled(spark, d), f"{root}/posts_with_labels.csv", ["post"])
     return RD.load_posts(spark, "validation", root, "csv")
 
 
-def predictions_roundtrip(spark, d):
+def predictions_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, f"preds/{uuid.uuid4().hex}")
     p = V.predictions(spark, d, with_post=False).withColumnRenamed("label", "true_label_str")
     SK.write_table(p, root, partition_by=["model"])
@@ -85,7 +85,7 @@ def predictions_roundtrip(spark, d):
                                      F.count_if(F.col("true_label_str") == F.col("predicted_label")).alias("n_correct"))
 
 
-def run_logs_roundtrip(spark, d):
+def run_logs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, f"runlogs/{uuid.uuid4().hex}")
     m = V.run_metrics(spark, d)
     cols = [f.name for f in RD.RUN_METRICS.fields]
@@ -95,18 +95,18 @@ def run_logs_roundtrip(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg("eval_f1_weighted").alias("mean_f1"), F.max("step").alias("max_step")))
 
 
-def head_predictions(spark, d):
+def head_predictions(spark: SparkSession, d: str) -> DataFrame:
     """First rows by id (LIM1): a top-k report, planned as TakeOrderedAndProject."""
     p = V.predictions(spark, d, with_post=False).where("model = 0")
     return p.orderBy("index").limit(5).select("index", "label", "predicted_label")
 
 
-def sorted_metrics(spark, d):
+def sorted_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics log in (run, epoch, step) order (SRT1/SRT2): a range-partitioned sort."""
     return _r(V.run_metrics(spark, d).orderBy("run", "epoch", "step").select("run", "epoch", "step", "eval_f1_weighted"))
 
 
-def fit_eval(spark, d):
+def fit_eval(spark: SparkSession, d: str) -> DataFrame:
     """Refit on labelled train folds + unanimous pseudo-labels, evaluate on fold 0 (ML3)."""
     from tallyspark.operators import pseudolabel as PS
     from tallyspark.operators import training as TR

@@ -35,18 +35,18 @@ def _flat(scored: DataFrame) -> DataFrame:
                          "success")
 
 
-def score_table(spark, d):
+def score_table(spark: SparkSession, d: str) -> DataFrame:
     return _flat(S.score_table(_docs(spark, d), S.length_scorer_factory(len(CL)), CL, "post", "index", 16))
 
 
-def resume_score(spark, d):
+def resume_score(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     first = docs.join(V.table(spark, d, "labels").select(F.col("doc_id").alias("index")), "index", "left_semi")
     existing = S.score_table(first, S.length_scorer_factory(len(CL)), CL)
     return _flat(S.resume_score(docs, existing, S.length_scorer_factory(len(CL)), CL))
 
 
-def evaluate_responder(spark, d):
+def evaluate_responder(spark: SparkSession, d: str) -> DataFrame:
     posts = V.posts_labeled(spark, d).select("index", "post", "label", F.lit("plain").alias("style"),
                                              (F.col("index") % 2 == 1).alias("thinking"))
     schema = StructType([StructField("style", StringType()), StructField("thinking", BooleanType()),
@@ -57,7 +57,7 @@ def evaluate_responder(spark, d):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-def score_stream(spark, d):
+def score_stream(spark: SparkSession, d: str) -> DataFrame:
     base = scratch_path(spark, f"score_stream/{uuid.uuid4().hex}")
     schema = StructType([StructField("doc_id", V.table(spark, d, "documents").schema["doc_id"].dataType),
                          StructField("text", StringType())])
@@ -74,11 +74,11 @@ def score_stream(spark, d):
     return _flat(spark.read.parquet(f"{base}/sink").drop("batch_id"))
 
 
-def rate_audit(spark, d):
+def rate_audit(spark: SparkSession, d: str) -> DataFrame:
     return ST.rate_windows(V.request_log(spark, d), RATE_LIMIT, "ts", "key")
 
 
-def report_roundtrip(spark, d):
+def report_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """All four report sections from one scan: confusion cells are materialised once
     (a reliable checkpoint of a groups x labels^2 table) and every section reads them."""
     allp = V.predictions(spark, d, with_post=False)

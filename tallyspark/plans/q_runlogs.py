@@ -20,12 +20,12 @@ def _r(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def asof_train_eval(spark, d):
+def asof_train_eval(spark: SparkSession, d: str) -> DataFrame:
     out = RL.asof_train_eval(V.run_log(spark, d))
     return _r(out.select("run", "pos", "epoch", "step", "eval_loss", "train_loss", "learning_rate"))
 
 
-def join_train_eval(spark, d):
+def join_train_eval(spark: SparkSession, d: str) -> DataFrame:
     m = V.run_metrics(spark, d)
     tr = m.select("run", "epoch", "step", "train_loss", "learning_rate")
     ev = m.select("run", "epoch", "step", "eval_loss", "eval_f1_weighted")
@@ -34,52 +34,52 @@ def join_train_eval(spark, d):
                          "step_eval", "eval_loss_eval", "eval_f1_weighted_eval"))
 
 
-def carry_last_loss(spark, d):
+def carry_last_loss(spark: SparkSession, d: str) -> DataFrame:
     out = RL.carry_last_loss(V.run_log(spark, d))
     return _r(out.select("run", "pos", "epoch", "eval_loss", "last_train_loss"))
 
 
-def average_per_epoch(spark, d):
+def average_per_epoch(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.average_per_epoch(V.run_metrics(spark, d)))
 
 
-def kfold_summary(spark, d):
+def kfold_summary(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.kfold_summary(V.run_metrics(spark, d)))
 
 
-def best_epoch(spark, d):
+def best_epoch(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.best_epoch(RL.average_per_epoch(V.run_metrics(spark, d))))
 
 
-def best_per_fold(spark, d):
+def best_per_fold(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.best_per_fold(V.run_metrics(spark, d)))
 
 
-def fold_metrics_at_best(spark, d):
+def fold_metrics_at_best(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.fold_metrics_at_best(V.run_metrics(spark, d)))
 
 
-def average_by_position(spark, d):
+def average_by_position(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.average_by_position(V.run_metrics(spark, d, fractional=True)))
 
 
-def block_means(spark, d):
+def block_means(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.block_means(V.run_metrics(spark, d), 10))
 
 
-def block_means_wide(spark, d):
+def block_means_wide(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.block_means_wide(RL.block_means(V.run_metrics(spark, d), 10), RUNS))
 
 
-def range_stats(spark, d):
+def range_stats(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.range_stats(V.run_metrics(spark, d), 10, 90))
 
 
-def early_stop(spark, d):
+def early_stop(spark: SparkSession, d: str) -> DataFrame:
     return _r(RL.early_stop(V.run_metrics(spark, d), 10))
 
 
-def compare_models(spark, d):
+def compare_models(spark: SparkSession, d: str) -> DataFrame:
     p = V.predictions(spark, d, with_post=False)
     s = M.run_summary(p, DEFAULT_CLASSES, "label", "predicted_label", ["model"])
     s = s.withColumn("model_name", display_name(F.concat(F.lit("model-"), F.col("model").cast("string"), F.lit("-preview"))))

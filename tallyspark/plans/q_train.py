@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.functions.labels import DEFAULT_CLASSES
 from tallyspark.operators import splits as SP
@@ -12,19 +12,19 @@ from tallyspark.plans import views as V
 CL = DEFAULT_CLASSES
 
 
-def kfold_fit_predict(spark, d):
+def kfold_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     pl = V.posts_labeled(spark, d)
     folds = SP.stratified_kfold(pl, 5, 42, "label", "index", CL)
     out = TR.kfold_fit_predict(folds, 5, "fold", CL, "label", max_iter=10)
     return out.select("index", "fold", "label", "predicted_label")
 
 
-def fit_all(spark, d):
+def fit_all(spark: SparkSession, d: str) -> DataFrame:
     return TR.fit_all(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), CL, max_iter=10).select(
         "index", "predicted_label")
 
 
-def pseudo_rounds(spark, d):
+def pseudo_rounds(spark: SparkSession, d: str) -> DataFrame:
     return TR.pseudo_rounds(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), 2, 0.9, CL, max_iter=10)
 
 
