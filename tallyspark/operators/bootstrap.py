@@ -47,9 +47,10 @@ def uniform52(seed: int, rep: Column, id_col: str) -> Column:
 def poisson_weights(df: DataFrame, replicates: int, seed: int = 42, id_col: str = "index") -> DataFrame:
     """Adds ``replicate`` (explode 0..B-1) and ``weight`` ~ Poisson(1) per row and replicate (SPL5)."""
     x = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = uniform52(seed, F.col("replicate"), id_col)
-    w = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in poisson1_thresholds()), F.lit(0))
-    return x.withColumn("weight", w.cast("long"))
+    # the uniform is projected once; the 18 threshold tests read the column, not the md5
+    x = x.withColumn("_u", uniform52(seed, F.col("replicate"), id_col))
+    w = sum((F.when(F.col("_u") >= F.lit(c), 1).otherwise(0) for c in poisson1_thresholds()), F.lit(0))
+    return x.withColumn("weight", w.cast("long")).drop("_u")
 
 
 def _replicate_metrics(t: np.ndarray, p: np.ndarray, counts: np.ndarray, label_set: str,
