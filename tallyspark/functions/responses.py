@@ -54,18 +54,15 @@ def default_rules(classes: Sequence[str]) -> tuple[tuple[str, tuple[str, ...]],
     return tuple((c, (c.lower(),)) for c in classes)
 
 
-def extract_label(col: str | Column, classes: Sequence[str] = DEFAULT_CLASSES, thinking: bool = False,
-                  synonyms: Sequence[tuple[str, Sequence[str]]] | Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Class label from a free-text response (TXT1; TXT2 is ``thinking=False``).
+def _rules(classes: Sequence[str], synonyms) -> list:
+    if isinstance(synonyms, Mapping):
+        return list(synonyms.items())
+    return list(synonyms or default_rules(classes))
 
-    1. (thinking) ``Final Classification: <word>`` if the word is a class;
-    2. (thinking) after the first ``</thinking>``: first class (vocabulary order) as a whole word;
-    3. lower-case, strip a run of filler prefixes (no word boundary, as in the source rule);
-    4. first class matching as a whole word or as the start of the text (plurals);
-    5. keyword rules in order; 6. ``LABEL_NOT_FOUND``.
-    """
-    rules = list(synonyms.items()) if isinstance(synonyms, Mapping) else list(synonyms or default_rules(classes))
-    s = ustrip(_c(col))
+
+def _cascade(s: Column, t: Column, ts: Column, classes: Sequence[str], thinking: bool, rules: list) -> Column:
+    """The label cascade over the stripped text ``s``, the prefix-stripped lower text ``t``
+    and its stripped form ``ts`` (see ``extract_label``)."""
     steps: list[Column] = []
     if thinking:
         g = F.lower(F.regexp_extract(s, "(?iU)" + FINAL_PATTERN, 1))
@@ -77,8 +74,6 @@ def extract_label(col: str | Column, classes: Sequence[str] = DEFAULT_CLASSES, t
             found = (F.when(_whole_word(after, c), F.lit(c)) if found is None
                      else found.when(_whole_word(after, c), F.lit(c)))
         steps.append(F.when(pos > 0, found))
-    t = F.regexp_replace(F.lower(s), "(?U)" + PREFIX_PATTERN, "")
-    ts = ustrip(t)
     word = None
     for c in classes:
         cond = _whole_word(t, c) | ts.startswith(F.lit(c.lower()))
@@ -96,6 +91,35 @@ def extract_label(col: str | Column, classes: Sequence[str] = DEFAULT_CLASSES, t
     return F.coalesce(*steps, F.lit(LABEL_NOT_FOUND))
 
 
+def extract_label(col: str | Column, classes: Sequence[str] = DEFAULT_CLASSES, thinking: bool = False,
+                  synonyms: Sequence[tuple[str, Sequence[str]]] | Mapping[str, Sequence[str]] | None = None) -> Column:
+    """Class label from a free-text response (TXT1; TXT2 is ``thinking=False``).
+
+    1. (thinking) ``Final Classification: <word>`` if the word is a class;
+    2. (thinking) after the first ``</thinking>``: first class (vocabulary order) as a whole word;
+    3. lower-case, strip a run of filler prefixes (no word boundary, as in the source rule);
+    4. first class matching as a whole word or as the start of the text (plurals);
+    5. keyword rules in order; 6. ``LABEL_NOT_FOUND``.
+    For large tables prefer ``with_extracted_label``, which projects the shared
+    intermediate texts once per row.
+    """
+    s = ustrip(_c(col))
+    t = F.regexp_replace(F.lower(s), "(?U)" + PREFIX_PATTERN, "")
+    return _cascade(s, t, ustrip(t), classes, thinking, _rules(classes, synonyms))
+
+
+def with_extracted_label(df, col: str, out_col: str, classes: Sequence[str] = DEFAULT_CLASSES,
+                         thinking: bool = False, synonyms=None):
+    """``df`` + ``out_col`` = ``extract_label(col)``, with the stripped / lower-cased /
+    prefix-stripped texts projected once as columns instead of recomputed inside
+    every branch of the cascade."""
+    x = df.withColumn("_rsp_s", ustrip(F.col(col)))
+    x = x.withColumn("_rsp_t", F.regexp_replace(F.lower(F.col("_rsp_s")), "(?U)" + PREFIX_PATTERN, ""))
+    x = x.withColumn("_rsp_ts", ustrip(F.col("_rsp_t")))
+    lab = _cascade(F.col("_rsp_s"), F.col("_rsp_t"), F.col("_rsp_ts"), classes, thinking, _rules(classes, synonyms))
+    return x.withColumn(out_col, lab).drop("_rsp_s", "_rsp_t", "_rsp_ts")
+
+
 def extract_label_after_marker(col: str | Column, marker: str, classes: Sequence[str] = DEFAULT_CLASSES) -> Column:
     """Generative-model parse (TXT3): text after ``marker`` (up to a second marker),
     ``<think>...</think>`` blocks removed, first class (vocabulary order) that occurs

@@ -165,8 +165,9 @@ def evaluate_responder(df: DataFrame, prompts: DataFrame, responder_factory: Res
     from tallyspark.functions import responses as R
     rendered = PR.render(df, prompts)
     r = respond(rendered, responder_factory, "prompt", id_col, keep=[true_col, thinking_col])
-    parsed = F.when(F.col(thinking_col), R.extract_label("response", classes, thinking=True)).otherwise(
-        R.extract_label("response", classes, thinking=False))
+    r = R.with_extracted_label(r, "response", "_lt", classes, thinking=True)
+    r = R.with_extracted_label(r, "response", "_lp", classes, thinking=False)
+    parsed = F.when(F.col(thinking_col), F.col("_lt")).otherwise(F.col("_lp"))
     label = F.when(F.col("error").isNotNull(), F.lit(API_ERROR)).otherwise(parsed)
     return r.select(id_col, true_col, F.coalesce(F.col("response"), F.col("error")).alias("predicted_text"),
                     label.alias("predicted_label"), F.col("error").isNull().alias("success"))

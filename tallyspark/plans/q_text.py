@@ -28,8 +28,9 @@ EOS = "</s>"
 
 def extract_label(spark: SparkSession, d: str) -> DataFrame:
     r = V.responses(spark, d)
-    return r.select("index", R.extract_label("response", CL, thinking=True).alias("label_thinking"),
-                    R.extract_label("response", CL, thinking=False).alias("label_plain"))
+    r = R.with_extracted_label(r, "response", "label_thinking", CL, thinking=True)
+    r = R.with_extracted_label(r, "response", "label_plain", CL, thinking=False)
+    return r.select("index", "label_thinking", "label_plain")
 
 
 def _marked(r: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def extract_after_marker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _status_predictions(spark: SparkSession, d: str) -> DataFrame:
-    r = V.responses(spark, d)
-    parsed = R.extract_label("response", CL, thinking=True)
-    return r.select("index", "label", R.classify_status("finish_reason", "has_parts", "error", parsed).alias("predicted_label"))
+    r = R.with_extracted_label(V.responses(spark, d), "response", "_parsed", CL, thinking=True)
+    return r.select("index", "label",
+                    R.classify_status("finish_reason", "has_parts", "error", F.col("_parsed")).alias("predicted_label"))
 
 
 def finish_status(spark: SparkSession, d: str) -> DataFrame:

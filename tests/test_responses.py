@@ -84,3 +84,11 @@ def test_render_prompt_and_missing_template(spark):
     t = spark.createDataFrame([("p", "a")], "post string, label string").select(
         PR.render_training("Post: {}\nLabel: {}", "post", "label", "</s>").alias("t")).first().t
     assert t == "Post: p\nLabel: a</s>"
+
+
+@pytest.mark.parametrize("thinking", [True, False])
+def test_projected_cascade_equals_expression(spark, thinking):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(CASES)], "i int, r string")
+    a = sorted(df.select("i", R.extract_label("r", CL, thinking=thinking).alias("l")).collect())
+    b = sorted(R.with_extracted_label(df, "r", "l", CL, thinking=thinking).select("i", "l").collect())
+    assert a == b
