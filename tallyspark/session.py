@@ -91,9 +91,9 @@ def ship_package(spark: SparkSession) -> None:
 
     Needed when the driver imports the package from a path the executors do not
     have (e.g. a notebook or a driver run from another folder). The package is
-    zipped once per application next to the package (or in a temp folder if that
-    is read-only) and handed to ``SparkContext.addPyFile``, which serves it to
-    every executor.
+    zipped once per application next to the package and handed to
+    ``SparkContext.addPyFile``, which serves it to every executor. A read-only
+    install is assumed to be on the executors already (``--py-files``).
     """
     sc = spark.sparkContext
     app = sc.applicationId
@@ -106,7 +106,9 @@ def ship_package(spark: SparkSession) -> None:
     try:
         os.makedirs(out_dir, exist_ok=True)
     except OSError:
-        out_dir = tempfile.mkdtemp(prefix="tallyspark-pkg-")
+        # read-only install: the package is expected on the executors already (e.g. --py-files)
+        spark.conf.set(_SHIPPED_KEY, app)
+        return
     zpath = os.path.join(out_dir, f"tallyspark-{digest}.zip")
     if not os.path.exists(zpath):
         tmp = zpath + f".{os.getpid()}.part"
