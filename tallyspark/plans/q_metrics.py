@@ -39,6 +39,16 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(M.run_summary(p, CL, "label", "predicted_label", ["model"]))
 
 
+RUN_TS = "2025-01-01 12:30:00"
+
+
+def run_summary_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Run summary with an injected run timestamp rendered as yyyy-MM-dd HH:mm:ss (AGG8 + DTE1)."""
+    p = V.predictions(spark, d, with_post=False)
+    out = M.run_summary(p, CL, "label", "predicted_label", ["model"], run_ts=RUN_TS)
+    return round_doubles(out.select("model", "timestamp", "total_posts", "valid_predictions_for_metrics", "f1_weighted"))
+
+
 def macro_label_sets(spark: SparkSession, d: str) -> DataFrame:
     """Macro / weighted F1 under the three label-set conventions, sentinels kept (AGG5, AGG9, LBL11).
 
@@ -62,6 +72,7 @@ QUERIES = {
     "per_class": per_class,
     "classification_report": classification_report,
     "run_summary": run_summary,
+    "run_summary_stamped": run_summary_stamped,
     "macro_label_sets": macro_label_sets,
     "metrics_large": metrics_large,
 }
@@ -117,6 +128,13 @@ SQL = {
                round(CASE WHEN c.valid_predictions_for_metrics > 0 THEN coalesce(avg.precision_weighted, 0.0) ELSE 0.0 END, 6) AS precision_weighted,
                round(CASE WHEN c.valid_predictions_for_metrics > 0 THEN coalesce(avg.recall_weighted, 0.0) ELSE 0.0 END, 6) AS recall_weighted
         FROM counters c LEFT JOIN acc USING (model) LEFT JOIN avg USING (model)""",
+    "run_summary_stamped": with_views("predictions") + ",\n" + K.metric_chain("predictions", "model", CL, where=_NOT_SENT) + f"""
+        SELECT c.model, strftime(TIMESTAMP '{RUN_TS}', '%Y-%m-%d %H:%M:%S') AS timestamp, c.total_posts,
+               c.valid AS valid_predictions_for_metrics,
+               round(CASE WHEN c.valid > 0 THEN coalesce(avg.f1_weighted, 0.0) ELSE 0.0 END, 6) AS f1_weighted
+        FROM (SELECT model, count(*) AS total_posts,
+                     count(*) FILTER (WHERE predicted_label IS NULL OR {_NOT_SENT}) AS valid
+              FROM predictions GROUP BY model) c LEFT JOIN avg USING (model)""",
     "macro_label_sets": with_views("predictions") + ",\n"
         + K.metric_chain("predictions", "model", CL, "fixed", prefix="fx_") + ",\n"
         + K.metric_chain("predictions", "model", CL, "true", prefix="tr_") + ",\n"
