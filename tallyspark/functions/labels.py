@@ -75,6 +75,17 @@ def softmax(logits_col: str | Column) -> Column:
     return F.transform(ex, lambda x: x / total)
 
 
+def with_softmax(df: DataFrame, logits_col: str, out_col: str = "probs") -> DataFrame:
+    """``df`` + ``out_col`` = softmax(logits), with the row max and the exponentials
+    projected once as columns (the lambdas then read columns, not recomputed
+    sub-expressions), which matters for wide class vocabularies."""
+    x = df.withColumn("_sm_m", F.array_max(F.col(logits_col)))
+    x = x.withColumn("_sm_e", F.transform(F.col(logits_col), lambda v: F.exp(v - F.col("_sm_m"))))
+    x = x.withColumn("_sm_t", F.aggregate(F.col("_sm_e"), F.lit(0.0), lambda acc, v: acc + v))
+    return x.withColumn(out_col, F.transform(F.col("_sm_e"), lambda v: v / F.col("_sm_t"))).drop(
+        "_sm_m", "_sm_e", "_sm_t")
+
+
 def argmax(arr_col: str | Column) -> Column:
     """0-based position of the first maximum (LBL8)."""
     a = _c(arr_col)

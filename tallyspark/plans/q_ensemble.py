@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions.labels import DEFAULT_CLASSES, softmax
+from tallyspark.functions.labels import DEFAULT_CLASSES, with_softmax
 from tallyspark.operators import ensemble as EN
 from tallyspark.operators import metrics as M
 from tallyspark.operators import pseudolabel as PS
@@ -130,7 +130,7 @@ def size_report_folds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confidence_filter(spark: SparkSession, d: str) -> DataFrame:
-    sc = V.logits(spark, d).select("index", softmax("logits").alias("probs"))
+    sc = with_softmax(V.logits(spark, d).select("index", "logits"), "logits", "probs")
     return _r(PS.confidence_filter(sc, CONF_THRESHOLD, "probs").select("index", "max_prob"))
 
 

@@ -37,7 +37,7 @@ def ordinal_predict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _probs(spark, d) -> DataFrame:
-    return V.logits(spark, d).select("index", "true_idx", "logits", "ord_logits", L.softmax("logits").alias("probs"))
+    return L.with_softmax(V.logits(spark, d).select("index", "true_idx", "logits", "ord_logits"), "logits", "probs")
 
 
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:

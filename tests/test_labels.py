@@ -38,3 +38,10 @@ def test_normalize_and_vocabulary(spark):
     assert vocab == {"behavior": 0, "ideation": 1, "nan": 2}
     assert [r.s for r in spark.createDataFrame([("LABEL_NOT_FOUND",), ("a",)], "x string").select(
         L.status("x").alias("s")).collect()] == ["label_not_found", "ok"]
+
+
+def test_with_softmax_equals_expression(spark):
+    df = spark.createDataFrame([([1.0, 2.0, -3.0],), ([0.0, 0.0, 0.0],)], "z array<double>")
+    a = [r.p for r in df.select(L.softmax("z").alias("p")).collect()]
+    b = [r.p for r in L.with_softmax(df, "z", "p").select("p").collect()]
+    assert a == b
