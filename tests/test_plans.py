@@ -41,3 +41,14 @@ def test_top_n_limits_before_shuffle(spark):
 def test_predictions_without_text_do_not_read_it(spark):
     plan = plan_of(E.queries()["run_summary"](spark, SF_SMALL))
     assert "text:string" not in plan
+
+
+def test_leakage_broadcasts_small_reference(spark):
+    plan = plan_of(E.queries()["ngram_overlap"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_vote_alignment_is_one_aggregation(spark):
+    plan = plan_of(E.queries()["weighted_vote"](spark, SF_SMALL))
+    joins = [ln for ln in plan.splitlines() if ln.startswith("(") and "Join" in ln and "Broadcast" not in ln]
+    assert joins == []  # no shuffle joins: common ids and alignment come from the same groupBy
