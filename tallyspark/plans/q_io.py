@@ -58,18 +58,12 @@ def evaluate_responder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_stream(spark: SparkSession, d: str) -> DataFrame:
+    """documents.parquet as a file stream -> incremental scoring (availableNow) -> read the sink."""
     base = scratch_path(spark, f"score_stream/{uuid.uuid4().hex}")
     schema = StructType([StructField("doc_id", V.table(spark, d, "documents").schema["doc_id"].dataType),
                          StructField("text", StringType())])
-    src = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "documents.parquet").load(d)
-    src = src.select(F.col("doc_id").alias("index"), F.col("text").alias("post"))
-
-    def batch(df, epoch_id):
-        sc = S.score_table(df.dropDuplicates(["index"]), S.length_scorer_factory(len(CL)), CL)
-        sc.write.mode("overwrite").parquet(f"{base}/sink/batch_id={epoch_id}")
-
-    q = (src.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
+    q = ST.score_stream(spark, d, schema, f"{base}/sink", f"{base}/checkpoint", S.length_scorer_factory(len(CL)), CL,
+                        glob="documents.parquet", rename={"doc_id": "index", "text": "post"})
     q.awaitTermination()
     return _flat(spark.read.parquet(f"{base}/sink").drop("batch_id"))
 

@@ -14,7 +14,8 @@ from tallyspark.operators.scoring import ScorerFactory, score_table
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_path: str, checkpoint_path: str,
                  scorer_factory: ScorerFactory, classes: Sequence[str] = DEFAULT_CLASSES, id_col: str = "index",
-                 text_col: str = "post", glob: str | None = None, available_now: bool = True):
+                 text_col: str = "post", glob: str | None = None, available_now: bool = True,
+                 rename: dict[str, str] | None = None):
     """Incremental scoring with durable progress (STR1).
 
     The file source + checkpoint replace the processed-id set of the source;
@@ -27,6 +28,8 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.load(source_dir)
+    if rename:
+        stream = stream.withColumnsRenamed(rename)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         todo = df.dropDuplicates([id_col])
