@@ -105,10 +105,17 @@ def ship_package(spark: SparkSession) -> None:
     out_dir = os.path.join(os.path.dirname(pkg_dir), "build")
     try:
         os.makedirs(out_dir, exist_ok=True)
+        if not os.access(out_dir, os.W_OK):
+            raise OSError(out_dir)
     except OSError:
-        # read-only install: the package is expected on the executors already (e.g. --py-files)
-        spark.conf.set(_SHIPPED_KEY, app)
-        return
+        # read-only install: use the session's shared checkpoint folder when it is a plain
+        # file system path; otherwise the package is expected on the executors (--py-files)
+        shared = ensure_checkpoint_dir(spark)
+        if not shared.startswith(("file:", "/")):
+            spark.conf.set(_SHIPPED_KEY, app)
+            return
+        out_dir = os.path.join(shared.replace("file:", "", 1), "tallyspark-pkg")
+        os.makedirs(out_dir, exist_ok=True)
     zpath = os.path.join(out_dir, f"tallyspark-{digest}.zip")
     if not os.path.exists(zpath):
         tmp = zpath + f".{os.getpid()}.part"
