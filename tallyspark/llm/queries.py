@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import quality, rules
+from tallyspark.llm import jaccard, quality, rules
 from tallyspark.llm.common import table
 
 
@@ -20,9 +20,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy component of every document by 4-word shingles at 0.85."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op8_quality_rules": op8_quality_rules,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {}
