@@ -37,7 +37,7 @@ from tallyspark.llm.components import components
 class Settings:
     shingle: int = 4
     percent: int = 85                   #: least Jaccard similarity in hundredths
-    frequency_bits: int = 22            #: log2 of the size of the hashed frequency table
+    frequency_bits: int = 20            #: log2 of the size of the hashed frequency table
     block_sets: int = 1024              #: sets of a chunk of a block
     block_bytes: int = 16 << 20         #: bytes of the sets of a chunk
     slice_columns: int = 2048           #: columns multiplied at once
@@ -81,12 +81,12 @@ def frequency_levels(docs: DataFrame, s: Settings) -> np.ndarray:
             for _, _, buf, offs in _chunks(b.column(0)):
                 g, _ = shingles(buf, offs, s.shingle)
                 np.add.at(total, (g & np.uint64(size - 1)).astype(np.int64), 1)
-        blocks = np.split(total.astype(np.int64), parts)
+        blocks = np.split(total.astype(np.int32), parts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "blob"])
 
-    counts = C.sum_blobs(C.only(docs, "text").mapInArrow(task, "block int, blob binary"), "int64")
-    total = np.concatenate([counts.get(k, np.zeros(size // parts, np.int64)) for k in range(parts)])
+    counts = C.sum_blobs(C.only(docs, "text").mapInArrow(task, "block int, blob binary"), "int32")
+    total = np.concatenate([counts.get(k, np.zeros(size // parts, np.int32)) for k in range(parts)])
     usual = total.mean() + 6 * np.sqrt(total.mean()) + 8
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
 
