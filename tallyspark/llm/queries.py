@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import jaccard, packing, quality, rules
+from tallyspark.llm import jaccard, packing, quality, rules, toxicity
 from tallyspark.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_file(name: str) -> str:
     """The installed public tokenizer file of that name."""
     import public_tokenizers
@@ -38,6 +43,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_jaccard": op10_jaccard,
