@@ -113,12 +113,20 @@ def _prints(key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def size_steps(n: np.ndarray, percent: int) -> np.ndarray:
+    """Log size in 1/256 of the widest ratio of linked sets: linked ones differ by 257 at most."""
+    return (np.log(np.maximum(n, 1)) / np.log(100 / percent) * 256).astype(np.int64) if percent < 100 else n * 300
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, s: Settings) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, fp, null) per document, (null, null, fp, gram) per prefix shingle."""
+    """Rows of two kinds: (doc_id, n, fp, null) per document, (null, null, fp, gram) per prefix shingle.
+
+    ``gram`` holds the 48-bit shingle above 16 bits of the set's log size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,19 +143,20 @@ def prefixes(docs: DataFrame, levels: np.ndarray, s: Settings) -> DataFrame:
                 take = np.where(new & (n > 0), prefix_length(n, s.percent), 0)
                 rows = np.repeat(np.arange(hi - lo), take)
                 at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + cuts[:-1][rows]
+                gram = ((key[at] & _G48) << np.uint64(16)) | np.minimum(size_steps(n, s.percent), 65535).astype(np.uint64)[rows]
                 ids = b.column(0).slice(lo, hi - lo)
                 none = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.concat_arrays([ids.cast(pa.int64()), none]),
                     pa.concat_arrays([pa.array(n, pa.int64()), none]),
                     pa.array(np.concatenate((fp, fp[rows])), pa.int64()),
-                    pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array((key[at] & _G48).view(np.int64), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(gram.view(np.int64), pa.int64())]),
                 ], names=["doc_id", "n", "fp", "gram"])
     return C.only(docs, "doc_id", "text").mapInArrow(task, "doc_id long, n long, fp long, gram long")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
-    """(gram, fp): the prefix rows whose shingle belongs to two or more distinct sets."""
+    """(gram, fp): prefix rows whose shingle another set of a size within the bound has too."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, prints = [], []
         for b in batches:
@@ -155,38 +164,53 @@ def shared_grams(rows: DataFrame) -> DataFrame:
             prints.append(b.column(1).to_numpy(zero_copy_only=False))
         if not grams:
             return
-        g, f = np.concatenate(grams), np.concatenate(prints)
-        order = np.argsort(g, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1], [True])))
-        some = np.repeat(np.diff(edge) > 1, np.diff(edge))  # rows of shingles that occur twice
-        g, f = g[order][some], f[order][some]
-        order = np.lexsort((f, g))
-        g, f = g[order], f[order]
-        first = np.concatenate(([True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])))[:len(g)]
-        g, f = g[first], f[first]
-        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
-        some = np.repeat(np.diff(edge) > 1, np.diff(edge)) if len(g) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(g[some], pa.int64()), pa.array(f[some], pa.int64())], names=["gram", "fp"])
-    return rows.repartition("gram").mapInArrow(task, "gram long, fp long")
+        x, f = np.concatenate(grams).view(np.uint64), np.concatenate(prints)
+        order = np.argsort(x, kind="stable")
+        x, f = x[order], f[order]
+
+        def near(x: np.ndarray) -> np.ndarray:  # to the next row: same shingle, size within the bound
+            return ((x[1:] >> np.uint64(16)) == (x[:-1] >> np.uint64(16))) & (x[1:] - x[:-1] <= np.uint64(257))
+        n = near(x)
+        some = np.concatenate((n, [False])) | np.concatenate(([False], n))
+        x, f = x[some], f[some]
+        order = np.lexsort((f, x))
+        x, f = x[order], f[order]
+        first = np.ones(len(x), bool)  # a set may come from several tasks: once is enough
+        first[1:] = (x[1:] != x[:-1]) | (f[1:] != f[:-1])
+        x, f = x[first], f[first]
+        if not len(x):
+            return
+        n = near(x)
+        some = np.concatenate((n, [False])) | np.concatenate(([False], n))
+        yield pa.RecordBatch.from_arrays([pa.array((x[some] >> np.uint64(16)).view(np.int64), pa.int64()), pa.array(f[some], pa.int64())], names=["gram", "fp"])
+    return rows.repartition(F.shiftrightunsigned("gram", 16)).mapInArrow(task, "gram long, fp long")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
-    """(fp, n, grams binary): the whole sets of the documents in ``ids`` (doc_id, fp), one row per fp."""
+    """(fp, n, grams binary): the whole sets of the documents in ``ids`` (doc_id, fp).
+
+    One row per fp and task: rows that repeat a document come once from a task.
+    """
     if ids.count() <= s.broadcast_ids:
         ids = F.broadcast(ids)
     levels = np.zeros(1, np.uint8)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for lo, hi, buf, offs in _chunks(b.column(1)):
                 key, cuts = _sorted_sets(buf, offs, s, levels)
                 want = b.column(0).slice(lo, hi - lo).to_pylist()
-                keep = [i for i, (f, w) in enumerate(zip(_prints(key, cuts).tolist(), want, strict=True)) if f == w]
+                keep = []
+                for i, (f, w) in enumerate(zip(_prints(key, cuts).tolist(), want, strict=True)):
+                    if f == w and f not in seen:
+                        seen.add(f)
+                        keep.append(i)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([want[i] for i in keep], pa.int64()), pa.array(np.diff(cuts)[keep], pa.int64()),
                     pa.array([key[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], names=["fp", "n", "grams"])
     rows = C.only(docs, "doc_id", "text").join(ids, "doc_id").select("fp", "text")
-    return rows.mapInArrow(task, "fp long, n long, grams binary").dropDuplicates(["fp"])
+    return rows.mapInArrow(task, "fp long, n long, grams binary")
 
 
 def linked_pairs(sets: list[np.ndarray], apart: np.ndarray, left: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +305,7 @@ def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     ``members`` has (gram, fp, apart). Blocks over ``block_sets`` sets or ``block_bytes`` are
     cut into chunks by a hash; each pair of chunks is one tile.
     """
-    rows = members.join(sets.select("fp", "n"), "fp")
+    rows = members.join(sets.select("fp", "n").dropDuplicates(["fp"]), "fp")
     size = rows.groupBy("gram").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / s.block_sets), F.ceil(F.sum("n") * 8 / s.block_bytes), F.lit(1)).cast("int").alias("parts"))
     rows = rows.join(size, "gram").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -291,11 +315,11 @@ def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), (side, fp, apart, grams) in by_group(batches, 3):
-            order = sorted(range(len(fp)), key=side.__getitem__)
+            order = sorted({f: k for k, f in enumerate(fp)}.values(), key=side.__getitem__)  # a set once
             found = [np.frombuffer(grams[k], np.uint64) for k in order]
-            left = len(fp) if i == j else side.count(0)
+            left = len(order) if i == j else sum(side[k] == 0 for k in order)
             a, b = linked_pairs(found, np.array([apart[k] for k in order]), left, s)
-            if edges := _forest(a, b, len(fp)):
+            if edges := _forest(a, b, len(order)):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([fp[order[x]] for x, _ in edges], pa.int64()), pa.array([fp[order[y]] for _, y in edges], pa.int64())], names=["u", "v"])
     full = tiles.join(sets.select("fp", "grams"), "fp").select("gram", "i", "j", "side", "fp", "apart", "grams")
