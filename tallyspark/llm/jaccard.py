@@ -4,10 +4,13 @@ A document's set is its distinct word shingles (case-folded A-Z), as 64-bit hash
 global order of shingles, two sets with Jaccard >= t share one of the first
 ``n - ceil(t n) + 1`` shingles of each. So:
 
+   It shares l of them if each prefix is l - 1 longer; here l is a twentieth of the set.
+
 1. Shingle frequencies are counted over all documents in a table of fixed size (hashed); the
    order puts frequent ones last, so that common passages don't gather unlike documents.
 2. Every distinct set emits its prefix; shingles of two or more sets give the blocks of the
-   incidence matrix that can hold linked pairs.
+   incidence matrix that can hold linked pairs. Sets with fewer than l shared shingles go,
+   and of blocks with the same sets one stays.
 3. A block's product is accumulated over slices of its columns. Pairs whose overlap can no
    longer reach ``t / (1 + t) * (n_a + n_b)`` are discarded; what stays is decided on the
    exact integers. A block returns a spanning forest of its links, never all pairs.
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
@@ -119,7 +122,12 @@ def size_steps(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + 1
+    return n - (n * percent + 99) // 100 + 1 + n // 20
+
+
+def least_shared(n: str, percent: int) -> Column:
+    """How many prefix shingles a set of n shares with any set linked to it: l of the smaller one."""
+    return F.expr(f"1 + (({n} * {percent} + 99) div 100) div 20")
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, s: Settings) -> DataFrame:
@@ -186,6 +194,19 @@ def shared_grams(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.shiftrightunsigned("gram", 16)).mapInArrow(task, "gram long, fp long")
 
 
+def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) -> DataFrame:
+    """``shared`` without sets that share too little, and one block of those with equal members."""
+    for _ in range(rounds):
+        enough = (shared.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).join(sizes, "fp")
+                  .where(F.col("k") >= least_shared("n", s.percent)).select("fp"))
+        shared = shared.join(enough, "fp")
+        shared = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram").select("gram", "fp")
+        shared = C.materialise(shared, "shared")
+    members = shared.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("b"))
+    return shared.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
+
+
 def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """(fp, n, grams binary): the whole sets of the documents in ``ids`` (doc_id, fp).
 
@@ -340,9 +361,10 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     rows = C.materialise(prefixes(docs, levels, s), "prefix")
     per_doc = rows.where("n is not null").select("doc_id", "n", "fp")
     known = per_doc.where("doc_id is not null and n > 0")
-    first = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    first = C.materialise(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "distinct")
     shared = C.materialise(shared_grams(rows.where("gram is not null").select("gram", "fp")), "shared")
-    sets = C.materialise(set_table(docs, first.join(shared.select("fp").distinct(), "fp"), s), "sets")
+    shared = C.materialise(pruned(shared, first.select("fp", "n"), s), "blocks")
+    sets = C.materialise(set_table(docs, first.select("fp", "doc_id").join(shared.select("fp").distinct(), "fp"), s), "sets")
 
     one = shared.groupBy("fp").agg(F.min("gram").alias("gram")).select("gram", "fp", F.col("fp").alias("apart"))
     edges = C.materialise(block_links(one, sets, s), "links")
@@ -359,3 +381,23 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     linked = known.join(of_set, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = per_doc.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def representatives(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component (see jaccard_components).
+
+    The document with the component's smallest id stays; of several rows with that id, the
+    first by text. Documents without words and rows with a null doc_id all stay.
+    """
+    s = settings or Settings()
+    found = C.materialise(jaccard_components(docs, s), "components")
+    gone = found.where("component_id != doc_id").select("doc_id")
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.max("n_shingles").alias("m")).where("k > 1 and m > 0").select("doc_id")
+    lists = []
+    for ids in (gone.union(again), again.join(gone, "doc_id", "left_anti")):
+        ids = C.materialise(ids.distinct(), "ids")
+        lists.append(F.broadcast(ids) if ids.count() <= s.broadcast_ids else ids)
+    once = docs.join(lists[0], "doc_id", "left_anti").select(docs.columns)
+    rank = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    more = docs.join(lists[1], "doc_id", "left_semi").select("*", F.row_number().over(rank).alias("_rank")).where("_rank = 1").select(docs.columns)
+    return once.union(more)
