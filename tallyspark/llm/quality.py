@@ -202,6 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, s: Settings) ->
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
+    "predicted" is 1 where the score reaches ``threshold``.
+
     Empty and null texts get the score of an all-zero feature row. Repeated rows each get
     their row; a null doc_id stays null with held_out null. Without labels (or with one
     class only) every text gets the smoothed share of label 1. An empty table gives no rows.
@@ -222,3 +224,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
     return (rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
             .withColumn("predicted", (F.col("score") >= s.threshold).cast("int")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold (see quality_scores)."""
+    s = settings or Settings()
+    table = word_vectors(docs, s)
+    shared = docs.sparkSession.sparkContext.broadcast((table, train(docs, labels, table, s)))
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, net = shared.value
+        for b in batches:
+            yield b.filter(pa.array(net.probability(pooled(b.column(place), table)) >= s.threshold))
+    return docs.mapInArrow(keep, docs.schema)

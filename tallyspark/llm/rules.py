@@ -13,6 +13,7 @@ per bucket and task, scoring shuffles nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import fsum, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 8192         #: of hashed n-grams
-    smoothing: float = 1.0      #: added to each bucket's count
+    smoothing: float = 1.0      #: added to each bucket's count in the corpus
+    prior: float = 160_000.0    #: n-grams that the target has as the corpus has them, besides its own
     max_target: int = 50_000    #: bound of the trusted sample (documents)
     threshold: float = -0.045   #: least log-likelihood ratio per n-gram
     min_words: int = 50
@@ -93,35 +95,46 @@ def ratio_table(counts: DataFrame, s: Settings) -> list[float]:
     """log p_target - log p_raw of each bucket: one list of ``buckets`` numbers (a set size)."""
     spark = counts.sparkSession
     full = (spark.range(s.buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-            .select("bucket", (F.coalesce("raw", F.lit(0)) + s.smoothing).alias("r"), (F.coalesce("target", F.lit(0)) + s.smoothing).alias("t")))
-    rows = {r["bucket"]: r for r in full.select("bucket", F.log("t").alias("lt"), F.log("r").alias("lr"), "t", "r").collect()}
-    from math import fsum, log
-    of_t, of_r = log(fsum(r["t"] for r in rows.values())), log(fsum(r["r"] for r in rows.values()))
-    return [round((rows[b]["lt"] - of_t) - (rows[b]["lr"] - of_r), 4) for b in range(s.buckets)]
+            .select("bucket", (F.coalesce("raw", F.lit(0)) + s.smoothing).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
+    rows = sorted(full.collect())
+    of_raw, of_target = fsum(r["raw"] for r in rows), fsum(r["target"] for r in rows)
+    shares = [r["raw"] / of_raw for r in rows]
+    return [round(log((r["target"] + s.prior * p) / (of_target + s.prior) / p), 4) for r, p in zip(rows, shares, strict=True)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept).
 
     One row per row of ``docs``, repeated rows included. Null and empty texts have no words,
-    fail the base rule and have the ratio 0. A null doc_id stays. Without labels the target
-    equals the smoothed uniform distribution of no documents, so then every ratio is set to
-    0 and only the base rule decides. Columns besides doc_id and text are ignored; an empty
+    fail the base rule and have the ratio 0. A null doc_id stays. Without trusted
+    documents every ratio is 0 and only the base rule decides; with few it is near 0. Columns besides doc_id and text are ignored; an empty
     table gives no rows.
     """
-    s = settings or Settings()
+    return _judged(docs, labels, settings or Settings()).drop("_row")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept (see quality_rules).
+
+    The filter also looks at a row number, which keeps the optimizer from copying the nested
+    array expressions behind ``kept`` below the projections that share them.
+    """
+    judged = _judged(docs, labels, settings or Settings()).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where("kept and _at >= 0").select("_row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     trusted = C.train_sample(labels.where(F.col("quality") == 1), "quality", s.max_target)
-    counts = ngram_counts(docs, trusted, s)
-    table = ratio_table(counts, s)
-    return apply_rules(docs, table, s)
+    return apply_rules(docs, ratio_table(ngram_counts(docs, trusted, s), s), s)
 
 
 def apply_rules(docs: DataFrame, table: list[float], s: Settings) -> DataFrame:
+    """The judged rows, with each whole input row in the struct ``_row``."""
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")  # folded to one literal
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), words(F.col("text")).alias("_w"),
+    df = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), words(F.col("text")).alias("_w"),
                      lines(F.col("text")).alias("_l"))
     df = df.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        "_row", "doc_id", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         symbols(F.col("text")).alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     df = with_repeat_words(df, "_h", "n_repeat_words")
@@ -134,5 +147,5 @@ def apply_rules(docs: DataFrame, table: list[float], s: Settings) -> DataFrame:
     df = df.withColumn("llr", F.round(total / grams, 9)).drop("_h")
     failed = (F.col("n_words") < s.min_words) | (100 * F.col("n_repeat_words") > s.max_repeat_percent * F.col("n_words"))
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         "llr", (~failed & (F.col("llr") >= s.threshold)).alias("kept"))
