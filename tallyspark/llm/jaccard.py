@@ -4,13 +4,13 @@ A document's set is its distinct word shingles (case-folded A-Z), as 64-bit hash
 global order of shingles, two sets with Jaccard >= t share one of the first
 ``n - ceil(t n) + 1`` shingles of each. So:
 
-   It shares l of them if each prefix is l - 1 longer; here l is a twentieth of the set.
+   It shares l of them if each prefix is l - 1 longer; here l is a tenth of the set.
 
 1. Shingle frequencies are counted over all documents in a table of fixed size (hashed); the
    order puts frequent ones last, so that common passages don't gather unlike documents.
 2. Every distinct set emits its prefix; shingles of two or more sets give the blocks of the
-   incidence matrix that can hold linked pairs. Sets with fewer than l shared shingles go,
-   and of blocks with the same sets one stays.
+   incidence matrix that can hold linked pairs. Sets with fewer than l shared shingles go;
+   then the plain prefixes are enough, and of blocks with the same sets one stays.
 3. A block's product is accumulated over slices of its columns. Pairs whose overlap can no
    longer reach ``t / (1 + t) * (n_a + n_b)`` are discarded; what stays is decided on the
    exact integers. A block returns a spanning forest of its links, never all pairs.
@@ -49,6 +49,7 @@ class Settings:
 
 _CODES = C.byte_codes(211, fold_case=True)
 _G48 = np.uint64((1 << 48) - 1)
+_FLAT = np.zeros(1, np.uint8)  # an order without frequencies
 _ROWS = 4000  # rows of a chunk of text: their number is put above 4 + 48 bits
 
 
@@ -122,18 +123,31 @@ def size_steps(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (n * percent + 99) // 100 + 1 + n // 20
+    return n - (n * percent + 99) // 100 + 1 + n // 10
 
 
 def least_shared(n: str, percent: int) -> Column:
     """How many prefix shingles a set of n shares with any set linked to it: l of the smaller one."""
-    return F.expr(f"1 + (({n} * {percent} + 99) div 100) div 20")
+    return F.expr(f"1 + (({n} * {percent} + 99) div 100) div 10")
+
+
+def documents(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, n, fp) of each row: the size and the fingerprint of its set."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, buf, offs in _chunks(b.column(1)):
+                key, cuts = _sorted_sets(buf, offs, s, _FLAT)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(_prints(key, cuts), pa.int64())],
+                    names=["doc_id", "n", "fp"])
+    return C.only(docs, "doc_id", "text").mapInArrow(task, "doc_id long, n long, fp long")
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, s: Settings) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, fp, null) per document, (null, null, fp, gram) per prefix shingle.
+    """(gram, fp): the prefix shingles of each distinct set, at least once.
 
-    ``gram`` holds the 48-bit shingle above 16 bits of the set's log size.
+    ``gram`` has the 48-bit shingle, 15 bits of the set's log size, and 0 in the last bit
+    where the shingle is in the plain prefix (l = 1).
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -144,27 +158,22 @@ def prefixes(docs: DataFrame, levels: np.ndarray, s: Settings) -> DataFrame:
                 key, cuts = _sorted_sets(buf, offs, s, shared.value)
                 n, fp = np.diff(cuts), _prints(key, cuts)
                 new = np.zeros(hi - lo, bool)
-                for i, x in enumerate(fp.tolist()):
-                    if x not in seen:
+                for i, (x, known) in enumerate(zip(fp.tolist(), b.column(0).slice(lo, hi - lo).is_valid().to_pylist(), strict=True)):
+                    if known and x not in seen:
                         seen.add(x)
                         new[i] = True
                 take = np.where(new & (n > 0), prefix_length(n, s.percent), 0)
                 rows = np.repeat(np.arange(hi - lo), take)
-                at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + cuts[:-1][rows]
-                gram = ((key[at] & _G48) << np.uint64(16)) | np.minimum(size_steps(n, s.percent), 65535).astype(np.uint64)[rows]
-                ids = b.column(0).slice(lo, hi - lo)
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([ids.cast(pa.int64()), none]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), none]),
-                    pa.array(np.concatenate((fp, fp[rows])), pa.int64()),
-                    pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(gram.view(np.int64), pa.int64())]),
-                ], names=["doc_id", "n", "fp", "gram"])
-    return C.only(docs, "doc_id", "text").mapInArrow(task, "doc_id long, n long, fp long, gram long")
+                rank = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                beyond = rank >= (prefix_length(n, s.percent) - n // 10)[rows]
+                size = np.minimum(size_steps(n, s.percent), 32767).astype(np.uint64) << np.uint64(1)
+                gram = ((key[rank + cuts[:-1][rows]] & _G48) << np.uint64(16)) | size[rows] | beyond
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(fp[rows], pa.int64())], names=["gram", "fp"])
+    return C.only(docs, "doc_id", "text").mapInArrow(task, "gram long, fp long")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
-    """(gram, fp): prefix rows whose shingle another set of a size within the bound has too."""
+    """(gram, fp, plain): prefix rows whose shingle another set of a size within the bound has too."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, prints = [], []
         for b in batches:
@@ -177,7 +186,7 @@ def shared_grams(rows: DataFrame) -> DataFrame:
         x, f = x[order], f[order]
 
         def near(x: np.ndarray) -> np.ndarray:  # to the next row: same shingle, size within the bound
-            return ((x[1:] >> np.uint64(16)) == (x[:-1] >> np.uint64(16))) & (x[1:] - x[:-1] <= np.uint64(257))
+            return ((x[1:] >> np.uint64(16)) == (x[:-1] >> np.uint64(16))) & ((x[1:] >> np.uint64(1)) - (x[:-1] >> np.uint64(1)) <= np.uint64(257))
         n = near(x)
         some = np.concatenate((n, [False])) | np.concatenate(([False], n))
         x, f = x[some], f[some]
@@ -190,23 +199,38 @@ def shared_grams(rows: DataFrame) -> DataFrame:
             return
         n = near(x)
         some = np.concatenate((n, [False])) | np.concatenate(([False], n))
-        yield pa.RecordBatch.from_arrays([pa.array((x[some] >> np.uint64(16)).view(np.int64), pa.int64()), pa.array(f[some], pa.int64())], names=["gram", "fp"])
-    return rows.repartition(F.shiftrightunsigned("gram", 16)).mapInArrow(task, "gram long, fp long")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((x[some] >> np.uint64(16)).view(np.int64), pa.int64()), pa.array(f[some], pa.int64()), pa.array((x[some] & np.uint64(1)) == 0)],
+            names=["gram", "fp", "plain"])
+    return rows.repartition(F.shiftrightunsigned("gram", 16)).mapInArrow(task, "gram long, fp long, plain boolean")
 
 
 def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) -> DataFrame:
-    """``shared`` without sets that share too little, and one block of those with equal members."""
+    """(gram, fp) of plain prefixes, without sets that share too little, equal blocks once."""
+    def in_two(rows: DataFrame) -> DataFrame:
+        two = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+        return rows.join(two, "gram").select("gram", "fp", "plain")
     for _ in range(rounds):
         enough = (shared.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).join(sizes, "fp")
                   .where(F.col("k") >= least_shared("n", s.percent)).select("fp"))
-        shared = shared.join(enough, "fp")
-        shared = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "gram").select("gram", "fp")
-        shared = C.materialise(shared, "shared")
+        shared = C.materialise(in_two(shared.join(enough, "fp")), "shared")
+    shared = C.materialise(in_two(shared.where("plain")), "plain")
     members = shared.groupBy("gram").agg(
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("b"))
     return shared.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """48-bit shingles as 6 bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """(fp, n, grams binary): the whole sets of the documents in ``ids`` (doc_id, fp).
 
@@ -214,13 +238,12 @@ def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """
     if ids.count() <= s.broadcast_ids:
         ids = F.broadcast(ids)
-    levels = np.zeros(1, np.uint8)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for lo, hi, buf, offs in _chunks(b.column(1)):
-                key, cuts = _sorted_sets(buf, offs, s, levels)
+                key, cuts = _sorted_sets(buf, offs, s, _FLAT)
                 want = b.column(0).slice(lo, hi - lo).to_pylist()
                 keep = []
                 for i, (f, w) in enumerate(zip(_prints(key, cuts).tolist(), want, strict=True)):
@@ -229,7 +252,7 @@ def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([want[i] for i in keep], pa.int64()), pa.array(np.diff(cuts)[keep], pa.int64()),
-                    pa.array([key[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], names=["fp", "n", "grams"])
+                    pa.array([_pack(key[cuts[i]:cuts[i + 1]]) for i in keep], pa.binary())], names=["fp", "n", "grams"])
     rows = C.only(docs, "doc_id", "text").join(ids, "doc_id").select("fp", "text")
     return rows.mapInArrow(task, "fp long, n long, grams binary")
 
@@ -337,7 +360,7 @@ def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), (side, fp, apart, grams) in by_group(batches, 3):
             order = sorted({f: k for k, f in enumerate(fp)}.values(), key=side.__getitem__)  # a set once
-            found = [np.frombuffer(grams[k], np.uint64) for k in order]
+            found = [_unpack(grams[k]) for k in order]
             left = len(order) if i == j else sum(side[k] == 0 for k in order)
             a, b = linked_pairs(found, np.array([apart[k] for k in order]), left, s)
             if edges := _forest(a, b, len(order)):
@@ -358,11 +381,10 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     """
     s = settings or Settings()
     levels = frequency_levels(docs, s)
-    rows = C.materialise(prefixes(docs, levels, s), "prefix")
-    per_doc = rows.where("n is not null").select("doc_id", "n", "fp")
+    per_doc = C.materialise(documents(docs, s), "documents")
     known = per_doc.where("doc_id is not null and n > 0")
     first = C.materialise(known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "distinct")
-    shared = C.materialise(shared_grams(rows.where("gram is not null").select("gram", "fp")), "shared")
+    shared = C.materialise(shared_grams(prefixes(docs, levels, s)), "shared")
     shared = C.materialise(pruned(shared, first.select("fp", "n"), s), "blocks")
     sets = C.materialise(set_table(docs, first.select("fp", "doc_id").join(shared.select("fp").distinct(), "fp"), s), "sets")
 
