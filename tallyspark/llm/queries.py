@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import jaccard, packing, pii, quality, rules, toxicity
+from tallyspark.llm import embedding, jaccard, packing, pii, quality, rules, toxicity
 from tallyspark.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Settings(tokenizer_file("word_bpe_49k.json")))
 
 
+def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label at cosine 0.93."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: pattern spans and those that the field adds."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op6_embedding": op6_embedding,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op10_jaccard": op10_jaccard,
