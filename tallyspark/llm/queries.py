@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import embedding, jaccard, packing, pii, quality, rules, toxicity
+from tallyspark.llm import embedding, jaccard, licenses, merges, packing, pii, quality, rules, toxicity, wordpiece
 from tallyspark.llm.common import table
 
 
@@ -31,6 +31,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Settings(tokenizer_file("word_bpe_49k.json")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece length of every document."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.Settings(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label at cosine 0.93."""
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -46,6 +56,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout, with checksums of ids and of the decoded text."""
+    return merges.digests(table(spark, sf_dir, "documents"), merges.Settings(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document by 4-word shingles at 0.85."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -55,9 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
+    "op5_token_counts": op5_token_counts,
     "op6_embedding": op6_embedding,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
+    "op9_merge_dropout": op9_merge_dropout,
     "op10_jaccard": op10_jaccard,
 }
 
