@@ -15,8 +15,11 @@ global order of shingles, two sets with Jaccard >= t share one of the first
    longer reach ``t / (1 + t) * (n_a + n_b)`` are discarded; what stays is decided on the
    exact integers. A block returns a spanning forest of its links, never all pairs.
    Blocks over a set size are cut into tiles of two chunks each.
-4. First every set joins its first block only. Later blocks leave out what is already in one
-   component, so that a large group of near copies is multiplied once, not once a shingle.
+4. Blocks that share sets form a family. The sets of a family of up to ``family_parts`` chunks
+   are multiplied with one another at once, so each moves as often as there are chunks. In
+   larger families every set first joins its two largest blocks only (the largest, and the
+   largest of at most ``small_block`` sets); other blocks are multiplied only if they have
+   sets in different components that haven't met in those.
 
 Equal sets are one vertex throughout. Vertices are 64-bit fingerprints of the sets: for
 10^6 distinct sets the chance that any two agree is about 3e-8.
@@ -43,6 +46,8 @@ class Settings:
     frequency_bits: int = 20            #: log2 of the size of the hashed frequency table
     block_sets: int = 1024              #: sets of a chunk of a block
     block_bytes: int = 16 << 20         #: bytes of the sets of a chunk
+    family_parts: int = 4               #: chunks of a family that is multiplied as one block
+    small_block: int = 32
     slice_columns: int = 2048           #: columns multiplied at once
     broadcast_ids: int = 1_000_000      #: up to so many ids (8 MB) are broadcast; more are shuffled
 
@@ -206,7 +211,10 @@ def shared_grams(rows: DataFrame) -> DataFrame:
 
 
 def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) -> DataFrame:
-    """(gram, fp) of plain prefixes, without sets that share too little, equal blocks once."""
+    """(gram, fp) of plain prefixes, without sets that share too little, equal blocks once.
+
+    Last, each block keeps the sets whose prefixes overlap enough with those of another there.
+    """
     def in_two(rows: DataFrame) -> DataFrame:
         two = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
         return rows.join(two, "gram").select("gram", "fp", "plain")
@@ -214,10 +222,11 @@ def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) ->
         enough = (shared.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).join(sizes, "fp")
                   .where(F.col("k") >= least_shared("n", s.percent)).select("fp"))
         shared = C.materialise(in_two(shared.join(enough, "fp")), "shared")
-    shared = C.materialise(in_two(shared.where("plain")), "plain")
-    members = shared.groupBy("gram").agg(
+    plain = C.materialise(in_two(shared.where("plain")), "plain")
+    members = plain.groupBy("gram").agg(
         F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("b"))
-    return shared.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
+    blocks = plain.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
+    return hopeful(C.materialise(blocks, "blocks"), shared, sizes, s)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -258,23 +267,35 @@ def set_table(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
 
 
 def linked_pairs(sets: list[np.ndarray], apart: np.ndarray, left: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a < b) of linked sets; ``apart[a] == apart[b]`` pairs are of no interest.
-
-    Only rows below ``left`` are multiplied with all rows. Overlap counts are accumulated
-    over slices of the columns; rows without a pair that can still reach its bound drop out.
-    """
+    """Index pairs (a < b) of linked sets, a below ``left``; not those with equal ``apart``."""
     n = np.array([len(x) for x in sets], np.int64)
-    m = len(sets)
     need = ((n[:left, None] + n[None, :]) * s.percent + 99 + s.percent) // (100 + s.percent)  # ceil(t / (1 + t) * sum)
     alive = (np.minimum(n[:left, None], n[None, :]) >= need) & (apart[:left, None] != apart[None, :])
-    alive &= np.arange(left)[:, None] < np.arange(m)[None, :]
+    return overlapping(sets, alive, need, s)
+
+
+def prefix_pairs(prefixes: list[np.ndarray], n: np.ndarray, left: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets of n shingles whose prefixes share as many as those of linked sets must."""
+    low, high = np.minimum(n[:left, None], n[None, :]), np.maximum(n[:left, None], n[None, :])
+    return overlapping(prefixes, 100 * low >= s.percent * high, 1 + low // 10, s)
+
+
+def overlapping(sets: list[np.ndarray], alive: np.ndarray, need: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (a < b) with ``alive[a, b]`` that have ``need[a, b]`` shingles in common.
+
+    The sparse product of the rows of ``alive`` with all sets, over slices of the columns.
+    Pairs whose count can't reach the need with what is still to come drop out.
+    """
+    m, left = len(sets), len(alive)
+    n = np.array([len(x) for x in sets], np.int64)
+    alive = alive & (np.arange(left)[:, None] < np.arange(m)[None, :])
     if not alive.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows_on, cols_on = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
     used = np.union1d(rows_on, cols_on)
     grams = np.concatenate([sets[i] for i in used])
     own = np.repeat(used, n[used])
-    vocabulary, col = np.unique(grams, return_inverse=True)
+    _, col = np.unique(grams, return_inverse=True)
     twice = np.bincount(col)[col] > 1  # a shingle of one set adds to no overlap
     _, col = np.unique(col[twice], return_inverse=True)
     own = own[twice]
@@ -285,8 +306,7 @@ def linked_pairs(sets: list[np.ndarray], apart: np.ndarray, left: int, s: Settin
     r_at, c_at = np.full(m, -1), np.full(m, -1)
     r_at[rows_on], c_at[cols_on] = np.arange(len(rows_on)), np.arange(len(cols_on))
     later = np.bincount(own, minlength=m).astype(np.int64)  # shingles of each set in the slices to come
-    live = alive[np.ix_(rows_on, cols_on)]
-    need = need[np.ix_(rows_on, cols_on)]
+    live, need = alive[np.ix_(rows_on, cols_on)], need[np.ix_(rows_on, cols_on)]
     for at in range(0, width, s.slice_columns):
         lo, hi = np.searchsorted(col, (at, at + s.slice_columns))
         o, c = own[lo:hi], col[lo:hi] - at
@@ -343,31 +363,83 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield now, held
 
 
-def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(u, v): a spanning forest of the links inside each tile of each block.
+def _tiles(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The rows (gram, i, j, side, fp, apart, n, grams) of each tile of each block, in order.
 
-    ``members`` has (gram, fp, apart). Blocks over ``block_sets`` sets or ``block_bytes`` are
-    cut into chunks by a hash; each pair of chunks is one tile.
+    Blocks over ``block_sets`` sets or ``block_bytes`` are cut into chunks by a hash; each
+    pair of chunks is one tile.
     """
     rows = members.join(sets.select("fp", "n").dropDuplicates(["fp"]), "fp")
     size = rows.groupBy("gram").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / s.block_sets), F.ceil(F.sum("n") * 8 / s.block_bytes), F.lit(1)).cast("int").alias("parts"))
+        F.ceil(F.count(F.lit(1)) / s.block_sets), F.ceil(F.sum("n") * 6 / s.block_bytes), F.lit(1)).cast("int").alias("parts"))
     rows = rows.join(size, "gram").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tiles = rows.select("gram", "fp", "apart", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
         (F.col("part") > F.col("other")).cast("int").alias("side"), "fp", "apart")
+    full = tiles.join(sets.select("fp", "n", "grams"), "fp").select("gram", "i", "j", "side", "fp", "apart", "n", "grams")
+    return full.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
+
+def _sides(i: int, j: int, side: list[int], fp: list[int]) -> tuple[list[int], int]:
+    """A tile's rows, each set once, those of the first chunk first; and how many are multiplied with all."""
+    order = sorted({f: k for k, f in enumerate(fp)}.values(), key=side.__getitem__)
+    return order, len(order) if i == j else sum(side[k] == 0 for k in order)
+
+
+def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): a spanning forest of the links inside each tile of ``members`` (gram, fp, apart)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (side, fp, apart, grams) in by_group(batches, 3):
-            order = sorted({f: k for k, f in enumerate(fp)}.values(), key=side.__getitem__)  # a set once
-            found = [_unpack(grams[k]) for k in order]
-            left = len(order) if i == j else sum(side[k] == 0 for k in order)
-            a, b = linked_pairs(found, np.array([apart[k] for k in order]), left, s)
+        for (_, i, j), (side, fp, apart, _, grams) in by_group(batches, 3):
+            order, left = _sides(i, j, side, fp)
+            a, b = linked_pairs([_unpack(grams[k]) for k in order], np.array([apart[k] for k in order]), left, s)
             if edges := _forest(a, b, len(order)):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([fp[order[x]] for x, _ in edges], pa.int64()), pa.array([fp[order[y]] for _, y in edges], pa.int64())], names=["u", "v"])
-    full = tiles.join(sets.select("fp", "grams"), "fp").select("gram", "i", "j", "side", "fp", "apart", "grams")
-    return full.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(task, "u long, v long")
+    return _tiles(members, sets, s).mapInArrow(task, "u long, v long")
+
+
+def hopeful(blocks: DataFrame, shared: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """``blocks`` (gram, fp) without sets whose shared prefix (``shared``) suffices for no pair there."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([_pack(x.values.to_numpy().view(np.uint64)) for x in b.column(2)], pa.binary())], names=["fp", "n", "grams"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (gram, i, j), (side, fp, _, n, grams) in by_group(batches, 3):
+            order, left = _sides(i, j, side, fp)
+            a, b = prefix_pairs([_unpack(grams[k]) for k in order], np.array([n[k] for k in order]), left, s)
+            if len(a):
+                kept = np.union1d(a, b).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([gram] * len(kept), pa.int64()), pa.array([fp[order[k]] for k in kept], pa.int64())], names=["gram", "fp"])
+    some = shared.join(blocks.select("fp").distinct(), "fp").groupBy("fp").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    prefix = C.materialise(some.join(sizes, "fp").select("fp", "n", "grams").mapInArrow(pack, "fp long, n long, grams binary"), "prefix")
+    rows = blocks.select("gram", "fp", F.col("fp").alias("apart"))
+    return _tiles(rows, prefix, s).mapInArrow(task, "gram long, fp long").distinct()
+
+
+def candidate_links(shared: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): edges with the components of all links between sets that share a block (gram, fp)."""
+    stars = shared.join(shared.groupBy("gram").agg(F.min("fp").alias("v")), "gram").select(F.col("fp").alias("u"), "v")
+    family = C.materialise(components(stars).select(F.col("u").alias("fp"), F.col("component").alias("family")), "families")
+    size = family.join(sets.select("fp", "n").dropDuplicates(["fp"]), "fp").groupBy("family").agg(
+        (F.greatest(F.ceil(F.count(F.lit(1)) / s.block_sets), F.ceil(F.sum("n") * 6 / s.block_bytes)) > s.family_parts).alias("large"))
+    family = C.materialise(family.join(size, "family"), "families")
+    small = family.where("not large").select(F.col("family").alias("gram"), "fp", F.col("fp").alias("apart"))
+    shared = C.materialise(shared.join(family.where("large").select("fp"), "fp").select("gram", "fp"), "large")
+
+    sized = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k")), "gram")
+    order = F.struct("k", "gram")
+    first = C.materialise(sized.groupBy("fp").agg(
+        F.max_by("gram", order).alias("a"), F.max_by("gram", F.when(F.col("k") <= s.small_block, order)).alias("b")).withColumn("b", F.coalesce("b", "a")), "first")
+    two = first.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("gram"), "fp", F.col("fp").alias("apart"))
+    edges = C.materialise(block_links(small.union(two), sets, s), "links")
+    near = C.materialise(components(edges), "near")
+    where = shared.join(first, "fp").join(near.withColumnRenamed("u", "fp"), "fp", "left").select(
+        "gram", "fp", "a", "b", F.coalesce("component", "fp").alias("apart"))
+    several = [F.min(c) != F.max(c) for c in ("apart", "a", "b")]
+    open_ = where.groupBy("gram").agg((several[0] & several[1] & several[2]).alias("open")).where("open").select("gram")
+    return edges.union(block_links(where.join(open_, "gram").select("gram", "fp", "apart"), sets, s))
 
 
 def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -388,13 +460,8 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     shared = C.materialise(pruned(shared, first.select("fp", "n"), s), "blocks")
     sets = C.materialise(set_table(docs, first.select("fp", "doc_id").join(shared.select("fp").distinct(), "fp"), s), "sets")
 
-    one = shared.groupBy("fp").agg(F.min("gram").alias("gram")).select("gram", "fp", F.col("fp").alias("apart"))
-    edges = C.materialise(block_links(one, sets, s), "links")
-    near = C.materialise(components(edges), "near")
-    where = shared.join(near.withColumnRenamed("u", "fp"), "fp", "left").select("gram", "fp", F.coalesce("component", "fp").alias("apart"))
-    open_ = where.groupBy("gram").agg(F.min("apart").alias("a"), F.max("apart").alias("b")).where("a != b").select("gram")
-    more = block_links(where.join(open_, "gram"), sets, s)
-    final = components(edges.union(more))
+    edges = candidate_links(shared, sets, s)
+    final = components(edges)
 
     # the smallest id of each component of sets, then of each set
     of_set = first.join(final.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("c"))
