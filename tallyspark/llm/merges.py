@@ -33,8 +33,26 @@ class Settings:
     model: str                  #: path of a sentencepiece merge model with byte pieces
     dropout: float = 0.1
     seed: int = 41
-    variants: int = 4           #: segmentations that a word can take over the corpus
-    memo_chunks: int = 400_000  #: chunks that a worker remembers
+    variants: int = 2           #: segmentations that a word can take over the corpus
+    memo_chunks: int = 300_000  #: chunks of each of two generations that a worker remembers
+
+
+class Memo:
+    """Two generations: what the older one still gets asked for moves to the younger one."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: tuple) -> list[int] | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: tuple, value: list[int]) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Codec:
@@ -86,21 +104,22 @@ class Codec:
 
     CHUNKS = re.compile(f" *[^ \n\t{MARK}]+| +|[\n\t]|{MARK}")
 
-    def encode(self, text: str, variant: int, s: Settings, memo: dict) -> list[int]:
+    def encode(self, text: str, variant: int, s: Settings, memo: Memo) -> list[int]:
         if not text:
             return []
-        key, out = b"%d:%d" % (s.seed, variant), []
+        key, out, young = b"%d:%d" % (s.seed, variant), [], memo.young
         for chunk in self.CHUNKS.findall(" " + text):
-            ids = memo.get((variant, chunk))
+            ids = young.get((variant, chunk))
             if ids is None:
-                if chunk == MARK:
-                    ids = [self.byte[c] for c in chunk.encode()]
-                else:
-                    ids = self.merge(list(chunk.replace(" ", MARK)), key, s.dropout)
-                if len(chunk) <= 48:
-                    if len(memo) >= s.memo_chunks:
-                        memo.clear()
-                    memo[variant, chunk] = ids
+                ids = memo.get((variant, chunk))
+                if ids is None:
+                    if chunk == MARK:
+                        ids = [self.byte[c] for c in chunk.encode()]
+                    else:
+                        ids = self.merge(list(chunk.replace(" ", MARK)), key, s.dropout)
+                    if len(chunk) <= 48:
+                        memo.put((variant, chunk), ids)
+                young = memo.young
             out += ids
         return out
 
@@ -118,6 +137,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def _variants(docs: DataFrame, s: Settings) -> DataFrame:
+    variant = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return rows.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(variant).alias("variant"), "text")
+
+
 def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, variant, ids) for every row of ``docs``; null and empty texts have no ids.
 
@@ -127,18 +152,13 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     s = settings
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, memo = codec(s.model), {}
+        c, memo = codec(s.model), Memo(s.memo_chunks)
         for b in batches:
-            step = 1000
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 ids = [c.encode(t.as_py() or "", v, s, memo) for t, v in zip(part.column(2), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "variant", "ids"])
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int"), F.lit(0)).alias("variant"), F.col("text"))
-    rows = rows.withColumn("variant", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("variant")))
-    return rows.mapInArrow(task, "doc_id long, variant int, ids array<int>")
+    return _variants(docs, s).mapInArrow(task, "doc_id long, variant int, ids array<int>")
 
 
 def decode(encoded: DataFrame, settings: Settings) -> DataFrame:
@@ -157,15 +177,17 @@ def digests(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, variant, n_tokens, ids_crc32, text_crc32): encoded, and the decoded text's checksum.
 
     ``ids_crc32`` is over little-endian unsigned 32-bit ids, ``text_crc32`` over the UTF-8
-    bytes of the text decoded from the ids.
+    bytes of the text decoded from the ids. The ids are as ``encode`` gives them.
     """
     s = settings
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(s.model)
+        c, memo = codec(s.model), Memo(s.memo_chunks)
         for b in batches:
-            ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(c.decode(x.tolist()).encode()) for x in ids], pa.int64())], names=["doc_id", "variant", "n_tokens", "ids_crc32", "text_crc32"])
-    return encode(docs, s).mapInArrow(task, "doc_id long, variant int, n_tokens long, ids_crc32 long, text_crc32 long")
+            out = []
+            for t, v in zip(b.column(2), b.column(1).to_pylist(), strict=True):
+                ids = c.encode(t.as_py() or "", v, s, memo)
+                out.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(c.decode(ids).encode())))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *[pa.array([o[k] for o in out], pa.int64()) for k in range(3)]], names=["doc_id", "variant", "n_tokens", "ids_crc32", "text_crc32"])
+    return _variants(docs, s).mapInArrow(task, "doc_id long, variant int, n_tokens long, ids_crc32 long, text_crc32 long")
