@@ -14,7 +14,8 @@ settle; runs of other tokens whose label has a posterior over ``least`` become a
 say, a number that is written elsewhere in the document in a form that a pattern matches.
 
 All potentials are trained piecewise from counts over all documents, with the base spans as
-labels. The counts are grouped by shape, of which there is a fixed number.
+labels; a token without one that is linked to a token with one has no known label and isn't
+counted. The counts are grouped by shape, of which there is a fixed number.
 """
 
 from __future__ import annotations
@@ -255,11 +256,18 @@ def _tally(text: str, s: Settings) -> Counter:
     base = base_spans(text)
     g = graph(text, base, s.min_digits)
     n: Counter = Counter()
-    for shape, y in zip(g.shapes, g.seen.tolist(), strict=True):
-        n["n", int(np.ravel_multi_index(shape, _SIZES)), y] += 1
-    for what, links in (("c", g.chain), ("s", g.skip)):
-        for i, j in links:
-            n[what, int(g.seen[i]), int(g.seen[j])] += 1
+    seen = g.seen.tolist()
+    known = [y > 0 for y in seen]  # or linked to one that is
+    for i, j in [*g.skip, *reversed(g.skip)]:
+        known[i] = known[j] = known[i] or known[j]
+    for shape, y, k in zip(g.shapes, seen, known, strict=True):
+        if y or not k:
+            n["n", int(np.ravel_multi_index(shape, _SIZES)), y] += 1
+    for i, j in g.chain:
+        n["c", seen[i], seen[j]] += 1
+    for i, j in g.skip:
+        if seen[i] and seen[j]:
+            n["s", seen[i], seen[j]] += 1
     return n
 
 
