@@ -65,7 +65,7 @@ def score_stream(spark: SparkSession, d: str) -> DataFrame:
     q = ST.score_stream(spark, d, schema, f"{base}/sink", f"{base}/checkpoint", S.length_scorer_factory(len(CL)), CL,
                         glob="documents.parquet", rename={"doc_id": "index", "text": "post"})
     q.awaitTermination()
-    return _flat(spark.read.parquet(f"{base}/sink").drop("batch_id"))
+    return _flat(spark.read.parquet(f"{base}/sink").drop("batch_id", "query"))
 
 
 def rate_audit(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 CLS = "['indicator','ideation','behavior','attempt']"
 
+def _sums(n: int) -> str:
+    """List of n sums of a vector: of the values whose 0-based position mod n is 0 to n - 1."""
+    return "[" + ", ".join(f"list_sum(CAST(embedding[{r + 1}:len(embedding):{n}] AS DOUBLE[]))" for r in range(n)) + "]"
+
+
 VIEWS: dict[str, str] = {
     "posts_labeled": """
         SELECT d.doc_id AS "index", d.text AS post,
@@ -32,9 +37,9 @@ VIEWS: dict[str, str] = {
         SELECT conv_id * 100 + turn AS row_pos, CASE WHEN turn = 0 THEN conv_id END AS idx, text AS title,
                CASE WHEN turn = 0 THEN {CLS}[conv_id % 4 + 1] ELSE 'ignored' END AS label
         FROM conversations""",
-    "logits": """
-        SELECT vec_id AS "index", CAST(embedding[1:4] AS DOUBLE[]) AS logits,
-               CAST(embedding[1:3] AS DOUBLE[]) AS ord_logits, CAST(label % 4 AS INTEGER) AS true_idx
+    "logits": f"""
+        SELECT vec_id AS "index", {_sums(4)} AS logits,
+               {_sums(3)} AS ord_logits, CAST(label % 4 AS INTEGER) AS true_idx
         FROM embeddings""",
     "run_metrics": """
         SELECT run, CAST(ep AS DOUBLE) AS epoch, step,
@@ -54,13 +59,13 @@ VIEWS: dict[str, str] = {
               FROM events GROUP BY ALL)""",
     "run_log": """
         SELECT CAST(user_id % 5 AS INTEGER) AS run, event_id AS pos,
-               CASE WHEN event_type = 'purchase' THEN 'eval' ELSE 'train' END AS kind,
+               CASE WHEN event_type IN ('purchase', 'error') THEN 'eval' ELSE 'train' END AS kind,
                event_id / 50.0 AS epoch, event_id AS step,
-               CASE WHEN event_type <> 'purchase' THEN value END AS loss,
-               CASE WHEN event_type <> 'purchase' THEN value / 1000.0 END AS learning_rate,
-               CASE WHEN event_type = 'purchase' THEN value END AS eval_loss,
-               CASE WHEN event_type = 'purchase' THEN value / (value + 10) END AS eval_f1_weighted
-        FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
+               CASE WHEN event_type NOT IN ('purchase', 'error') THEN value END AS loss,
+               CASE WHEN event_type NOT IN ('purchase', 'error') THEN value / 1000.0 END AS learning_rate,
+               CASE WHEN event_type IN ('purchase', 'error') THEN value END AS eval_loss,
+               CASE WHEN event_type IN ('purchase', 'error') THEN value / (value + 10) END AS eval_f1_weighted
+        FROM events""",
     "responses": """
         SELECT "index", label,
                replace(['Final Classification: {L}', '<thinking>attempt?</thinking> {L}',

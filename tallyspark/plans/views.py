@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.labels import DEFAULT_CLASSES, classes_array
@@ -91,10 +91,15 @@ def raw_sheet(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAULT
 def logits(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
     """embeddings -> (index, logits[k] DOUBLE, ord_logits[3], true_idx = label % 4)."""
     em = table(spark, sf_dir, "embeddings")
-    arr = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    def sums(n: int) -> Column:
+        """n numbers from the whole vector: sums of the values whose position mod n is 0 to n - 1."""
+        def one(r: int) -> Column:
+            own = F.filter("embedding", lambda x, i: i % n == r)
+            return F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double"))
+        return F.array(*[one(r) for r in range(n)])
     return em.select(F.col("vec_id").alias("index"),
-                     F.slice(arr, 1, k).alias("logits"),
-                     F.slice(arr, 1, k - 1).alias("ord_logits"),
+                     sums(k).alias("logits"),
+                     sums(k - 1).alias("ord_logits"),
                      (F.col("label") % k).cast("int").alias("true_idx"))
 
 
@@ -121,9 +126,9 @@ def run_metrics(spark: SparkSession, sf_dir: str, fractional: bool = False) -> D
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events (view/click/purchase) -> heterogeneous trainer log rows (train or eval)."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
-    is_eval = F.col("event_type") == "purchase"
+    """events -> heterogeneous trainer log rows: purchase and error are eval, the others train."""
+    ev = table(spark, sf_dir, "events")
+    is_eval = F.coalesce(F.col("event_type").isin("purchase", "error"), F.lit(False))
     return ev.select(
         (F.col("user_id") % 5).cast("int").alias("run"),
         F.col("event_id").alias("pos"),
