@@ -308,6 +308,7 @@ def run_summary(df: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, true_co
                 ("labels_not_found_in_response", p == LABEL_NOT_FOUND)]
     stats = label_stats(cells, g, valid, counters)
     gm = group_metrics(stats, classes, g, {"": "fixed"}, [c for c, _ in counters])
+    gm = gm.fillna(0, ["total", "n", *[c for c, _ in counters]])  # no rows at all: every counter is 0
     zero = F.lit(0.0)
     cols = [*g]
     if run_ts is not None:

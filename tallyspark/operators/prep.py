@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyspark.operators.windows import forward_fill
+from tallyspark.session import cut_lineage
 
 SHEET_CHUNK_ROWS = 1 << 20
 
@@ -106,19 +106,18 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def ensure_index(df: DataFrame, col: str = "index") -> DataFrame:
     """Add a 0-based positional id if ``col`` is missing (PRJ5).
 
-    Exact and distributed: per input partition the row count (a table with one
-    row per partition) gives the partition's offset; the position inside the
-    partition comes from ``monotonically_increasing_id``'s low 33 bits.
+    The rows are numbered on one checkpointed copy, so that both uses below see the same
+    partitions whatever plan made them: a table with one row per partition has each
+    partition's offset, the place inside it is ``monotonically_increasing_id``'s low 33 bits.
     """
     if col in df.columns:
         return df
-    x = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    x = cut_lineage(df).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (x.join(F.broadcast(offs), "_pid").withColumn(col, (F.col("_off") + local).cast("long"))
+    return (x.join(offs, "_pid").withColumn(col, (F.col("_off") + local).cast("long"))
             .drop("_pid", "_mid", "_off"))
 
 
@@ -128,5 +127,3 @@ def keep_matching(df: DataFrame, other: DataFrame, key: str = "index", other_key
     right = other.select(F.col(ok).cast(df.schema[key].dataType).alias(key)) if ok != key else other.select(key)
     return df.join(right, key, "left_semi")
 
-
-INDEX_SCHEMA = StructType([StructField("index", LongType(), False)])

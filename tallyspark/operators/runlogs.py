@@ -36,10 +36,10 @@ def _asof_carry(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str
     x = log.withColumn("_ord", order)
     t_struct = F.when(is_train, F.struct(F.col("epoch").alias("te"), *[F.col(c).alias(c) for c in carry]))
     filled = forward_fill(x, [run_col], "_ord", t_struct, "_t", F.floor(F.col("step") / step_chunk))
-    # epoch of the latest *earlier* train row, to detect train epochs that go backwards
-    prev = forward_fill(filled, [run_col], "_ord", F.when(is_train, F.col("epoch")), "_prev_te",
-                        F.floor(F.col("step") / step_chunk))
-    return prev.drop("_ord")
+    # largest epoch of the *earlier* train rows, to detect train epochs that go backwards
+    prev = running_max(filled.withColumn("_te", F.when(is_train, F.col("epoch"))), [run_col], "_ord", "_te", "_prev_te",
+                       F.floor(F.col("step") / step_chunk), inclusive=False)
+    return prev.drop("_ord", "_te")
 
 
 def _asof_range(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str], eps: float) -> DataFrame:
@@ -54,9 +54,11 @@ def _asof_range(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str
                      F.explode(F.array(b0, b0 + 1)).alias("_b"))
     j = keys.join(tr, [run_col, "_b"]).where((F.col("te") > F.col("_ee") - 1.0 + eps) & (F.col("te") <= F.col("_ee") + eps)
                                              & (F.col("ts") <= F.col("_es")))
-    best = j.groupBy("_epos").agg(F.max_by(F.struct(*[F.col(f"_c_{c}").alias(c) for c in carry]),
+    best = j.groupBy(run_col, "_epos").agg(F.max_by(F.struct(*[F.col(f"_c_{c}").alias(c) for c in carry]),
                                            F.struct(F.col("ts"), -F.col("tp"))).alias("_t"))
-    return ev.join(best.withColumnRenamed("_epos", "pos"), "pos", "left")
+    best = best.withColumnsRenamed({"_epos": "pos", run_col: "_run"})
+    same = ev[run_col].eqNullSafe(best["_run"]) & (ev["pos"] == best["pos"])
+    return ev.join(best, same, "left").drop(best["pos"]).drop("_run")
 
 
 def asof_train_eval(log: DataFrame, run_col: str = "run", kind_col: str = "kind",
@@ -79,7 +81,7 @@ def asof_train_eval(log: DataFrame, run_col: str = "run", kind_col: str = "kind"
         c = _asof_carry(log, run_col, kind_col, carry, eps, step_chunk)
         if method == "auto":
             is_train = F.col(kind_col) == "train"
-            bad = c.where((is_train & (F.col("epoch") < F.col("_prev_te")))
+            bad = c.where((is_train & (F.col("epoch").isNull() | (F.col("epoch") < F.col("_prev_te"))))
                           | (~is_train & (F.col("_t.te") > F.col("epoch") + eps))).limit(1).count()
             if bad:
                 method = "range"
@@ -95,12 +97,10 @@ def asof_train_eval(log: DataFrame, run_col: str = "run", kind_col: str = "kind"
 
 def join_train_eval(train: DataFrame, evals: DataFrame, run_col: str = "run", digits: int = 6) -> DataFrame:
     """Left join train rows to eval rows on (run, round(epoch, digits)), suffixes _train/_eval (JN7)."""
-    key = F.round(F.col("epoch"), digits)
     t = train.select(*[F.col(c).alias(c if c in (run_col,) else f"{c}_train") for c in train.columns]).withColumn(
         "_ek", F.round(F.col("epoch_train"), digits))
     e = evals.select(*[F.col(c).alias(c if c in (run_col,) else f"{c}_eval") for c in evals.columns]).withColumn(
         "_ek", F.round(F.col("epoch_eval"), digits))
-    del key
     return t.join(e, [run_col, "_ek"], "left").drop("_ek")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.labels import API_ERROR, DEFAULT_CLASSES
-from tallyspark.session import ship_package, spread
+from tallyspark.session import path_exists, ship_package, spread
 
 ScorerFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 ResponderFactory = Callable[[], Callable[[list[str]], list[str]]]
@@ -108,10 +108,7 @@ def resume_score_to(todo: DataFrame, path: str, scorer_factory: ScorerFactory,
     """Durable resumable scoring (SCR2 + SNK3): score ids missing from the sink at ``path``,
     append them, and return the de-duplicated sink. Safe to rerun after a crash."""
     spark = todo.sparkSession
-    try:
-        existing = read_latest(spark, path, id_col)
-    except Exception:  # noqa: BLE001 - no sink yet
-        existing = None
+    existing = read_latest(spark, path, id_col) if path_exists(spark, path) else None
     if existing is None:
         new = score_table(todo, scorer_factory, classes, text_col, id_col, batch_size)
     else:

@@ -38,11 +38,21 @@ def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, v
     summ = x.groupBy(*p, "_ff_chunk").agg(F.max_by("_ff_in", F.col(order_col)).alias("_ff_last"))
     w_carry = Window.partitionBy(*p).orderBy("_ff_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*p, "_ff_chunk", F.last("_ff_last", ignorenulls=True).over(w_carry).alias("_ff_carry"))
-    out = x.join(summ, p + ["_ff_chunk"], "left")
+    out = _left_null_safe(x, summ, p + ["_ff_chunk"])
     return out.withColumn(out_col, F.coalesce(F.col("_ff_in"), F.col("_ff_carry"))).drop(
         "_ff_chunk", "_ff_v", "_ff_in", "_ff_carry")
 
 
+def _left_null_safe(x: DataFrame, summ: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a summary on ``keys``, where a NULL key meets the NULL key's summary."""
+    right = summ.withColumnsRenamed({k: f"_ns_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = x[k].eqNullSafe(right[f"_ns_{k}"])
+        cond = c if cond is None else cond & c
+    return x.join(right, cond, "left").drop(*[f"_ns_{k}" for k in keys])
+
+
 def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column | str],
                      bucket: Column, out_col: str = "rn", return_counts: bool = False,
                      total_col: str | None = None):
@@ -64,7 +74,7 @@ def exact_row_number(df: DataFrame, partition_cols: Sequence[str], order_cols: S
     w_off = Window.partitionBy(*p).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_rk_n").over(Window.partitionBy(*p)).alias(total_col)] if total_col else []
     offsets = counts.select(*p, "_rk_b", F.coalesce(F.sum("_rk_n").over(w_off), F.lit(0)).alias("_rk_off"), *extra)
-    out = x.join(offsets, p + ["_rk_b"], "left")
+    out = _left_null_safe(x, offsets, p + ["_rk_b"])
     out = out.withColumn(out_col, (F.col("_rk_off") + F.col("_rk_local")).cast("long")).drop(
         "_rk_b", "_rk_off", "_rk_local")
     return (out, counts) if return_counts else out
@@ -84,7 +94,7 @@ def running_max(df: DataFrame, partition_cols: Sequence[str], order_col: str, va
     summ = x.groupBy(*p, "_rm_chunk").agg(F.max(value).alias("_rm_cmax"))
     w_carry = Window.partitionBy(*p).orderBy("_rm_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*p, "_rm_chunk", F.max("_rm_cmax").over(w_carry).alias("_rm_carry"))
-    out = x.join(summ, p + ["_rm_chunk"], "left")
+    out = _left_null_safe(x, summ, p + ["_rm_chunk"])
     both = F.greatest(F.col("_rm_in"), F.col("_rm_carry"))  # greatest skips NULLs
     return out.withColumn(out_col, both).drop("_rm_chunk", "_rm_in", "_rm_carry")
 

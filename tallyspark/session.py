@@ -14,13 +14,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "tallyspark") -> SparkSession:
     """Build (or reuse) a session with AQE on, UI off and UTC time.
 
-    On a cluster, ``master`` stays None and the launcher's settings win; the
+    Under ``spark-submit`` (or with SPARK_MASTER set) ``master`` stays None and the
+    launcher's settings win; only a plain ``python`` run falls back to local mode. The
     shuffle partition count should then be sized to the data (e.g. ~128 MB of
     shuffle data per partition), AQE coalesces the rest.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or os.environ.get("SPARK_MASTER")
+    if master or not submitted:
         builder = builder.master(master or f"local[{cpus}]")
     builder = (
         builder.config("spark.ui.enabled", "false")
@@ -52,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,6 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tallyspark/{name}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -24,9 +24,13 @@ RUN_METRICS = StructType([StructField(c, DoubleType()) for c in (
 KIND_FILES = {"validation": "posts_with_labels", "test": "test_set", "unlabeled": "posts_without_labels"}
 
 
-def _csv(spark: SparkSession, schema: StructType):
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST"))
+def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV table by header name: columns in any order, other columns ignored, absent ones NULL."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+           .option("mode", "FAILFAST").csv(path))
+    tag = F.col("_metadata.file_path").alias("source_file")
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in schema.fields], tag)
 
 
 def load_posts(spark: SparkSession, kind: str, root: str, fmt: str = "csv") -> DataFrame:
@@ -36,7 +40,7 @@ def load_posts(spark: SparkSession, kind: str, root: str, fmt: str = "csv") -> D
     schema = POSTS_UNLABELED if kind == "unlabeled" else POSTS_LABELED
     path = f"{root.rstrip('/')}/{KIND_FILES[kind]}.{fmt}"
     if fmt == "csv":
-        return _csv(spark, schema).csv(path)
+        return _csv(spark, schema, path).drop("source_file")
     return spark.read.schema(schema).parquet(path)
 
 
@@ -45,7 +49,7 @@ def load_predictions(spark: SparkSession, paths: Mapping[str, str], schema: Stru
     """N prediction files -> one long table with a ``model`` column (SRC2)."""
     out = None
     for model, path in paths.items():
-        df = (_csv(spark, schema).csv(path) if fmt == "csv" else spark.read.schema(schema).parquet(path))
+        df = _csv(spark, schema, path).drop("source_file") if fmt == "csv" else spark.read.schema(schema).parquet(path)
         df = df.withColumn("model", F.lit(model))
         out = df if out is None else out.unionByName(df)
     return out
@@ -57,7 +61,7 @@ def load_run_logs(spark: SparkSession, glob: str, schema: StructType = RUN_METRI
 
     ``name_pattern`` may be a list of fallback patterns: the first that matches wins.
     """
-    df = _csv(spark, schema).csv(glob).select("*", F.col("_metadata.file_path").alias("source_file"))
+    df = _csv(spark, schema, glob)
     pats = [name_pattern] if isinstance(name_pattern, str) else list(name_pattern)
     tags = [F.nullif(F.regexp_extract(F.col("source_file"), p, 1), F.lit("")) for p in pats]
     return df.withColumn("run", F.coalesce(*tags))

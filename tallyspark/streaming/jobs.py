@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from tallyspark.functions.labels import DEFAULT_CLASSES
 from tallyspark.operators.scoring import ScorerFactory, score_table
+from tallyspark.session import path_exists
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_path: str, checkpoint_path: str,
@@ -20,10 +22,12 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_
 
     The file source + checkpoint replace the processed-id set of the source;
     each micro-batch is de-duplicated on the id, anti-joined with ids already
-    in the sink (so a replayed or re-landed file is not scored twice) and
-    written to ``sink/batch_id=<epoch>`` with overwrite, which makes a replayed
-    epoch idempotent.
+    in the sink's other folders (so a re-landed file is not scored twice) and
+    written with overwrite to ``sink/query=<checkpoint>/batch_id=<epoch>``: a replayed
+    epoch gives its folder the same rows again, and a restart with a new checkpoint
+    writes beside what is there.
     """
+    query = "q" + hashlib.sha1(checkpoint_path.encode()).hexdigest()[:12]
     reader = spark.readStream.schema(schema).format("parquet")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -33,13 +37,12 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         todo = df.dropDuplicates([id_col])
-        try:
-            done = df.sparkSession.read.parquet(sink_path).select(id_col)
-            todo = todo.join(done, id_col, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no sink yet
-            pass
+        if path_exists(df.sparkSession, sink_path):
+            sink = df.sparkSession.read.parquet(sink_path)
+            own = (F.col("query") == query) & (F.col("batch_id") == epoch_id)
+            todo = todo.join(sink.where(~own).select(id_col), id_col, "left_anti")
         scored = score_table(todo, scorer_factory, classes, text_col, id_col)
-        scored.write.mode("overwrite").parquet(f"{sink_path}/batch_id={epoch_id}")
+        scored.write.mode("overwrite").parquet(f"{sink_path}/query={query}/batch_id={epoch_id}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -23,7 +23,7 @@ def test_posts_csv_roundtrip(spark, tmpdir_path):
     SK.write_posts_csv(df, out, ["post"])
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
     assert '1,"say ""hi"", then  go ",a\n' in text
-    back = RD._csv(spark, RD.POSTS_LABELED).csv(out).orderBy("index").collect()
+    back = RD._csv(spark, RD.POSTS_LABELED, out).orderBy("index").collect()
     assert back[0].post == 'say "hi", then  go ' and back[1].post == "  lead"
 
 

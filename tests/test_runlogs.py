@@ -108,3 +108,18 @@ def test_asof_range_and_auto_on_non_monotone_log(spark):
             exp = c.sort_values(["step", "pos"], ascending=[False, True]).iloc[0].loss if len(c) else None
             g = got.loc[e.pos, "train_loss"]
             assert (exp is None and pd.isna(g)) or g == pytest.approx(exp), method
+
+
+LOG = "run int, pos long, kind string, epoch double, step long, loss double, learning_rate double, eval_loss double"
+
+
+def test_asof_backward_null_epochs_and_positions_per_run(spark):
+    back = spark.createDataFrame([(1, 0, "train", 5.0, 1, 0.5, 0.1, None), (1, 1, "train", 1.0, 2, 0.7, 0.1, None),
+                                  (1, 2, "train", None, 2, 0.9, 0.1, None), (1, 3, "eval", 5.2, 3, None, None, 1.0)], LOG)
+    assert [r.train_loss for r in RL.asof_train_eval(back).collect()] == [0.5]
+    rows = []
+    for run in (1, 2):  # positions start at 0 in each run; epochs go backwards, so the range form is used
+        rows += [(run, 0, "train", 2.0, 1, 10.0 * run, 0.1, None), (run, 1, "train", 1.0, 2, 11.0 * run, 0.1, None),
+                 (run, 2, "eval", 2.1, 3, None, None, 1.0)]
+    got = {r.run: r.train_loss for r in RL.asof_train_eval(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == {1: 10.0, 2: 20.0}

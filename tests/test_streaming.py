@@ -26,6 +26,24 @@ def test_score_stream_is_incremental_and_idempotent(spark, tmpdir_path):
     assert out.select("index").distinct().count() == 15
 
 
+def test_score_stream_restart_and_replay_keep_every_id(spark, tmpdir_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    land, sink = os.path.join(tmpdir_path, "land"), os.path.join(tmpdir_path, "sink")
+    st = StructType([StructField("index", LongType()), StructField("post", StringType())])
+    spark.createDataFrame([(i, "x" * i) for i in range(20)], st).write.parquet(os.path.join(land, "a"))
+
+    def run(ck):
+        ST.score_stream(spark, os.path.join(land, "*"), st, sink, os.path.join(tmpdir_path, ck), S.length_scorer_factory(4)).awaitTermination()
+        ids = sorted(r["index"] for r in spark.read.parquet(sink).select("index").collect())
+        assert ids == list(range(20))
+    run("ck")
+    run("other")  # a new checkpoint starts with epoch 0 again
+    commits = os.path.join(tmpdir_path, "ck", "commits")
+    for f in os.listdir(commits):  # as if the run had died before it committed: the epoch is replayed
+        os.remove(os.path.join(commits, f))
+    run("ck")
+
+
 def test_rate_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:01", "k"), ("2024-01-01 00:00:30", "k"), ("2024-01-01 00:00:59", "k"),
                                 ("2024-01-01 00:01:00", "k")], "ts string, key string").withColumn("ts", F.to_timestamp("ts"))

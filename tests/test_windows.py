@@ -37,3 +37,17 @@ def test_running_max_exclusive(spark):
     m = got.merge(pdf, on=["p", "o"], suffixes=("", "_e"))
     assert ((m["rm"].isna() & m["rm_e"].isna()) | (m["rm"] == m["rm_e"])).all()
     assert len(m) == len(pdf)
+
+
+def test_null_keys_keep_their_carries(spark):
+    rows = [(None if i % 3 == 0 else i % 3, i, None if i % 5 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "p int, o long, v int")
+    w = Window.partitionBy("p").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.withColumn("ff", F.last("v", ignorenulls=True).over(w)).withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("o")).cast("long"))
+    got = forward_fill(df, ["p"], "o", F.col("v"), "ff", F.floor(F.col("o") / 7))
+    got = exact_row_number(got, ["p"], [F.col("o")], F.floor(F.col("o") / 9), "rn")
+    assert sorted(got.select("p", "o", "ff", "rn").collect(), key=key1) == sorted(exp.select("p", "o", "ff", "rn").collect(), key=key1)
+
+
+def key1(r):
+    return r["o"]
