@@ -79,4 +79,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_embedding": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(u, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON r.c = l.u),
+        m AS (SELECT u, min(c) AS c FROM r GROUP BY u),
+        n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+        SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+        FROM embeddings e JOIN m ON m.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+                END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS u, b.doc_id AS w, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT o.u, o.w FROM o JOIN n x ON x.doc_id = o.u JOIN n y ON y.doc_id = o.w WHERE 100 * o.k >= 85 * (x.n + y.n - o.k)),
+        r(u, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.w FROM r JOIN l ON r.c = l.u),
+        m AS (SELECT u, min(c) AS c FROM r GROUP BY u)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+        FROM documents d JOIN m ON m.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
