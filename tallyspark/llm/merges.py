@@ -7,21 +7,20 @@ equals the model's own encoding. A document's variant is a hash of its id, so do
 different segmentations of one word while a worker can remember those it has made.
 
 No piece holds a space mark after another character, and none a line break or tab, so texts
-fall into independent chunks there. Characters outside the vocabulary, and a literal space
+fall into independent chunks there, and before signs that no piece holds behind a letter. Characters outside the vocabulary, and a literal space
 mark, are written as byte pieces; so decoding gives back every text exactly.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +42,13 @@ class Memo:
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key: tuple) -> list[int] | None:
+    def get(self, key: str) -> list[int] | None:
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
             self.put(key, found)
         return found
 
-    def put(self, key: tuple, value: list[int]) -> None:
+    def put(self, key: str, value: list[int]) -> None:
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -61,64 +60,74 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(k) for k in range(n)]
-        self.score = [sp.get_score(k) for k in range(n)]
+        self.rank = [-sp.get_score(k) for k in range(n)]
+        rng = np.random.default_rng(7)
+        self.spice, self.place = rng.integers(0, 1 << 30, n).tolist(), rng.integers(0, 1 << 30, 256).tolist()
         usual = [k for k in range(n) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
         self.id = {self.piece[k]: k for k in usual}
         self.byte = {int(self.piece[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
         self.of_byte = {k: bytes([b]) for b, k in self.byte.items()}
         if len(self.byte) != 256 or any(re.search(f"[^{MARK}]{MARK}|[\n\t]", p) for p in self.id):
             raise ValueError("the model needs byte pieces and pieces that don't go over spaces")
+        # a chunk ends between a character that is no sign and a sign that no piece has behind such a one
+        signs = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+        glue = {b for p in self.id for a, b in zip(p, p[1:], strict=False) if b in signs and a not in signs and a != MARK}
+        q, g = ("".join(map(re.escape, sorted(x))) for x in (signs, glue))
+        glued = f"(?:[{g}][{q}]*[^ \\n\\t{MARK}{q}]*)*" if glue else ""
+        self.chunks = re.compile(f" *[{q}]*[^ \\n\\t{MARK}{q}]+{glued}| *[{q}]+| +|[\\n\\t]|{MARK}")
         self.raw = [self.of_byte.get(k) or (p.replace(MARK, " ").encode() if p in self.id else b"") for k, p in enumerate(self.piece)]
 
-    def merge(self, chunk: list[str], key: bytes, dropout: float) -> list[int]:
-        """Ids of a chunk of characters (spaces as marks)."""
+    def merge(self, chunk: str, key: int, dropout: float) -> list[int]:
+        """Ids of a chunk of text (spaces as marks)."""
+        ids, rank, spice, place = self.id, self.rank, self.spice, self.place
         n = len(chunk)
         sym, prev, nxt = list(chunk), list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, int]] = []
-        limit = int(dropout * (1 << 64))
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (k := self.id.get(sym[a] + sym[b])) is not None:
-                heapq.heappush(agenda, (-self.score[k], a, k, len(sym[a]) + len(sym[b])))
-        for a in range(n - 1):
-            offer(a, a + 1)
+        limit = int(dropout * (1 << 20))
+        agenda = [(rank[k], a, a + 1, k, 2) for a in range(n - 1) if (k := ids.get(chunk[a:a + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, a, k, size = heapq.heappop(agenda)
-            b = nxt[a]
-            if not sym[a] or b < 0 or len(sym[a]) + len(sym[b]) != size or sym[a] + sym[b] != self.piece[k]:
+            _, a, b, k, size = heappop(agenda)
+            left = sym[a]
+            if not left or nxt[a] != b or len(left) + len(sym[b]) != size:
                 continue  # one of the two has merged meanwhile
-            if limit and xxhash.xxh3_64_intdigest(b"%b:%d:%d" % (key, a, k)) < limit:
-                continue
+            if limit:  # the keyed hash of the place and the piece
+                if (spice[k] ^ place[a & 255] ^ key) * 0x2545F491 >> 10 & 0xFFFFF < limit:
+                    continue
             sym[a], sym[b] = self.piece[k], ""
-            nxt[a] = nxt[b]
-            if nxt[b] >= 0:
-                prev[nxt[b]] = a
-            offer(prev[a], a)
-            offer(a, nxt[a])
+            c, p = nxt[b], prev[a]
+            nxt[a] = c
+            if c >= 0:
+                prev[c] = a
+                end = c + len(sym[c])
+                if (k := ids.get(chunk[a:end])) is not None:
+                    heappush(agenda, (rank[k], a, c, k, end - a))
+            if p >= 0 and (k := ids.get(chunk[p:a + size])) is not None:
+                heappush(agenda, (rank[k], p, a, k, a + size - p))
         out = []
         for x in sym:
             if x:
-                k = self.id.get(x)
+                k = ids.get(x)
                 out += [k] if k is not None else [self.byte[c] for c in x.encode()]
         return out
 
-    CHUNKS = re.compile(f" *[^ \n\t{MARK}]+| +|[\n\t]|{MARK}")
-
     def encode(self, text: str, variant: int, s: Settings, memo: Memo) -> list[int]:
         if not text:
             return []
-        key, out, young = b"%d:%d" % (s.seed, variant), [], memo.young
-        for chunk in self.CHUNKS.findall(" " + text):
-            ids = young.get((variant, chunk))
+        key = zlib.crc32(b"%d:%d" % (s.seed, variant)) >> 2
+        out, young = [], memo.young
+        of = f"{variant} "
+        for chunk in self.chunks.findall(" " + text):
+            name = of + chunk
+            ids = young.get(name)
             if ids is None:
-                ids = memo.get((variant, chunk))
+                ids = memo.get(name)
                 if ids is None:
                     if chunk == MARK:
                         ids = [self.byte[c] for c in chunk.encode()]
                     else:
-                        ids = self.merge(list(chunk.replace(" ", MARK)), key, s.dropout)
+                        ids = self.merge(chunk.replace(" ", MARK), key, s.dropout)
                     if len(chunk) <= 48:
-                        memo.put((variant, chunk), ids)
+                        memo.put(name, ids)
                 young = memo.young
             out += ids
         return out
@@ -129,6 +138,7 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+_MEMOS: dict[Settings, Memo] = {}
 
 
 def codec(path: str) -> Codec:
@@ -137,6 +147,13 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+def memo_of(s: Settings) -> Memo:
+    """The worker's memory, kept from task to task."""
+    if s not in _MEMOS:
+        _MEMOS[s] = Memo(s.memo_chunks)
+    return _MEMOS[s]
+
+
 def _variants(docs: DataFrame, s: Settings) -> DataFrame:
     variant = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -152,7 +169,7 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     s = settings
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, memo = codec(s.model), Memo(s.memo_chunks)
+        c, memo = codec(s.model), memo_of(s)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -182,7 +199,7 @@ def digests(docs: DataFrame, settings: Settings) -> DataFrame:
     s = settings
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, memo = codec(s.model), Memo(s.memo_chunks)
+        c, memo = codec(s.model), memo_of(s)
         for b in batches:
             out = []
             for t, v in zip(b.column(2), b.column(1).to_pylist(), strict=True):
