@@ -72,9 +72,10 @@ VIEWS: dict[str, str] = {
                         'The post is classified as: {L}', '{L}s', 'no explicit mention', 'none of these',
                         'not attempt but ideation', chr(10) || '  {L} ' || chr(9)]["index" % 8 + 1], '{L}', label)
                  AS response,
-               CAST("index" % 5 AS INTEGER) AS finish_reason, "index" % 11 <> 0 AS has_parts,
-               CAST(NULL AS VARCHAR) AS error
-        FROM predictions WHERE model = 0""",
+               CASE WHEN "index" % 17 <> 0 THEN CAST("index" // 3 % 5 AS INTEGER) END AS finish_reason,
+               CASE WHEN "index" % 17 <> 0 THEN "index" % 11 <> 0 END AS has_parts,
+               CASE WHEN "index" % 13 = 0 THEN 'timeout' END AS error
+        FROM (SELECT "index" * 5 + model AS "index", label FROM predictions)""",
 }
 
 DEPENDS = {

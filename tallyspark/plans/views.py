@@ -156,16 +156,21 @@ RESPONSE_SHAPES = (
 
 
 def responses(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAULT_CLASSES) -> DataFrame:
-    """Model-0 predictions -> free-text responses + provider finish state."""
-    p = predictions(spark, sf_dir, classes, with_post=False).where(F.col("model") == 0)
+    """Predictions of all models -> free-text responses + provider finish state.
+
+    ``index`` tells the models' rows apart: 5 x post + model. Some rows have an error, some
+    neither finish reason nor parts.
+    """
+    p = predictions(spark, sf_dir, classes, with_post=False).withColumn("index", F.col("index") * len(MODEL_MULTS) + F.col("model"))
+    silent = F.col("index") % 17 == 0
     shapes = F.array(*[F.lit(s) for s in RESPONSE_SHAPES])
     shape = F.element_at(shapes, (F.col("index") % 8 + 1).cast("int"))
     return p.select(
         "index", "label",
         F.replace(shape, F.lit("{L}"), F.col("label")).alias("response"),
-        (F.col("index") % 5).cast("int").alias("finish_reason"),
-        (F.col("index") % 11 != 0).alias("has_parts"),
-        F.lit(None).cast("string").alias("error"),
+        F.when(~silent, (F.floor(F.col("index") / 3) % 5).cast("int")).alias("finish_reason"),
+        F.when(~silent, F.col("index") % 11 != 0).alias("has_parts"),
+        F.when(F.col("index") % 13 == 0, F.lit("timeout")).alias("error"),
     )
 
 
