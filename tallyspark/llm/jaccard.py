@@ -10,7 +10,9 @@ global order of shingles, two sets with Jaccard >= t share one of the first
    order puts frequent ones last, so that common passages don't gather unlike documents.
 2. Every distinct set emits its prefix; shingles of two or more sets give the blocks of the
    incidence matrix that can hold linked pairs. Sets with fewer than l shared shingles go;
-   then the plain prefixes are enough, and of blocks with the same sets one stays.
+   then the plain prefixes are enough, and of blocks with the same sets one stays. Histograms
+   of the sets by hash bound the overlap of each pair in a block; pairs below the need are
+   out, and the block falls into the groups that the others form.
 3. A block's product is accumulated over slices of its columns. Pairs whose overlap can no
    longer reach ``t / (1 + t) * (n_a + n_b)`` are discarded; what stays is decided on the
    exact integers. A block returns a spanning forest of its links, never all pairs.
@@ -211,10 +213,7 @@ def shared_grams(rows: DataFrame) -> DataFrame:
 
 
 def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) -> DataFrame:
-    """(gram, fp) of plain prefixes, without sets that share too little, equal blocks once.
-
-    Last, each block keeps the sets whose prefixes overlap enough with those of another there.
-    """
+    """(gram, fp) of plain prefixes, without sets that share too little, equal blocks once."""
     def in_two(rows: DataFrame) -> DataFrame:
         two = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
         return rows.join(two, "gram").select("gram", "fp", "plain")
@@ -223,10 +222,7 @@ def pruned(shared: DataFrame, sizes: DataFrame, s: Settings, rounds: int = 2) ->
                   .where(F.col("k") >= least_shared("n", s.percent)).select("fp"))
         shared = C.materialise(in_two(shared.join(enough, "fp")), "shared")
     plain = C.materialise(in_two(shared.where("plain")), "plain")
-    members = plain.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("b"))
-    blocks = plain.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
-    return hopeful(C.materialise(blocks, "blocks"), shared, sizes, s)
+    return _distinct_blocks(plain.select("gram", "fp"))
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -274,10 +270,32 @@ def linked_pairs(sets: list[np.ndarray], apart: np.ndarray, left: int, s: Settin
     return overlapping(sets, alive, need, s)
 
 
-def prefix_pairs(prefixes: list[np.ndarray], n: np.ndarray, left: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets of n shingles whose prefixes share as many as those of linked sets must."""
-    low, high = np.minimum(n[:left, None], n[None, :]), np.maximum(n[:left, None], n[None, :])
-    return overlapping(prefixes, 100 * low >= s.percent * high, 1 + low // 10, s)
+BINS = 256
+
+
+def histogram(grams: np.ndarray) -> bytes:
+    """Shingles by the low bits of their hash, a byte a bin; nothing where a bin overflows."""
+    count = np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def hopeful_pairs(bins: list[bytes], n: np.ndarray, left: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (a < b, a below ``left``) whose histograms allow the overlap of linked sets.
+
+    The sum of the lesser counts bounds the overlap; sets without a histogram aren't bounded.
+    """
+    own = np.array([len(h) > 0 for h in bins])
+    table = np.frombuffer(b"".join(h or bytes(BINS) for h in bins), np.uint8).reshape(-1, BINS)
+    out_a, out_b = [], []
+    for k in range(left):
+        need = ((n[k] + n) * s.percent + 99 + s.percent) // (100 + s.percent)
+        at = np.flatnonzero((np.arange(len(n)) > k) & (np.minimum(n[k], n) >= need))
+        if len(at):
+            most = np.minimum(table[k], table[at]).sum(axis=1, dtype=np.int64)
+            at = at[(most >= need[at]) | ~own[at] | ~own[k]]
+            out_a.append(np.full(len(at), k))
+            out_b.append(at)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def overlapping(sets: list[np.ndarray], alive: np.ndarray, need: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -324,17 +342,18 @@ def overlapping(sets: list[np.ndarray], alive: np.ndarray, need: np.ndarray, s:
     return rows_on[a], cols_on[b]
 
 
+def _root(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
 def _forest(a: np.ndarray, b: np.ndarray, m: int) -> list[tuple[int, int]]:
     up = list(range(m))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
+        p, q = _root(up, x), _root(up, y)
         if p != q:
             up[p] = q
             out.append((x, y))
@@ -398,24 +417,43 @@ def block_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return _tiles(members, sets, s).mapInArrow(task, "u long, v long")
 
 
-def hopeful(blocks: DataFrame, shared: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
-    """``blocks`` (gram, fp) without sets whose shared prefix (``shared``) suffices for no pair there."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hopeful(blocks: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """``blocks`` (gram, fp) cut into groups of sets that histograms leave as possible links.
+
+    In a block over ``block_sets`` sets each tile is cut on its own.
+    """
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([_pack(x.values.to_numpy().view(np.uint64)) for x in b.column(2)], pa.binary())], names=["fp", "n", "grams"])
+                [b.column(0), b.column(1), pa.array([histogram(_unpack(x.as_py())) for x in b.column(2)], pa.binary())], names=["fp", "n", "grams"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (gram, i, j), (side, fp, _, n, grams) in by_group(batches, 3):
+        for (gram, i, j), (side, fp, _, n, hist) in by_group(batches, 3):
             order, left = _sides(i, j, side, fp)
-            a, b = prefix_pairs([_unpack(grams[k]) for k in order], np.array([n[k] for k in order]), left, s)
-            if len(a):
-                kept = np.union1d(a, b).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * len(kept), pa.int64()), pa.array([fp[order[k]] for k in kept], pa.int64())], names=["gram", "fp"])
-    some = shared.join(blocks.select("fp").distinct(), "fp").groupBy("fp").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
-    prefix = C.materialise(some.join(sizes, "fp").select("fp", "n", "grams").mapInArrow(pack, "fp long, n long, grams binary"), "prefix")
+            a, b = hopeful_pairs([hist[k] for k in order], np.array([n[k] for k in order], np.int64), left, s)
+            if not len(a):
+                continue
+            up = list(range(len(order)))
+            for x, y in _forest(a, b, len(order)):
+                p, q = _root(up, x), _root(up, y)
+                up[max(p, q)] = min(p, q)
+            kept = np.union1d(a, b).tolist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([gram] * len(kept), pa.int64()), pa.array([fp[order[_root(up, k)]] for k in kept], pa.int64()),
+                pa.array([i] * len(kept), pa.int32()), pa.array([j] * len(kept), pa.int32()),
+                pa.array([fp[order[k]] for k in kept], pa.int64())], names=["gram", "head", "i", "j", "fp"])
+    table = C.materialise(sets.mapInArrow(bins, "fp long, n long, grams binary"), "bins")
     rows = blocks.select("gram", "fp", F.col("fp").alias("apart"))
-    return _tiles(rows, prefix, s).mapInArrow(task, "gram long, fp long").distinct()
+    found = _tiles(rows, table, s).mapInArrow(task, "gram long, head long, i int, j int, fp long")
+    groups = found.select(F.xxhash64("gram", "head", "i", "j").alias("gram"), "fp")
+    return _distinct_blocks(C.materialise(groups, "groups"))
+
+
+def _distinct_blocks(blocks: DataFrame) -> DataFrame:
+    """Of blocks with the same sets, one."""
+    members = blocks.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("b"))
+    return blocks.join(members.groupBy("k", "a", "b").agg(F.min("gram").alias("gram")).select("gram"), "gram").select("gram", "fp")
 
 
 def candidate_links(shared: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -460,6 +498,7 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     shared = C.materialise(pruned(shared, first.select("fp", "n"), s), "blocks")
     sets = C.materialise(set_table(docs, first.select("fp", "doc_id").join(shared.select("fp").distinct(), "fp"), s), "sets")
 
+    shared = C.materialise(hopeful(shared, sets, s), "hopeful")
     edges = candidate_links(shared, sets, s)
     final = components(edges)
 
