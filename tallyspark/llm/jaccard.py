@@ -466,6 +466,8 @@ def candidate_links(shared: DataFrame, sets: DataFrame, s: Settings) -> DataFram
     small = family.where("not large").select(F.col("family").alias("gram"), "fp", F.col("fp").alias("apart"))
     shared = C.materialise(shared.join(family.where("large").select("fp"), "fp").select("gram", "fp"), "large")
 
+    if shared.isEmpty():  # no large family: nothing is left to do
+        return C.materialise(block_links(small, sets, s), "links")
     sized = shared.join(shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k")), "gram")
     order = F.struct("k", "gram")
     first = C.materialise(sized.groupBy("fp").agg(
