@@ -1,10 +1,14 @@
 """SentencePiece merge segmentation with seeded merge-dropout, and its lossless decoding.
 
 Candidate merges of neighbouring symbols wait in an agenda, best score first, then leftmost.
-When one comes up, a keyed hash of (seed, variant, place, piece) skips it with probability
-``dropout``; what stays unmerged may still merge otherwise later. Without dropout the result
-equals the model's own encoding. A document's variant is a hash of its id, so documents get
-different segmentations of one word while a worker can remember those it has made.
+When one comes up, a keyed hash of (seed, document, place of the chunk in the text, place in
+the chunk, piece) skips it with probability ``dropout``; what stays unmerged may still merge
+otherwise later. Without dropout the result equals the model's own encoding. So every
+occurrence of a word in every document has draws of its own.
+
+What doesn't depend on the key is remembered: for a chunk and the candidates skipped so far,
+the candidates that come up next and the ids if none of them is skipped. The draws of many
+occurrences are then made at once, and only a path that was never taken is merged anew.
 
 No piece holds a space mark after another character, and none a line break or tab, so texts
 fall into independent chunks there, and before signs that no piece holds behind a letter. Characters outside the vocabulary, and a literal space
@@ -15,15 +19,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import common as C
+
 MARK = "▁"
 
 
@@ -32,26 +39,68 @@ class Settings:
     model: str                  #: path of a sentencepiece merge model with byte pieces
     dropout: float = 0.1
     seed: int = 41
-    variants: int = 2           #: segmentations that a word can take over the corpus
-    memo_chunks: int = 300_000  #: chunks of each of two generations that a worker remembers
+    variants: int | None = None  #: bound of the keys over the corpus; none: a key for each document
+    memo_chunks: int = 300_000  #: half the bound of the paths that a worker remembers
+    memo_length: int = 48       #: of remembered chunks (characters)
+
+
+GOLD = 0x9E3779B97F4A7C15
+WORD = (1 << 64) - 1
+
+
+def _mix_one(h: int) -> int:
+    """common.mix of one number."""
+    h ^= h >> 31
+    h = h * 0x7FB5D329728EA185 & WORD
+    h ^= h >> 27
+    h = h * 0x81DADEF4BC2DD44D & WORD
+    return h ^ h >> 33
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Pool:
+    """Arrays of different lengths in one, by number."""
+
+    def __init__(self, dtype: str) -> None:
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+        self.start, self.size, self.rows = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+
+    def add(self, values: list[int]) -> None:
+        while self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        if self.rows == len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.data[self.n:self.n + len(values)] = values
+        self.start[self.rows], self.size[self.rows] = self.n, len(values)
+        self.n, self.rows = self.n + len(values), self.rows + 1
 
 
 class Memo:
-    """Two generations: what the older one still gets asked for moves to the younger one."""
+    """Paths of chunks: candidates that come up after the last skip, and ids if none of them is skipped."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.next: dict[int, int] = {}             # path << 20 | candidate skipped on it -> path
+        self.of: list[tuple[str, tuple[int, ...]]] = []   # chunk, numbers of its skipped candidates
+        self.draws, self.ids = Pool("u8"), Pool("i4")
 
-    def get(self, key: str) -> list[int] | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+    def room(self) -> None:
+        if len(self.of) > 2 * self.most or self.ids.n + self.draws.n > 40 * self.most:
+            self.clear()
 
-    def put(self, key: str, value: list[int]) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def add(self, chunk: str, skipped: tuple[int, ...], draws: list[int], ids: list[int]) -> int:
+        self.of.append((chunk, skipped))
+        self.draws.add(draws)
+        self.ids.add(ids)
+        return len(self.of) - 1
 
 
 class Codec:
@@ -62,7 +111,7 @@ class Codec:
         self.piece = [sp.id_to_piece(k) for k in range(n)]
         self.rank = [-sp.get_score(k) for k in range(n)]
         rng = np.random.default_rng(7)
-        self.spice, self.place = rng.integers(0, 1 << 30, n).tolist(), rng.integers(0, 1 << 30, 256).tolist()
+        self.spice = rng.integers(0, 1 << 63, n).tolist()
         usual = [k for k in range(n) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
         self.id = {self.piece[k]: k for k in usual}
         self.byte = {int(self.piece[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
@@ -77,12 +126,15 @@ class Codec:
         self.chunks = re.compile(f" *[{q}]*[^ \\n\\t{MARK}{q}]+{glued}| *[{q}]+| +|[\\n\\t]|{MARK}")
         self.raw = [self.of_byte.get(k) or (p.replace(MARK, " ").encode() if p in self.id else b"") for k, p in enumerate(self.piece)]
 
-    def merge(self, chunk: str, key: int, dropout: float) -> list[int]:
-        """Ids of a chunk of text (spaces as marks)."""
-        ids, rank, spice, place = self.id, self.rank, self.spice, self.place
+    def draw(self, a: int, k: int) -> int:
+        """What a candidate adds to the key: its place in the chunk and its piece."""
+        return self.spice[k] + (a + 1) * GOLD & WORD
+
+    def merge(self, chunk: str, skip: Callable[[int, int], bool]) -> list[int]:
+        """Ids of a chunk of text (spaces as marks); ``skip`` is asked once about each candidate (place, piece)."""
+        ids, rank = self.id, self.rank
         n = len(chunk)
         sym, prev, nxt = list(chunk), list(range(-1, n - 1)), [*range(1, n), -1]
-        limit = int(dropout * (1 << 20))
         agenda = [(rank[k], a, a + 1, k, 2) for a in range(n - 1) if (k := ids.get(chunk[a:a + 2])) is not None]
         heapify(agenda)
         while agenda:
@@ -90,9 +142,8 @@ class Codec:
             left = sym[a]
             if not left or nxt[a] != b or len(left) + len(sym[b]) != size:
                 continue  # one of the two has merged meanwhile
-            if limit:  # the keyed hash of the place and the piece
-                if (spice[k] ^ place[a & 255] ^ key) * 0x2545F491 >> 10 & 0xFFFFF < limit:
-                    continue
+            if skip(a, k):
+                continue
             sym[a], sym[b] = self.piece[k], ""
             c, p = nxt[b], prev[a]
             nxt[a] = c
@@ -110,27 +161,89 @@ class Codec:
                 out += [k] if k is not None else [self.byte[c] for c in x.encode()]
         return out
 
-    def encode(self, text: str, variant: int, s: Settings, memo: Memo) -> list[int]:
-        if not text:
-            return []
-        key = zlib.crc32(b"%d:%d" % (s.seed, variant)) >> 2
-        out, young = [], memo.young
-        of = f"{variant} "
-        for chunk in self.chunks.findall(" " + text):
-            name = of + chunk
-            ids = young.get(name)
-            if ids is None:
-                ids = memo.get(name)
-                if ids is None:
-                    if chunk == MARK:
-                        ids = [self.byte[c] for c in chunk.encode()]
-                    else:
-                        ids = self.merge(chunk.replace(" ", MARK), key, s.dropout)
-                    if len(chunk) <= 48:
-                        memo.put(name, ids)
-                young = memo.young
-            out += ids
-        return out
+    def keyed(self, chunk: str, key: int, limit: int) -> list[int]:
+        """Ids of a chunk whose occurrence has that key."""
+        if chunk == MARK:
+            return [self.byte[c] for c in chunk.encode()]
+        return self.merge(chunk.replace(" ", MARK), lambda a, k: _mix_one(key ^ self.draw(a, k)) >> 44 < limit)
+
+    def path(self, chunk: str, skipped: tuple[int, ...], memo: Memo) -> int:
+        """A new path of a chunk: the candidates of these numbers are skipped, no others."""
+        asked, draws, known = -1, [], skipped[-1] if skipped else -1
+
+        def skip(a: int, k: int) -> bool:
+            nonlocal asked
+            asked += 1
+            if asked > known:
+                draws.append(self.draw(a, k))
+            return asked in skipped
+        if chunk == MARK:
+            return memo.add(chunk, skipped, [], [self.byte[c] for c in chunk.encode()])
+        ids = self.merge(chunk.replace(" ", MARK), skip)
+        return memo.add(chunk, skipped, draws, ids)
+
+    def _chunk_ids(self, chunks: list[str], keys: np.ndarray, limit: int, s: Settings, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after the other, and how many each has."""
+        memo.room()
+        get = memo.roots.get
+        at = np.array([get(c, -1) for c in chunks], np.int64)
+        for i in np.flatnonzero(at < 0).tolist():
+            chunk = chunks[i]
+            if len(chunk) > s.memo_length:
+                at[i] = memo.add("", (), [], self.keyed(chunk, int(keys[i]), limit))
+            else:
+                if (found := get(chunk, -1)) < 0:
+                    found = memo.roots[chunk] = self.path(chunk, (), memo)
+                at[i] = found
+        open_ = np.arange(len(at)) if limit else at[:0]
+        while len(open_):
+            n = memo.draws.size[at[open_]]
+            h = C.mix(np.repeat(keys[open_], n) ^ memo.draws.data[_spans(memo.draws.start[at[open_]], n)])
+            hit = np.flatnonzero(h >> np.uint64(44) < limit)
+            owner = np.repeat(np.arange(len(open_)), n)[hit]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            owner, hit = owner[first], hit[first] - (np.cumsum(n) - n)[owner[first]]
+            open_ = open_[owner]
+            steps, which = np.unique(at[open_] << 20 | hit, return_inverse=True)
+            to = []
+            for step in steps.tolist():
+                if (found := memo.next.get(step)) is None:
+                    chunk, skipped = memo.of[step >> 20]
+                    found = memo.next[step] = self.path(chunk, (*skipped, (skipped[-1] + 1 if skipped else 0) + (step & 0xFFFFF)), memo)
+                to.append(found)
+            at[open_] = np.array(to, np.int64)[which]
+        n = memo.ids.size[at]
+        return memo.ids.data[_spans(memo.ids.start[at], n)], n
+
+    def _group(self, texts: list[str], keys: list[int], s: Settings, memo: Memo) -> list[np.ndarray]:
+        lists = [self.chunks.findall(" " + t) if t else [] for t in texts]
+        count = np.array([len(x) for x in lists], np.int64)
+        flat, first = list(chain.from_iterable(lists)), np.cumsum(count) - count
+        place = np.arange(len(flat)) - np.repeat(first, count)
+        of = C.mix(np.repeat(np.array([k & WORD for k in keys], np.uint64), count) + place.astype(np.uint64) * np.uint64(GOLD))
+        limit, ids, sizes = int(s.dropout * (1 << 20)), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(flat), 1 << 16):
+            some, n = self._chunk_ids(flat[lo:lo + (1 << 16)], of[lo:lo + (1 << 16)], limit, s, memo)
+            ids.append(some)
+            sizes.append(n)
+        end = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.split(np.concatenate(ids), end[first + count][:-1])
+
+    def encode_all(self, texts: Iterable[str], keys: Iterable[int], s: Settings, memo: Memo) -> Iterator[np.ndarray]:
+        """Ids of each text under its key."""
+        some, theirs, size = [], [], 0
+        for text, key in zip(texts, keys, strict=True):
+            some.append(text)
+            theirs.append(key)
+            size += len(text)
+            if size > 1 << 19 or len(some) >= 1000:
+                yield from self._group(some, theirs, s, memo)
+                some, theirs, size = [], [], 0
+        if some:
+            yield from self._group(some, theirs, s, memo)
+
+    def encode(self, text: str, key: int, s: Settings, memo: Memo) -> list[int]:
+        return next(self.encode_all([text], [key], s, memo)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -154,17 +267,22 @@ def memo_of(s: Settings) -> Memo:
     return _MEMOS[s]
 
 
-def _variants(docs: DataFrame, s: Settings) -> DataFrame:
-    variant = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int")
+def _keyed(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, variant, key, text): a key for each document, or for each variant if they are bounded."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(variant).alias("variant"), "text")
+    if s.variants is None:
+        return rows.select("doc_id", F.lit(None).cast("int").alias("variant"), F.xxhash64(F.lit(s.seed), "doc_id").alias("key"), "text")
+    variant = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int")
+    rows = rows.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(variant).alias("variant"), "text")
+    return rows.select("doc_id", "variant", F.xxhash64(F.lit(s.seed), "variant").alias("key"), "text")
 
 
 def encode(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, variant, ids) for every row of ``docs``; null and empty texts have no ids.
 
-    Repeated rows are encoded alike; a null doc_id has variant 0. An empty table gives no
-    rows; columns besides doc_id and text are ignored.
+    Repeated rows are encoded alike, and so are rows with a null doc_id and the same text.
+    ``variant`` is null unless variants are bounded; then a null doc_id has variant 0. An empty
+    table gives no rows; columns besides doc_id and text are ignored.
     """
     s = settings
 
@@ -173,9 +291,9 @@ def encode(docs: DataFrame, settings: Settings) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = [c.encode(t.as_py() or "", v, s, memo) for t, v in zip(part.column(2), part.column(1).to_pylist(), strict=True)]
+                ids = list(c.encode_all((t.as_py() or "" for t in part.column(3)), part.column(2).to_pylist(), s, memo))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "variant", "ids"])
-    return _variants(docs, s).mapInArrow(task, "doc_id long, variant int, ids array<int>")
+    return _keyed(docs, s).mapInArrow(task, "doc_id long, variant int, ids array<int>")
 
 
 def decode(encoded: DataFrame, settings: Settings) -> DataFrame:
@@ -202,9 +320,8 @@ def digests(docs: DataFrame, settings: Settings) -> DataFrame:
         c, memo = codec(s.model), memo_of(s)
         for b in batches:
             out = []
-            for t, v in zip(b.column(2), b.column(1).to_pylist(), strict=True):
-                ids = c.encode(t.as_py() or "", v, s, memo)
-                out.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(c.decode(ids).encode())))
+            for ids in c.encode_all((t.as_py() or "" for t in b.column(3)), b.column(2).to_pylist(), s, memo):
+                out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(c.decode(ids.tolist()).encode())))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *[pa.array([o[k] for o in out], pa.int64()) for k in range(3)]], names=["doc_id", "variant", "n_tokens", "ids_crc32", "text_crc32"])
-    return _variants(docs, s).mapInArrow(task, "doc_id long, variant int, n_tokens long, ids_crc32 long, text_crc32 long")
+    return _keyed(docs, s).mapInArrow(task, "doc_id long, variant int, n_tokens long, ids_crc32 long, text_crc32 long")

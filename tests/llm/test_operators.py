@@ -401,6 +401,23 @@ def test_merges_decode_and_vary(spark, odd, real):
     assert again == made
 
 
+def test_merges_draw_for_every_document_and_occurrence(spark):
+    s, c = merges.Settings(path()), merges.codec(path())
+    word = " internationalisation"
+    rows = merges.encode(frame(spark, [(i, word * 30) for i in range(60)]), s).collect()
+    assert len({tuple(r["ids"]) for r in rows}) == 60
+    n = len(c.encode(word[1:], 0, merges.Settings(path(), dropout=0.0), merges.Memo(9)))
+    limit, seen, memo = int(s.dropout * (1 << 20)), set(), merges.Memo(1000)
+    for doc in range(20):  # remembered paths against the agenda run for each occurrence
+        text = word * 30 + " a ▁ " + "internationalisation" * 5
+        key = c.chunks.findall(" " + text)
+        keys = [merges._mix_one((doc + k * merges.GOLD) & merges.WORD) for k in range(len(key))]
+        plain = [c.keyed(chunk, k, limit) for chunk, k in zip(key, keys)]
+        assert c.encode(text, doc, s, memo) == [x for ids in plain for x in ids]
+        seen |= {tuple(ids) for ids in plain[:30]}
+    assert len(seen) > 10 and min(map(len, seen)) <= n
+
+
 # ---- 10: Jaccard join ----------------------------------------------------------------------
 
 def _sets(rows, k=4):
