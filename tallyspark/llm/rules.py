@@ -2,12 +2,14 @@
 
 Every document gets its base statistics (words, symbols, repeated lines, repeated 3-word
 windows) and the length-normalised log-likelihood ratio of its hashed word 1- and 2-grams
-between two multinomials: that of trusted target documents (label quality = 1, a bounded
-sample outside the held-out fold) and that of the raw corpus (every document). A document
-is kept when it passes the base rule and its ratio reaches a fixed threshold.
-
-Nothing here leaves the JVM, no text is shuffled: counting exploded n-grams shuffles one row
-per bucket and task, scoring shuffles nothing.
+between two multinomials: that of all trusted target documents (label quality = 1, outside
+the held-out fold) and that of the raw corpus (every document). The target is smoothed
+towards the corpus by a fixed share of its own mass, so that the weight doesn't depend on the
+table's size. A document is kept when it passes the base rule and its ratio reaches a fixed
+threshold.
+
+Nothing here leaves the JVM: documents meet the trusted ids in a join, counting exploded
+n-grams shuffles one row per bucket and task, scoring shuffles nothing.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 class Settings:
     buckets: int = 8192         #: of hashed n-grams
     smoothing: float = 1.0      #: added to each bucket's count in the corpus
-    prior: float = 160_000.0    #: n-grams that the target has as the corpus has them, besides its own
-    max_target: int = 50_000    #: bound of the trusted sample (documents)
+    share: float = 0.75        #: n-grams that the target has as the corpus has them, to one of its own
+    max_target: int | None = None  #: a bound of the trusted documents, if wanted; then ``prior`` holds, not ``share``
+    prior: float = 160_000.0    #: n-grams as the corpus has them that a bounded target gets
     threshold: float = -0.045   #: least log-likelihood ratio per n-gram
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -80,7 +83,7 @@ def _bucket(*parts: Column, buckets: int) -> Column:
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
     """(bucket, raw, target): n-gram counts of all documents and of the trusted ones."""
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t")))  # at most max_target rows
+    ids = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t"))
     rows = (C.only(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
             .select(F.coalesce("_t", F.lit(0)).alias("t"), words(F.col("text")).alias("w")))
     grams = rows.select("t", "w", F.posexplode("w").alias("i", "x")).select("t", F.explode(F.array(
@@ -99,7 +102,10 @@ def ratio_table(counts: DataFrame, s: Settings) -> list[float]:
     rows = sorted(full.collect())
     of_raw, of_target = fsum(r["raw"] for r in rows), fsum(r["target"] for r in rows)
     shares = [r["raw"] / of_raw for r in rows]
-    return [round(log((r["target"] + s.prior * p) / (of_target + s.prior) / p), 4) for r, p in zip(rows, shares, strict=True)]
+    prior = s.prior if s.max_target is not None else s.share * of_target
+    if not of_target:
+        return [0.0] * len(rows)
+    return [round(log((r["target"] + prior * p) / (of_target + prior) / p), 4) for r, p in zip(rows, shares, strict=True)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -107,7 +113,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
     One row per row of ``docs``, repeated rows included. Null and empty texts have no words,
     fail the base rule and have the ratio 0. A null doc_id stays. Without trusted
-    documents every ratio is 0 and only the base rule decides; with few it is near 0. Columns besides doc_id and text are ignored; an empty
+    documents every ratio is 0 and only the base rule decides. Columns besides doc_id and text are ignored; an empty
     table gives no rows.
     """
     return _judged(docs, labels, settings or Settings()).drop("_row")
@@ -123,9 +129,16 @@ def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     return judged.where("kept and _at >= 0").select("_row.*")
 
 
+def trusted_ids(labels: DataFrame, s: Settings) -> DataFrame:
+    """The doc_id of every trusted document outside the held-out fold, once."""
+    good = labels.where(F.col("quality") == 1)
+    if s.max_target is not None:
+        return C.train_sample(good, "quality", s.max_target).select("doc_id")
+    return good.where(F.col("doc_id").isNotNull() & ~C.held_out(F.col("doc_id"))).select("doc_id").distinct()
+
+
 def _judged(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    trusted = C.train_sample(labels.where(F.col("quality") == 1), "quality", s.max_target)
-    return apply_rules(docs, ratio_table(ngram_counts(docs, trusted, s), s), s)
+    return apply_rules(docs, ratio_table(ngram_counts(docs, trusted_ids(labels, s), s), s), s)
 
 
 def apply_rules(docs: DataFrame, table: list[float], s: Settings) -> DataFrame:

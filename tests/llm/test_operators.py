@@ -376,6 +376,14 @@ def test_rules_stay_in_the_jvm(spark, labels):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan.split("== Physical Plan ==")[1])
 
 
+def test_rules_alike_at_every_size(spark):
+    s = rules.Settings(buckets=8, smoothing=0.0)
+    tables = [rules.ratio_table(spark.createDataFrame([(k, (9 + k) * n, k * n) for k in range(8)], "bucket int, raw long, target long"), s) for n in (1, 10, 100_000)]
+    assert tables[0] == tables[1] == tables[2] and tables[0][0] < 0 < tables[0][7]
+    labels = spark.range(80_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert rules.trusted_ids(labels.union(labels), rules.Settings()).count() == sum(zlib.crc32(b"%d" % i) % 5 > 0 for i in range(80_000)) > 50_000
+
+
 # ---- 9: merges -----------------------------------------------------------------------------
 
 def test_merges_without_dropout_equal_the_model(real):
