@@ -26,11 +26,17 @@ class Settings:
 
 
 class Automaton:
-    """Pieces that begin a word and pieces that go on; ``count`` gives the greedy length."""
+    """Pieces that begin a word and pieces that go on; ``count`` gives the greedy length.
+
+    An empty piece among those that begin is the bare word mark: a word that no other piece
+    begins is that piece and pieces that go on.
+    """
 
     def __init__(self, begin: Iterable[str], go_on: Iterable[str]) -> None:
         self.step: list[dict[str, int]] = [{}, {}]  # node 0: before a word; node 1: inside it
         ends = [False, False]
+        begin = list(begin)
+        bare = "" in begin
         for root, pieces in ((0, begin), (1, go_on)):
             for piece in pieces:
                 node = root
@@ -45,6 +51,8 @@ class Automaton:
                 if node > 1:
                     ends[node] = True
         self.fail, self.pops = [-1] * len(ends), [0] * len(ends)
+        if bare:
+            self.fail[0], self.pops[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
@@ -78,12 +86,15 @@ class Automaton:
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """(pieces that begin a word, without their mark; pieces that go on) of a sentencepiece model."""
+    """(pieces that begin a word, without their mark; pieces that go on) of a sentencepiece model.
+
+    The bare mark is the empty piece among those that begin.
+    """
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     usual = [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
     mark = "▁"
-    begin = [p[1:] for p in usual if p.startswith(mark) and len(p) > 1 and mark not in p[1:]]
+    begin = [p[1:] for p in usual if p.startswith(mark) and mark not in p[1:]]
     return begin, [p for p in usual if mark not in p]
 
 
@@ -99,7 +110,8 @@ def automaton(path: str) -> Automaton:
 def token_counts(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) for every row of ``docs``.
 
-    Words are runs between white space (``[\\x20\\x09-\\x0D]``); an unknown word is one token.
+    Words are runs between white space (``[\\x20\\x09-\\x0D]``); an unknown word
+    (one that the pieces can't spell from left to right) is one token.
     Null and empty texts have none. Repeated rows get a row each, a null doc_id stays, an
     empty table gives no rows; columns besides doc_id and text are ignored.
     """

@@ -242,6 +242,30 @@ def test_automaton_against_greedy_and_library():
             assert auto.count(w) == want, (trial, w)
 
 
+def test_automaton_bare_mark():
+    def greedy(word, begin, go_on):
+        at = n = 0
+        while at < len(word) or not n:
+            size = max((k for k in range(0 if not n else 1, len(word) - at + 1) if word[at:at + k] in (go_on if n else begin)), default=-1)
+            if size < 0:
+                return 0
+            at, n = at + size, n + 1
+        return n
+    rng = random.Random(5)
+    piece = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    for _ in range(40):
+        begin, go_on = {"", *(piece() for _ in range(6))}, {piece() for _ in range(10)}
+        auto = wordpiece.Automaton(sorted(begin), sorted(go_on))
+        for _ in range(100):
+            w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
+            assert auto.count(w) == greedy(w, begin, go_on), w
+    begin, go_on = map(set, wordpiece.vocabulary(path()))
+    auto = wordpiece.automaton(path())
+    for w in ("152.143.123.131###", "ñciónrr", "ßerkeit", "7" * 300, "plain"):
+        assert auto.count(w) == greedy(w, begin, go_on) > 0
+    assert auto.count("7" * 300) > 100 and auto.count("a\uffff") == 0
+
+
 # ---- 6: embeddings -------------------------------------------------------------------------
 
 def test_embeddings_against_brute_force(spark):
