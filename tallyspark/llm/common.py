@@ -180,3 +180,19 @@ def sum_blobs(blobs: DataFrame, dtype: str) -> dict[int, np.ndarray]:
             names=["block", "blob"])
     summed = blobs.repartition("block").mapInArrow(add, "block int, blob binary")
     return {r["block"]: np.frombuffer(bytes(r["blob"]), dtype) for r in summed.collect()}
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 1 << 16) -> DataFrame:
+    """Every row with the columns of its group; ``groups`` has one row per key and its number of rows ``n``.
+
+    Keys with more than 1 / ``share`` of all rows, of which there can't be ``share``, come to the
+    rows by broadcast. The rows of the others are shuffled, and none of these keys is a hot one.
+    Null keys are one group.
+    """
+    groups = groups.withColumnRenamed(key, "_key")
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    often = groups.where(F.col(n) > total / share)
+    same = rows[key].eqNullSafe(F.col("_key"))
+    near = rows.join(F.broadcast(often), same)
+    far = rows.join(F.broadcast(often.select("_key")), same, "left_anti").join(groups.where(F.col(n) <= total / share).hint("merge"), same)
+    return near.unionByName(far).drop("_key")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import embedding, jaccard, licenses, merges, packing, pii, quality, rules, toxicity, wordpiece
+from tallyspark.llm import align, bestfit, codes, embedding, jaccard, licenses, merges, packing, pii, quality, rules, toxicity, wordpiece
 from tallyspark.llm.common import table
 
 
@@ -66,6 +66,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and quantisation error of every vector, from 16 codebooks of 64 entries."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return align.digests(table(spark, sf_dir, "documents"), align.Settings(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed whole into sequences of 2048 tokens."""
+    return bestfit.pack(table(spark, sf_dir, "documents"), bestfit.Settings(tokenizer_file("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -77,9 +92,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_merge_dropout": op9_merge_dropout,
     "op10_jaccard": op10_jaccard,
+    "op11_codes": op11_codes,
+    "op12_alignment": op12_alignment,
+    "op13_best_fit": op13_best_fit,
 }
 
+def _codes_sql() -> str:
+    """op11: integer parts, two rounds of nearest entries and floored means, final codes."""
+    def nearest(k: int) -> str:
+        return f"""a{k} AS (
+            SELECT p.vec_id, p.j, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) * 64 + b.k) AS m
+            FROM p JOIN b{k} b ON b.j = p.j GROUP BY p.vec_id, p.j)"""
+
+    def means(k: int) -> str:
+        return f"""u{k} AS (
+            SELECT p.j, (m % 64)::BIGINT AS k, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM p JOIN a{k} a ON a.vec_id = p.vec_id AND a.j = p.j),
+        s{k} AS (SELECT j, k, i, ((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS y FROM u{k} GROUP BY j, k, i),
+        t{k} AS (SELECT j, k, list(y ORDER BY i) AS c FROM s{k} GROUP BY j, k),
+        b{k + 1} AS (SELECT b.j, b.k, coalesce(t.c, b.c) AS c FROM b{k} b LEFT JOIN t{k} t ON t.j = b.j AND t.k = b.k)"""
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id, len(e) // 16 AS d, e, unnest(range(16)) AS j FROM v),
+        p AS (SELECT vec_id, j, e[j * d + 1:j * d + d] AS x FROM q),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT 64),
+        b0 AS (SELECT p.j, f.k, p.x AS c FROM p JOIN f ON f.vec_id = p.vec_id),
+        {nearest(0)}, {means(0)}, {nearest(1)}, {means(1)}, {nearest(2)},
+        z AS (SELECT vec_id, string_agg(format('{{:02x}}', (m % 64)::BIGINT), '' ORDER BY j) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, k)) AS codebooks_sha256 FROM b2)
+        SELECT z.vec_id, z.code, z.error, sum(z.error) OVER (PARTITION BY v.label)::BIGINT AS label_error, h.codebooks_sha256
+        FROM z JOIN v ON v.vec_id = z.vec_id CROSS JOIN h"""
+
+
 SQL: dict[str, str] = {
+    "op11_codes": _codes_sql(),
     "op6_embedding": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
