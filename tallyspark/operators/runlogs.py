@@ -13,86 +13,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.windows import exact_row_number, forward_fill, running_max
+from tallyspark.operators import asof
+from tallyspark.operators.windows import exact_row_number, forward_fill, running_max, sorted_chunks
 
 EPS = 1e-5
 METRICS = ("eval_loss", "eval_accuracy", "eval_f1_weighted", "eval_precision_weighted", "eval_recall_weighted")
-POS_BUCKET_EPOCHS = 16.0
 STEP_CHUNK = 1 << 20
 
 
 def with_position(df: DataFrame, run_col: str = "run", order: Sequence[str] = ("epoch", "step"),
-                  out_col: str = "position", bucket: Column | None = None) -> DataFrame:
-    """0-based row position inside each run in (epoch, step) order (WIN3)."""
-    b = bucket if bucket is not None else F.floor(F.col(order[0]) / POS_BUCKET_EPOCHS)
-    out = exact_row_number(df, [run_col], [F.col(c) for c in order], b, "_pos1")
-    return out.withColumn(out_col, F.col("_pos1") - 1).drop("_pos1")
-
-
-def _asof_carry(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str], eps: float,
-                step_chunk: int) -> DataFrame:
-    is_train = F.col(kind_col) == "train"
-    order = F.struct(F.col("step"), F.when(is_train, F.lit(0)).otherwise(F.lit(1)), -F.col("pos"))
-    x = log.withColumn("_ord", order)
-    t_struct = F.when(is_train, F.struct(F.col("epoch").alias("te"), *[F.col(c).alias(c) for c in carry]))
-    filled = forward_fill(x, [run_col], "_ord", t_struct, "_t", F.floor(F.col("step") / step_chunk))
-    # largest epoch of the *earlier* train rows, to detect train epochs that go backwards
-    prev = running_max(filled.withColumn("_te", F.when(is_train, F.col("epoch"))), [run_col], "_ord", "_te", "_prev_te",
-                       F.floor(F.col("step") / step_chunk), inclusive=False)
-    return prev.drop("_ord", "_te")
-
-
-def _asof_range(log: DataFrame, run_col: str, kind_col: str, carry: Sequence[str], eps: float) -> DataFrame:
-    """Exact range form: each eval row meets the train rows of its run in the two unit
-    epoch buckets its window (e - 1 + eps, e + eps] can touch."""
-    ev = log.where(F.col(kind_col) != "train")
-    tr = log.where(F.col(kind_col) == "train").select(
-        run_col, F.floor(F.col("epoch")).alias("_b"), F.col("epoch").alias("te"), F.col("step").alias("ts"),
-        F.col("pos").alias("tp"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    b0 = F.floor(F.col("epoch") - 1.0 + eps)
-    keys = ev.select(run_col, F.col("pos").alias("_epos"), F.col("epoch").alias("_ee"), F.col("step").alias("_es"),
-                     F.explode(F.array(b0, b0 + 1)).alias("_b"))
-    j = keys.join(tr, [run_col, "_b"]).where((F.col("te") > F.col("_ee") - 1.0 + eps) & (F.col("te") <= F.col("_ee") + eps)
-                                             & (F.col("ts") <= F.col("_es")))
-    best = j.groupBy(run_col, "_epos").agg(F.max_by(F.struct(*[F.col(f"_c_{c}").alias(c) for c in carry]),
-                                           F.struct(F.col("ts"), -F.col("tp"))).alias("_t"))
-    best = best.withColumnsRenamed({"_epos": "pos", run_col: "_run"})
-    same = ev[run_col].eqNullSafe(best["_run"]) & (ev["pos"] == best["pos"])
-    return ev.join(best, same, "left").drop(best["pos"]).drop("_run")
+                  out_col: str = "position") -> DataFrame:
+    """0-based row position inside each run in (epoch, step) order (WIN3).
+
+    Nulls come first; rows equal in all of ``order`` come in any order, the same for every reader.
+    Runs of any shape are dealt evenly (``sorted_chunks``).
+    """
+    x = sorted_chunks(df, [run_col], list(order))
+    out = exact_row_number(x, [run_col], ["_at"], F.col("_chunk"), "_pos1")
+    return out.withColumn(out_col, F.col("_pos1") - 1).drop("_pos1", "_at", "_chunk")
 
 
 def asof_train_eval(log: DataFrame, run_col: str = "run", kind_col: str = "kind",
-                    carry: Sequence[str] = ("loss", "learning_rate"), eps: float = EPS,
-                    step_chunk: int = STEP_CHUNK, method: str = "auto") -> DataFrame:
+                    carry: Sequence[str] = ("loss", "learning_rate"), eps: float = EPS) -> DataFrame:
     """Each eval row + the last train row (max step, first in log order on ties) with
     epoch in (e - 1 + eps, e + eps] and step <= eval step; none -> NULLs (JN6).
 
-    ``carry``: forward fill of the latest train row along (step, train-before-eval,
-    earlier-pos-last) per run, then the epoch window is checked on that row — no
-    eval x train pairs. It is exact when train epochs never decrease with step and
-    no eval row precedes (in epoch) the train row it follows; ``auto`` verifies both
-    on the data (one count) and otherwise uses ``range``: an equi-join on
-    (run, unit epoch bucket) against the two buckets the window can touch, then
-    ``max_by`` per eval row.
+    One method for any log (``operators.asof``): epochs may go backwards, a run may hold most rows.
+    Null runs are one run; rows with a null, NaN or infinite epoch or a null step match nothing.
     """
-    if method not in ("auto", "carry", "range"):
-        raise ValueError("method must be auto, carry or range")
-    if method != "range":
-        c = _asof_carry(log, run_col, kind_col, carry, eps, step_chunk)
-        if method == "auto":
-            is_train = F.col(kind_col) == "train"
-            bad = c.where((is_train & (F.col("epoch").isNull() | (F.col("epoch") < F.col("_prev_te"))))
-                          | (~is_train & (F.col("_t.te") > F.col("epoch") + eps))).limit(1).count()
-            if bad:
-                method = "range"
-        if method != "range":
-            ev = c.where(F.col(kind_col) != "train")
-            ok = (F.col("_t.te") > F.col("epoch") - 1.0 + eps) & (F.col("_t.te") <= F.col("epoch") + eps)
-            cols = [F.when(ok, F.col(f"_t.{k}")).alias("train_loss" if k == "loss" else k) for k in carry]
-            return ev.select(*[k for k in log.columns if k not in carry and k != kind_col], *cols)
-    r = _asof_range(log, run_col, kind_col, carry, eps)
+    found = asof.last_in_window(log, run_col, F.col(kind_col) == "train", "epoch", "step", "pos", carry, eps)
     cols = [F.col(f"_t.{k}").alias("train_loss" if k == "loss" else k) for k in carry]
-    return r.select(*[k for k in log.columns if k not in carry and k != kind_col], *cols)
+    return found.select(*[k for k in log.columns if k not in carry and k != kind_col], *cols)
 
 
 def join_train_eval(train: DataFrame, evals: DataFrame, run_col: str = "run", digits: int = 6) -> DataFrame:
@@ -204,7 +155,7 @@ def fold_metrics_at_best(m: DataFrame, run_col: str = "run") -> DataFrame:
     """Metrics of every fold at the *row position* of the best averaged epoch; mean and
     sample std over folds (AGG21, position mode)."""
     avg = average_per_epoch(m)
-    avg_pos = exact_row_number(avg, [], [F.col("epoch")], F.floor(F.col("epoch") / POS_BUCKET_EPOCHS), "_p")
+    avg_pos = exact_row_number(sorted_chunks(avg, [], ["epoch"]), [], ["_at"], F.col("_chunk"), "_p")
     best = avg_pos.agg(F.max_by(F.struct(F.col("_p").alias("p"), F.col("epoch").alias("e")),
                                 F.struct(F.col("avg_eval_f1_weighted"), -F.col("_p"))).alias("b"))
     b = best.select("b").scalar()  # one scalar subquery returning (position, epoch)

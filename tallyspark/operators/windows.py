@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import materialise
+
 
 def forward_fill(df: DataFrame, partition_cols: Sequence[str], order_col: str, value: Column,
                  out_col: str, chunk: Column) -> DataFrame:
@@ -99,6 +101,23 @@ def running_max(df: DataFrame, partition_cols: Sequence[str], order_col: str, va
     return out.withColumn(out_col, both).drop("_rm_chunk", "_rm_in", "_rm_carry")
 
 
+def sorted_chunks(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column | str],
+                  partitions: int | None = None) -> DataFrame:
+    """The rows sorted by (partition, order), with ``_at`` (place in that order) and ``_chunk``.
+
+    One range shuffle whose boundaries Spark samples over all sort columns, so rows are dealt evenly
+    whatever their shape: a run with most rows, or with most rows at one epoch, still falls into
+    many chunks. ``_at`` ascends over the whole table, ``_chunk`` with it. The table is written to
+    the shared scratch folder, which fixes both. The other helpers take ``F.col("_chunk")`` and
+    ``"_at"`` as chunk and order.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*partition_cols, *order_cols]
+    x = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    x = x.withColumn("_at", F.monotonically_increasing_id())
+    return materialise(x.withColumn("_chunk", F.shiftright("_at", 33).cast("int")), "chunks")
+
+
 def hash_bucket(key: Column, bits: int = 12) -> Column:
     """Top ``bits`` of an md5-style hex key as an int bucket (monotone in the key's order)."""
     hex_digits = (bits + 3) // 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tallyspark/{name}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a fresh folder of the shared scratch space and read it back.
+
+    Later stages read the written rows, so values that depend on the layout (row numbers,
+    partition ids) are the same in all of them, also after an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, asked of its own file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

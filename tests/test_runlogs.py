@@ -1,11 +1,13 @@
 """Run-log operators vs brute force on random monotone logs."""
 
+import math
 import random
 
 import pandas as pd
 import pytest
 
 from tallyspark.operators import runlogs as RL
+from tallyspark.operators.windows import sorted_chunks
 
 
 def _log(spark, n=600, seed=5):
@@ -24,7 +26,7 @@ def _log(spark, n=600, seed=5):
 
 def test_asof_matches_bruteforce(spark):
     df = _log(spark)
-    got = RL.asof_train_eval(df, step_chunk=16).toPandas().set_index("pos")
+    got = RL.asof_train_eval(df).toPandas().set_index("pos")
     pdf = df.toPandas()
     tr, ev = pdf[pdf.kind == "train"], pdf[pdf.kind == "eval"]
     for _, e in ev.iterrows():
@@ -88,26 +90,73 @@ def test_best_per_fold_and_summary(spark):
     assert list(s.columns) == list(RL.SUMMARY_COLS)
 
 
-def test_asof_range_and_auto_on_non_monotone_log(spark):
-    rnd = random.Random(11)
+def _plain_asof(rows):
+    """{pos of eval row: loss} by looking at every train row; rows are LOG tuples."""
+    out = {}
+    number = lambda x: x is not None and math.isfinite(x)
+    for run, pos, kind, epoch, step, *_ in rows:
+        if kind == "train":
+            continue
+        fit = [(r[4], -r[1], r[5]) for r in rows if r[0] == run and r[2] == "train" and step is not None and r[4] is not None and number(epoch) and number(r[3])
+               and epoch - 1.0 + 1e-5 < r[3] <= epoch + 1e-5 and r[4] <= step]
+        out[pos] = max(fit)[2] if fit else None
+    return out
+
+
+def _odd_log(n, seed, epochs, hot=False):
+    """Epochs that jump, equal steps, null runs, epochs and steps, epochs on the edges of the window."""
+    rnd = random.Random(seed)
     rows = []
-    for pos in range(300):
-        run = rnd.randrange(2)
-        kind = "eval" if rnd.random() < 0.3 else "train"
-        epoch = rnd.random() * 8  # epochs jump around: the carry shortcut is not valid here
-        rows.append((run, pos, kind, epoch, pos, rnd.random() if kind == "train" else None,
-                     0.01 if kind == "train" else None, rnd.random() if kind == "eval" else None))
-    df = spark.createDataFrame(rows, "run int, pos long, kind string, epoch double, step long, loss double, "
-                                     "learning_rate double, eval_loss double")
-    pdf = df.toPandas()
-    tr, ev = pdf[pdf.kind == "train"], pdf[pdf.kind == "eval"]
-    for method in ("range", "auto"):
-        got = RL.asof_train_eval(df, method=method).toPandas().set_index("pos")
-        for _, e in ev.iterrows():
-            c = tr[(tr.run == e.run) & (tr.epoch > e.epoch - 1.0 + 1e-5) & (tr.epoch <= e.epoch + 1e-5) & (tr.step <= e.step)]
-            exp = c.sort_values(["step", "pos"], ascending=[False, True]).iloc[0].loss if len(c) else None
-            g = got.loc[e.pos, "train_loss"]
-            assert (exp is None and pd.isna(g)) or g == pytest.approx(exp), method
+    for pos in range(n):
+        run = 7 if hot and rnd.random() < 0.8 else rnd.choice([1, 2, None])
+        kind = "eval" if rnd.random() < 0.4 else "train"
+        epoch = rnd.choice([None, float("nan"), float("inf"), -float("inf"), 1e300]) if rnd.random() < 0.03 else epochs(rnd)
+        step = None if rnd.random() < 0.02 else rnd.randrange(n // 3)
+        rows.append((run, pos, kind, epoch, step, float(pos) if kind == "train" else None, 0.01, None))
+    return rows
+
+
+@pytest.mark.parametrize("name,epochs", [
+    ("jumping", lambda r: r.random() * 6 - 2), ("edges", lambda r: r.randrange(-2, 4) + r.choice([0.0, 1e-5, -1e-5, 0.5, 1e-5 + 1e-12])),
+    ("inside one epoch", lambda r: 3 + r.random() / 2)])
+def test_asof_equals_brute_force(spark, name, epochs):
+    """Small chunks, so that cells span many of them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for chunks, hot in ((3, False), (23, True)):
+            spark.conf.set("spark.sql.shuffle.partitions", chunks)
+            rows = _odd_log(500, chunks, epochs, hot)
+            got = {r.pos: r.train_loss for r in RL.asof_train_eval(spark.createDataFrame(rows, LOG)).collect()}
+            assert got == _plain_asof(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_asof_questions_that_go_far_back(spark):
+    """All train rows come first; the evals of a hot run then ask for chunks long before their own."""
+    rows = [(1, p, "train", 5 + (p * 37 % 100) / 100, p, float(p), 0.1, None) for p in range(100)]
+    rows += [(1, 100 + p, "eval", 5 + (p * 53 % 120) / 100, 100 + p, None, None, 1.0) for p in range(400)]
+    got = {r.pos: r.train_loss for r in RL.asof_train_eval(spark.createDataFrame(rows, LOG).repartition(5)).collect()}
+    assert got == _plain_asof(rows) and sum(v is not None for v in got.values()) > 300
+
+
+def test_asof_keeps_other_columns_and_empty_logs(spark):
+    df = spark.createDataFrame([(1, 0, "eval", 1.0, 1, None, None, 2.5, "x", "y")], LOG + ", row string, _row string")
+    assert [r.asDict() for r in RL.asof_train_eval(df.drop("_row")).collect()] == [
+        {"run": 1, "pos": 0, "epoch": 1.0, "step": 1, "eval_loss": 2.5, "row": "x", "train_loss": None, "learning_rate": None}]
+    assert RL.asof_train_eval(spark.createDataFrame([], LOG)).collect() == []
+
+
+def test_positions_inside_one_epoch(spark):
+    """A run whose rows all lie inside one epoch is dealt evenly, nulls first."""
+    rows = [(1, 3.0 + (i * 7919 % 3000) / 3000, i) for i in range(3000)] + [(2, None, 5), (2, 1.0, 4), (None, 1.0, 1), (None, 0.5, 2)]
+    df = spark.createDataFrame(rows, "run int, epoch double, step long")
+    got = {(r.run, r.step): r.position for r in RL.with_position(df.repartition(6)).collect()}
+    order = sorted(range(3000), key=lambda i: rows[i][1:])
+    assert [got[1, i] for i in order] == list(range(3000))
+    assert (got[2, 5], got[2, 4], got[None, 2], got[None, 1]) == (0, 1, 0, 1)
+    sizes = [r["count"] for r in sorted_chunks(df, ["run"], ["epoch", "step"]).groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1000
 
 
 LOG = "run int, pos long, kind string, epoch double, step long, loss double, learning_rate double, eval_loss double"
