@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.labels import API_ERROR, DEFAULT_CLASSES
-from tallyspark.session import path_exists, ship_package, spread
+from tallyspark.session import ship_package, spread
+from tallyspark.sources.attempts import AttemptLog
 
 ScorerFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 ResponderFactory = Callable[[], Callable[[list[str]], list[str]]]
@@ -81,7 +82,8 @@ def resume_score(todo: DataFrame, existing: DataFrame, scorer_factory: ScorerFac
     """Score only ids not yet in ``existing`` and return existing + new (SCR2, JN3).
 
     Failed rows in ``existing`` are kept (not retried) unless ``retry_errors``.
-    The id key is cast to the source's type before the anti join.
+    The id key is cast to the source's type before the anti join. ``existing`` is read twice:
+    give a written table, not a scoring plan.
     """
     ex = existing if not retry_errors else existing.where(F.col("success"))
     key_t = todo.schema[id_col].dataType
@@ -91,7 +93,7 @@ def resume_score(todo: DataFrame, existing: DataFrame, scorer_factory: ScorerFac
 
 
 def read_latest(spark, path: str, id_col: str = "index") -> DataFrame:
-    """Read an append-only prediction sink, one row per id (successful attempts win).
+    """An append-only prediction table, one row per id (successful attempts win).
 
     Tasks are at-least-once, so a retried task may have appended the same id
     twice; the de-duplication makes the sink idempotent on read.
@@ -104,19 +106,17 @@ def read_latest(spark, path: str, id_col: str = "index") -> DataFrame:
 
 def resume_score_to(todo: DataFrame, path: str, scorer_factory: ScorerFactory,
                     classes: Sequence[str] = DEFAULT_CLASSES, text_col: str = "post", id_col: str = "index",
-                    batch_size: int = 16, retry_errors: bool = False) -> DataFrame:
-    """Durable resumable scoring (SCR2 + SNK3): score ids missing from the sink at ``path``,
-    append them, and return the de-duplicated sink. Safe to rerun after a crash."""
-    spark = todo.sparkSession
-    existing = read_latest(spark, path, id_col) if path_exists(spark, path) else None
-    if existing is None:
-        new = score_table(todo, scorer_factory, classes, text_col, id_col, batch_size)
-    else:
-        ex = existing if not retry_errors else existing.where(F.col("success"))
-        done = ex.select(F.col(id_col).cast(todo.schema[id_col].dataType).alias(id_col))
-        new = score_table(todo.join(done, id_col, "left_anti"), scorer_factory, classes, text_col, id_col, batch_size)
-    new.write.mode("append").parquet(path)
-    return read_latest(spark, path, id_col)
+                    batch_size: int = 16, retry_errors: bool = False, batch: str | None = None) -> DataFrame:
+    """Durable resumable scoring (SCR2 + SNK3): score the ids that the attempt log at ``path`` doesn't
+    have, append them, and return one row per id with its number of ``attempts``.
+
+    Failed rows are attempts too; they are tried again only with ``retry_errors``. Safe to rerun
+    after a crash; a ``batch`` that is named and run again replaces its own rows.
+    """
+    log = AttemptLog(todo.sparkSession, path, id_col)
+    new = score_table(log.unseen(todo.dropDuplicates([id_col]), retry_errors, batch), scorer_factory, classes, text_col, id_col, batch_size)
+    log.append(new, batch)
+    return log.latest()
 
 
 def respond(df: DataFrame, responder_factory: ResponderFactory, prompt_col: str = "prompt", id_col: str = "index",
@@ -187,6 +187,20 @@ def length_scorer_factory(n_classes: int = 4) -> Callable[[], LengthScorer]:
     return lambda: LengthScorer(n_classes)
 
 
+class FailingLengthScorer(LengthScorer):
+    """Fails on texts whose length is a multiple of 50."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        for t in texts:
+            if len(t) % 50 == 0:
+                raise ValueError(f"no answer for {len(t)} characters")
+        return super().__call__(texts)
+
+
+def failing_scorer_factory(n_classes: int = 4) -> Callable[[], FailingLengthScorer]:
+    return lambda: FailingLengthScorer(n_classes)
+
+
 class LengthResponder:
     """Answers ``Final Classification: <class[len(prompt) mod K]>``."""
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tallyspark.functions.labels import DEFAULT_CLASSES
 from tallyspark.operators.scoring import ScorerFactory, score_table
-from tallyspark.session import path_exists
+from tallyspark.sources.attempts import AttemptLog
 
 
 def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_path: str, checkpoint_path: str,
@@ -20,29 +20,20 @@ def score_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_
                  rename: dict[str, str] | None = None):
     """Incremental scoring with durable progress (STR1).
 
-    The file source + checkpoint replace the processed-id set of the source;
-    each micro-batch is de-duplicated on the id, anti-joined with ids already
-    in the sink's other folders (so a re-landed file is not scored twice) and
-    written with overwrite to ``sink/query=<checkpoint>/batch_id=<epoch>``: a replayed
-    epoch gives its folder the same rows again, and a restart with a new checkpoint
-    writes beside what is there.
+    The file source + checkpoint and an attempt log (``sources.attempts``) replace the
+    processed-id set of the source: each micro-batch is de-duplicated on the id, anti-joined with
+    the ids in its own buckets of the log (so a re-landed file is not scored twice) and written
+    over the log's folder of this query and epoch. A replayed epoch gives its folder the same rows
+    again, and a restart with a new checkpoint writes beside what is there. What a batch costs
+    depends on its own ids, not on how much has been scored.
     """
-    query = "q" + hashlib.sha1(checkpoint_path.encode()).hexdigest()[:12]
-    reader = spark.readStream.schema(schema).format("parquet")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    stream = reader.load(source_dir)
-    if rename:
-        stream = stream.withColumnsRenamed(rename)
+    query = hashlib.sha1(checkpoint_path.encode()).hexdigest()[:12]
+    stream = _files(spark, source_dir, schema, glob, rename)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        todo = df.dropDuplicates([id_col])
-        if path_exists(df.sparkSession, sink_path):
-            sink = df.sparkSession.read.parquet(sink_path)
-            own = (F.col("query") == query) & (F.col("batch_id") == epoch_id)
-            todo = todo.join(sink.where(~own).select(id_col), id_col, "left_anti")
-        scored = score_table(todo, scorer_factory, classes, text_col, id_col)
-        scored.write.mode("overwrite").parquet(f"{sink_path}/query={query}/batch_id={epoch_id}")
+        log, name = AttemptLog(df.sparkSession, sink_path, id_col), f"{query}-{epoch_id}"
+        todo = log.unseen(df.dropDuplicates([id_col]), batch=name)
+        log.append(score_table(todo, scorer_factory, classes, text_col, id_col), name)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -57,12 +48,27 @@ def rate_windows(df: DataFrame, limit: int, ts_col: str = "ts", key_col: str = "
                     (F.col("n") > limit).alias("over_limit"))
 
 
-def rate_audit(spark: SparkSession, source_dir: str, schema: StructType, limit: int, query_name: str,
-               watermark: str = "2 minutes", glob: str | None = None, ts_col: str = "ts", key_col: str = "key"):
-    """Streaming request-rate audit into a memory table (append mode, watermark-closed windows)."""
+def rate_audit(spark: SparkSession, source_dir: str, schema: StructType, limit: int, sink_path: str, checkpoint_path: str,
+               watermark: str = "2 minutes", glob: str | None = None, ts_col: str = "ts", key_col: str = "key",
+               rename: dict[str, str] | None = None):
+    """Streaming request-rate audit of aligned windows into a Parquet table (append mode).
+
+    A window is written once, when the watermark closes it; the file sink's own log makes replayed
+    batches count once.
+    """
+    s = _files(spark, source_dir, schema, glob, rename)
+    s = s.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+    out = rate_windows(s, limit, ts_col, key_col)
+    return (out.writeStream.outputMode("append").format("parquet").option("path", sink_path)
+            .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+
+
+def _files(spark: SparkSession, source_dir: str, schema: StructType, glob: str | None, rename: dict[str, str] | None,
+           max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format("parquet")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    s = reader.load(source_dir).withWatermark(ts_col, watermark)
-    out = rate_windows(s, limit, ts_col, key_col)
-    return out.writeStream.outputMode("append").format("memory").queryName(query_name).trigger(availableNow=True).start()
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.load(source_dir)
+    return stream.withColumnsRenamed(rename) if rename else stream
