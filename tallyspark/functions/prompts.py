@@ -20,17 +20,13 @@ def fill_first_hole(template: Column, value: Column) -> Column:
 
 
 def render(df: DataFrame, prompts: DataFrame, text_col: str = "post", style_col: str = "style",
-           thinking_col: str = "thinking", out_col: str = "prompt", max_prompt_rows: int = 10_000) -> DataFrame:
+           thinking_col: str = "thinking", out_col: str = "prompt") -> DataFrame:
     """Render a prompt per row from a (style, thinking) -> template table (TXT4).
 
-    The template table is small by construction (styles x flag); its size is
-    checked before it is broadcast. A row whose (style, thinking) pair has no
+    A plain join: Spark brings the template table (styles x flag) to the posts. A row whose (style, thinking) pair has no
     template fails the job, like the source's KeyError.
     """
-    n = prompts.count()
     right = prompts.select(F.col("style").alias(style_col), F.col("thinking").alias(thinking_col), "template")
-    if n <= max_prompt_rows:
-        right = F.broadcast(right)
     j = df.join(right, [style_col, thinking_col], "left")
     missing = F.raise_error(F.concat(F.lit("no prompt template for style="), F.col(style_col).cast("string"),
                                      F.lit(", thinking="), F.col(thinking_col).cast("string")))

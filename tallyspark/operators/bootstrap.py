@@ -2,27 +2,31 @@
 
 Two exact resampling schemes:
 
-* ``metrics`` (multinomial, scalable): an n-of-n resample with replacement only
-  changes how many times each (true, pred) cell is drawn, so each replicate is one
-  multinomial draw over the confusion cells — the same distribution as resampling
-  rows, at O(cells) cost per replicate instead of O(n). Cells are tiny per group;
-  replicates are split into chunks so B can be large, drawn with numpy inside
-  ``applyInPandas`` and summarised by Spark.
+* ``metrics`` (multinomial, scalable): an n-of-n resample with replacement only changes how
+  many times each (true, pred) cell is drawn, so a replicate is one multinomial draw over the
+  confusion cells, whatever the number of rows. Cells are dealt into blocks by a hash. A
+  replicate's size is split over the blocks by a binary tree of binomial draws, each of which
+  depends only on (seed, group, replicate, node); so every block draws its own share apart from
+  the others, and the numbers are the same however the work is cut. Blocks send (label, hits,
+  support, predictions) per replicate, and Spark sums these: no dense label matrix anywhere.
 * ``poisson_weights`` (row-level): each row gets a Poisson(1) weight per replicate
   from ``md5(seed-b-id)``, reproducible in any engine; used when rows must be kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators.metrics import confusion_cells
+from tallyspark.session import ship_package
 
 POISSON_K = 18  # P(Poisson(1) >= 18) < 2**-52: below the resolution of the 52-bit uniforms
 
@@ -53,70 +57,124 @@ def poisson_weights(df: DataFrame, replicates: int, seed: int = 42, id_col: str
     return x.withColumn("weight", w.cast("long")).drop("_u")
 
 
-def _replicate_metrics(t: np.ndarray, p: np.ndarray, counts: np.ndarray, label_set: str,
-                       fixed: Sequence[str] | None) -> dict[str, np.ndarray]:
-    """Metrics for a batch of replicates; ``counts`` is (B, cells)."""
-    labels = sorted(set(t) | set(p)) if label_set != "fixed" else list(fixed or [])
-    idx = {l: i for i, l in enumerate(labels)}
-    L = len(labels)
-    T = np.zeros((len(t), L))
-    P = np.zeros((len(t), L))
-    for j, (a, b) in enumerate(zip(t, p)):
-        if a in idx:
-            T[j, idx[a]] = 1
-        if b in idx:
-            P[j, idx[b]] = 1
-    hit = (t == p).astype(float)
-    total = counts.sum(axis=1).astype(float)
-    tp = counts @ (T * P)
-    sup = counts @ T
-    pn = counts @ P
-    with np.errstate(divide="ignore", invalid="ignore"):
-        f1 = np.where(sup + pn > 0, 2 * tp / (sup + pn), 0.0)
-        acc = np.where(total > 0, (counts @ hit) / total, 0.0)
-        wf1 = np.where(sup.sum(axis=1) > 0, (f1 * sup).sum(axis=1) / sup.sum(axis=1), 0.0)
-    if label_set == "true":
-        present = sup > 0
-        mf1 = np.where(present.sum(axis=1) > 0, (f1 * present).sum(axis=1) / np.maximum(present.sum(axis=1), 1), 0.0)
-    elif label_set == "union":
-        present = (sup + pn) > 0
-        mf1 = np.where(present.sum(axis=1) > 0, (f1 * present).sum(axis=1) / np.maximum(present.sum(axis=1), 1), 0.0)
-    else:
-        mf1 = f1.mean(axis=1) if L else np.zeros(len(total))
-    return {"accuracy": acc, "f1_weighted": wf1, "f1_macro": mf1}
+TOGETHER = 20  # replicates that one stream of random numbers serves; fixed, so that results are
+
+
+def _random(*key: object) -> np.random.Generator:
+    """A stream of its own for each key (Philox, a counter-based generator)."""
+    digest = hashlib.blake2b(json.dumps(key).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(digest, "little")))
+
+
+def block_sizes(masses: Sequence[int], block: int, seed: int, group: str, draw: int) -> np.ndarray:
+    """How many of each replicate's rows fall into a block, for the ``TOGETHER`` replicates of a draw.
+
+    Node 1 of the tree has all rows; node k's children are 2k and 2k + 1, the leaves the blocks.
+    A node's rows are split by a binomial draw of the node's own.
+    """
+    leaves = len(masses)
+    below = np.zeros(2 * leaves, np.int64)
+    below[leaves:] = masses
+    for k in range(leaves - 1, 0, -1):
+        below[k] = below[2 * k] + below[2 * k + 1]
+    size, leaf = np.full(TOGETHER, below[1]), leaves + block
+    for depth in range(leaf.bit_length() - 1, 0, -1):
+        k = leaf >> depth
+        left = _random(seed, group, draw, k).binomial(size, below[2 * k] / below[k] if below[k] else 0.0)
+        size = size - left if leaf >> (depth - 1) & 1 else left
+    return size
+
+
+def draw_block(cells: Sequence[tuple], masses: Sequence[int], block: int, seed: int, group: str, draw: int) -> dict[str, np.ndarray]:
+    """(replicate, label, tp, support, pred_n) of one block's (true, predicted, n) cells, without rows of zeros."""
+    size = block_sizes(masses, block, seed, group, draw)
+    n = np.array([c[2] for c in cells], np.float64)
+    counts = _random(seed, group, draw, "block", block).multinomial(size, n / n.sum())
+    labels = sorted({x for c in cells for x in c[:2] if x is not None})
+    code = {x: k for k, x in enumerate(labels)}
+    out = {}
+    for name, own in (("tp", [c[0] if c[0] == c[1] else None for c in cells]), ("support", [c[0] for c in cells]), ("pred_n", [c[1] for c in cells])):
+        at = np.array([code.get(x, len(labels)) for x in own])
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        total = np.zeros((TOGETHER, len(labels) + 1), np.int64)
+        total[:, at[order][first]] = np.add.reduceat(counts[:, order], first, axis=1)
+        out[name] = total[:, :-1]
+    replicate, label = np.nonzero(out["support"] + out["pred_n"])
+    return {"replicate": draw * TOGETHER + replicate, "label": np.array(labels, object)[label],
+            **{k: v[replicate, label] for k, v in out.items()}}
+
+
+def replicate_labels(cells: DataFrame, replicates: int = 1000, seed: int = 42, group_cols: Sequence[str] = (),
+                     replicates_per_task: int = 250, cell_blocks: int = 16) -> DataFrame:
+    """(group, replicate, label, tp, support, pred_n, n): label counts of each replicate (AGG23).
+
+    ``n`` is the group's number of rows. ``cell_blocks``, a power of two, bounds what a task
+    holds to that share of a group's cells; another number of blocks gives other draws, while
+    ``replicates_per_task`` only deals out the work. Null labels count in ``n`` alone.
+    """
+    if cell_blocks & (cell_blocks - 1):
+        raise ValueError("cell_blocks must be a power of two")
+    ship_package(cells.sparkSession)
+    g = list(group_cols)
+    cell = F.struct("true_label", "predicted_label", F.col("n").cast("long").alias("n"))
+    block = F.pmod(F.xxhash64("true_label", "predicted_label"), F.lit(cell_blocks)).cast("int")
+    blocks = (cells.where("n > 0").groupBy(*g, block.alias("_block")).agg(F.sort_array(F.collect_list(cell)).alias("_cells"), F.sum("n").alias("_mass")))
+    mass = F.map_from_entries(F.collect_list(F.struct("_block", "_mass")))
+    masses = blocks.groupBy(*g).agg(mass.alias("_m")).select(
+        *[F.col(c).alias(f"_g_{c}") for c in g], F.transform(F.sequence(F.lit(0), F.lit(cell_blocks - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0))).alias("_masses"))
+    same = F.lit(True)
+    for c in g:
+        same = same & blocks[c].eqNullSafe(F.col(f"_g_{c}"))
+    joined = blocks.join(masses, same) if g else blocks.withColumn("_masses", masses.select("_masses").scalar())
+    draws, a_task = -(-replicates // TOGETHER), max(1, replicates_per_task // TOGETHER)
+    name = F.to_json(F.struct(*g)) if g else F.lit("")
+    work = joined.select(*g, name.alias("_name"), "_block", "_cells", "_masses", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(a_task))).alias("_draw"))
+    names = [*g, "replicate", "label", "tp", "support", "pred_n", "n"]
+    types = dict(cells.dtypes)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = b.columns
+            for i in range(b.num_rows):
+                group, block_, cells_, masses_, first = (columns[len(g) + k][i].as_py() for k in range(5))
+                rows = [(c["true_label"], c["predicted_label"], c["n"]) for c in cells_]
+                for draw in range(first, min(first + a_task, draws)):
+                    x = draw_block(rows, masses_, block_, seed, group, draw)
+                    keep = x["replicate"] < replicates
+                    n = int(keep.sum())
+                    if not n:
+                        continue
+                    same_group = [columns[k].slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for k in range(len(g))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*same_group, pa.array(x["replicate"][keep], pa.int64()), pa.array(x["label"][keep], pa.string()),
+                         *[pa.array(x[k][keep], pa.int64()) for k in ("tp", "support", "pred_n")], pa.array(np.full(n, sum(masses_)), pa.int64())], names=names)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in g] + ["replicate long", "label string", "tp long", "support long", "pred_n long", "n long"])
+    drawn = work.repartition(*g, "_block", "_draw").mapInArrow(task, schema)
+    return drawn.groupBy(*g, "replicate", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "pred_n")], F.max("n").alias("n"))
 
 
 def replicate_metrics(cells: DataFrame, replicates: int = 1000, seed: int = 42, group_cols: Sequence[str] = (),
                       label_set: str = "union", classes: Sequence[str] | None = None,
-                      replicates_per_task: int = 250) -> DataFrame:
-    """One row per (group, replicate) with accuracy, weighted F1 and macro F1 (AGG23)."""
-    from tallyspark.session import ship_package
-    ship_package(cells.sparkSession)
+                      replicates_per_task: int = 250, cell_blocks: int = 16) -> DataFrame:
+    """One row per (group, replicate) with accuracy, weighted F1 and macro F1 (AGG23).
+
+    ``label_set`` names the labels of the macro average: ``true`` (in the replicate's true labels),
+    ``union`` (true or predicted) or ``fixed`` (``classes``). A replicate that draws no label at all
+    has no row.
+    """
     g = list(group_cols)
-    n_chunks = max(1, math.ceil(replicates / replicates_per_task))
-    x = cells.select(*g, "true_label", "predicted_label", "n",
-                     F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["_chunk"].iloc[0])
-        lo = chunk * replicates_per_task
-        hi = min(replicates, lo + replicates_per_task)
-        pdf = pdf.sort_values(["true_label", "predicted_label"], na_position="first")
-        n = pdf["n"].to_numpy(dtype=np.int64)
-        probs = n / n.sum()
-        rng = np.random.default_rng([seed, chunk])
-        counts = rng.multinomial(int(n.sum()), probs, size=hi - lo)
-        t = pdf["true_label"].to_numpy(dtype=object)
-        p = pdf["predicted_label"].to_numpy(dtype=object)
-        m = _replicate_metrics(t, p, counts, label_set, classes)
-        out = pd.DataFrame({"replicate": np.arange(lo, hi, dtype=np.int64), **m})
-        for c in g:
-            out[c] = pdf[c].iloc[0]
-        return out[g + ["replicate", "accuracy", "f1_weighted", "f1_macro"]]
-
-    schema_fields = [f"`{c}` {dict(cells.dtypes)[c]}" for c in g]
-    schema = ", ".join(schema_fields + ["replicate long", "accuracy double", "f1_weighted double", "f1_macro double"])
-    return x.groupBy(*g, "_chunk").applyInPandas(run, schema)
+    x = replicate_labels(cells, replicates, seed, g, replicates_per_task, cell_blocks)
+    own = F.col("label").isin(list(classes or [])) if label_set == "fixed" else F.lit(True)
+    f1 = F.when(own, 2 * F.col("tp") / (F.col("support") + F.col("pred_n")))
+    support = F.when(own, F.col("support"))
+    counted = {"true": F.col("support") > 0, "union": F.lit(True), "fixed": own}[label_set]
+    of = F.lit(len(classes or [])) if label_set == "fixed" else F.count_if(counted)
+    out = x.groupBy(*g, "replicate").agg(
+        (F.sum("tp") / F.max("n")).alias("accuracy"),
+        F.coalesce(F.try_divide(F.sum(f1 * support), F.sum(support)), F.lit(0.0)).alias("f1_weighted"),
+        F.coalesce(F.try_divide(F.sum(F.when(counted, f1)), of), F.lit(0.0)).alias("f1_macro"))
+    return out.select(*g, "replicate", "accuracy", "f1_weighted", "f1_macro")
 
 
 def metrics(df: DataFrame, replicates: int = 1000, seed: int = 42, true_col: str = "label",

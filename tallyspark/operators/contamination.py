@@ -1,16 +1,10 @@
 """Train/test leakage by word n-gram overlap (JN4, TXT6).
 
-The source compares each test post with every reference post (O(N*M) with
-re-vectorisation). Here both sides are exploded to (id, n-gram); the reference
-grams are de-duplicated, and one equi-join on the gram string answers every
-pair at once:
-  * reference grams within ``broadcast_max_grams`` (counted first) -> broadcast
-    hash join, the document side never shuffles its grams;
-  * larger reference sets -> shuffle join on compact gram hashes, then an exact
-    string check for the (few) documents with a hash hit; AQE splits hot keys.
-Per-document flags come from ``explode_outer`` + ``max``, so documents with
-fewer than n tokens keep a row and come out ``False``; the only shuffle of the
-document side is the map-side-combined flag aggregate (one row per document).
+The source compares each test post with every reference post (O(N*M) with re-vectorisation).
+Here both sides are exploded to (id, n-gram), in one plan at every size: a Bloom filter of set
+size is aggregated from the reference's grams and probed before anything is shuffled, so only
+the few grams that may be in a reference text travel; they meet the reference's grams as exact
+strings. Ids alone carry the flags; rows with fewer than n tokens, or null texts, come out False.
 """
 
 from __future__ import annotations
@@ -19,49 +13,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import ngrams, tokens
-from tallyspark.session import spread
+from tallyspark.operators import bloom
 
-BROADCAST_MAX_GRAMS = 2_000_000
+
+def _grams(df: DataFrame, text_col: str, n: int, *keep: str) -> DataFrame:
+    """(kept columns, gram): the distinct n-grams of each row."""
+    toks = df.select(*keep, tokens(text_col).alias("_tok"))
+    return toks.select(*keep, F.explode(F.array_distinct(ngrams(F.col("_tok"), n))).alias("gram"))
 
 
 def reference_grams(ref: DataFrame, text_col: str = "text", n: int = 7) -> DataFrame:
-    toks = ref.select(tokens(text_col).alias("_tok"))
-    return toks.select(F.explode(ngrams(F.col("_tok"), n)).alias("gram")).distinct()
+    return _grams(ref, text_col, n).distinct()
+
 
+def overlapping_ids(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index", text_col: str = "post",
+                    ref_text_col: str = "text") -> DataFrame:
+    """The distinct ids of rows that share an n-gram with some reference text.
 
-def _gram_hash(col: str = "gram") -> list:
-    """Two independent hashes of a gram (64 + 32 bits) as a compact join key."""
-    return [F.xxhash64(F.col(col)).alias("_h1"), F.hash(F.col(col)).alias("_h2")]
+    A gram that very many rows share makes a hot key of the last join, which Spark's skew
+    handling splits; each row has it once.
+    """
+    known = bloom.build(_grams(ref, ref_text_col, n), F.col("gram"))
+    maybe = bloom.may_hold(_grams(df, text_col, n, id_col), known, "gram")
+    return maybe.join(reference_grams(ref, ref_text_col, n).hint("shuffle_hash"), "gram", "left_semi").select(id_col).distinct()
 
 
 def flag_overlap(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index", text_col: str = "post",
-                 ref_text_col: str = "text", broadcast_max_grams: int = BROADCAST_MAX_GRAMS) -> DataFrame:
-    """(id, duplicate): True iff some n-gram of the row also occurs in some reference text.
-
-    Small reference (<= ``broadcast_max_grams`` distinct grams, counted first):
-    one broadcast hash join, the documents never shuffle their grams.
-    Large reference: the document grams are shuffled as 12-byte hash keys, not
-    as strings; documents with a hash hit are then re-checked on the exact gram
-    strings (only their grams travel), so the answer stays exact.
-    """
-    rg = reference_grams(ref, ref_text_col, n)
-    n_ref = rg.count()
-    toks = spread(df.select(id_col, text_col)).select(id_col, tokens(text_col).alias("_tok"))
-    grams = toks.select(id_col, F.explode_outer(ngrams(F.col("_tok"), n)).alias("gram"))
-    if n_ref <= broadcast_max_grams:
-        right = F.broadcast(rg.withColumn("_hit", F.lit(True)))
-        return (grams.join(right, "gram", "left")
-                .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("duplicate")))
-    # phase 1: hash keys only
-    rh = rg.select(*_gram_hash()).distinct().withColumn("_hit", F.lit(True))
-    cand = (grams.select(id_col, *_gram_hash()).join(rh, ["_h1", "_h2"], "left")
-            .groupBy(id_col).agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("_cand")))
-    # phase 2: exact strings, candidate documents only
-    cand_ids = cand.where("_cand").select(id_col)
-    cgrams = grams.join(cand_ids, id_col, "left_semi")
-    verified = cgrams.join(rg, "gram", "left_semi").select(id_col).distinct().withColumn("_ok", F.lit(True))
-    return (cand.join(verified, id_col, "left")
-            .select(id_col, F.coalesce(F.col("_ok"), F.lit(False)).alias("duplicate")))
+                 ref_text_col: str = "text") -> DataFrame:
+    """(id, duplicate), one row per id: True iff some n-gram of its rows also occurs in a reference text."""
+    hit = overlapping_ids(df, ref, n, id_col, text_col, ref_text_col).select(id_col, F.lit(True).alias("duplicate"))
+    return df.select(id_col, F.lit(False).alias("duplicate")).unionByName(hit).groupBy(id_col).agg(F.max("duplicate").alias("duplicate"))
 
 
 def overlap_counts(flags: DataFrame) -> DataFrame:
@@ -70,6 +51,8 @@ def overlap_counts(flags: DataFrame) -> DataFrame:
 
 def drop_overlap(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index", text_col: str = "post",
                  ref_text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` with no n-gram in common with the reference texts (the leakage-free subset)."""
-    flags = flag_overlap(df, ref, n, id_col, text_col, ref_text_col)
-    return df.join(flags.where(~F.col("duplicate")).select(id_col), id_col, "left_semi")
+    """Rows of ``df`` with no n-gram in common with the reference texts: an anti join of the flagged ids.
+
+    Rows with a null id are kept if nothing flagged has a null id (SQL's anti join keeps them).
+    """
+    return df.join(overlapping_ids(df, ref, n, id_col, text_col, ref_text_col), id_col, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ def with_correct(df: DataFrame, true_col: str = "label", pred_col: str = "predic
 
 
 def top_n(df: DataFrame, n: int = 2, class_col: str = "label", order_col: str = "index",
-          failures_only: bool = False) -> DataFrame:
-    """First ``n`` correct and ``n`` incorrect rows per true class in ``order_col`` order (WIN2).
+          failures_only: bool = False, group_cols: Sequence[str] = ()) -> DataFrame:
+    """First ``n`` correct and ``n`` incorrect rows per true class in ``order_col`` order (WIN2),
+    of each group (e.g. each model).
 
     ``row_number() <= n`` is planned with a window group limit: each task keeps
     at most n rows per (class, correct) before the shuffle, so a huge class
@@ -22,7 +25,7 @@ def top_n(df: DataFrame, n: int = 2, class_col: str = "label", order_col: str =
     x = with_correct(df, class_col) if "correct" not in df.columns else df
     if failures_only:
         x = x.where(~F.col("correct"))
-    w = Window.partitionBy(class_col, "correct").orderBy(order_col)
+    w = Window.partitionBy(*group_cols, class_col, "correct").orderBy(order_col)
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -1,5 +1,6 @@
 """Sources/sinks, scoring (failure isolation, resume), streaming, prep, leakage and bootstrap."""
 
+import collections
 import os
 import re
 
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallyspark.operators import bloom
 from tallyspark.operators import bootstrap as B
 from tallyspark.operators import contamination as C
+from tallyspark.operators import metrics as M
 from tallyspark.operators import prep as P
 from tallyspark.operators import scoring as S
 from tallyspark.sources import readers as RD
@@ -164,11 +167,91 @@ def test_encode_strict_and_lenient(spark):
         L.decode("i", ["a", "b"]).alias("d")).collect()] == ["b", None]
 
 
-def test_ngram_overlap_shuffle_path_matches_broadcast(spark):
-    docs = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6} w{i+7}" for i in range(0, 60, 3)] + ["short text"]
-    ref = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6}" for i in (9, 30, 100)]
-    ddf = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "index long, post string")
+def _grams_of(text, n):
+    words = re.findall(r"\w{2,}", (text or "").lower())
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_ngram_overlap_equals_pairs(spark):
+    docs = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6} w{i+7}" for i in range(0, 60, 3)] + ["short text", None, "", "w9 " * 30]
+    ref = [f"w{i} w{i+1} w{i+2} w{i+3} w{i+4} w{i+5} w{i+6}" for i in (9, 30, 100)] + ["w9 " * 9, None, "too short"]
+    ddf = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(3, docs[0])], "index long, post string")
     rdf = spark.createDataFrame([(r,) for r in ref], "text string")
-    a = {r["index"]: r.duplicate for r in C.flag_overlap(ddf, rdf, 7).collect()}
-    b = {r["index"]: r.duplicate for r in C.flag_overlap(ddf, rdf, 7, broadcast_max_grams=0).collect()}
-    assert a == b and sum(a.values()) >= 2 and a[len(docs) - 1] is False
+    known = set().union(*(_grams_of(r, 7) for r in ref))
+    want = {i: bool(_grams_of(d, 7) & known) for i, d in enumerate(docs)}
+    rows = C.flag_overlap(ddf, rdf, 7).collect()
+    assert len(rows) == len(docs) and {r["index"]: r.duplicate for r in rows} == want and sum(want.values()) >= 3
+    kept = sorted(r["index"] for r in C.drop_overlap(ddf, rdf, 7).collect())
+    assert kept == sorted([i for i in want if not want[i]] + ([3] if not want[3] else []))
+    none = spark.createDataFrame([], "text string")
+    assert not any(r.duplicate for r in C.flag_overlap(ddf, none, 7).collect()) and C.drop_overlap(ddf, none, 7).count() == len(docs) + 1
+    assert C.flag_overlap(ddf.limit(0), rdf, 7).collect() == []
+
+
+def test_leakage_is_one_plan_that_shuffles_hits_only(spark):
+    docs = spark.createDataFrame([(1, "a b")], "index long, post string")
+    plan = C.overlapping_ids(docs, docs.withColumnRenamed("post", "text"), 3)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin [_block" in plan and "ShuffledHashJoin [gram" in plan and "Cartesian" not in plan
+
+
+def test_bloom_filter_misses_nothing(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("key "), "id").alias("k"))
+    known = bloom.build(keys.where("k NOT LIKE '%7'"), F.col("k"))
+    size = known.agg(F.sum(F.size("_words")), F.count("*")).first()
+    assert size[1] <= bloom.BLOCKS and size[0] == 512 * size[1]
+    found = bloom.may_hold(keys, known, "k")
+    assert found.columns == ["k"] and found.where("k NOT LIKE '%7'").count() == 18_000
+    assert found.where("k LIKE '%7'").count() < 5
+    assert bloom.may_hold(keys, bloom.build(keys.limit(0), F.col("k")), "k").count() == 0
+
+
+def _sample(spark):
+    rows = [("m1", "a", "a")] * 50 + [("m1", "a", "b")] * 10 + [("m1", "b", "b")] * 25 + [("m1", "b", "c")] * 9 + [("m1", None, "a")] * 4 + [
+        ("m2", "a", "a")] * 3 + [("m2", "b", "a")] * 2 + [(None, "c", "c")] * 5 + [(None, "c", None)] * 5
+    return spark.createDataFrame(rows, "model string, label string, predicted_label string")
+
+
+def test_bootstrap_draws_do_not_depend_on_the_cut(spark):
+    cells = M.confusion_cells(_sample(spark), "label", "predicted_label", ["model"])
+    runs = [sorted(B.replicate_metrics(cells.repartition(k), 130, 5, ["model"], replicates_per_task=t).collect(), key=repr) for k, t in ((1, 250), (5, 20), (3, 70))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 390
+    other = sorted(B.replicate_metrics(cells, 130, 6, ["model"]).collect(), key=repr)
+    assert other != runs[0]
+
+
+def test_bootstrap_label_counts_are_multinomial(spark):
+    """Sums, means and deviations of every label's counts against the closed forms; no groups."""
+    x = _sample(spark).where("model = 'm1'")
+    reps = 2000
+    rows = B.replicate_labels(M.confusion_cells(x), reps, 3, cell_blocks=4).collect()
+    n, n_null = 98, 4
+    by = collections.defaultdict(lambda: np.zeros((reps, 3)))
+    for r in rows:
+        assert r.n == n
+        by[r.label][r.replicate] = (r.tp, r.support, r.pred_n)
+    assert abs(np.mean(sum(by.values())[:, 1]) - (n - n_null)) < 0.4 and (sum(by.values())[:, 2] == n).all()
+    exact = {"a": (50, 60, 54), "b": (25, 34, 35), "c": (0, 0, 9)}
+    for label, counts in exact.items():
+        for k, c in enumerate(counts):
+            p = c / n
+            got = by[label][:, k]
+            dev = (n * p * (1 - p)) ** 0.5
+            assert abs(got.mean() - n * p) <= 5 * dev / reps ** 0.5
+            assert abs(got.std() - dev) <= 5 * dev / (2 * reps) ** 0.5
+
+
+def test_bootstrap_metrics_equal_plain_ones_per_replicate(spark):
+    x = _sample(spark).where("model = 'm1' and label is not null")
+    cells = M.confusion_cells(x)
+    counts = collections.defaultdict(dict)
+    for r in B.replicate_labels(cells, 40, 9).collect():
+        counts[r.replicate][r.label] = (r.tp, r.support, r.pred_n)
+    for label_set in ("true", "union", "fixed"):
+        for r in B.replicate_metrics(cells, 40, 9, label_set=label_set, classes=["a", "b", "z"]).collect():
+            c = counts[r.replicate]
+            f1 = {k: 2 * t / (s + p) for k, (t, s, p) in c.items()}
+            inside = [k for k in c if label_set == "union" or label_set == "true" and c[k][1] or label_set == "fixed" and k in "abz"]
+            weight = [k for k in c if label_set != "fixed" or k in "abz"]
+            assert r.accuracy == pytest.approx(sum(t for t, _, _ in c.values()) / 94)
+            assert r.f1_weighted == pytest.approx(sum(f1[k] * c[k][1] for k in weight) / sum(c[k][1] for k in weight))
+            assert r.f1_macro == pytest.approx(sum(f1[k] for k in inside) / (3 if label_set == "fixed" else len(inside)))
