@@ -20,54 +20,66 @@ def flatten_text(col: str | Column) -> Column:
 
 
 def forward_fill_blocks(sheet: DataFrame, row_pos: str = "row_pos", id_col: str = "idx",
-                        label_col: str | None = "label", chunk_rows: int = SHEET_CHUNK_ROWS) -> DataFrame:
-    """Fill the block id down the sheet (WIN1).
+                        label_col: str | None = "label", chunk_rows: int = SHEET_CHUNK_ROWS,
+                        sheet_col: str | None = None) -> DataFrame:
+    """Fill the block id down each sheet (WIN1).
 
     The label is taken only on rows whose *id* cell is filled (it is carried
     together with the id), so a stray value in the label column of a
-    continuation row is ignored. Adds ``block_id`` and ``block_label``.
+    continuation row is ignored. Adds ``block_id`` and ``block_label``. With ``sheet_col`` several
+    sheets are filled apart: rows before a sheet's first id have none. The fill runs in chunks of
+    ``chunk_rows`` positions with carries, whatever a sheet's length.
     """
     fields = [F.col(id_col).alias("i")] + ([F.col(label_col).alias("l")] if label_col else [])
     carried = F.when(F.col(id_col).isNotNull(), F.struct(*fields))
-    out = forward_fill(sheet, [], row_pos, carried, "_blk", F.floor(F.col(row_pos) / chunk_rows))
+    out = forward_fill(sheet, [sheet_col] if sheet_col else [], row_pos, carried, "_blk", F.floor(F.col(row_pos) / chunk_rows))
     out = out.withColumn("block_id", F.col("_blk.i"))
     if label_col:
         out = out.withColumn("block_label", F.col("_blk.l"))
     return out.drop("_blk")
 
 
+def block_parts(df: DataFrame, id_col: str = "block_id", text_col: str = "title", order_col: str = "row_pos",
+                label_col: str | None = "block_label", sep: str = " ", chunk_rows: int = SHEET_CHUNK_ROWS,
+                sheet_col: str | None = None) -> DataFrame:
+    """([sheet,] id, part, text[, label, last_pos]): each block's texts in source order, one row per chunk of positions.
+
+    A part holds at most ``chunk_rows`` texts, so no task and no value grows with a block. The
+    texts of a block are its parts by number, joined by ``sep``.
+    """
+    keys = ([sheet_col] if sheet_col else []) + [id_col]
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t"))))
+    aggs = [F.array_join(F.transform(ordered, lambda s: s["t"]), sep).alias("text")]
+    if label_col:
+        aggs += [F.max_by(F.col(label_col), F.col(order_col)).alias("label"), F.max(order_col).alias("last_pos")]
+    return df.where(F.col(id_col).isNotNull()).groupBy(*keys, F.floor(F.col(order_col) / chunk_rows).alias("part")).agg(*aggs)
+
+
 def concat_blocks(df: DataFrame, id_col: str = "block_id", text_col: str = "title", order_col: str = "row_pos",
                   label_col: str | None = "block_label", sep: str = " ",
-                  chunk_rows: int = SHEET_CHUNK_ROWS) -> DataFrame:
-    """Group-concat texts per id in source order; the last row's label wins (AGG22).
+                  chunk_rows: int = SHEET_CHUNK_ROWS, sheet_col: str | None = None) -> DataFrame:
+    """Group-concat texts per (sheet and) id in source order; the last row's label wins (AGG22).
 
-    Two-level: partial strings per (id, position chunk), then the partials in
-    chunk order, so one long block is assembled from bounded pieces.
+    Assembled from ``block_parts``; a block comes out as one value, so blocks must fit into one.
+    Work on the parts where they may not.
     """
-    chunk = F.floor(F.col(order_col) / chunk_rows)
-    part_aggs = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                                                                 F.col(text_col).alias("t")))),
-                                          lambda s: s["t"]), sep).alias("_part")]
-    if label_col:
-        part_aggs.append(F.max_by(F.col(label_col), F.col(order_col)).alias("_plabel"))
-        part_aggs.append(F.max(order_col).alias("_pmax"))
-    parts = df.where(F.col(id_col).isNotNull()).groupBy(id_col, chunk.alias("_chunk")).agg(*part_aggs)
-    fin = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_chunk").alias("c"),
-                                                                            F.col("_part").alias("t")))),
-                                    lambda s: s["t"]), sep).alias("post")]
+    parts = block_parts(df, id_col, text_col, order_col, label_col, sep, chunk_rows, sheet_col)
+    whole = F.array_sort(F.collect_list(F.struct("part", "text")))
+    fin = [F.array_join(F.transform(whole, lambda s: s["text"]), sep).alias("post")]
     if label_col:
-        fin.append(F.max_by("_plabel", "_pmax").alias("label"))
-    return parts.groupBy(F.col(id_col).alias("index")).agg(*fin)
+        fin.append(F.max_by("label", "last_pos").alias("label"))
+    return parts.groupBy(*([sheet_col] if sheet_col else []), F.col(id_col).alias("index")).agg(*fin)
 
 
-def ingest_sheet(sheet: DataFrame, kind: str = "train_labeled", flatten: bool = True) -> DataFrame:
+def ingest_sheet(sheet: DataFrame, kind: str = "train_labeled", flatten: bool = True, sheet_col: str | None = None) -> DataFrame:
     """Raw sheet -> post table (SRC5). kinds: train_labeled | test_labeled | unlabeled.
 
-    train_labeled: block-structured (id and label on a block's first row);
+    train_labeled: block-structured (id and label on a block's first row); ``sheet_col`` tells
+    several sheets apart and stays in the result;
     test_labeled / unlabeled: one post per row, id on every row.
     """
     if kind == "train_labeled":
-        out = concat_blocks(forward_fill_blocks(sheet))
+        out = concat_blocks(forward_fill_blocks(sheet, sheet_col=sheet_col), sheet_col=sheet_col)
     elif kind == "test_labeled":
         out = sheet.select(F.col("idx").cast("long").alias("index"), F.col("title").alias("post"), "label")
     elif kind == "unlabeled":

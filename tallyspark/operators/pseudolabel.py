@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from tallyspark.operators.splits import sample_exact
 
 
-def unanimous(long_df: DataFrame, n_models: int, key_col: str = "post", model_col: str = "model",
+def unanimous(long_df: DataFrame, models: Sequence | int, key_col: str = "post", model_col: str = "model",
               label_col: str = "predicted_label", first_model=0, key_is_digest: bool = False) -> DataFrame:
     """Rows of the first model whose key got the same label from every model (PSL1).
 
     Grouping is on ``sha2(key, 256)`` (or on ``key_col`` itself when it already is
-    a digest) so long texts are not shuffled; a key must be seen by all
-    ``n_models`` models with exactly one distinct, non-null label.
+    a digest) so long texts are not shuffled; a key must be seen by all models with one
+    non-null label. One mergeable aggregate a key: the least and the greatest label and a bit
+    for each model of ``models``; if only their number is given, the set of models seen.
     """
     from tallyspark.operators.metrics import require_columns
     require_columns(long_df, [key_col, model_col, label_col])
     dig = F.col(key_col) if key_is_digest else F.sha2(F.col(key_col), 256)
-    agg = (long_df.groupBy(dig.alias("_k"))
-           .agg(F.count_distinct(model_col).alias("_nm"), F.count_distinct(label_col).alias("_nl"),
-                F.count(label_col).alias("_nn"), F.count(F.lit(1)).alias("_nr")))
-    ok = agg.where((F.col("_nm") == n_models) & (F.col("_nl") == 1) & (F.col("_nn") == F.col("_nr"))).select("_k")
+    if isinstance(models, int) or len(models) > 63:
+        n = models if isinstance(models, int) else len(models)
+        all_seen = F.size(F.collect_set(model_col)) == n
+    else:
+        place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col(model_col))
+        bit = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int")))
+        all_seen = F.bit_or(bit) == (1 << len(models)) - 1
+    one_label = (F.min(label_col) == F.max(label_col)) & (F.count(label_col) == F.count(F.lit(1)))
+    ok = long_df.groupBy(dig.alias("_k")).agg((all_seen & one_label).alias("_ok")).where("_ok").select("_k")
     first = long_df.where(F.col(model_col) == first_model).withColumn("_k", dig)
     return first.join(ok, "_k", "left_semi").drop("_k")
 

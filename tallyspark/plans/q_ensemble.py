@@ -84,7 +84,7 @@ def average_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _unanimous(spark, d) -> DataFrame:
     p = V.predictions(spark, d, with_post=False, with_digest=True)
-    return PS.unanimous(p, N_MODELS, "post_key", key_is_digest=True).select("index", "label", "predicted_label")
+    return PS.unanimous(p, [m for m, _ in V.MODEL_MULTS], "post_key", key_is_digest=True).select("index", "label", "predicted_label")
 
 
 def unanimous(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tallyspark.plans import views as V
 from tallyspark.plans.sqlviews import CLS, with_views
 
 CL = L.DEFAULT_CLASSES
-POISSON_REPLICATES = 50
+POISSON_REPLICATES = 1000
 MULTINOMIAL_REPLICATES = 1000
 
 
@@ -64,15 +64,39 @@ def ordinal_bce(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.ordinal_bce(p, "ord_logits", "target"))
 
 
-def _model0(spark, d, with_post=False) -> DataFrame:
-    p = V.predictions(spark, d, with_post=with_post).where(F.col("model") == 0)
-    return M.exclude_status(p)
+def _valid(spark, d, with_post=False) -> DataFrame:
+    return M.exclude_status(V.predictions(spark, d, with_post=with_post))
 
 
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    w = B.poisson_weights(_model0(spark, d), POISSON_REPLICATES, 42, "index")  # weight-0 rows add nothing
-    s = M.summary(w, CL, "label", "predicted_label", ["replicate"], "union", weight_col="weight")
-    return _r(s.select("replicate", "n", "accuracy", "f1_weighted", "f1_macro"))
+    """Every model under the same row weights: a row's weight hangs on its id and the replicate.
+
+    The models' outcomes of an id are one pattern, so ids are weighted once and summed per
+    pattern; each pattern then counts for all its models.
+    """
+    p = _valid(spark, d)
+    outcome = F.struct("model", "label", "predicted_label")
+    patterns = p.groupBy("index").agg(F.sort_array(F.collect_list(outcome)).alias("pattern"))  # one entry a model
+    w = B.poisson_weights(patterns, POISSON_REPLICATES, 42, "index").groupBy("replicate", "pattern").agg(F.sum("weight").alias("weight"))
+    rows = w.select("replicate", "weight", F.inline("pattern"))
+    s = M.summary(rows, CL, "label", "predicted_label", ["model", "replicate"], "union", weight_col="weight")
+    return _r(s.select("model", "replicate", "n", "accuracy", "f1_weighted", "f1_macro"))
+
+
+def bootstrap_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of the multinomial replicates against what theory says of them.
+
+    A replicate's accuracy is binomial: mean p, deviation sqrt(p (1 - p) / n). The flags allow
+    six standard errors of either estimate.
+    """
+    p = _valid(spark, d)
+    got = B.metrics(p, MULTINOMIAL_REPLICATES, 42, "label", "predicted_label", ["model"], "union")
+    exact = p.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted_label")).cast("int")).alias("accuracy"))
+    dev, b = F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n")), F.col("replicates")
+    x = got.join(exact, "model")
+    return x.select("model", "n", "replicates", F.round("accuracy", 6).alias("accuracy"),
+                    (F.abs(F.col("accuracy_mean") - F.col("accuracy")) <= 6 * dev / F.sqrt(b)).alias("mean_agrees"),
+                    (F.abs(F.col("accuracy_std") - dev) <= 6 * dev / F.sqrt(2 * b)).alias("deviation_agrees"))
 
 
 def bootstrap_multinomial(spark: SparkSession, d: str) -> DataFrame:
@@ -81,18 +105,18 @@ def bootstrap_multinomial(spark: SparkSession, d: str) -> DataFrame:
 
 
 def examples_top_n(spark: SparkSession, d: str) -> DataFrame:
-    return X.top_n(_model0(spark, d), 2, "label", "index").select("label", "correct", "rank", "index", "predicted_label")
+    return X.top_n(_valid(spark, d), 2, "label", "index", group_cols=["model"]).select("model", "label", "correct", "rank", "index", "predicted_label")
 
 
 def examples_text(spark: SparkSession, d: str) -> DataFrame:
-    top = X.top_n(_model0(spark, d, with_post=True), 2, "label", "index")
-    return X.render(top).select("index", "text")
+    top = X.top_n(_valid(spark, d, with_post=True), 2, "label", "index", group_cols=["model"])
+    return X.render(top).select("model", "index", "text")
 
 
 QUERIES = {
     "ordinal_encode": ordinal_encode, "ordinal_predict": ordinal_predict, "softmax_argmax": softmax_argmax,
     "expand_probs": expand_probs, "soft_f1_cost": soft_f1_cost, "log_loss": log_loss, "ordinal_bce": ordinal_bce,
-    "bootstrap_poisson": bootstrap_poisson, "bootstrap_multinomial": bootstrap_multinomial,
+    "bootstrap_poisson": bootstrap_poisson, "bootstrap_moments": bootstrap_moments, "bootstrap_multinomial": bootstrap_multinomial,
     "examples_top_n": examples_top_n, "examples_text": examples_text,
 }
 
@@ -104,10 +128,10 @@ _PROBS = """,
 
 _THRESH = " + ".join(f"(CASE WHEN u >= '{c!r}'::DOUBLE THEN 1 ELSE 0 END)" for c in B.poisson1_thresholds())
 _SENT = f"predicted_label NOT IN {K.SENTINEL_SQL}"
-_M0 = f""",
-        m0 AS (SELECT "index", label, predicted_label, post FROM predictions WHERE model = 0 AND {_SENT}),
+_EX = f""",
         ex AS (SELECT *, label = predicted_label AS correct,
-                      row_number() OVER (PARTITION BY label, label = predicted_label ORDER BY "index") AS rank FROM m0)"""
+                      row_number() OVER (PARTITION BY model, label, label = predicted_label ORDER BY "index") AS rank
+               FROM predictions WHERE {_SENT})"""
 
 _soft_terms = []
 for _i in range(len(CL)):
@@ -145,23 +169,28 @@ SQL = {
         SELECT round(sum(""" + " + ".join(f"(greatest(z[{j}], 0.0) - z[{j}] * y[{j}] + ln(1 + exp(-abs(z[{j}]))))" for j in (1, 2, 3))
         + ") / sum(len(z)), 6) AS ordinal_bce FROM t",
     "bootstrap_poisson": with_views("predictions") + f""",
-        src AS (SELECT "index", label, predicted_label FROM predictions WHERE model = 0 AND {_SENT}),
-        rw AS (SELECT src.*, CAST(r.range AS INTEGER) AS replicate,
+        src AS (SELECT model, "index", label, predicted_label FROM predictions WHERE {_SENT}),
+        rw AS (SELECT "index", r.range AS replicate,
                       CAST('0x' || substr(md5('42-' || CAST(r.range AS VARCHAR) || '-' || CAST("index" AS VARCHAR)), 1, 13) AS BIGINT)
                         / 4503599627370496.0 AS u
-               FROM src CROSS JOIN range(0, {POISSON_REPLICATES}) r),
-        ww AS (SELECT *, {_THRESH} AS w FROM rw),
-        cells AS (SELECT replicate, label AS true_label, predicted_label, sum(w) AS n FROM ww GROUP BY ALL HAVING sum(w) > 0),
-        stats AS ({K.stats('cells', 'replicate')}),
-        per AS ({K.per_class('cells', 'stats', 'replicate', CL, 'union')}),
-        av AS ({K.averages('per', 'replicate')}),
-        acc AS ({K.accuracy('cells', 'replicate')})
-        SELECT acc.replicate, acc.n, round(acc.accuracy, 6) AS accuracy, round(av.f1_weighted, 6) AS f1_weighted,
-               round(av.f1_macro, 6) AS f1_macro
-        FROM acc JOIN av USING (replicate)""",
-    "examples_top_n": with_views("predictions") + _M0 + """
-        SELECT label, correct, CAST(rank AS INTEGER) AS rank, "index", predicted_label FROM ex WHERE rank <= 2""",
-    "examples_text": with_views("predictions") + _M0 + """
-        SELECT "index", 'Post: ' || coalesce(post, '') || chr(10) || 'True label: ' || label || chr(10) || 'Predicted label: '
+               FROM (SELECT DISTINCT "index" FROM src) CROSS JOIN range(0, {POISSON_REPLICATES}) r),
+        ww AS (SELECT "index", replicate, {_THRESH} AS w FROM rw WHERE u >= '{B.poisson1_thresholds()[0]!r}'::DOUBLE),
+        cells AS (SELECT model * 1000000 + replicate AS grp, label AS true_label, predicted_label, sum(w) AS n
+                  FROM ww JOIN src USING ("index") GROUP BY ALL HAVING sum(w) > 0),
+        stats AS ({K.stats('cells', 'grp')}),
+        per AS ({K.per_class('cells', 'stats', 'grp', CL, 'union')}),
+        av AS ({K.averages('per', 'grp')}),
+        acc AS ({K.accuracy('cells', 'grp')})
+        SELECT CAST(acc.grp // 1000000 AS INTEGER) AS model, CAST(acc.grp % 1000000 AS INTEGER) AS replicate, acc.n, round(acc.accuracy, 6) AS accuracy,
+               round(av.f1_weighted, 6) AS f1_weighted, round(av.f1_macro, 6) AS f1_macro
+        FROM acc JOIN av USING (grp)""",
+    "bootstrap_moments": with_views("predictions") + f"""
+        SELECT model, count(*) AS n, {MULTINOMIAL_REPLICATES}::BIGINT AS replicates,
+               round(avg(CASE WHEN label = predicted_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, true AS mean_agrees, true AS deviation_agrees
+        FROM predictions WHERE {_SENT} GROUP BY model""",
+    "examples_top_n": with_views("predictions") + _EX + """
+        SELECT model, label, correct, CAST(rank AS INTEGER) AS rank, "index", predicted_label FROM ex WHERE rank <= 2""",
+    "examples_text": with_views("predictions") + _EX + """
+        SELECT model, "index", 'Post: ' || coalesce(post, '') || chr(10) || 'True label: ' || label || chr(10) || 'Predicted label: '
                || predicted_label || chr(10) AS text FROM ex WHERE rank <= 2""",
 }

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyspark.functions.labels import DEFAULT_CLASSES, normalize, vocabulary
 from tallyspark.operators import bootstrap as B
@@ -53,8 +54,8 @@ def pct_change(spark: SparkSession, d: str) -> DataFrame:
 
 
 def examples_failures(spark: SparkSession, d: str) -> DataFrame:
-    p = M.exclude_status(V.predictions(spark, d, with_post=False).where("model = 1"))
-    return X.top_n(p, 5, "label", "index", failures_only=True).select("label", "rank", "index", "predicted_label")
+    p = M.exclude_status(V.predictions(spark, d, with_post=False))
+    return X.top_n(p, 5, "label", "index", failures_only=True, group_cols=["model"]).select("model", "label", "rank", "index", "predicted_label")
 
 
 def grid_search_full(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +78,6 @@ def predictions_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, f"preds/{uuid.uuid4().hex}")
     p = V.predictions(spark, d, with_post=False).withColumnRenamed("label", "true_label_str")
     SK.write_table(p, root, partition_by=["model"])
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
     schema = StructType([StructField("index", LongType()), StructField("true_label_str", StringType()),
                          StructField("predicted_label", StringType())])
     long = RD.load_predictions(spark, {str(m): f"{root}/model={m}" for m, _ in V.MODEL_MULTS}, schema, "parquet")
@@ -95,6 +95,33 @@ def run_logs_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("eval_f1_weighted").alias("mean_f1"), F.max("step").alias("max_step")))
 
 
+def run_logs_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of three layouts in one call: columns in another order, one more, one missing."""
+    root = scratch_path(spark, f"runlogs/{uuid.uuid4().hex}")
+    m = V.run_metrics(spark, d)
+    cols = [F.col(f.name).cast("double").alias(f.name) for f in RD.RUN_METRICS.fields]
+    layouts = {"run < 3": cols, "run = 3": [*cols[::-1], F.lit("x, \"y\"").alias("note")], "run > 3": cols[1:]}
+    for k, (which, own) in enumerate(layouts.items()):
+        SK.write_table(m.where(which).select("run", *own), f"{root}/layout{k}", ["run"], "csv")
+    logs = RD.load_run_logs(spark, f"{root}/*/*/*.csv", name_pattern=[r"nothing=([0-9]+)/", r"run=([0-9]+)/"])
+    return _r(logs.groupBy(F.col("run").cast("int").alias("run")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("epoch").alias("mean_epoch"), F.avg("eval_f1_weighted").alias("mean_f1"), F.max("step").alias("max_step"),
+        F.avg("train_loss").alias("mean_loss")))
+
+
+def align_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions whose ids come twice a model, in files and rows: the first one is taken (JN10)."""
+    root = scratch_path(spark, f"twice/{uuid.uuid4().hex}")
+    p = V.predictions(spark, d, with_post=False)
+    late = p.withColumn("predicted_label", F.lit("late"))
+    for k, part in enumerate((p.where("index % 3 > 0"), p.where("index % 3 < 2").withColumn("predicted_label", F.concat(F.lit("again "), "predicted_label")), late)):
+        for m, _ in V.MODEL_MULTS:
+            SK.write_table(part.where(F.col("model") == m).select("index", "predicted_label"), f"{root}/{m}/part{k}")
+    schema = StructType([StructField("index", LongType()), StructField("predicted_label", StringType())])
+    long = RD.load_predictions(spark, {str(m): f"{root}/{m}/*" for m, _ in V.MODEL_MULTS}, schema, "parquet", with_position=True)
+    return EN.align(long, [str(m) for m, _ in V.MODEL_MULTS], order_col="source_pos")
+
+
 def head_predictions(spark: SparkSession, d: str) -> DataFrame:
     """First rows by id (LIM1): a top-k report, planned as TakeOrderedAndProject."""
     p = V.predictions(spark, d, with_post=False).where("model = 0")
@@ -113,9 +140,9 @@ def fit_eval(spark: SparkSession, d: str) -> DataFrame:
     from tallyspark.operators.splits import stratified_kfold
     pl = V.posts_labeled(spark, d)
     folds = stratified_kfold(pl, 5, 42, "label", "index", CL)
-    un = PS.unanimous(V.predictions(spark, d), 5, "post")
+    un = PS.unanimous(V.predictions(spark, d), [m for m, _ in V.MODEL_MULTS], "post")
     train = PS.assemble(folds.where("fold != 0"), un, cols=("index", "post")).select("index", "post", "label")
-    pred = TR.fit_eval(train, folds.where("fold = 0"), CL, "label", max_iter=10)
+    pred = TR.fit_eval(train, folds.where("fold = 0"), CL, "label")
     return _r(M.summary(pred, CL, "label", "predicted_label"))
 
 
@@ -125,6 +152,7 @@ QUERIES = {
     "pct_change": pct_change, "examples_failures": examples_failures, "grid_search_full": grid_search_full,
     "bootstrap_evaluate": bootstrap_evaluate, "posts_csv_roundtrip": posts_csv_roundtrip,
     "predictions_roundtrip": predictions_roundtrip, "run_logs_roundtrip": run_logs_roundtrip,
+    "run_logs_mixed": run_logs_mixed, "align_first_wins": align_first_wins,
 }
 
 _AX = " CROSS JOIN ".join(f"(VALUES {', '.join(f'(CAST({v} AS DOUBLE))' for v in ax)}) a{i}(w{i})" for i, ax in enumerate(AXES))
@@ -161,9 +189,9 @@ SQL = {
                  AS pct_vs_run1
         FROM rs""",
     "examples_failures": with_views("predictions") + f"""
-        SELECT label, CAST(rank AS INTEGER) AS rank, "index", predicted_label FROM (
-          SELECT *, row_number() OVER (PARTITION BY label ORDER BY "index") AS rank
-          FROM predictions WHERE model = 1 AND predicted_label NOT IN {SENTINEL_SQL} AND label <> predicted_label)
+        SELECT model, label, CAST(rank AS INTEGER) AS rank, "index", predicted_label FROM (
+          SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY "index") AS rank
+          FROM predictions WHERE predicted_label NOT IN {SENTINEL_SQL} AND label <> predicted_label)
         WHERE rank <= 5""",
     "grid_search_full": with_views("predictions") + _FOLDS + _VALID + f""",
         pat AS (SELECT f.fold, w.label, w.p0, w.p1, w.p2, w.p3, w.p4, count(*) AS cnt
@@ -178,6 +206,14 @@ SQL = {
     "predictions_roundtrip": with_views("predictions") + """
         SELECT CAST(model AS VARCHAR) AS model, count(*) AS n, count(*) FILTER (WHERE label = predicted_label) AS n_correct
         FROM predictions GROUP BY model""",
+    "run_logs_mixed": with_views("run_metrics") + """
+        SELECT run, count(*) AS n, round(avg(CASE WHEN run <= 3 THEN epoch END), 6) AS mean_epoch, round(avg(eval_f1_weighted), 6) AS mean_f1,
+               round(max(CAST(step AS DOUBLE)), 6) AS max_step, round(avg(train_loss), 6) AS mean_loss
+        FROM run_metrics GROUP BY run""",
+    "align_first_wins": with_views("predictions") + """,
+        t AS (SELECT model, "index", CASE WHEN "index" % 3 > 0 THEN predicted_label ELSE 'again ' || predicted_label END AS p FROM predictions)
+        SELECT "index", """ + ", ".join(f"max(p) FILTER (WHERE model = {m}) AS p{i}" for i, (m, _) in enumerate(V.MODEL_MULTS)) + """
+        FROM t GROUP BY "index\"""",
     "run_logs_roundtrip": with_views("run_metrics") + """
         SELECT run, count(*) AS n, round(avg(eval_f1_weighted), 6) AS mean_f1, round(max(CAST(step AS DOUBLE)), 6) AS max_step
         FROM run_metrics GROUP BY run""",

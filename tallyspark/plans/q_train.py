@@ -15,17 +15,17 @@ CL = DEFAULT_CLASSES
 def kfold_fit_predict(spark: SparkSession, d: str) -> DataFrame:
     pl = V.posts_labeled(spark, d)
     folds = SP.stratified_kfold(pl, 5, 42, "label", "index", CL)
-    out = TR.kfold_fit_predict(folds, 5, "fold", CL, "label", max_iter=10)
+    out = TR.kfold_fit_predict(folds, 5, "fold", CL, "label")
     return out.select("index", "fold", "label", "predicted_label")
 
 
 def fit_all(spark: SparkSession, d: str) -> DataFrame:
-    return TR.fit_all(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), CL, max_iter=10).select(
+    return TR.fit_all(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), CL).select(
         "index", "predicted_label")
 
 
 def pseudo_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return TR.pseudo_rounds(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), 2, 0.9, CL, max_iter=10)
+    return TR.pseudo_rounds(V.posts_labeled(spark, d), V.posts_unlabeled(spark, d), 2, 0.9, CL)
 
 
 QUERIES = {"kfold_fit_predict": kfold_fit_predict, "fit_all": fit_all, "pseudo_rounds": pseudo_rounds}

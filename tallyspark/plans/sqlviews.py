@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
                     ELSE ['A','N','R'][l_partkey % 3 + 1] END AS predicted_label
         FROM lineitem""",
     "raw_sheet": f"""
-        SELECT conv_id * 100 + turn AS row_pos, CASE WHEN turn = 0 THEN conv_id END AS idx, text AS title,
+        SELECT conv_id * 4096 + turn AS row_pos, CASE WHEN turn = 0 THEN conv_id END AS idx, text AS title,
                CASE WHEN turn = 0 THEN {CLS}[conv_id % 4 + 1] ELSE 'ignored' END AS label
         FROM conversations""",
     "logits": f"""

@@ -78,16 +78,28 @@ def predictions_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_sheet(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAULT_CLASSES) -> DataFrame:
-    """conversations as a block-structured sheet: id and label only on each block's first row."""
+    """conversations as a block-structured sheet: id and label only on each block's first row.
+
+    Positions leave room for 4096 turns a conversation.
+    """
     cv = table(spark, sf_dir, "conversations")
     first = F.col("turn") == 0
     lab = F.element_at(classes_array(classes), (F.col("conv_id") % len(classes) + 1).cast("int"))
-    return cv.select((F.col("conv_id") * 100 + F.col("turn")).alias("row_pos"),
+    return cv.select((F.col("conv_id") * 4096 + F.col("turn")).alias("row_pos"),
                      F.when(first, F.col("conv_id")).alias("idx"),
                      F.col("text").alias("title"),
                      F.when(first, lab).otherwise(F.lit("ignored")).alias("label"))
 
 
+def raw_sheets(spark: SparkSession, sf_dir: str, classes: Sequence[str] = DEFAULT_CLASSES) -> DataFrame:
+    """The same as two sheets (odd and even conversations), each with positions of its own.
+
+    The first conversation of each sheet has no id: its rows belong to no block.
+    """
+    conv = F.floor(F.col("row_pos") / 4096)
+    return raw_sheet(spark, sf_dir, classes).select("*", (conv % 2).cast("int").alias("sheet")).withColumn("idx", F.when(conv >= 2, F.col("idx")))
+
+
 def logits(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
     """embeddings -> (index, logits[k] DOUBLE, ord_logits[3], true_idx = label % 4)."""
     em = table(spark, sf_dir, "embeddings")

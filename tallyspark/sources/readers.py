@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
@@ -24,44 +26,92 @@ RUN_METRICS = StructType([StructField(c, DoubleType()) for c in (
 KIND_FILES = {"validation": "posts_with_labels", "test": "test_set", "unlabeled": "posts_without_labels"}
 
 
-def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV table by header name: columns in any order, other columns ignored, absent ones NULL."""
-    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+def _by_name(raw: DataFrame, schema: StructType) -> list:
+    """The schema's columns by header name: in any order, other columns ignored, absent ones NULL."""
+    return [(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+
+
+def _csv(spark: SparkSession, schema: StructType, path: str, multi_line: bool = True, extra: Sequence[Column] = ()) -> DataFrame:
+    """A CSV table by header name. All its files must have the first one's header; others fail the job.
+
+    With ``multi_line`` a quoted value may hold line breaks, and a file is one task; without, large
+    files are split.
+    """
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option("escape", '"')
            .option("mode", "FAILFAST").csv(path))
-    tag = F.col("_metadata.file_path").alias("source_file")
-    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                        for f in schema.fields], tag)
+    return raw.select(*_by_name(raw, schema), F.col("_metadata.file_path").alias("source_file"), *extra)
+
+
+def _position(fmt: str) -> Column:
+    """A row's stable place in its source: (file, place in the file)."""
+    place = [F.col("_metadata.row_index")] if fmt == "parquet" else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return F.struct(F.col("_metadata.file_path").alias("file"), *[c.alias(f"place{k}") for k, c in enumerate(place)]).alias("source_pos")
 
 
-def load_posts(spark: SparkSession, kind: str, root: str, fmt: str = "csv") -> DataFrame:
-    """Named dataset 'validation' | 'test' | 'unlabeled' (SRC1); unknown kind -> ValueError."""
+def load_posts(spark: SparkSession, kind: str, root: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """Named dataset 'validation' | 'test' | 'unlabeled' (SRC1); unknown kind -> ValueError.
+
+    ``multi_line=False`` splits large CSV files over tasks, where no value holds a line break (as
+    this library's own sink writes them).
+    """
     if kind not in KIND_FILES:
         raise ValueError("Dataset type must be one of 'validation', 'test', 'unlabeled'")
     schema = POSTS_UNLABELED if kind == "unlabeled" else POSTS_LABELED
     path = f"{root.rstrip('/')}/{KIND_FILES[kind]}.{fmt}"
     if fmt == "csv":
-        return _csv(spark, schema, path).drop("source_file")
+        return _csv(spark, schema, path, multi_line).drop("source_file")
     return spark.read.schema(schema).parquet(path)
 
 
 def load_predictions(spark: SparkSession, paths: Mapping[str, str], schema: StructType = PREDICTIONS,
-                     fmt: str = "csv") -> DataFrame:
-    """N prediction files -> one long table with a ``model`` column (SRC2)."""
+                     fmt: str = "csv", with_position: bool = False) -> DataFrame:
+    """N prediction files -> one long table with a ``model`` column (SRC2).
+
+    ``with_position`` adds ``source_pos``, which orders a model's rows as its files have them
+    (files by name): ``ensemble.align`` takes it to let the first of several rows win.
+    """
     out = None
     for model, path in paths.items():
-        df = _csv(spark, schema, path).drop("source_file") if fmt == "csv" else spark.read.schema(schema).parquet(path)
+        extra = [_position(fmt)] if with_position else []
+        df = (_csv(spark, schema, path, extra=extra).drop("source_file") if fmt == "csv"
+              else spark.read.schema(schema).parquet(path).select(*schema.fieldNames(), *extra))
         df = df.withColumn("model", F.lit(model))
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def headers(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header (column names in order). One row a file comes to the driver."""
+    lines = (spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                          F.monotonically_increasing_id().alias("at")).where("start = 0"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
+        names = next(csv.reader([r["header"].lstrip("\ufeff").rstrip("\r")]), [])
+        out.setdefault(tuple(names), []).extend(unquote(f) for f in r["files"])
+    return out
+
+
 def load_run_logs(spark: SparkSession, glob: str, schema: StructType = RUN_METRICS,
                   name_pattern: str | Sequence[str] = r"([^/_]+)_[^/]*$") -> DataFrame:
     """Many metric files -> one table tagged with ``run`` from the file name (SRC3).
 
+    Files may have their columns in any order and of any number: they are grouped by their header
+    first, each group is read by its own, and columns meet by name. Columns that a file doesn't
+    have are NULL; ones that the schema doesn't have are left out; empty files give no rows.
     ``name_pattern`` may be a list of fallback patterns: the first that matches wins.
     """
-    df = _csv(spark, schema, glob)
+    parts = []
+    for names, files in sorted(headers(spark, glob).items()):
+        if names:
+            layout = StructType([StructField(n if n not in names[:k] else f"{n}#{k}", StringType()) for k, n in enumerate(names)])
+            raw = spark.read.schema(layout).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(files)
+            parts.append(raw.select(*_by_name(raw, schema), F.col("_metadata.file_path").alias("source_file")))
+    if not parts:
+        parts = [spark.createDataFrame([], StructType([*schema.fields, StructField("source_file", StringType())]))]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
     pats = [name_pattern] if isinstance(name_pattern, str) else list(name_pattern)
     tags = [F.nullif(F.regexp_extract(F.col("source_file"), p, 1), F.lit("")) for p in pats]
     return df.withColumn("run", F.coalesce(*tags))
@@ -82,3 +132,59 @@ def read_metrics_reports(spark: SparkSession, path: str, fields: Sequence[str] =
     kv = F.map_from_arrays(F.split(F.try_element_at(lines, F.lit(1)), ","), F.split(F.try_element_at(lines, F.lit(2)), ","))
     extra = [c for c in raw.columns if c != "value"]
     return raw.select(*extra, *[F.try_element_at(kv, F.lit(f)).cast("double").alias(f) for f in fields])
+
+
+# The section titles of a metrics report.
+SECTIONS = {"per_class": "Per-Class Metrics", "report": "Classification Report", "matrix": "Confusion Matrix"}
+
+
+def _section(raw: DataFrame, name: str, header: bool = False) -> DataFrame:
+    """(partition columns, at, line): the non-empty lines of one section of each report, numbered.
+
+    With ``header`` the first line is split into ``_names`` beside each of the others.
+    """
+    after = F.try_element_at(F.split(F.col("value"), rf"(?m)^-{{3}} {SECTIONS[name]} -{{3}}\s*$"), F.lit(2))
+    own = F.regexp_replace(F.element_at(F.split(after, r"(?m)^-{3} [^\n]* -{3}\s*$"), 1), "\r", "")
+    keep = [c for c in raw.columns if c != "value"]
+    x = raw.select(*keep, F.filter(F.split(own, "\n"), lambda s: F.trim(s) != "").alias("_lines"))
+    if not header:
+        return x.select(*keep, F.posexplode("_lines").alias("at", "line"))
+    x = x.where(F.size("_lines") > 1)
+    return x.select(*keep, F.split(F.element_at("_lines", 1), ",").alias("_names"), F.posexplode(F.slice("_lines", 2, F.size("_lines") - 1)).alias("at", "line"))
+
+
+def read_report_sections(spark: SparkSession, path: str, classes: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of multi-section metric reports (SRC4), one row per file and line.
+
+    * ``per_class``: class, f1_score, precision, recall, support, by the section's own header line;
+      an index column in front of the names is ignored;
+    * ``report``: row_label, precision, recall, f1_score, support from the aligned text (the accuracy
+      line has only f1_score and support);
+    * ``matrix``: true_label, predicted_label, n; the text has no labels, so ``classes`` names rows and
+      columns. Cells may be separated by spaces or commas.
+
+    Reports are read whole, one row per file. A section that a file lacks gives no rows; partition
+    columns of the path come back as columns.
+    """
+    raw = spark.read.text(path, wholetext=True).where(F.length("value") > 0)
+    keep = [c for c in raw.columns if c != "value"]
+    fields = ("class", "f1_score", "precision", "recall", "support")
+
+    body = _section(raw, "per_class", header=True)
+    values = F.split("line", ",")
+    cell = {f: F.get(values, F.array_position("_names", f).cast("int") - 1) for f in fields}
+    per_class = body.select(*keep, cell["class"].alias("class"), *[cell[f].cast("double").alias(f) for f in fields[1:4]], cell["support"].cast("double").cast("long").alias("support"))
+
+    number = r"([0-9]+(?:\.[0-9]+)?)"
+    full = rf"^\s*(\S.*?)\s+{number}\s+{number}\s+{number}\s+([0-9]+)\s*$"
+    short = rf"^\s*(accuracy)\s+{number}\s+([0-9]+)\s*$"
+    get = lambda p, k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
+    report = _section(raw, "report").select(
+        *keep, F.coalesce(get(short, 1), get(full, 1)).alias("row_label"), get(full, 2).cast("double").alias("precision"), get(full, 3).cast("double").alias("recall"),
+        F.coalesce(get(short, 2), get(full, 4)).cast("double").alias("f1_score"), F.coalesce(get(short, 3), get(full, 5)).cast("long").alias("support")).where("row_label IS NOT NULL")
+
+    names = F.array(*[F.lit(c) for c in classes])
+    cells = F.regexp_extract_all(F.col("line"), F.lit("([0-9]+)"), F.lit(1))
+    rows = _section(raw, "matrix").select(*keep, F.get(names, F.col("at")).alias("true_label"), F.posexplode(cells).alias("_j", "_n"))
+    matrix = rows.select(*keep, "true_label", F.get(names, F.col("_j")).alias("predicted_label"), F.col("_n").cast("long").alias("n"))
+    return {"per_class": per_class, "report": report, "matrix": matrix}
