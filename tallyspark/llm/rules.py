@@ -8,8 +8,9 @@ towards the corpus by a fixed share of its own mass, so that the weight doesn't
 table's size. A document is kept when it passes the base rule and its ratio reaches a fixed
 threshold.
 
-Nothing here leaves the JVM: documents meet the trusted ids in a join, counting exploded
-n-grams shuffles one row per bucket and task, scoring shuffles nothing.
+Nothing here leaves the JVM and no text moves: to meet the trusted ids, a document is shuffled
+as its n-grams' bucket numbers (two bytes each), in the same plan at every size. Counting then
+shuffles one row per bucket and task, scoring nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ class Settings:
     buckets: int = 8192         #: of hashed n-grams
     smoothing: float = 1.0      #: added to each bucket's count in the corpus
     share: float = 0.75        #: n-grams that the target has as the corpus has them, to one of its own
-    max_target: int | None = None  #: a bound of the trusted documents, if wanted; then ``prior`` holds, not ``share``
-    prior: float = 160_000.0    #: n-grams as the corpus has them that a bounded target gets
     threshold: float = -0.045   #: least log-likelihood ratio per n-gram
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -81,16 +80,26 @@ def _bucket(*parts: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
+def _buckets(hashes: Column, buckets: int) -> Column:
+    """Bucket numbers of a text's word 1- and 2-grams, from the hashes of its words."""
+    one = F.transform(hashes, lambda x: _bucket(x, buckets=buckets))
+    two = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: _bucket(x, F.get(hashes, i + 1), buckets=buckets))
+    return F.concat(one, two).cast("array<smallint>" if buckets <= 1 << 15 else "array<int>")
+
+
 def ngram_counts(docs: DataFrame, trusted: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all documents and of the trusted ones."""
-    ids = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_t"))
-    rows = (C.only(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-            .select(F.coalesce("_t", F.lit(0)).alias("t"), words(F.col("text")).alias("w")))
-    grams = rows.select("t", "w", F.posexplode("w").alias("i", "x")).select("t", F.explode(F.array(
-        _bucket(F.xxhash64("x"), buckets=s.buckets),
-        F.when(F.col("i") + 1 < F.size("w"), _bucket(F.xxhash64("x"), F.xxhash64(F.get("w", F.col("i") + 1)), buckets=s.buckets)),
-    )).alias("bucket"))
-    return (grams.where(F.col("bucket").isNotNull()).groupBy("bucket")
+    """(bucket, raw, target): n-gram counts of all documents and of the trusted ones.
+
+    Rows with a null doc_id are spread over the join's tasks; they are in no trusted set.
+    """
+    ids = trusted.select(F.col("doc_id").alias("_id"), F.lit(0).alias("_salt"), F.lit(1).alias("_t"))
+    key, text = F.col("doc_id"), F.col("text")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("_key"), F.when(key.isNull(), 1 + F.pmod(F.xxhash64(text), F.lit(1 << 16))).otherwise(0).cast("int").alias("_spread"),
+                       F.transform(words(text), lambda x: F.xxhash64(x)).alias("_h")).select("_key", "_spread", _buckets(F.col("_h"), s.buckets).alias("g"))
+    joined = rows.join(ids.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_spread") == F.col("_salt")), "left")
+    # the outer form: Spark would filter by the array's size otherwise, and copy its making down the plan
+    grams = joined.select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode_outer("g").alias("bucket")).where("bucket IS NOT NULL")
+    return (grams.groupBy(F.col("bucket").cast("int").alias("bucket"))
             .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")))
 
 
@@ -102,7 +111,7 @@ def ratio_table(counts: DataFrame, s: Settings) -> list[float]:
     rows = sorted(full.collect())
     of_raw, of_target = fsum(r["raw"] for r in rows), fsum(r["target"] for r in rows)
     shares = [r["raw"] / of_raw for r in rows]
-    prior = s.prior if s.max_target is not None else s.share * of_target
+    prior = s.share * of_target
     if not of_target:
         return [0.0] * len(rows)
     return [round(log((r["target"] + prior * p) / (of_target + prior) / p), 4) for r, p in zip(rows, shares, strict=True)]
@@ -116,35 +125,33 @@ def quality_rules(docs: DataFrame, labels: DataFrame, settings: Settings | None
     documents every ratio is 0 and only the base rule decides. Columns besides doc_id and text are ignored; an empty
     table gives no rows.
     """
-    return _judged(docs, labels, settings or Settings()).drop("_row")
+    return _judged(docs, labels, settings or Settings(), whole=False)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept (see quality_rules).
-
-    The filter also looks at a row number, which keeps the optimizer from copying the nested
-    array expressions behind ``kept`` below the projections that share them.
-    """
-    judged = _judged(docs, labels, settings or Settings()).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where("kept and _at >= 0").select("_row.*")
+    """The rows of ``docs``, all columns, that are kept (see quality_rules); an empty table gives none."""
+    return _judged(docs, labels, settings or Settings(), whole=True).where("kept").select("_row.*")
 
 
 def trusted_ids(labels: DataFrame, s: Settings) -> DataFrame:
     """The doc_id of every trusted document outside the held-out fold, once."""
     good = labels.where(F.col("quality") == 1)
-    if s.max_target is not None:
-        return C.train_sample(good, "quality", s.max_target).select("doc_id")
     return good.where(F.col("doc_id").isNotNull() & ~C.held_out(F.col("doc_id"))).select("doc_id").distinct()
 
 
-def _judged(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    return apply_rules(docs, ratio_table(ngram_counts(docs, trusted_ids(labels, s), s), s), s)
+def _judged(docs: DataFrame, labels: DataFrame, s: Settings, whole: bool) -> DataFrame:
+    return apply_rules(docs, ratio_table(ngram_counts(docs, trusted_ids(labels, s), s), s), s, whole)
 
 
-def apply_rules(docs: DataFrame, table: list[float], s: Settings) -> DataFrame:
-    """The judged rows, with each whole input row in the struct ``_row``."""
+def apply_rules(docs: DataFrame, table: list[float], s: Settings, whole: bool = False) -> DataFrame:
+    """The judged rows; with ``whole`` each has its input row in the struct ``_row``.
+
+    The result comes out of a generator (one row in, one row out). Filters on its columns stay
+    above that; pushed down, they would copy the nested array expressions once a use.
+    """
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")  # folded to one literal
-    df = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), words(F.col("text")).alias("_w"),
+    row = F.struct("*") if whole else F.lit(None)
+    df = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), words(F.col("text")).alias("_w"),
                      lines(F.col("text")).alias("_l"))
     df = df.select(
         "_row", "doc_id", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -159,6 +166,6 @@ def apply_rules(docs: DataFrame, table: list[float], s: Settings) -> DataFrame:
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     df = df.withColumn("llr", F.round(total / grams, 9)).drop("_h")
     failed = (F.col("n_words") < s.min_words) | (100 * F.col("n_repeat_words") > s.max_repeat_percent * F.col("n_words"))
-    return df.select(
-        "_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        "llr", (~failed & (F.col("llr") >= s.threshold)).alias("kept"))
+    judged = [F.col(c) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [
+        failed.alias("base_failed"), F.col("llr"), (~failed & (F.col("llr") >= s.threshold)).alias("kept")]
+    return df.select(F.inline(F.array(F.struct(*([F.col("_row")] if whole else []), *judged))))

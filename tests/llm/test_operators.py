@@ -364,14 +364,13 @@ def _xx(*parts):
 
 
 def test_rules_against_brute_force(spark, real):
-    s = rules.Settings(max_target=40)
+    s = rules.Settings()  # the registered one: all trusted rows, smoothed by a share
     texts = dict(real)
     texts |= {10_000: "a b c a b c a b c\na b c\n\n a b c\na b c", 10_001: "x " * 60, 10_002: "#*$%&|<> plain"}
     quality_of = {r["doc_id"]: r["quality"] for r in C.table(spark, SF, "labels").collect()}
     labels = spark.createDataFrame(list(quality_of.items()), "doc_id long, quality int")
     got = {r["doc_id"]: r for r in rules.quality_rules(frame(spark, list(texts.items())), labels, s).collect()}
-    good = sorted((_xx(i), i) for i, q in quality_of.items() if q == 1 and zlib.crc32(str(i).encode()) % 5)
-    target = {i for _, i in good[:s.max_target]}
+    target = {i for i, q in quality_of.items() if q == 1 and zlib.crc32(str(i).encode()) % 5}
     words = {i: WORDS.findall(t) for i, t in texts.items()}
     hashed = {i: [_xx(w) for w in ws] for i, ws in words.items()}
     grams = {i: [_xx(a) % s.buckets for a in h] + [_xx(a, b) % s.buckets for a, b in zip(h, h[1:])] for i, h in hashed.items()}
@@ -380,8 +379,8 @@ def test_rules_against_brute_force(spark, real):
         np.add.at(raw, g, 1)
         if i in target:
             np.add.at(tgt, g, 1)
-    share = raw / raw.sum()
-    ratio = np.round(np.log((tgt + s.prior * share) / (tgt.sum() + s.prior) / share), 4)
+    share, prior = raw / raw.sum(), s.share * tgt.sum()
+    ratio = np.round(np.log((tgt + prior * share) / (tgt.sum() + prior) / share), 4)
     for i, ws in words.items():
         r, n = got[i], len(ws)
         count = collections.Counter(zip(ws, ws[1:], ws[2:]))
@@ -400,6 +399,29 @@ def test_rules_stay_in_the_jvm(spark, labels):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan.split("== Physical Plan ==")[1])
 
 
+def test_rules_can_be_filtered(spark, labels):
+    docs, labels = C.table(spark, SF, "documents"), C.table(spark, SF, "labels")
+    judged = rules.quality_rules(docs, labels)
+    every = judged.collect()
+    size = len(judged._jdf.queryExecution().optimizedPlan().toString())
+    for condition in ("kept", "not kept and n_words > 60", "llr > 0"):
+        plan = judged.where(condition)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct(_win") == 1 and len(plan) < size + 1000
+    assert sorted(r["doc_id"] for r in judged.where("kept").select("doc_id").collect()) == sorted(r["doc_id"] for r in every if r["kept"])
+    assert judged.where("n_words > 60 and not kept").count() == sum(r["n_words"] > 60 and not r["kept"] for r in every)
+
+
+def test_rules_move_no_text(spark):
+    """One plan at every size: the trusted ids are shuffled to bucket numbers, nothing is broadcast by its size."""
+    docs, labels = C.table(spark, SF, "documents"), C.table(spark, SF, "labels")
+    s = rules.Settings()
+    plan = rules.ngram_counts(docs, rules.trusted_ids(labels, s), s)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    odd = spark.createDataFrame([(None, "a b")] * 3 + [(0, "a b"), (7, "a c")], "doc_id long, text string")
+    counts = rules.ngram_counts(odd, spark.createDataFrame([(0,)], "doc_id long"), s).collect()
+    assert sum(r["raw"] for r in counts) == 15 and sum(r["target"] for r in counts) == 3
+
+
 def test_rules_alike_at_every_size(spark):
     s = rules.Settings(buckets=8, smoothing=0.0)
     tables = [rules.ratio_table(spark.createDataFrame([(k, (9 + k) * n, k * n) for k in range(8)], "bucket int, raw long, target long"), s) for n in (1, 10, 100_000)]
