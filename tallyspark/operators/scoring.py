@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.labels import API_ERROR, DEFAULT_CLASSES
-from tallyspark.session import ship_package, spread
+from tallyspark.session import ship_package
 from tallyspark.sources.attempts import AttemptLog
 
 ScorerFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -34,12 +34,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def score_table(df: DataFrame, scorer_factory: ScorerFactory, classes: Sequence[str] = DEFAULT_CLASSES,
                 text_col: str = "post", id_col: str = "index", batch_size: int = 16,
-                keep: Sequence[str] = ()) -> DataFrame:
-    """-> (id, keep..., predicted_label, probs ARRAY<DOUBLE>, success, error) (SCR1, SCR3)."""
+                keep: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """-> (id, keep..., predicted_label, probs ARRAY<DOUBLE>, success, error) (SCR1, SCR3).
+
+    The input's own partitions are scored side by side; give ``partitions`` to deal the rows out anew
+    (one shuffle) where few files hold much work.
+    """
     cls = list(classes)
     ship_package(df.sparkSession)
     keep = [c for c in keep if c not in (id_col, text_col)]
-    src = spread(df.select(id_col, text_col, *keep))
+    src = df.select(id_col, text_col, *keep)
+    if partitions:
+        src = src.repartition(partitions)
     dtypes = dict(src.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,12 +126,14 @@ def resume_score_to(todo: DataFrame, path: str, scorer_factory: ScorerFactory,
 
 
 def respond(df: DataFrame, responder_factory: ResponderFactory, prompt_col: str = "prompt", id_col: str = "index",
-            batch_size: int = 16, keep: Sequence[str] = ()) -> DataFrame:
+            batch_size: int = 16, keep: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Text in, text out (a hosted or local generator supplied by the caller) with
     per-row failure isolation -> (id, keep..., response, error)."""
     ship_package(df.sparkSession)
     keep = [c for c in keep if c not in (id_col, prompt_col)]
-    src = spread(df.select(id_col, prompt_col, *keep))
+    src = df.select(id_col, prompt_col, *keep)
+    if partitions:
+        src = src.repartition(partitions)
     dtypes = dict(src.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,7 @@ from tallyspark.operators import splits as SP
 from tallyspark.plans import views as V
 from tallyspark.plans.sqlkit import SENTINEL_SQL
 from tallyspark.plans.sqlviews import CLS, with_views
+from tallyspark.session import materialise
 
 CL = DEFAULT_CLASSES
 N_MODELS = 5
@@ -84,7 +85,7 @@ def average_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _unanimous(spark, d) -> DataFrame:
     p = V.predictions(spark, d, with_post=False, with_digest=True)
-    return PS.unanimous(p, [m for m, _ in V.MODEL_MULTS], "post_key", key_is_digest=True).select("index", "label", "predicted_label")
+    return PS.unanimous(p, MODELS, "post_key", key_is_digest=True).select("index", "label", "predicted_label")
 
 
 def unanimous(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +110,8 @@ def assemble_half(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_report(spark: SparkSession, d: str) -> DataFrame:
-    # the unanimous subset feeds four stages: materialise it once (reliable checkpoint)
-    tr, un = _train(spark, d), _unanimous(spark, d).checkpoint()
+    # the unanimous subset feeds four stages: it is written once
+    tr, un = _train(spark, d), materialise(_unanimous(spark, d), "unanimous")
     half = SP.sample_exact(un, 0.5, 42)
     return PS.size_report({"train": tr, "pseudo": un, "pseudo_half": half,
                            "combined": PS.assemble(tr, un, cols=("index",)),

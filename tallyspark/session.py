@@ -91,20 +91,6 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition before CPU-heavy per-row work, *only* for few-file inputs.
-
-    A large table on a cluster is read from many files/splits and is left alone
-    (no extra shuffle); a single-file input would otherwise run tokenising,
-    parsing or model scoring in one task. Decided from ``inputFiles()`` (plan
-    metadata only, nothing is executed).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores * factor)
-    return df
-
-
 _SHIPPED_KEY = "tallyspark.shipped"
 
 

@@ -8,9 +8,6 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-SIDE_EFFECTS = {"score_stream", "report_roundtrip", "posts_csv_roundtrip", "predictions_roundtrip",
-                "run_logs_roundtrip", "size_report", "kfold_fit_predict", "fit_all", "fit_eval", "pseudo_rounds"}
-
 
 def plan_of(df) -> str:
     buf = io.StringIO()
@@ -19,7 +16,7 @@ def plan_of(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))
+@pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
