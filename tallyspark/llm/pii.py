@@ -5,9 +5,11 @@ Base spans come from fixed patterns and always stay. The field labels *candidate
 
 * node potentials from the token's shape and its neighbours' shapes,
 * chain potentials between candidates that follow one another,
-* skip potentials between distant candidates that are the same up to punctuation: equal digit
-  strings of six or more, or equal addresses. Occurrences are linked in order, one to the
-  next, so that m repeats make m - 1 links.
+* skip potentials between distant places that are the same up to punctuation: equal addresses
+  or equal digit strings, of one token or of several neighbours, and of a phone number also
+  without its country code. Occurrences are linked in order, one to the next, so that m repeats
+  make m - 1 pairs of places (each token of either place is linked to the first one of the
+  other). Short and long digit strings have potentials of their own.
 
 Tokens of base spans are observed. Loopy belief propagation passes messages until they
 settle; runs of other tokens whose label has a posterior over ``least`` become added spans:
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -40,7 +43,9 @@ KINDS = ("email", "ip", "card", "phone")
 class Settings:
     least: float = 0.9          #: posterior of an added token
     rounds: int = 20            #: of message passing at most
-    min_digits: int = 6         #: of digit strings that are linked
+    min_digits: int = 6         #: of digit strings of one token that are linked
+    run_digits: int = 7         #: of digit strings of several tokens, and without country code
+    long_digits: int = 9        #: from here on a string is a long one
 
 
 # fixed values: the base patterns (possessive forms of the same languages, linear on any text)
@@ -137,6 +142,45 @@ def _key(token: str, least: int) -> str | None:
     return d if len(d) >= least else None
 
 
+_NUMERIC = re.compile(r"[0-9()+.,;:/-]+")
+MOST_TOKENS, MOST_DIGITS, COUNTRY_DIGITS = 6, 19, 3  # of a string over several tokens; of a country code
+
+Place = tuple[int, int, str]  # first and last token, key
+
+
+def _runs(tokens: list[str], follows: set[int], s: Settings) -> list[Place]:
+    """The digit strings of two or more neighbouring numeric tokens."""
+    numeric = [bool(_NUMERIC.fullmatch(t)) for t in tokens]
+    digits = [_digits(t) if n else "" for t, n in zip(tokens, numeric, strict=True)]
+    out = []
+    for i in range(len(tokens)):
+        key, j = digits[i], i + 1
+        while numeric[i] and j < min(len(tokens), i + MOST_TOKENS) and j in follows and numeric[j]:
+            key += digits[j]
+            if len(key) > MOST_DIGITS:
+                break
+            if len(key) >= s.run_digits:
+                out.append((i, j, key))
+            j += 1
+    return out
+
+
+def _links(places: list[Place], s: Settings) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links of each place to the latest earlier one of its key: of short and of long keys."""
+    short, long = {}, {}  # ordered sets
+    latest: dict[str, Place] = {}
+    for place in sorted(places, key=lambda p: (p[1], p[0])):
+        first, last, key = place
+        if key in latest and latest[key][1] >= first:
+            continue  # overlaps the one before: not another occurrence
+        if key in latest:
+            to = long if "@" in key or len(key) >= s.long_digits else short
+            a, b, _ = latest[key]
+            to.update({(a, k): None for k in range(first, last + 1)} | {(k, first): None for k in range(a, b + 1)})
+        latest[key] = place
+    return [x for x in short if x not in long], list(long)
+
+
 @dataclass
 class Graph:
     """Candidates of a document: places, observed labels (0: none), shapes, chain and skip links."""
@@ -145,9 +189,10 @@ class Graph:
     shapes: list[tuple[int, ...]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    long_skip: list[tuple[int, int]]
 
 
-def graph(text: str, spans: list[Span], least: int) -> Graph:
+def graph(text: str, spans: list[Span], s: Settings) -> Graph:
     tokens, places, shapes, chain = [], [], [], []
     before, last = None, -2
     it = list(_TOKEN.finditer(text))
@@ -162,29 +207,32 @@ def graph(text: str, spans: list[Span], least: int) -> Graph:
             shapes.append(_shape(token, before, after))
             last = k
         before = token
+    keyed = [(k, k, key) for k, token in enumerate(tokens) if (key := _key(token, s.min_digits))]
+    keyed += _runs(tokens, {y for _, y in chain}, s)
     seen = np.zeros(len(tokens), np.int64)
     starts = [a for a, _ in places]
     for a, kind, b in spans:
         k = max(0, int(np.searchsorted(starts, a, side="right")) - 1)
+        own = []
         while k < len(places) and places[k][0] < b:
-            if places[k][1] > a and not seen[k]:
-                seen[k] = kind + 1
+            if places[k][1] > a:
+                own.append(k)
+                if not seen[k]:
+                    seen[k] = kind + 1
             k += 1
-    skip, latest = [], {}
-    for k, token in enumerate(tokens):
-        if key := _key(token, least):
-            if key in latest:
-                skip.append((latest[key], k))
-            latest[key] = k
-    return Graph(places, seen, shapes, chain, skip)
+        if own and KINDS[kind] == "phone":
+            d = _digits(text[a:b])
+            keyed += [(own[0], own[-1], d[c:]) for c in range(COUNTRY_DIGITS + 1) if len(d) - c >= s.run_digits]
+    return Graph(places, seen, shapes, chain, *_links(keyed, s))
 
 
 @dataclass
 class Field:
-    """Trained potentials: node weights (shape parts x labels), chain and skip matrices (logs)."""
+    """Trained potentials: node weights (shape parts x labels), matrices of the three kinds of links (logs)."""
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    long_skip: np.ndarray
 
     def nodes(self, shapes: list[tuple[int, ...]]) -> np.ndarray:
         return self.node[np.array(shapes) + _AT[:-1]].sum(axis=1)
@@ -199,11 +247,12 @@ def marginals(field: Field, g: Graph, rounds: int) -> np.ndarray:
     """Posteriors of each candidate's label by loopy sum-product; observed ones are certain."""
     local = _normal(field.nodes(g.shapes))
     local = np.where(g.seen[:, None] > 0, np.eye(LABELS)[g.seen], local)
-    links = [*g.chain, *g.skip]
+    links = [*g.chain, *g.skip, *g.long_skip]
     if not links:
         return local
     a, b = np.array([x for x, _ in links] + [y for _, y in links]), np.array([y for _, y in links] + [x for x, _ in links])
-    forth = np.concatenate([np.repeat(m[None], n, axis=0) for m, n in ((np.exp(field.chain), len(g.chain)), (np.exp(field.skip), len(g.skip)))])
+    forth = np.concatenate([np.repeat(m[None], n, axis=0) for m, n in (
+        (np.exp(field.chain), len(g.chain)), (np.exp(field.skip), len(g.skip)), (np.exp(field.long_skip), len(g.long_skip)))])
     pot = np.concatenate([forth, forth.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     msg = np.full((len(a), LABELS), 1 / LABELS)
@@ -223,11 +272,9 @@ def marginals(field: Field, g: Graph, rounds: int) -> np.ndarray:
 
 
 def added_spans(text: str, base: list[Span], field: Field, s: Settings) -> list[Span]:
-    g = graph(text, base, s.min_digits)
+    g = graph(text, base, s)
     if not len(g.seen) or g.seen.all():
         return []
-    if not g.skip and not (g.seen == 0).any():
-        return []
     p = marginals(field, g, s.rounds)
     label = np.where((g.seen == 0) & (p.argmax(axis=1) > 0) & (p.max(axis=1) >= s.least), p.argmax(axis=1), 0)
     follows = {y for _, y in g.chain}
@@ -254,20 +301,22 @@ def added_spans(text: str, base: list[Span], field: Field, s: Settings) -> list[
 
 def _tally(text: str, s: Settings) -> Counter:
     base = base_spans(text)
-    g = graph(text, base, s.min_digits)
+    g = graph(text, base, s)
     n: Counter = Counter()
     seen = g.seen.tolist()
     known = [y > 0 for y in seen]  # or linked to one that is
-    for i, j in [*g.skip, *reversed(g.skip)]:
+    skips = sorted({*g.skip, *g.long_skip}, key=lambda x: x[1])
+    for i, j in [*skips, *reversed(skips)]:
         known[i] = known[j] = known[i] or known[j]
     for shape, y, k in zip(g.shapes, seen, known, strict=True):
         if y or not k:
             n["n", int(np.ravel_multi_index(shape, _SIZES)), y] += 1
     for i, j in g.chain:
         n["c", seen[i], seen[j]] += 1
-    for i, j in g.skip:
-        if seen[i] and seen[j]:
-            n["s", seen[i], seen[j]] += 1
+    for what, links in (("s", g.skip), ("l", g.long_skip)):
+        for i, j in links:
+            if seen[i] and seen[j]:
+                n[what, seen[i], seen[j]] += 1
     return n
 
 
@@ -304,19 +353,19 @@ def _fit_nodes(shapes: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return w
 
 
-def _agreement(n: np.ndarray) -> np.ndarray:
-    """Log potential of a link: the log odds of equal labels where one end is not O, 0 to 5."""
+def _agreement(n: np.ndarray, most: float = 5.0) -> np.ndarray:
+    """Log potential of a link: the log odds of equal labels where one end is not O, 0 to ``most``."""
     some = n.copy()
     some[0, 0] = 0
     same = np.trace(some)
-    w = float(np.clip(np.log((same + 10) / (some.sum() - same + 1)), 0, 5))
+    w = float(np.clip(np.log((same + 10) / (some.sum() - same + 1)), 0, most))
     return w * np.eye(LABELS)
 
 
 def train(docs: DataFrame, s: Settings) -> Field:
     """Piecewise training from the grouped counts (at most one row per shape and label)."""
     rows = sorted(map(tuple, counts(docs, s).collect()))
-    links = {what: np.zeros((LABELS, LABELS)) for what in "cs"}
+    links = {what: np.zeros((LABELS, LABELS)) for what in "csl"}
     for what, a, b, n in rows:
         if what in links:
             links[what][a, b] += n
@@ -327,7 +376,7 @@ def train(docs: DataFrame, s: Settings) -> Field:
     else:
         node = np.zeros((_AT[-1], LABELS))
         node[:, 0] = 1.0
-    return Field(node, _agreement(links["c"]), _agreement(links["s"]))
+    return Field(node, _agreement(links["c"]), _agreement(links["s"]), _agreement(links["l"], 8.0))
 
 
 def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -338,6 +387,7 @@ def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     and text are ignored.
     """
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, s))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,9 +425,11 @@ def mask(text: str, spans: list[Span]) -> str:
 def masked(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``docs`` with every span found in ``text`` masked; the other columns as they were.
 
-    Null texts stay null; texts without spans are unchanged.
+    Null texts stay null; texts without spans are unchanged. Every row stays, repeated ones and
+    ones with a null doc_id too; an empty table gives no rows.
     """
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, s))
     place = docs.columns.index("text")
 
