@@ -8,10 +8,11 @@ words or only stems, come out positive.
 Fitting, on a bounded sample of labelled rows outside the held-out fold:
 
 1. Words are counted by document in toxic and in ordinary texts, near copies (equal least
-   hash of their word 4-grams, under either of two hashes) counting once. Toxic text to train on is
-   the words found much oftener, in at least a fiftieth of the toxic texts (if there are
-   none: all words of toxic texts); ordinary text is the words of ordinary texts.
-2. One dictionary is trained on each. A constant pad ends both dictionaries and every window,
+   hash of their word 4-grams, under either of two hashes) counting once. A word's weight in the
+   toxic texts is 1 where it is found there so much oftener that chance is excluded (a
+   log-likelihood ratio test of the two shares, whatever the word's share is), otherwise 0; if
+   no word passes, all words of toxic texts weigh 1. Ordinary text is the other words of ordinary texts.
+2. One dictionary is trained on each, on every word as often as texts hold it. A constant pad ends both dictionaries and every window,
    so that windows of few bytes are compressed as well and the constant costs cancel.
 3. The window threshold is the distance that best parts toxic from ordinary documents of the
    sample; a logistic fit of the largest distance and of the number of windows over the
@@ -30,16 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 
 @dataclass(frozen=True)
 class Settings:
     max_train: int = 12_000         #: bound of the labelled sample
-    max_words: int = 20_000         #: bound of each list of words that dictionaries are trained on
     times_oftener: float = 8.0      #: of words that count as toxic text
-    least_share: float = 0.02       #: of toxic texts that hold such a word
-    least_texts: int = 4
-    toxic_bytes: int = 2048         #: size of the toxic dictionary
+    significance: float = 19.5      #: least log-likelihood ratio of such a word (a chance of 1 in 100,000)
+    toxic_bytes: int = 8192         #: size of the toxic dictionary
     ordinary_bytes: int = 32768
     long_word: int = 64
     memo_words: int = 400_000       #: windows whose distance a worker remembers
@@ -58,14 +58,26 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def train_dictionary(words: list[tuple[str, int]], size: int, together: int) -> bytes:
-    """A zstandard dictionary trained on words as often as they count (scaled to 200,000)."""
+    """A zstandard dictionary trained on words as often as they count (scaled to 200,000).
+
+    Training keeps what repeats most; words that it left out fill the rest of ``size``, the most
+    frequent first.
+    """
     total = sum(n for _, n in words)
     scale = max(1.0, total / 200_000)
     windows = [f" {w} ".encode() for w, n in words for _ in range(max(1, round(n / scale)))]
     order = np.random.default_rng(3).permutation(len(windows))
     samples = [b"".join(windows[k] for k in order[i:i + together]) for i in range(0, len(order), together)]
     try:
-        return zstandard.train_dictionary(size, samples, k=24 if size > 8192 else 16, d=6, level=3).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=24 if size > 8192 else 16, d=6, level=3).as_bytes()
+        out = [made]
+        left = size - len(made)
+        for w, _ in sorted(words, key=lambda x: (-x[1], x[0])):
+            window = f" {w} ".encode()
+            if len(window) <= left and window not in made:
+                out.append(window)
+                left -= len(window)
+        return b"".join(reversed(out))
     except zstandard.ZstdError:  # too little text to train on: the text itself
         return b"".join(sorted(set(windows)))[-size:]
 
@@ -144,19 +156,30 @@ def _histograms(sample: DataFrame, model: Model) -> list:
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
-    """The sample (bounded) with one text of each group of near copies."""
+    """(y, text): the sample (bounded) with one text of each group of near copies."""
     def least(seed: int) -> Column:
         w = F.col("w")
         return F.coalesce(F.array_min(F.transform(
             F.slice(w, 1, F.greatest(F.size(w) - 3, F.lit(1))),
             lambda x, i: F.xxhash64(F.lit(seed), x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))), F.lit(0))
     texts = sample.withColumn("w", F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    return texts.withColumn("a", least(1)).withColumn("b", least(2)).drop("w").dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"])
+    texts = texts.select("y", least(1).alias("a"), least(2).alias("b"), F.struct(F.xxhash64("doc_id"), "doc_id", "text").alias("row"))
+    for key in ("a", "b"):  # of each group the row with the least hash of its id, whatever the layout
+        texts = texts.groupBy("y", key).agg(F.min_by(F.struct("b", "row"), "row").alias("t")).select("y", *(["t.b", "t.row"] if key == "a" else ["t.row"]))
+    return texts.select("y", "row.text")
+
+
+def _significance(t: Column, o: Column, toxic: int, ordinary: int) -> Column:
+    """Twice the log-likelihood ratio of a word's document counts: two shares against one."""
+    def term(n: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    share = (t + o) / (toxic + ordinary)
+    return 2 * (term(t, share * toxic) + term(o, share * ordinary) + term(toxic - t, (1 - share) * toxic) + term(ordinary - o, (1 - share) * ordinary))
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     ids = F.broadcast(C.train_sample(labels, "toxic", s.max_train))  # at most max_train rows
-    sample = C.materialise(C.only(docs, "doc_id", "text").join(ids, "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text")), "toxic")
+    sample = C.materialise(C.only(docs, "doc_id", "text").join(ids, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")), "toxic")
     texts = _without_copies(sample)
     size = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, ordinary = size.get(1, 0), size.get(0, 0)
@@ -167,10 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
               .where((F.col("w") != "") & (F.length("w") <= s.long_word)).groupBy("w")
               .agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")))
     counts = C.materialise(counts, "words")
-    often = (F.col("t") >= max(s.least_texts, s.least_share * toxic)) & (F.col("t") / toxic > s.times_oftener * (F.col("o") + 1) / ordinary)
-    top = lambda df, by: [(r["w"], r[by]) for r in df.orderBy(F.desc(by), "w").limit(s.max_words).collect()]
-    marks = top(counts.where(often), "t") or top(counts.where("t > 0"), "t")
-    usual = top(counts.where(~often & (F.col("o") > 0)), "o")
+    t, o = F.col("t"), F.col("o")
+    often = (_significance(t, o, toxic, ordinary) >= s.significance) & (t / toxic > s.times_oftener * (o + 1) / ordinary)
+    words = lambda df, by: [(r["w"], r[by]) for r in df.orderBy(F.desc(by), "w").collect()]  # noqa: E731 - of the bounded sample
+    marks = words(counts.where(often), "t") or words(counts.where("t > 0"), "t")
+    usual = words(counts.where(~often & (o > 0)), "o")
     model = Model(train_dictionary(marks, s.toxic_bytes, 4), train_dictionary(usual, s.ordinary_bytes, 8), s)
     rows = sorted(_histograms(sample, model), key=lambda r: (r["y"], r["top"], r["hist"]))
     y = np.array([r["y"] for r in rows], float)
@@ -189,6 +213,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings | Non
     share of label 1. An empty table gives no rows; other columns are ignored.
     """
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     model = train(docs, labels, s)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
