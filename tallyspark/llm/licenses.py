@@ -1,9 +1,12 @@
 """License scan: MinHash bands over overlapping word windows, then exact shingle containment.
 
-For each template the windows of its own length are compared with it. A window's signature
+For each template the windows of its own length, and of 1.25 and 1.5 times that (for notices
+that other words interrupt), are compared with it. A window's signature
 holds the least hash of its 5-word shingles under ``bands * rows`` seeded hashes; one equal
-band retrieves the template. With 16 bands of 2 rows a window of similarity 0.8 is retrieved
-with probability 1 - (1 - 0.8^2)^16 > 0.9999999, an exact copy always. What is retrieved is
+band retrieves the template. A window that holds 0.8 of a template's shingles has at least
+similarity 0.8 / (w + 0.2), w being its length in template lengths: 0.67, 0.55 and 0.47. With 16
+bands of 2 rows it is retrieved with probability 0.9999, 0.997 or 0.98, and several windows hold
+it; an exact copy is always retrieved. What is retrieved is
 verified by the share of the template's shingles that the window holds.
 
 A band can only be equal where a shingle that is some template's least one occurs, so
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 # fixed values: public license notices, by SPDX identifier
 TEMPLATES = {
@@ -61,6 +65,7 @@ class Settings:
     bands: int = 16
     rows: int = 2
     containment: float = 0.8
+    widths: tuple[float, ...] = (1.0, 1.25, 1.5)  #: lengths of windows in template lengths
     seed: int = 97
 
 
@@ -117,41 +122,41 @@ class Scanner:
             bands.append(_bands(x.min(axis=1)[:, None], s)[:, 0])
         self.bands, self.least = bands, np.unique(np.concatenate(least))
 
-    def scan(self, g: np.ndarray) -> list[tuple[int, int, float]]:
-        """(template, first shingle, containment) of a document's matches; the best of overlapping ones."""
+    def scan(self, g: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(template, first shingle, shingles, containment) of a document's matches; the best of overlapping ones."""
         s, out = self.s, []
         hashes = C.mix(g[None, :] ^ self.seeds[:, None])
         by_length: dict[int, np.ndarray] = {}
         for t, (own, size) in enumerate(zip(self.sets, self.lengths, strict=True)):
-            width = min(size, len(g))
-            if width not in by_length:
-                by_length[width] = _bands(window_minima(hashes, width), s)
-            at = np.flatnonzero((by_length[width] == self.bands[t][:, None]).any(axis=0))
-            if not len(at):
-                continue
-            mine = np.isin(g, own)
-            found = []
-            for k in at.tolist():
-                share = len(np.unique(g[k:k + width][mine[k:k + width]])) / len(own)
-                if share >= s.containment:
-                    found.append((-share, k))
-            taken: list[int] = []
-            for share, k in sorted(found):
-                if all(abs(k - x) >= width for x in taken):
-                    taken.append(k)
-                    out.append((t, k, -share))
+            found, mine = [], None
+            for width in sorted({min(round(size * w), len(g)) for w in s.widths}):
+                if width not in by_length:
+                    by_length[width] = _bands(window_minima(hashes, width), s)
+                at = np.flatnonzero((by_length[width] == self.bands[t][:, None]).any(axis=0))
+                if len(at) and mine is None:
+                    mine = np.isin(g, own)
+                for k in at.tolist():
+                    share = len(np.unique(g[k:k + width][mine[k:k + width]])) / len(own)
+                    if share >= s.containment:
+                        found.append((-share, width, k))
+            taken: list[tuple[int, int]] = []
+            for share, width, k in sorted(found):
+                if all(k + width <= x or x + n <= k for x, n in taken):
+                    taken.append((k, width))
+                    out.append((t, k, width, -share))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, settings: Settings | None = None) -> DataFrame:
     """(doc_id, license, first_word, n_words, containment): one row per match.
 
-    Matches of one template don't overlap (the best containment, then the first, wins);
-    matches of different templates may. Documents without a match, null and short texts have
-    no row; repeated rows give their matches each; a null doc_id stays. Columns besides
-    doc_id and text are ignored.
+    Matches of one template don't overlap (the best containment, then the shortest window, then the
+    first, wins); matches of different templates may. Documents without a match, null and short texts have
+    no row; repeated rows give their matches each; a null doc_id stays. An empty
+    table gives no rows. Columns besides doc_id and text are ignored.
     """
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     given = dict(templates or TEMPLATES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +169,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, sett
                 spot = np.minimum(np.searchsorted(scanner.least, g), len(scanner.least) - 1)
                 for i in np.unique(at[scanner.least[spot] == g]).tolist():
                     own = g[np.searchsorted(at, i):np.searchsorted(at, i + 1)]
-                    rows_out += [(lo + i, scanner.names[t], k, min(scanner.lengths[t], len(own)) + s.shingle - 1, c) for t, k, c in scanner.scan(own)]
+                    rows_out += [(lo + i, scanner.names[t], k, n + s.shingle - 1, c) for t, k, n, c in scanner.scan(own)]
             yield pa.RecordBatch.from_arrays([
                 ids.take(pa.array([r[0] for r in rows_out], pa.int64())), pa.array([r[1] for r in rows_out], pa.string()),
                 pa.array([r[2] for r in rows_out], pa.int64()), pa.array([r[3] for r in rows_out], pa.int64()),
