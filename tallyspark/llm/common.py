@@ -164,22 +164,27 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def sum_blobs(blobs: DataFrame, dtype: str) -> dict[int, np.ndarray]:
-    """Add up equally long numeric arrays by block id: rows (block int, blob binary) of all tasks."""
+def sum_blobs(blobs: DataFrame) -> dict[int, np.ndarray]:
+    """Add up equally long 32-bit integer arrays by block id into 64-bit ones: rows (block int, blob binary) of all tasks."""
     def add(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in part:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), dtype)
+                x = np.frombuffer(x.as_buffer(), "<i4")
                 if k in total:
                     total[k] += x
                 else:
-                    total[k] = x.copy()
+                    total[k] = x.astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
             names=["block", "blob"])
     summed = blobs.repartition("block").mapInArrow(add, "block int, blob binary")
-    return {r["block"]: np.frombuffer(bytes(r["blob"]), dtype) for r in summed.collect()}
+    return {r["block"]: np.frombuffer(bytes(r["blob"]), np.int64) for r in summed.collect()}
+
+
+def few_tasks(docs: DataFrame, most: int = 4096) -> DataFrame:
+    """The rows in at most ``most`` tasks, for tasks that each send a table of set size; nothing is shuffled."""
+    return docs.coalesce(most)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, share: int = 1 << 16) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
 from tallyspark.llm.components import components
+from tallyspark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -96,8 +97,8 @@ def frequency_levels(docs: DataFrame, s: Settings) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "blob"])
 
-    counts = C.sum_blobs(C.only(docs, "text").mapInArrow(task, "block int, blob binary"), "int32")
-    total = np.concatenate([counts.get(k, np.zeros(size // parts, np.int32)) for k in range(parts)])
+    counts = C.sum_blobs(C.few_tasks(C.only(docs, "text")).mapInArrow(task, "block int, blob binary"))
+    total = np.concatenate([counts.get(k, np.zeros(size // parts, np.int64)) for k in range(parts)])
     usual = total.mean() + 6 * np.sqrt(total.mean()) + 8
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / usual)), 0, 15).astype(np.uint8)
 
@@ -492,6 +493,7 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     text are ignored.
     """
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     levels = frequency_levels(docs, s)
     per_doc = C.materialise(documents(docs, s), "documents")
     known = per_doc.where("doc_id is not null and n > 0")
@@ -517,7 +519,8 @@ def representatives(docs: DataFrame, settings: Settings | None = None) -> DataFr
     """The rows of ``docs``, all columns, with one document of each component (see jaccard_components).
 
     The document with the component's smallest id stays; of several rows with that id, the
-    first by text. Documents without words and rows with a null doc_id all stay.
+    first by text. Documents without words and rows with a null doc_id all stay. An empty table
+    gives no rows.
     """
     s = settings or Settings()
     found = C.materialise(jaccard_components(docs, s), "components")
@@ -529,5 +532,6 @@ def representatives(docs: DataFrame, settings: Settings | None = None) -> DataFr
         lists.append(F.broadcast(ids) if ids.count() <= s.broadcast_ids else ids)
     once = docs.join(lists[0], "doc_id", "left_anti").select(docs.columns)
     rank = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    more = docs.join(lists[1], "doc_id", "left_semi").select("*", F.row_number().over(rank).alias("_rank")).where("_rank = 1").select(docs.columns)
+    place = "_rank" + "_" * max(len(c) for c in docs.columns)  # longer than any of the columns
+    more = docs.join(lists[1], "doc_id", "left_semi").select("*", F.row_number().over(rank).alias(place)).where(F.col(place) == 1).select(docs.columns)
     return once.union(more)

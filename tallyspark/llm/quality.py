@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -82,13 +83,13 @@ def word_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
         for batch in batches:
             for _, _, buf, offs in C.text_batches(batch.column(0)):
                 _add_contexts(total, *_tokens(buf, offs), s)
-        parts = np.split(total.astype(np.float32), s.buckets // _BLOCK)
+        parts = np.split(total.astype(np.int32), s.buckets // _BLOCK)  # signs are added: whole numbers
         found = [k for k, p in enumerate(parts) if p.any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(found, pa.int32()), pa.array([parts[k].tobytes() for k in found], pa.binary())],
             names=["block", "blob"])
-    summed = C.sum_blobs(C.only(docs, "text").mapInArrow(task, "block int, blob binary"), "float32")
-    table = np.zeros((s.buckets // _BLOCK, _BLOCK * s.dim), np.float32)
+    summed = C.sum_blobs(C.few_tasks(C.only(docs, "text")).mapInArrow(task, "block int, blob binary"))
+    table = np.zeros((s.buckets // _BLOCK, _BLOCK * s.dim))
     for k, x in summed.items():
         table[k] = x
     table = table.reshape(s.buckets, s.dim)
@@ -211,6 +212,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings | None
     """
     s = settings or Settings()
     spark = docs.sparkSession
+    ship_package(spark)
     table = word_vectors(docs, s)
     net = train(docs, labels, table, s)
     shared = spark.sparkContext.broadcast((table, net))
@@ -227,8 +229,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold (see quality_scores)."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold (see quality_scores); an empty table gives none."""
     s = settings or Settings()
+    ship_package(docs.sparkSession)
     table = word_vectors(docs, s)
     shared = docs.sparkSession.sparkContext.broadcast((table, train(docs, labels, table, s)))
     place = docs.columns.index("text")
