@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 MARK = "▁"
 
@@ -39,7 +40,6 @@ class Settings:
     model: str                  #: path of a sentencepiece merge model with byte pieces
     dropout: float = 0.1
     seed: int = 41
-    variants: int | None = None  #: bound of the keys over the corpus; none: a key for each document
     memo_chunks: int = 300_000  #: half the bound of the paths that a worker remembers
     memo_length: int = 48       #: of remembered chunks (characters)
 
@@ -268,37 +268,37 @@ def memo_of(s: Settings) -> Memo:
 
 
 def _keyed(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, variant, key, text): a key for each document, or for each variant if they are bounded."""
+    """(doc_id, key, text): a key for each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    if s.variants is None:
-        return rows.select("doc_id", F.lit(None).cast("int").alias("variant"), F.xxhash64(F.lit(s.seed), "doc_id").alias("key"), "text")
-    variant = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(s.variants)).cast("int")
-    rows = rows.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(variant).alias("variant"), "text")
-    return rows.select("doc_id", "variant", F.xxhash64(F.lit(s.seed), "variant").alias("key"), "text")
+    return rows.select("doc_id", F.xxhash64(F.lit(s.seed), "doc_id").alias("key"), "text")
 
 
 def encode(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, variant, ids) for every row of ``docs``; null and empty texts have no ids.
+    """(doc_id, ids) for every row of ``docs``; null and empty texts have no ids.
 
     Repeated rows are encoded alike, and so are rows with a null doc_id and the same text.
-    ``variant`` is null unless variants are bounded; then a null doc_id has variant 0. An empty
-    table gives no rows; columns besides doc_id and text are ignored.
+    An empty table gives no rows; columns besides doc_id and text are ignored.
     """
     s = settings
+    ship_package(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, memo = codec(s.model), memo_of(s)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = list(c.encode_all((t.as_py() or "" for t in part.column(3)), part.column(2).to_pylist(), s, memo))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "variant", "ids"])
-    return _keyed(docs, s).mapInArrow(task, "doc_id long, variant int, ids array<int>")
+                ids = list(c.encode_all((t.as_py() or "" for t in part.column(2)), part.column(1).to_pylist(), s, memo))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    return _keyed(docs, s).mapInArrow(task, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text, no ids the empty text."""
+    """(doc_id, text) from (doc_id, ids); null ids give a null text, no ids the empty text.
+
+    Every row stays, repeated ones and ones with a null doc_id too; an empty table gives no rows.
+    """
     s = settings
+    ship_package(encoded.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(s.model)
@@ -309,19 +309,21 @@ def decode(encoded: DataFrame, settings: Settings) -> DataFrame:
 
 
 def digests(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, variant, n_tokens, ids_crc32, text_crc32): encoded, and the decoded text's checksum.
+    """(doc_id, n_tokens, ids_crc32, text_crc32): encoded, and the decoded text's checksum.
 
     ``ids_crc32`` is over little-endian unsigned 32-bit ids, ``text_crc32`` over the UTF-8
-    bytes of the text decoded from the ids. The ids are as ``encode`` gives them.
+    bytes of the text decoded from the ids. The ids are as ``encode`` gives them, also for odd
+    rows; an empty table gives no rows.
     """
     s = settings
+    ship_package(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, memo = codec(s.model), memo_of(s)
         for b in batches:
             out = []
-            for ids in c.encode_all((t.as_py() or "" for t in b.column(3)), b.column(2).to_pylist(), s, memo):
+            for ids in c.encode_all((t.as_py() or "" for t in b.column(2)), b.column(1).to_pylist(), s, memo):
                 out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(c.decode(ids.tolist()).encode())))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *[pa.array([o[k] for o in out], pa.int64()) for k in range(3)]], names=["doc_id", "variant", "n_tokens", "ids_crc32", "text_crc32"])
-    return _keyed(docs, s).mapInArrow(task, "doc_id long, variant int, n_tokens long, ids_crc32 long, text_crc32 long")
+                [b.column(0), *[pa.array([o[k] for o in out], pa.int64()) for k in range(3)]], names=["doc_id", "n_tokens", "ids_crc32", "text_crc32"])
+    return _keyed(docs, s).mapInArrow(task, "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long")
