@@ -11,6 +11,7 @@ Only (ids' checksum, lengths) are shuffled, never texts or ids.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common as C
+from tallyspark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -37,11 +39,19 @@ class Settings:
 class Encoder:
     """Ids of a text, as little-endian 32-bit bytes, equal to the tokenizer's own ``encode``.
 
-    For texts of common Latin characters the pre-tokenizer's pieces are found here and each
-    piece's ids are remembered; any other text, or one that may name a special token, goes
-    through the tokenizer whole.
+    Where the file is of the kind that ``KIND`` describes, the pre-tokenizer's pieces of texts of common
+    Latin characters are found here and each piece's ids are remembered. Any other text, one that
+    may name a special token, and any text under another file, goes through the tokenizer whole.
     """
 
+    # fixed values: the normaliser and pre-tokenizer that the pattern below stands for
+    KIND = {
+        "normalizer": {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
     # fixed values: the pre-tokenizer's pattern over the characters that COMMON admits
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-į]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-į²³¹¼-¾]+")
     RARE = re.compile(r"[^\x09-\x0d\x20-\x7e\xa0-į]|<\|")
@@ -49,6 +59,9 @@ class Encoder:
     def __init__(self, path: str, memo_words: int) -> None:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.usual = all(spec.get(k) == v for k, v in self.KIND.items()) and all("<|" in t["content"] for t in spec["added_tokens"])
         self.memo: dict[str, bytes] = {}
         self.memo_words = memo_words
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,7 +80,7 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if self.RARE.search(text):
+        if not self.usual or self.RARE.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, miss = self.memo.get, self._piece
         return b"".join([get(w) or miss(w) for w in self.PIECES.findall(text.lower())])
@@ -155,6 +168,7 @@ def pack(docs: DataFrame, settings: Settings) -> DataFrame:
     empty table gives no rows; columns besides doc_id and text are ignored.
     """
     s = settings
+    ship_package(docs.sparkSession)
     cut = C.materialise(pieces(docs, s), "pieces")
     groups = max(1, -(-cut.count() // s.group_pieces))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(s.seed), "doc_id", "row", "start"), F.lit(groups)))
