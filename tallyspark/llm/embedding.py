@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import common as C
 from tallyspark.llm.components import components
 from tallyspark.llm.jaccard import _forest, by_group
+from tallyspark.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def _rows(vectors: DataFrame, s: Settings) -> DataFrame:
                             pa.array(np.full(n, side), pa.int32()), cols[1], cols[2], pa.array(raw, pa.binary())], names=names)
     names = ["label", "dim", "block", "cell", "side", "vec_id", "times", "raw"]
     return vectors.select("label", "vec_id", "times", "embedding").mapInArrow(
-        task, "label int, dim int, block int, cell long, side int, vec_id long, times long, raw binary")
+        task, "label string, dim int, block int, cell long, side int, vec_id long, times long, raw binary")
 
 
 def tile_links(block: int, x: np.ndarray, side: np.ndarray, chunk: np.ndarray, same_chunk: bool, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +156,13 @@ def near_duplicates(embeddings: DataFrame, settings: Settings | None = None) ->
 
     Vectors link when their labels are equal and not null and their cosine reaches the bound.
     Vectors that are null, empty, zero or hold a null, NaN or infinite component, and rows
-    with a null vec_id, link with nothing; vectors of different lengths don't either. Rows
+    with a null vec_id, link with nothing; labels of any type are equal when they read alike; vectors of different lengths don't either. Rows
     that repeat a vector are linked copies, each counted. An empty table gives no rows; other
     columns are ignored.
     """
     s = settings or Settings()
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    ship_package(embeddings.sparkSession)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     ok = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
           & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
           & F.exists("embedding", lambda x: x != 0))
