@@ -41,3 +41,23 @@ def test_stages_take_effect(spark):
             assert r["text"] == before[r["doc_id"]]
         assert not _plain_spans(r["text"])
     assert sorted(set(r["doc_id"] for r in f.collect())) == ids(e2)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls in any column, empty and repeated rows, a long text, no rows: no stage fails, all but the last keep the columns."""
+    schema = table(spark, SF, "documents").schema
+    plain = "The quick brown fox jumps over the lazy dog near the old mill by the river while it rains all day long and nobody cares"
+    rows = [(1, plain, "en", "a", 10), (1, plain, "en", "a", 10), (2, None, None, None, None), (3, "", "en", "a", 0), (None, plain, "en", "a", 1), (None, None, None, None, None),
+            (4, (plain + " mail a.b@c.org ") * 300, "en", "a", 9), (5, "x" * 50_000, "en", "a", 5)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "packing":
+                assert out.columns == docs.columns, name
+            n = out.count()
+            assert n <= len(data) * 40 and (data or n == 0), name
+            if name == "PII":
+                assert n == len(data) and not any("a.b@c.org" in (r["text"] or "") for r in out.collect())
+            if name == "n-gram Jaccard join" and data:
+                assert sorted(repr(r["doc_id"]) for r in out.collect()) == ["1", "2", "3", "4", "5", "None", "None"]
