@@ -2,6 +2,10 @@
 
 quality classifier -> quality rules -> one document of each group of near copies -> masked
 personal data -> packed sequences. ``run`` applies them to ``documents``.
+
+Every stage takes any rows of the columns of ``documents``: null and empty texts count as empty, null
+ids stay with their rows, repeated rows are judged each (the join keeps one of equal ids with
+words), an empty table gives an empty one.
 """
 
 from __future__ import annotations
