@@ -354,6 +354,51 @@ def evaluate(df: DataFrame, classes: Sequence[str] | None = None, true_col: str
     return summary_from_cells(cells, classes or DEFAULT_CLASSES, group_cols, "union")
 
 
+def evaluate_rows(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label", group_cols: Sequence[str] = ()) -> DataFrame:
+    """The whole evaluation bundle (AGG10): (section, name, precision, recall, value, n), in printed order by ``place``.
+
+    ``size``: number of rows; ``class``: share and number of rows of each true label, most
+    frequent first; ``metric``: accuracy, weighted and macro F1 over the labels that occur on either side;
+    ``report``: precision, recall, F1 (``value``) and support of each of these, and their averages.
+    Rows without a true or predicted label count in the size only. An empty table has size 0 and nothing else;
+    with ``group_cols`` each group has its bundle. One scan and two small aggregations.
+    """
+    g = list(group_cols)
+    stats = label_stats(confusion_cells(df, true_col, pred_col, g), g)
+    one = F.struct("label", "support", "pred_n", "tp")
+    per = stats.groupBy(*g).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("_n"), F.coalesce(F.sum("tp"), F.lit(0)).alias("_hits"),
+                                F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), one))).alias("_l"))
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+
+    def row(section: str, name: Column | str, value: Column | None, n: Column, precision: Column | None = None, recall: Column | None = None) -> Column:
+        none = F.lit(None).cast("double")
+        cells = [F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name")]
+        cells += [(none if c is None else c.cast("double")).alias(k) for k, c in (("precision", precision), ("recall", recall), ("value", value))]
+        return F.struct(*cells, n.cast("long").alias("n"))
+
+    def scores(x: Column) -> tuple[Column, Column, Column]:
+        return ratio(x["tp"], x["pred_n"]), ratio(x["tp"], x["support"]), ratio(2 * x["tp"], x["support"] + x["pred_n"])
+    labels, n = F.col("_l"), F.col("_n")
+    support = F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x["support"])
+
+    def mean(k: int, weighted: bool) -> Column:
+        total = F.aggregate(labels, F.lit(0.0), lambda a, x: a + scores(x)[k] * (x["support"] if weighted else F.lit(1)))
+        return ratio(total, support if weighted else F.size(labels))
+    classes = F.array_sort(F.filter(labels, lambda x: x["support"] > 0), lambda a, b: F.when(a["support"] != b["support"], F.sign(b["support"] - a["support"])).when(
+        a["label"] < b["label"], -1).otherwise(1).cast("int"))
+    rows = F.concat(
+        F.array(row("size", "rows", None, n)),
+        F.transform(classes, lambda x: row("class", x["label"], ratio(x["support"], support), x["support"])),
+        F.when(n > 0, F.array(row("metric", "accuracy", ratio(F.col("_hits"), n), n), row("metric", "weighted_f1", mean(2, True), support),
+                              row("metric", "macro_f1", mean(2, False), support))).otherwise(F.array()),
+        F.transform(labels, lambda x: row("report", x["label"], scores(x)[2], x["support"], scores(x)[0], scores(x)[1])),
+        F.when(n > 0, F.array(*[row("report", f"{kind} avg", mean(2, kind == "weighted"), support, mean(0, kind == "weighted"), mean(1, kind == "weighted"))
+                                for kind in ("macro", "weighted")])).otherwise(F.array()))
+    return per.select(*g, F.posexplode(rows).alias("place", "r")).select(*g, "place", "r.*")
+
+
 # --- soft / probabilistic evaluation aggregates (AGG25-AGG27) ----------------------------
 
 def soft_f1_cost(df: DataFrame, probs_col: str, true_idx_col: str, n_classes: int,

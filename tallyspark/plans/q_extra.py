@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyspark.functions.labels import DEFAULT_CLASSES, normalize, vocabulary
+from tallyspark.functions.labels import DEFAULT_CLASSES, encode, normalize, vocabulary
 from tallyspark.operators import bootstrap as B
 from tallyspark.operators import ensemble as EN
 from tallyspark.operators import examples as X
 from tallyspark.operators import metrics as M
 from tallyspark.operators import runlogs as RL
+from tallyspark.operators import splits as SPL
 from tallyspark.plans import views as V
 from tallyspark.plans.q_ensemble import _FOLDS, _VALID, _vote, _folds, _wide_valid
 from tallyspark.plans.sqlkit import SENTINEL_SQL, metric_chain
@@ -47,6 +48,57 @@ def evaluate_bundle(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.summary(p, CL, "label", "predicted_label", ["model"], "union"))
 
 
+def evaluate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole bundle of every model: counts, shares, metrics and report."""
+    return _r(M.evaluate_rows(V.predictions(spark, d, with_post=False), group_cols=["model"]).drop("place"))
+
+
+def fold_tables_written(spark: SparkSession, d: str) -> DataFrame:
+    """The train and validation tables of each fold, written with class numbers as names and read back."""
+    path = scratch_path(spark, f"folds/{uuid.uuid4().hex}")
+    folds = _folds(spark, d).select("index", "fold", encode("label", CL).alias("label"))
+    SPL.write_fold_tables(folds, path, 5, "fold", CL)
+    back = spark.read.parquet(path)
+    return back.groupBy("fold_id", "part", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("index").alias("n_ids"),
+                                                        F.min("index").alias("first_index"))
+
+
+def common_ids_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that every model labelled, of an allow-list (toxic posts)."""
+    allow = V.table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("index"))
+    p = M.exclude_status(V.predictions(spark, d, with_post=False))
+    return EN.common_ids(p, len(V.MODEL_MULTS), allow=allow)
+
+
+def text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Example blocks of all models through the text sink, read back line by line."""
+    path = scratch_path(spark, f"text/{uuid.uuid4().hex}")
+    p = M.exclude_status(V.predictions(spark, d))
+    SK.write_text(X.render(X.top_n(p, 2, "label", "index", group_cols=["model"])), "text", path)
+    lines = spark.read.text(path, lineSep="\n").where("value != ''")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def encode_lenient(spark: SparkSession, d: str) -> DataFrame:
+    """Codes under a vocabulary that lacks labels: -1 for these and for null (LBL2)."""
+    p = V.predictions(spark, d, with_post=False)
+    return p.select("model", "index", encode("predicted_label", CL[:2], strict=False).alias("code"))
+
+
+def posts_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The three kinds of post tables, written and loaded by name (SRC1, SNK1); large files may be split."""
+    root = scratch_path(spark, f"kinds/{uuid.uuid4().hex}")
+    labeled = V.posts_labeled(spark, d)
+    for kind, rows in (("validation", labeled), ("test", labeled.where("index % 3 = 0")), ("unlabeled", V.posts_unlabeled(spark, d))):
+        SK.write_posts_csv(rows, f"{root}/{RD.KIND_FILES[kind]}.csv", ["post"])
+    out = None
+    for kind in RD.KIND_FILES:
+        one = RD.load_posts(spark, kind, root, multi_line=False)
+        one = one.select(F.lit(kind).alias("kind"), "index", F.length("post").alias("n_chars"), (F.col("label") if "label" in one.columns else F.lit(None).cast("string")).alias("label"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pct_change(spark: SparkSession, d: str) -> DataFrame:
     rs = RL.range_stats(V.run_metrics(spark, d), 10, 90)
     base = rs.where(F.col("run") == 1).select(F.first("mean_f1")).scalar()
@@ -152,6 +204,8 @@ QUERIES = {
     "pct_change": pct_change, "examples_failures": examples_failures, "grid_search_full": grid_search_full,
     "bootstrap_evaluate": bootstrap_evaluate, "posts_csv_roundtrip": posts_csv_roundtrip,
     "predictions_roundtrip": predictions_roundtrip, "run_logs_roundtrip": run_logs_roundtrip,
+    "evaluate_rows": evaluate_rows, "fold_tables_written": fold_tables_written, "common_ids_allowed": common_ids_allowed,
+    "text_roundtrip": text_roundtrip, "encode_lenient": encode_lenient, "posts_kinds": posts_kinds,
     "run_logs_mixed": run_logs_mixed, "align_first_wins": align_first_wins,
 }
 
@@ -182,6 +236,36 @@ SQL = {
                round(v.f1_weighted, 6) AS f1_weighted, round(v.precision_weighted, 6) AS precision_weighted,
                round(v.recall_weighted, 6) AS recall_weighted
         FROM acc a JOIN avg v USING (model)""",
+    "evaluate_rows": with_views("predictions") + ",\n" + metric_chain("predictions", "model", CL, "union") + """,
+        t AS (SELECT model, sum(support)::BIGINT AS s FROM per GROUP BY model)
+        SELECT model, 'size' AS section, 'rows' AS name, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, NULL::DOUBLE AS value, count(*) AS n
+        FROM predictions GROUP BY model
+        UNION ALL SELECT model, 'class', label, NULL, NULL, round(support / s, 6), support FROM per JOIN t USING (model) WHERE support > 0
+        UNION ALL SELECT model, 'metric', 'accuracy', NULL, NULL, round(accuracy, 6), n FROM acc
+        UNION ALL SELECT model, 'metric', 'weighted_f1', NULL, NULL, round(f1_weighted, 6), s FROM avg JOIN t USING (model)
+        UNION ALL SELECT model, 'metric', 'macro_f1', NULL, NULL, round(f1_macro, 6), s FROM avg JOIN t USING (model)
+        UNION ALL SELECT model, 'report', label, round(precision, 6), round(recall, 6), round(f1, 6), support FROM per
+        UNION ALL SELECT model, 'report', 'macro avg', round(precision_macro, 6), round(recall_macro, 6), round(f1_macro, 6), s FROM avg JOIN t USING (model)
+        UNION ALL SELECT model, 'report', 'weighted avg', round(precision_weighted, 6), round(recall_weighted, 6), round(f1_weighted, 6), s FROM avg JOIN t USING (model)""",
+    "fold_tables_written": with_views("posts_labeled") + _FOLDS + """
+        SELECT f.k::INTEGER AS fold_id, CASE WHEN fold = f.k THEN 'validation' ELSE 'train' END AS part, label, count(*) AS n,
+               count(DISTINCT "index") AS n_ids, min("index") AS first_index
+        FROM folds CROSS JOIN (SELECT unnest(range(5)) AS k) f GROUP BY ALL""",
+    "common_ids_allowed": with_views("predictions") + f"""
+        SELECT "index" FROM predictions WHERE predicted_label NOT IN {SENTINEL_SQL} AND "index" IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        GROUP BY "index" HAVING count(DISTINCT model) = {len(V.MODEL_MULTS)}""",
+    "text_roundtrip": with_views("predictions") + f""",
+        ex AS (SELECT *, row_number() OVER (PARTITION BY model, label, label = predicted_label ORDER BY "index") AS rank
+               FROM predictions WHERE predicted_label NOT IN {SENTINEL_SQL}),
+        l AS (SELECT unnest(string_split('Post: ' || coalesce(post, '') || chr(10) || 'True label: ' || label || chr(10) || 'Predicted label: '
+                     || predicted_label, chr(10))) AS line FROM ex WHERE rank <= 2)
+        SELECT line, count(*) AS n FROM l WHERE line <> '' GROUP BY line""",
+    "encode_lenient": with_views("predictions") + f"""
+        SELECT model, "index", CAST(CASE predicted_label WHEN '{CL[0]}' THEN 0 WHEN '{CL[1]}' THEN 1 ELSE -1 END AS INTEGER) AS code FROM predictions""",
+    "posts_kinds": with_views("posts_labeled", "posts_unlabeled") + """
+        SELECT 'validation' AS kind, "index", CAST(length(post) AS INTEGER) AS n_chars, label FROM posts_labeled
+        UNION ALL SELECT 'test', "index", CAST(length(post) AS INTEGER), label FROM posts_labeled WHERE "index" % 3 = 0
+        UNION ALL SELECT 'unlabeled', "index", CAST(length(post) AS INTEGER), NULL FROM posts_unlabeled""",
     "pct_change": with_views("run_metrics") + """,
         rs AS (SELECT run, avg(eval_f1_weighted) AS mean_f1 FROM run_metrics WHERE epoch > 10 AND epoch < 90 GROUP BY run)
         SELECT run, round(mean_f1, 6) AS mean_f1,

@@ -116,3 +116,19 @@ def test_report_and_matrix_text(spark):
     rt = SK.report_text(M.classification_report(df, CL, group_cols=["m"]), "m", 2).first().report_text
     assert "weighted avg      0.76      0.75      0.75       500" in rt
     assert "   indicator      0.84      0.61      0.71       129" in rt
+
+
+def test_evaluation_rows(spark):
+    """Order and numbers of the printed bundle; nulls count in the size only; no rows give the size alone."""
+    from tallyspark.operators.metrics import evaluate_rows
+    schema = "label string, predicted_label string"
+    rows = [("b", "b")] * 3 + [("b", "a")] + [("a", "a")] * 2 + [("a", "zz"), (None, "a"), ("a", None)]
+    got = evaluate_rows(spark.createDataFrame(rows, schema)).orderBy("place").collect()
+    assert [(r.section, r["name"]) for r in got] == [("size", "rows"), ("class", "a"), ("class", "b"), ("metric", "accuracy"), ("metric", "weighted_f1"),
+                                                  ("metric", "macro_f1"), ("report", "a"), ("report", "b"), ("report", "zz"), ("report", "macro avg"), ("report", "weighted avg")]
+    by = {(r.section, r["name"]): r for r in got}
+    assert by["size", "rows"].n == 9 and by["class", "a"].n == 4 and by["class", "a"].value == 0.5
+    a, b = 2 * 2 / (4 + 4), 2 * 3 / (4 + 3)
+    assert abs(by["metric", "weighted_f1"].value - (4 * a + 4 * b) / 8) < 1e-12 and abs(by["metric", "macro_f1"].value - (a + b) / 3) < 1e-12
+    assert abs(by["metric", "accuracy"].value - 5 / 9) < 1e-12 and by["report", "zz"].value == 0
+    assert [tuple(r) for r in evaluate_rows(spark.createDataFrame([], schema)).collect()] == [(0, "size", "rows", None, None, None, 0)]
