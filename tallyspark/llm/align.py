@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,7 @@ class Aligned:
 def align(texts: list[str | None], pair: Pair) -> Aligned:
     list_a, list_b = pair.tokens(texts)
     n_a, n_b = (np.array([len(x) for x in lists], np.int64) for lists in (list_a, list_b))
-    a, b = (np.fromiter((k for x in lists for k in x), np.int64, int(n.sum())) for lists, n in ((list_a, n_a), (list_b, n_b)))
+    a, b = (np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())) for lists, n in ((list_a, n_a), (list_b, n_b)))
     of_b = np.repeat(np.arange(len(texts)), n_b)
     end_a, end_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
     group_a, group_b = terminals(end_a, end_b)
