@@ -62,10 +62,20 @@ def assemble(labeled: DataFrame, pseudo: DataFrame, fraction: float | None = Non
     return a.unionByName(b)
 
 
-def size_report(tagged: dict[str, DataFrame], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Row counts per stage (and group), from one tagged union (AGG13)."""
+def size_report(tagged: dict[str, DataFrame], group_cols: Sequence[str] = (),
+                combined: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Row counts per stage (and group), from one tagged union (AGG13).
+
+    ``combined`` names unions of stages: their sizes are sums of the counts, nothing is read again.
+    """
     parts = [df.select(*group_cols, F.lit(stage).alias("stage")) for stage, df in tagged.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("stage", *group_cols).agg(F.count(F.lit(1)).alias("n"))
+    n = u.groupBy("stage", *group_cols).agg(F.count(F.lit(1)).alias("n"))
+    if not combined:
+        return n
+    of = {stage: [stage, *[name for name, members in combined.items() if stage in members]] for stage in tagged}
+    names = F.create_map(*[x for stage, all_ in of.items() for x in (F.lit(stage), F.array(*[F.lit(a) for a in all_]))])
+    each = n.select(*group_cols, "n", F.explode(F.element_at(names, F.col("stage"))).alias("stage"))
+    return each.groupBy("stage", *group_cols).agg(F.sum("n").alias("n"))

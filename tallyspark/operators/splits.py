@@ -52,8 +52,8 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label_col: str =
     i.e. one round-robin deal over the class-ordered, hash-shuffled rows.
     """
     ranked, counts = class_ranks(df, label_col, id_col, seed)
-    ct = F.broadcast(_class_offsets(counts, label_col, classes).select(label_col, "_coff"))  # one row per class
-    r = ranked.join(ct, label_col, "left")
+    ct = _class_offsets(counts, label_col, classes).select(label_col, "_coff")  # one row per class
+    r = ranked.join(F.broadcast(ct) if classes else ct, label_col, "left")  # a vocabulary that isn't given has no bound
     return r.withColumn("fold", ((F.col("_coff") + F.col("_rn") - 1) % k).cast("int")).drop("_key", "_rn", "_coff")
 
 

@@ -113,9 +113,8 @@ def size_report(spark: SparkSession, d: str) -> DataFrame:
     # the unanimous subset feeds four stages: it is written once
     tr, un = _train(spark, d), materialise(_unanimous(spark, d), "unanimous")
     half = SP.sample_exact(un, 0.5, 42)
-    return PS.size_report({"train": tr, "pseudo": un, "pseudo_half": half,
-                           "combined": PS.assemble(tr, un, cols=("index",)),
-                           "combined_half": PS.assemble(tr, un, 0.5, 42, cols=("index",))})
+    return PS.size_report({"train": tr, "pseudo": un, "pseudo_half": half},
+                          combined={"combined": ("train", "pseudo"), "combined_half": ("train", "pseudo_half")})
 
 
 def size_report_folds(spark: SparkSession, d: str) -> DataFrame:

@@ -178,6 +178,19 @@ def _back(df: DataFrame) -> DataFrame:
     return df.select(*[F.col("model").cast("int").alias("model") if c == "model" else F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def report_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The report's sections written as tables, read back and joined: each class's metrics, hits and the run's accuracy."""
+    path = _scratch(spark, "report-tables")
+    valid = M.exclude_status(V.predictions(spark, d, with_post=False))
+    cells_ = materialise(M.confusion_cells(valid, "label", "predicted_label", ["model"]), "cells")
+    args = {"true_col": "true_label", "pred_col": "predicted_label", "group_cols": ["model"], "weight_col": "n"}
+    SK.write_metrics_tables({"summary": M.summary(cells_, CL, **args), "per_class": M.per_class(cells_, CL, **args), "matrix": M.confusion(cells_, CL, **args)}, path)
+    t = SK.read_metrics_tables(spark, path)
+    hits = t["matrix"].where("true_label = predicted_label").select("model", F.col("true_label").alias("label"), F.col("n").alias("hits"))
+    out = t["per_class"].join(hits, ["model", "label"]).join(t["summary"].select("model", "accuracy"), "model")
+    return out.select("model", "label", F.round("f1", 6).alias("f1"), "support", "hits", F.round("accuracy", 6).alias("accuracy"))
+
+
 def report_per_class(spark: SparkSession, d: str) -> DataFrame:
     """The per-class section of written reports."""
     return _back(RD.read_report_sections(spark, _written_reports(spark, d), CL)["per_class"])
@@ -198,7 +211,7 @@ QUERIES = {
     "score_stream": score_stream, "rate_audit": rate_audit, "report_roundtrip": report_roundtrip,
     "resume_score_to": resume_score_to, "resume_score_retry": resume_score_retry, "append_predictions": append_predictions,
     "rate_audit_stream": rate_audit_stream, "rate_budget": rate_budget, "rate_budget_stream": rate_budget_stream,
-    "report_per_class": report_per_class, "report_text": report_text, "report_matrix": report_matrix,
+    "report_tables": report_tables, "report_per_class": report_per_class, "report_text": report_text, "report_matrix": report_matrix,
 }
 
 
@@ -264,6 +277,10 @@ SQL = {
         GROUP BY ALL""",
     "rate_budget": _budget_sql("true"),
     "rate_budget_stream": _budget_sql("epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 120000 FROM events)"),
+    "report_tables": with_views("predictions") + ",\n" + metric_chain("predictions", "model", CL, where=f"predicted_label NOT IN {SENTINEL_SQL}") + """
+        SELECT per.model, per.label, round(per.f1, 6) AS f1, per.support, coalesce(cells.n, 0)::BIGINT AS hits, round(acc.accuracy, 6) AS accuracy
+        FROM per JOIN acc ON acc.model = per.model
+        LEFT JOIN cells ON cells.model = per.model AND cells.true_label = per.label AND cells.predicted_label = per.label""",
     "report_per_class": with_views("predictions") + ",\n" + metric_chain("predictions", "model", CL, where=f"predicted_label NOT IN {SENTINEL_SQL}") + """
         SELECT model, label AS class, round(f1, 6) AS f1_score, round(precision, 6) AS precision, round(recall, 6) AS recall, support FROM per""",
     "report_text": f"""

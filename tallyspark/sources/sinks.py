@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.prep import flatten_text
@@ -115,3 +115,13 @@ def render_report(summary: DataFrame, per_class: DataFrame, confusion: DataFrame
 
 def write_metrics_report(report: DataFrame, key: str, path: str, mode: str = "overwrite") -> None:
     report.select(key, "report").write.mode(mode).partitionBy(key).text(path)
+
+
+def write_metrics_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """The sections of a metrics report as tables (SNK4): ``<path>/<section>`` for each of them."""
+    for name, table in tables.items():
+        table.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_metrics_tables(spark: SparkSession, path: str, sections: Sequence[str] = ("summary", "per_class", "matrix")) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in sections}
