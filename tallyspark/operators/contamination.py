@@ -19,7 +19,8 @@ from tallyspark.operators import bloom
 def _grams(df: DataFrame, text_col: str, n: int, *keep: str) -> DataFrame:
     """(kept columns, gram): the distinct n-grams of each row."""
     toks = df.select(*keep, tokens(text_col).alias("_tok"))
-    return toks.select(*keep, F.explode(F.array_distinct(ngrams(F.col("_tok"), n))).alias("gram"))
+    # the outer form: Spark would filter by the array's size otherwise, and make tokens and grams once more for that
+    return toks.select(*keep, F.explode_outer(F.array_distinct(ngrams(F.col("_tok"), n))).alias("gram")).where("gram IS NOT NULL")
 
 
 def reference_grams(ref: DataFrame, text_col: str = "text", n: int = 7) -> DataFrame:
