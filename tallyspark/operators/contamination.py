@@ -36,7 +36,8 @@ def overlapping_ids(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "in
     """
     known = bloom.build(_grams(ref, ref_text_col, n), F.col("gram"))
     maybe = bloom.may_hold(_grams(df, text_col, n, id_col), known, "gram")
-    return maybe.join(reference_grams(ref, ref_text_col, n).hint("shuffle_hash"), "gram", "left_semi").select(id_col).distinct()
+    # an inner join, as the reference's grams are distinct: Spark would push a semi join below the filter
+    return maybe.join(reference_grams(ref, ref_text_col, n).hint("shuffle_hash"), "gram").select(id_col).distinct()
 
 
 def flag_overlap(df: DataFrame, ref: DataFrame, n: int = 7, id_col: str = "index", text_col: str = "post",

@@ -192,6 +192,7 @@ def test_leakage_is_one_plan_that_shuffles_hits_only(spark):
     docs = spark.createDataFrame([(1, "a b")], "index long, post string")
     plan = C.overlapping_ids(docs, docs.withColumnRenamed("post", "text"), 3)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "BroadcastHashJoin [_block" in plan and "ShuffledHashJoin [gram" in plan and "Cartesian" not in plan
+    assert plan.index("ShuffledHashJoin [gram") < plan.index("BroadcastHashJoin [_block")  # the filter lies below the shuffle
 
 
 def test_bloom_filter_misses_nothing(spark):
