@@ -17,7 +17,7 @@ from tallyspark.plans.q_text import TEMPLATES
 from tallyspark.plans.q_metrics import SQL as QM_SQL
 from tallyspark.plans.sqlkit import SENTINEL_SQL, cells, metric_chain
 from tallyspark.plans.sqlviews import CLS, with_views
-from tallyspark.session import materialise, scratch_path
+from tallyspark.session import is_folder, materialise, scratch_path
 from tallyspark.sources import readers as RD
 from tallyspark.sources import sinks as SK
 from tallyspark.sources.attempts import AttemptLog
@@ -97,13 +97,20 @@ def evaluate_responder(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def _stream_of(spark: SparkSession, d: str, name: str) -> tuple[str, str | None]:
+    """Folder and file name of a table's file stream: a table of many files is a folder, one of a single file a name in ``d``."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    return (path, None) if is_folder(spark, path) else (d, f"{name}.parquet")
+
+
 def score_stream(spark: SparkSession, d: str) -> DataFrame:
     """documents.parquet as a file stream -> incremental scoring (availableNow) -> read the sink."""
     base = scratch_path(spark, f"score_stream/{uuid.uuid4().hex}")
     schema = StructType([StructField("doc_id", V.table(spark, d, "documents").schema["doc_id"].dataType),
                          StructField("text", StringType())])
-    q = ST.score_stream(spark, d, schema, f"{base}/sink", f"{base}/checkpoint", S.length_scorer_factory(len(CL)), CL,
-                        glob="documents.parquet", rename={"doc_id": "index", "text": "post"})
+    source, glob = _stream_of(spark, d, "documents")
+    q = ST.score_stream(spark, source, schema, f"{base}/sink", f"{base}/checkpoint", S.length_scorer_factory(len(CL)), CL,
+                        glob=glob, rename={"doc_id": "index", "text": "post"})
     q.awaitTermination()
     return _flat(AttemptLog(spark, f"{base}/sink").latest())
 
@@ -124,8 +131,9 @@ def _request_schema(spark: SparkSession, d: str) -> StructType:
 def rate_audit_stream(spark: SparkSession, d: str) -> DataFrame:
     """events.parquet as a file stream -> aligned windows that the watermark closed, from the Parquet sink."""
     base = _scratch(spark, "rate_audit")
-    ST.rate_audit(spark, d, _request_schema(spark, d), RATE_LIMIT, f"{base}/sink", f"{base}/checkpoint", "2 minutes",
-                  "events.parquet", rename={"event_type": "key"}).awaitTermination()
+    source, glob = _stream_of(spark, d, "events")
+    ST.rate_audit(spark, source, _request_schema(spark, d), RATE_LIMIT, f"{base}/sink", f"{base}/checkpoint", "2 minutes",
+                  glob, rename={"event_type": "key"}).awaitTermination()
     return spark.read.parquet(f"{base}/sink")
 
 
@@ -142,8 +150,9 @@ def rate_budget(spark: SparkSession, d: str) -> DataFrame:
 def rate_budget_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same windows from a stream of events.parquet with keyed state, read from its Parquet sink."""
     base = _scratch(spark, "rate_budget")
-    BG.budget_stream(spark, d, _request_schema(spark, d), RATE_LIMIT, f"{base}/sink", f"{base}/checkpoint", BUDGET_SECONDS, "2 minutes",
-                     "events.parquet", key_col="event_type").awaitTermination()
+    source, glob = _stream_of(spark, d, "events")
+    BG.budget_stream(spark, source, _request_schema(spark, d), RATE_LIMIT, f"{base}/sink", f"{base}/checkpoint", BUDGET_SECONDS, "2 minutes",
+                     glob, key_col="event_type").awaitTermination()
     return _times_as_text(spark.read.parquet(f"{base}/sink"))
 
 

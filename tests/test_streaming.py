@@ -160,3 +160,23 @@ def test_budget_stream_over_files_and_restarts(spark, tmpdir_path):
     for f in (commits[-1], f".{commits[-1]}.crc"):  # as if the run had died before it committed
         os.remove(os.path.join(ck, "commits", f))
     assert run() == want(cut)
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmpdir_path):
+    from tallyspark.plans import q_io
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(40)], "doc_id long, text string")
+    events = spark.createDataFrame([(f"2024-01-01 00:{i:02d}:00", "k") for i in range(40)], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    counts = []
+    for name in ("many", "one"):
+        d = os.path.join(tmpdir_path, name)
+        for table, rows in (("documents", docs), ("events", events)):
+            folder = os.path.join(d, f"{table}.parquet")
+            if name == "many":
+                rows.repartition(3).write.parquet(folder)
+            else:
+                rows.coalesce(1).write.parquet(os.path.join(d, "written", table))
+                part = next(f for f in os.listdir(os.path.join(d, "written", table)) if f.endswith(".parquet"))
+                os.link(os.path.join(d, "written", table, part), folder)
+        scored = sorted(r["index"] for r in q_io.score_stream(spark, d).collect())
+        counts.append((scored, q_io.rate_audit_stream(spark, d).count(), q_io.rate_budget_stream(spark, d).count()))
+    assert counts[0] == counts[1] and counts[0][0] == list(range(40)) and counts[0][1] > 0 and counts[0][2] > 0
