@@ -29,6 +29,7 @@ from tallyspark.operators.runlogs import best_epoch
 from tallyspark.session import materialise, path_exists
 
 FEATURES = 1 << 18
+BLOCK_MB = 32.0   # of rows whose gradient is added at once
 
 
 def term_frequencies(df: DataFrame, keep: Sequence[str], num_features: int = FEATURES) -> DataFrame:
@@ -41,11 +42,17 @@ def term_frequencies(df: DataFrame, keep: Sequence[str], num_features: int = FEA
 
 def fit_features(rows: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, label_col: str = "label",
                  max_iter: int = 20, reg: float = 0.0) -> PipelineModel:
-    """IDF and regression on rows of ``term_frequencies``."""
+    """IDF and regression on rows of ``term_frequencies``.
+
+    Each evaluation of the gradient sends one array of classes x features from every task, and adds
+    one for every block of rows. So the rows come in at most as many tasks as there are cores, and
+    in large blocks: what is sent doesn't grow with the rows.
+    """
     steps = Pipeline(stages=[
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial", maxIter=max_iter, regParam=reg)])
-    return steps.fit(rows.withColumn("_y", encode(label_col, classes, strict=True).cast("double")))
+        LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial", maxIter=max_iter, regParam=reg, maxBlockSizeInMB=BLOCK_MB)])
+    rows = rows.withColumn("_y", encode(label_col, classes, strict=True).cast("double"))
+    return steps.fit(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism))
 
 
 def predict_features(model: PipelineModel, rows: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,

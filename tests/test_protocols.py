@@ -200,3 +200,24 @@ def test_training_protocol(spark):
     assert len(m) == 4 and all(r.n == 30 and r.f1_weighted > 0.95 for r in m)
     out = TR.fit_eval(df.where("fold > 0"), df.where("fold = 0"), ["a", "b", "never seen"], max_iter=8).collect()
     assert len(out) == 30 and all(len(r.probs) == 3 and abs(sum(r.probs) - 1) < 1e-9 and r.probs[2] == 0 for r in out)
+
+
+def test_fits_send_no_more_gradients_than_there_are_cores(spark, monkeypatch):
+    rows = [(i, "good fine" if i % 2 else "bad awful", "ab"[i % 2], i % 4) for i in range(400)]
+    feats = TR.term_frequencies(spark.createDataFrame(rows, "index long, post string, label string, fold int").repartition(64), ["index", "fold", "label"])
+    fitted, fit = [], TR.Pipeline.fit
+
+    def spy(self, rows, *a):
+        fitted.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, *a)
+    monkeypatch.setattr(TR.Pipeline, "fit", spy)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        model = TR.fit_features(feats, ["a", "b"], max_iter=3)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(fitted) == 1 and fitted[0] <= spark.sparkContext.defaultParallelism
+    out = TR.predict_features(model, feats, ["a", "b"], keep=("index", "label")).collect()
+    assert len(out) == 400 and all(r.predicted_label == r.label for r in out)
