@@ -68,6 +68,12 @@ def text_batches(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[i
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, max_rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, so that a task holds few texts twice."""
+    for at in range(0, batch.num_rows, max_rows):
+        yield batch.slice(at, max_rows)
+
+
 def runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of one non-zero class inside each row: (starts, ends, row of each run)."""
     n = len(kind)

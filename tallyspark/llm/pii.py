@@ -435,15 +435,16 @@ def masked(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        for batch in batches:
-            texts = []
-            for t in batch.column(place):
-                text = t.as_py()
-                if text and _SOME.search(text):
-                    base = base_spans(text)
-                    text = mask(text, base + added_spans(text, base, field, s))
-                texts.append(text)
-            cols = list(batch.columns)
-            cols[place] = pa.array(texts, cols[place].type)
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        for rows in batches:
+            for batch in C.slices(rows):
+                texts = []
+                for t in batch.column(place):
+                    text = t.as_py()
+                    if text and _SOME.search(text):
+                        base = base_spans(text)
+                        text = mask(text, base + added_spans(text, base, field, s))
+                    texts.append(text)
+                cols = list(batch.columns)
+                cols[place] = pa.array(texts, cols[place].type)
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
     return docs.mapInArrow(task, docs.schema)

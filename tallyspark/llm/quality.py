@@ -47,6 +47,7 @@ _KIND[65:91] = _KIND[97:123] = 1
 _KIND[128:] = 1
 _CODES = C.byte_codes(101, fold_case=True)
 _BLOCK = 256
+POOL_BYTES = 1 << 19  # of text at once: a token's vector takes many times the token's bytes
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
     """One feature row per text: mean and spread of the token vectors, and the length."""
     d = table.shape[1]
     out = np.zeros((len(column), 2 * d + 2), np.float32)
-    for lo, hi, buf, offs in C.text_batches(column):
+    for lo, hi, buf, offs in C.text_batches(column, POOL_BYTES):
         h, rows = _tokens(buf, offs)
         n = np.bincount(rows, minlength=hi - lo)
         have = np.flatnonzero(n)
@@ -239,5 +240,6 @@ def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = shared.value
         for b in batches:
-            yield b.filter(pa.array(net.probability(pooled(b.column(place), table)) >= s.threshold))
+            good = pa.array(net.probability(pooled(b.column(place), table)) >= s.threshold)
+            yield from C.slices(b.filter(good))
     return docs.mapInArrow(keep, docs.schema)

@@ -61,3 +61,18 @@ def test_stages_on_odd_and_empty_tables(spark):
                 assert n == len(data) and not any("a.b@c.org" in (r["text"] or "") for r in out.collect())
             if name == "n-gram Jaccard join" and data:
                 assert sorted(repr(r["doc_id"]) for r in out.collect()) == ["1", "2", "3", "4", "5", "None", "None"]
+
+
+def test_stages_send_few_texts_at_once(spark, monkeypatch):
+    """However large the batches that a task reads, the ones that it sends hold few rows; all rows come, in order."""
+    from tallyspark.llm import common as C
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1234)), pa.array([f"mail a{i}@b.org" for i in range(1234)])], names=["doc_id", "text"])
+    parts = list(C.slices(batch))
+    assert max(p.num_rows for p in parts) <= 500 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    sent, docs = [], spark.createDataFrame([(i, f"mail a{i}@b.org") for i in range(1234)], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: sent.extend(task(iter([batch]))) or self)
+    monkeypatch.setattr(pii, "train", lambda docs, s: pii.Field(*(pii.np.zeros((n, pii.LABELS)) for n in (pii._AT[-1], pii.LABELS, pii.LABELS, pii.LABELS))))
+    pii.masked(docs)
+    assert [p.num_rows for p in sent] == [500, 500, 234]
+    assert [x for p in sent for x in p.column(1).to_pylist()] == ["mail [EMAIL]"] * 1234
