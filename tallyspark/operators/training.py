@@ -30,6 +30,7 @@ from tallyspark.session import materialise, path_exists
 
 FEATURES = 1 << 18
 BLOCK_MB = 32.0   # of rows whose gradient is added at once
+TASK_ROWS = 2048  # of a fit's task at least, where there are fewer tasks than cores: sending an array takes as long as some rows do
 
 
 def term_frequencies(df: DataFrame, keep: Sequence[str], num_features: int = FEATURES) -> DataFrame:
@@ -52,7 +53,8 @@ def fit_features(rows: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES, labe
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_y", family="multinomial", maxIter=max_iter, regParam=reg, maxBlockSizeInMB=BLOCK_MB)])
     rows = rows.withColumn("_y", encode(label_col, classes, strict=True).cast("double"))
-    return steps.fit(rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism))
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS + 1)
+    return steps.fit(rows.coalesce(tasks))
 
 
 def predict_features(model: PipelineModel, rows: DataFrame, classes: Sequence[str] = DEFAULT_CLASSES,
