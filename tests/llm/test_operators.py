@@ -613,6 +613,27 @@ def test_merges_draw_for_every_document_and_occurrence(spark):
     assert len(seen) > 10 and min(map(len, seen)) <= n
 
 
+def test_merges_in_step_equal_the_agenda(monkeypatch):
+    c, draw = merges.codec(path()), random.Random(9)
+    signs = "abcdefghij ETAOIN\n\t.,-#▁é日😀\0"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(300))) for _ in range(60)]
+    texts += ["".join(draw.choice("etaoinsr") for _ in range(k)) for k in range(70)] + ["", "▁", " ▁▁ ", "ab" * 700]
+    alone, agenda = [], c.merge
+    monkeypatch.setattr(c, "merge", lambda chunk, skip: alone.append(len(chunk)) or agenda(chunk, skip))
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        for length in (48, 10, 500):
+            s = merges.Settings(path(), dropout=dropout, memo_length=length)
+            limit, plain = int(dropout * (1 << 20)), []
+            for doc, text in enumerate(texts):
+                chunks = c.chunks.findall(" " + text) if text else []
+                plain.append([x for k, chunk in enumerate(chunks) for x in c.keyed(chunk, merges._mix_one((doc + k * merges.GOLD) & merges.WORD), limit)])
+            alone.clear()
+            memo = merges.Memo(10)
+            made = [ids.tolist() for _ in range(2) for ids in c.encode_all(texts, range(len(texts)), s, memo)]
+            assert made == plain * 2
+            assert all(n > min(length, merges.LONGEST) for n in alone)  # short chunks aren't merged one by one
+
+
 # ---- 10: Jaccard join ----------------------------------------------------------------------
 
 def _sets(rows, k=4):
