@@ -19,6 +19,9 @@ from tallyspark.session import ensure_checkpoint_dir, scratch_path
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+BATCH_BYTES = 1 << 21  # of the rows that a Python task gets at once
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -28,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send rows to Python tasks about ``BATCH_BYTES`` at a time, unless the session names another size.
+
+    By default a batch holds up to 64 MB, once in the executor's JVM and once in the worker.
+    The size stays set, since the tables that operators return are computed later.
+    """
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no label may be learned from: crc32(doc_id as text) mod 5 = 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -494,6 +494,7 @@ def jaccard_components(docs: DataFrame, settings: Settings | None = None) -> Dat
     """
     s = settings or Settings()
     ship_package(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     levels = frequency_levels(docs, s)
     per_doc = C.materialise(documents(docs, s), "documents")
     known = per_doc.where("doc_id is not null and n > 0")

@@ -169,6 +169,7 @@ def pack(docs: DataFrame, settings: Settings) -> DataFrame:
     """
     s = settings
     ship_package(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     cut = C.materialise(pieces(docs, s), "pieces")
     groups = max(1, -(-cut.count() // s.group_pieces))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(s.seed), "doc_id", "row", "start"), F.lit(groups)))

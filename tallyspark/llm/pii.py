@@ -388,6 +388,7 @@ def find(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """
     s = settings or Settings()
     ship_package(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, s))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,6 +431,7 @@ def masked(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """
     s = settings or Settings()
     ship_package(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, s))
     place = docs.columns.index("text")
 

@@ -214,6 +214,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings | None
     s = settings or Settings()
     spark = docs.sparkSession
     ship_package(spark)
+    C.small_batches(spark)
     table = word_vectors(docs, s)
     net = train(docs, labels, table, s)
     shared = spark.sparkContext.broadcast((table, net))
@@ -233,6 +234,7 @@ def accepted(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     """The rows of ``docs``, all columns, whose score reaches the threshold (see quality_scores); an empty table gives none."""
     s = settings or Settings()
     ship_package(docs.sparkSession)
+    C.small_batches(docs.sparkSession)
     table = word_vectors(docs, s)
     shared = docs.sparkSession.sparkContext.broadcast((table, train(docs, labels, table, s)))
     place = docs.columns.index("text")

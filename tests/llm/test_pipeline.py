@@ -76,3 +76,30 @@ def test_stages_send_few_texts_at_once(spark, monkeypatch):
     pii.masked(docs)
     assert [p.num_rows for p in sent] == [500, 500, 234]
     assert [x for p in sent for x in p.column(1).to_pylist()] == ["mail [EMAIL]"] * 1234
+
+
+def test_stages_read_few_texts_at_once(spark):
+    """A task gets a few MB of rows at once, also when the stage's table is computed later; a size that the session names stays."""
+    import pyarrow as pa
+
+    from tallyspark.llm import common as C
+
+    def sizes(batches):
+        found = [b.nbytes for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["n"])
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text").coalesce(1)
+    empty = spark.createDataFrame([], table(spark, SF, "documents").schema)
+    key, before = C._BATCH_KEY, spark.conf.getAll.get(C._BATCH_KEY)
+    try:
+        for name, stage in P.STAGES:
+            if name == "quality rules":  # has no Python task
+                continue
+            spark.conf.unset(key)
+            stage(spark, empty, SF)
+            found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert max(found) <= 2 * C.BATCH_BYTES and sum(found) >= 15_000_000, name
+        spark.conf.set(key, "12345")
+        C.small_batches(spark)
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
